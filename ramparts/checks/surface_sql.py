@@ -38,7 +38,7 @@ oracle("url_resolve", ["web"], r""", links AS (
   SELECT page_id, url, unnest(refs) AS ref0, unnest(range(len(refs))) AS pos FROM (
     SELECT page_id, url, regexp_extract_all(html, '(?i)(?:src|href)\s*=\s*["'']([^"'']*)["'']', 1) AS refs FROM web)),
 varied AS (SELECT page_id, url, pos, CASE pos % 6 WHEN 1 THEN concat('..', ref0, '/./x') WHEN 2 THEN concat('?q=', substring(ref0, 2))
-  WHEN 3 THEN concat('#', substring(ref0, 2)) WHEN 4 THEN substring(ref0, 2) ELSE ref0 END AS ref FROM links),
+  WHEN 3 THEN concat('#', substring(ref0, 2)) WHEN 4 THEN CASE WHEN ref0 LIKE '/%' THEN substring(ref0, 2) ELSE ref0 END ELSE ref0 END AS ref FROM links),
 parts AS (SELECT *, lower(regexp_extract(url, '^(https?://[^/?#]*)', 1)) AS org,
   CASE WHEN regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) END AS bpath,
   regexp_extract(url, '^https?://[^/?#]*[^?#]*(\?[^#]*)', 1) AS bquery FROM varied),
@@ -92,11 +92,13 @@ SELECT 'doc/' || doc_id AS rel, 'Hardcoded Secret' AS class, 'Critical' AS sever
 _ASSIGN = r"""'(?i)\b[0-9a-z_]*(?:secret|token|passwd|password|pwd|api_?key|access_?key|private_?key|credential)[0-9a-z_]*[ \t]*[:=][ \t]*(?:"[^"\n]{8,}"|''[^''\n]{8,}'')'"""
 oracle("det_secret_assignment", [], rf"""WITH t AS (SELECT 'doc/' || doc_id AS rel, text FROM documents UNION ALL SELECT 'page/' || page_id, html FROM pages),
 l AS (SELECT rel, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM t WHERE regexp_matches(text, {_ASSIGN})),
-m AS (SELECT *, unnest(regexp_extract_all(x, {_ASSIGN})) AS hit FROM l),
-q AS (SELECT *, regexp_replace(hit, '^[^"'']*["'']', '') AS tail FROM m),
+m0 AS (SELECT *, regexp_extract_all(x, {_ASSIGN}) AS hits, string_split_regex(x, {_ASSIGN}) AS pieces FROM l),
+m AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m0),
+q AS (SELECT *, regexp_replace(hits[i], '^[^"'']*["'']', '') AS tail FROM m),
 s AS (SELECT *, left(tail, length(tail) - 1) AS v FROM q)
 SELECT rel, 'Hardcoded Secret' AS class, 'High' AS severity, 'unconfirmed' AS section,
-  CASE WHEN length(v) > 12 THEN left(v, 6) || '…' || right(v, 2) ELSE v END AS evidence, line, CAST(strpos(x, hit) AS BIGINT) AS col FROM s""")
+  CASE WHEN length(v) > 12 THEN left(v, 6) || '…' || right(v, 2) ELSE v END AS evidence, line,
+  CAST(1 + list_sum(list_transform(pieces[1:i], lambda e: length(e))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda e: length(e))), 0) AS BIGINT) AS col FROM s""")
 
 # ---- surface ---------------------------------------------------------------------------------
 

@@ -84,16 +84,19 @@ def located(text: Column, pattern: str, groups: dict[str, int]) -> Column:
     return F.aggregate(zipped, start, step, lambda acc: acc["out"])
 
 
-def match_evidence(df: DataFrame, text: str, pattern: str, keep: list[str]) -> DataFrame:
+def match_evidence(df: DataFrame, text: str, pattern: str, keep: list[str], hint: str | None = None) -> DataFrame:
     """One row per match with its line, 1-based column and full physical line.
 
     Texts without a match are dropped before they are cut into lines, and each line is its own
     row before its matches are located, so the work stays linear in the text. The pattern must
-    not reach over a line break.
+    not reach over a line break. ``hint`` is a cheaper pattern that every match contains; it
+    takes the place of the full one wherever whole texts are searched.
     """
-    lines = (df.filter(matches(F.col(text), pattern))
-             .select(*keep, F.posexplode(F.split(text, "\n", -1)).alias("_no", "evidence"))
-             .filter(matches(F.col("evidence"), pattern)))
+    lines = (df.filter(matches(F.col(text), hint or pattern))
+             .select(*keep, F.posexplode(F.split(text, "\n", -1)).alias("_no", "evidence")))
+    if hint:
+        lines = lines.filter(matches(F.col("evidence"), hint))
     found = F.explode(located(F.col("evidence"), pattern, {}))
-    return lines.select(*keep, (F.col("_no") + 1).cast("bigint").alias("line"), "evidence", found.alias("_m")).select(
-        *keep, "line", F.col("_m.col").cast("bigint").alias("col"), F.col("_m.hit").alias("match"), "evidence")
+    return (lines.filter(matches(F.col("evidence"), pattern))
+            .select(*keep, (F.col("_no") + 1).cast("bigint").alias("line"), "evidence", found.alias("_m"))
+            .select(*keep, "line", F.col("_m.col").cast("bigint").alias("col"), F.col("_m.hit").alias("match"), "evidence"))

@@ -16,6 +16,11 @@ _PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(
 _PRIVATE_NAME = r"(?i)^(localhost|[\s\S]*\.local|[\s\S]*\.internal)$"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``; keeps large expressions small."""
+    return F.transform(F.array(value), body)[0]
+
+
 def is_valid(url: Column) -> Column:
     text = F.regexp_replace(url, f"^{WS}+|{WS}+$", "")
     port = F.regexp_extract(text, r"(?i)^[a-z]+://(?:[^/?#@]*@)?(?:\[[^\]]*\]|[^/?#:]*):(\d+)", 1)
@@ -51,7 +56,7 @@ def path_and_query(url: Column) -> Column:
 def fold_path(path: Column) -> Column:
     """Remove ``.`` and ``..`` segments of an absolute path."""
     segments = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
-    last = F.element_at(segments, -1)
+    last = F.regexp_extract(path, "([^/]*)$", 1)
     kept = F.aggregate(
         segments, F.array().cast("array<string>"),
         lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
@@ -64,24 +69,28 @@ def resolve(reference: Column, base: Column) -> Column:
     """A reference as seen from page ``base``; null if the result is no valid URL."""
     ref = F.regexp_replace(F.regexp_replace(reference, f"^{WS}+|{WS}+$", ""), r"[\t\n\r]", "")
     base_path = F.regexp_extract(path_and_query(base), r"^([^?#]*)", 1)
-    base_query = F.regexp_extract(path_and_query(base), r"^[^?#]*(\?[^#]*)", 1)
-    here = F.when(base_path == "", F.lit("/")).otherwise(base_path)
-    ref_path = F.regexp_extract(ref, r"^([^?#]*)", 1)
-    ref_rest = F.regexp_extract(ref, r"^[^?#]*([\s\S]*)$", 1)
-    folder = F.regexp_extract(here, r"^([\s\S]*/)[^/]*$", 1)
-    absolute = (F.when(ref.rlike(r"(?i)^https?://"), ref)
-                .when(ref.startswith("//"), F.concat(scheme(base), F.lit(":"), ref)))
-    tidy = F.concat(origin(absolute), fold_path(F.regexp_extract(path_and_query(absolute), r"^([^?#]*)", 1)),
-                    F.regexp_extract(path_and_query(absolute), r"^[^?#]*([\s\S]*)$", 1))
-    other = ref.rlike(r"(?i)^[a-z][a-z0-9+.\-]*:")
-    target = (F.when(absolute.isNotNull(), tidy)
-              .when(other, ref)
-              .when(ref == "", F.concat(origin(base), here, base_query))
-              .when(ref.startswith("#"), F.concat(origin(base), here, base_query, ref))
-              .when(ref.startswith("?"), F.concat(origin(base), here, ref))
-              .when(ref.startswith("/"), F.concat(origin(base), fold_path(ref_path), ref_rest))
-              .otherwise(F.concat(origin(base), fold_path(F.concat(folder, ref_path)), ref_rest)))
-    return F.when(is_valid(F.coalesce(absolute, target)), target)
+
+    def absolute_form(v: Column) -> Column:
+        r = v["ref"]
+        return (F.when(r.rlike(r"(?i)^https?://"), r)
+                .when(r.startswith("//"), F.concat(v["scheme"], F.lit(":"), r))
+                .when(r.rlike(r"(?i)^[a-z][a-z0-9+.\-]*:"), r)
+                .when(r == "", F.concat(v["origin"], v["path"], v["query"]))
+                .when(r.startswith("#"), F.concat(v["origin"], v["path"], v["query"], r))
+                .when(r.startswith("?"), F.concat(v["origin"], v["path"], r))
+                .when(r.startswith("/"), F.concat(v["origin"], r))
+                .otherwise(F.concat(v["origin"], F.regexp_extract(v["path"], r"^([\s\S]*/)[^/]*$", 1), r)))
+
+    def tidy(url: Column) -> Column:
+        path = F.regexp_extract(path_and_query(url), r"^([^?#]*)", 1)
+        rest = F.regexp_extract(path_and_query(url), r"^[^?#]*([\s\S]*)$", 1)
+        web = F.concat(origin(url), let(path, fold_path), rest)
+        return F.when(is_valid(url), F.when(url.rlike(r"(?i)^https?://"), web).otherwise(url))
+
+    parts = F.struct(ref.alias("ref"), scheme(base).alias("scheme"), origin(base).alias("origin"),
+                     F.when(base_path == "", F.lit("/")).otherwise(base_path).alias("path"),
+                     F.regexp_extract(path_and_query(base), r"^[^?#]*(\?[^#]*)", 1).alias("query"))
+    return let(let(parts, absolute_form), tidy)
 
 
 def has_sensitive_parameter(url: Column) -> Column:

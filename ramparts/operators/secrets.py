@@ -10,6 +10,13 @@ from ramparts.functions import text
 from ramparts.schemas import findings
 
 
+def may_hold_provider(body: Column) -> Column:
+    test = F.lit(False)
+    for hint in rules.PROVIDER_HINTS:
+        test = test | F.contains(body, F.lit(hint))
+    return test
+
+
 def provider_matches(body: Column) -> Column:
     """All provider matches of one text as an array of (name, match), in rule order."""
     def tagged(name: str, pattern: str) -> Column:
@@ -25,12 +32,12 @@ def first_provider(body: Column) -> Column:
     for name, pattern in rules.PROVIDERS:
         hit = F.struct(F.lit(name).alias("name"), F.regexp_extract(body, pattern, 0).alias("match"))
         chain = F.when(body.rlike(pattern), hit) if chain is None else chain.when(body.rlike(pattern), hit)
-    return F.when(body.rlike(rules.PROVIDER_HINT), chain)
+    return F.when(may_hold_provider(body), chain)
 
 
 def provider_secrets(df: DataFrame, body: str, keep: list[str]) -> DataFrame:
     """One row per provider match. A single cheap test skips texts that hold none."""
-    hits = df.filter(F.col(body).rlike(rules.PROVIDER_HINT)).select(
+    hits = df.filter(may_hold_provider(F.col(body))).select(
         *keep, F.explode(provider_matches(F.col(body))).alias("_m"))
     return hits.select(*keep, F.col("_m.name").alias("rule"), F.col("_m.match").alias("match"))
 
@@ -45,7 +52,7 @@ def provider_findings(df: DataFrame, body: str, rel: Column, keep: list[str]) ->
 
 def assigned_secrets(df: DataFrame, body: str, keep: list[str]) -> DataFrame:
     """One row per quoted literal assigned to a secret-named variable, with its line and column."""
-    found = text.match_evidence(df, body, rules.SECRET_ASSIGNMENT, keep)
+    found = text.match_evidence(df, body, rules.SECRET_ASSIGNMENT, keep, hint=rules.ASSIGNMENT_HINT)
     quoted = F.coalesce(text.first_match(F.col("match"), rules.SECRET_ASSIGNMENT, 1),
                         text.first_match(F.col("match"), rules.SECRET_ASSIGNMENT, 2))
     return found.withColumn("literal", quoted)

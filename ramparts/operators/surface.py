@@ -5,6 +5,8 @@ All but the joins at the end are projections of one scan without any shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,120 +14,136 @@ from ramparts import rules
 from ramparts.functions import text, urls
 from ramparts.functions.http import header
 from ramparts.operators.secrets import first_provider
-from ramparts.schemas import findings
+from ramparts.schemas import emit, finding, findings
 from ramparts.session import lookup_join
 
-URL, HEADERS, BODY = F.col("url"), F.col("headers"), F.col("body")
-
-
-def _each(df: DataFrame, items: list[Column]) -> DataFrame:
-    """One row per non-null struct of ``items``, as column ``_r``."""
-    return df.withColumn("_r", F.explode(F.filter(F.array(*items), lambda r: r.isNotNull())))
-
-
-def missing_headers(captures: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    items = [F.when(header(HEADERS, key).isNull(), F.struct(F.lit(name).alias("name"), F.lit(sev).alias("severity")))
-             for key, name, sev in rules.EXPECTED_HEADERS]
-    return findings(_each(captures, items), detector_id="surface", cls="Missing Security Header",
-                    severity=F.col("_r.severity"), rel=URL, summary=F.concat(F.lit("no "), F.col("_r.name"), F.lit(" header")),
-                    evidence=F.concat(F.lit("GET "), URL, F.lit(" answered without "), F.col("_r.name")),
-                    impact="The browser falls back to its permissive default.", keep=keep,
-                    after=F.concat(F.lit("send "), F.col("_r.name")), contract="response header only")
-
-
-def missing_hsts(captures: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    bad = captures.filter(urls.is_https(URL) & header(HEADERS, "strict-transport-security").isNull())
-    return findings(bad, detector_id="surface", cls="Missing Security Header", severity="Medium", rel=URL,
-                    summary="no Strict-Transport-Security header",
-                    evidence=F.concat(F.lit("GET "), URL, F.lit(" answered over HTTPS without HSTS")),
-                    impact="The first request can be downgraded to HTTP.", keep=keep,
-                    after="send Strict-Transport-Security", contract="response header only")
-
-
-def clickjacking(captures: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    csp = F.coalesce(HEADERS["content-security-policy"], F.lit(""))
-    bad = captures.filter(header(HEADERS, "x-frame-options").isNull() & ~csp.rlike("(?i)frame-ancestors"))
-    return findings(bad, detector_id="surface", cls="Clickjacking Exposure", severity="Medium", rel=URL,
-                    summary="page can be framed by any site",
-                    evidence=F.concat(F.lit("GET "), URL, F.lit(" restricts framing nowhere")),
-                    impact="Users can be tricked into clicks on a hidden page.", keep=keep,
-                    after="send X-Frame-Options: DENY", contract="response header only")
-
-
-def version_disclosure(captures: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    items = [F.when(HEADERS[k].rlike(r"\d"), F.struct(F.lit(k).alias("name"), HEADERS[k].alias("value")))
-             for k in rules.VERSION_HEADERS]
-    return findings(_each(captures, items), detector_id="surface", cls="Version Disclosure", severity="Informational",
-                    rel=URL, summary=F.concat(F.col("_r.name"), F.lit(" names a version")),
-                    evidence=F.concat(F.col("_r.name"), F.lit(": "), F.col("_r.value")),
-                    impact="Known faults of that version can be looked up.", keep=keep,
-                    before=F.concat(F.col("_r.name"), F.lit(": "), F.col("_r.value")), after="drop the version",
-                    contract="response header only")
-
-
-def insecure_cookies(captures: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    each = captures.withColumn("_c", F.explode("set_cookies"))
-    cookie, low = F.col("_c"), F.lower(F.col("_c"))
-    name = text.trim_blank(F.substring_index(cookie, "=", 1))
-    lacks = [F.when(~low.contains(flag.lower()) & (urls.is_https(URL) if flag == "Secure" else F.lit(True)),
-                    F.struct(F.lit(flag).alias("flag"))) for flag in rules.COOKIE_FLAGS]
-    rows = _each(each, lacks)
-    severity = F.when(name.rlike(rules.SESSION_COOKIE_NAME), "Medium").otherwise("Low")
-    return findings(rows, detector_id="surface", cls="Insecure Cookie", severity=severity, rel=URL,
-                    summary=F.concat(F.lit("cookie "), name, F.lit(" lacks "), F.col("_r.flag")),
-                    evidence=F.concat(F.lit("Set-Cookie: "), cookie),
-                    impact="The cookie can be stolen or sent along without intent.", keep=keep,
-                    before=F.concat(name, F.lit("=…")), after=F.concat(name, F.lit("=…; HttpOnly; Secure; SameSite=Lax")),
-                    contract="same value, stricter attributes")
-
-
-def permissive_cors(captures: DataFrame, keep: list[str] | None = None) -> DataFrame:
+RULES: dict[str, Callable[[], Column]] = {}
+
+
+def row_rule(build: Callable[[], Column]) -> Callable[..., DataFrame]:
+    """Register a rule over one capture row and turn it into a detector of its own."""
+    RULES[build.__name__] = build
+
+    def detector(captures: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        return emit(captures, [build()], keep)
+    detector.__name__, detector.__doc__ = build.__name__, build.__doc__
+    return detector
+
+
+def scan_captures(captures: DataFrame, keep: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
+    """Every row rule (or those named in ``only``) in a single pass over the captures."""
+    return emit(captures, [RULES[name]() for name in (only or RULES)], keep)
+
+
+def surface_finding(cls, severity, summary, evidence, **more) -> Column:
+    return finding(detector_id="surface", cls=cls, severity=severity, rel=more.pop("rel", F.col("url")), summary=summary,
+                   evidence=evidence, **more)
+
+
+def path_of(url: Column) -> Column:
+    return F.regexp_extract(urls.path_and_query(url), r"^([^?#]*)", 1)
+
+
+@row_rule
+def missing_headers() -> Column:
+    return F.array(*[F.when(header(F.col("headers"), key).isNull(), surface_finding(
+        "Missing Security Header", severity, f"no {name} header",
+        F.concat(F.lit("GET "), F.col("url"), F.lit(f" answered without {name}")),
+        impact="The browser falls back to its permissive default.", after=f"send {name}",
+        contract="response header only")) for key, name, severity in rules.EXPECTED_HEADERS])
+
+
+@row_rule
+def missing_hsts() -> Column:
+    bad = urls.is_https(F.col("url")) & header(F.col("headers"), "strict-transport-security").isNull()
+    return F.array(F.when(bad, surface_finding(
+        "Missing Security Header", "Medium", "no Strict-Transport-Security header",
+        F.concat(F.lit("GET "), F.col("url"), F.lit(" answered over HTTPS without HSTS")),
+        impact="The first request can be downgraded to HTTP.", after="send Strict-Transport-Security",
+        contract="response header only")))
+
+
+@row_rule
+def clickjacking() -> Column:
+    csp = F.coalesce(F.col("headers")["content-security-policy"], F.lit(""))
+    bad = header(F.col("headers"), "x-frame-options").isNull() & ~csp.rlike("(?i)frame-ancestors")
+    return F.array(F.when(bad, surface_finding(
+        "Clickjacking Exposure", "Medium", "page can be framed by any site",
+        F.concat(F.lit("GET "), F.col("url"), F.lit(" restricts framing nowhere")),
+        impact="Users can be tricked into clicks on a hidden page.", after="send X-Frame-Options: DENY",
+        contract="response header only")))
+
+
+@row_rule
+def version_disclosure() -> Column:
+    return F.array(*[F.when(F.col("headers")[k].rlike(r"\d"), surface_finding(
+        "Version Disclosure", "Informational", f"{k} names a version", F.concat(F.lit(f"{k}: "), F.col("headers")[k]),
+        impact="Known faults of that version can be looked up.", before=F.concat(F.lit(f"{k}: "), F.col("headers")[k]),
+        after="drop the version", contract="response header only")) for k in rules.VERSION_HEADERS])
+
+
+@row_rule
+def insecure_cookies() -> Column:
+    def per_cookie(cookie: Column) -> Column:
+        low, name = F.lower(cookie), text.trim_blank(F.substring_index(cookie, "=", 1))
+        severity = F.when(name.rlike(rules.SESSION_COOKIE_NAME), "Medium").otherwise("Low")
+        return F.array(*[F.when(~low.contains(flag.lower()) & (urls.is_https(F.col("url")) if flag == "Secure" else F.lit(True)), surface_finding(
+            "Insecure Cookie", severity, F.concat(F.lit("cookie "), name, F.lit(f" lacks {flag}")),
+            F.concat(F.lit("Set-Cookie: "), cookie), impact="The cookie can be stolen or sent along without intent.",
+            before=F.concat(name, F.lit("=…")), after=F.concat(name, F.lit("=…; HttpOnly; Secure; SameSite=Lax")),
+            contract="same value, stricter attributes")) for flag in rules.COOKIE_FLAGS])
+    return F.flatten(F.transform(F.coalesce("set_cookies", F.array().cast("array<string>")), per_cookie))
+
+
+@row_rule
+def permissive_cors() -> Column:
     """Judged only on captures that were requested with a foreign Origin."""
-    allow = header(HEADERS, "access-control-allow-origin")
-    credentials = HEADERS["access-control-allow-credentials"]
-    severity = (F.when((allow == F.col("request_origin")) | ((allow == "*") & (credentials == "true")), "High")
-                .when(allow == "*", "Low"))
-    bad = captures.filter(F.col("request_origin").isNotNull()).withColumn("_sev", severity).filter("_sev is not null")
-    return findings(bad, detector_id="surface", cls="Permissive CORS", severity=F.col("_sev"), rel=URL,
-                    summary=F.when(F.col("_sev") == "High", "any origin may read answers").otherwise("any origin may read public answers"),
-                    evidence=F.concat(F.lit("Access-Control-Allow-Origin: "), allow),
-                    impact="Foreign sites can read answers meant for the user.", keep=keep,
-                    steps=[F.concat(F.lit("Origin: "), F.col("request_origin")),
-                           F.concat(F.lit("Access-Control-Allow-Origin: "), allow)],
-                    after="allow listed origins only", contract="same-origin use is unaffected")
+    allow = header(F.col("headers"), "access-control-allow-origin")
+    any_reader = (allow == F.col("request_origin")) | ((allow == "*") & (F.col("headers")["access-control-allow-credentials"] == "true"))
+    shown = F.concat(F.lit("Access-Control-Allow-Origin: "), allow)
+    steps = [F.concat(F.lit("Origin: "), F.col("request_origin")), shown]
+
+    def judged(severity: str, summary: str) -> Column:
+        return surface_finding("Permissive CORS", severity, summary, shown, steps=steps,
+                               impact="Foreign sites can read answers meant for the user.",
+                               after="allow listed origins only", contract="same-origin use is unaffected")
+    return F.array(F.when(F.col("request_origin").isNotNull(),
+                          F.when(any_reader, judged("High", "any origin may read answers"))
+                          .when(allow == "*", judged("Low", "any origin may read public answers"))))
 
 
 def mixed_references(body: Column) -> Column:
     return F.slice(text.find_all(body, rules.MIXED_REFERENCE, 1), 1, rules.MIXED_REFERENCES)
 
 
-def mixed_content(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    bad = pages.filter(urls.is_https(URL) & BODY.rlike(rules.MIXED_REFERENCE)).withColumn("_m", mixed_references(BODY))
-    first = F.element_at("_m", 1)
-    return findings(bad, detector_id="surface", cls="Mixed Content", severity="Medium", rel=URL,
-                    summary="HTTPS page loads plain HTTP parts", evidence=F.concat(F.lit("loads "), first),
-                    impact="The parts can be changed on the way.", keep=keep,
-                    before=first, after=F.regexp_replace(first, "^http:", "https:"), contract="same part over TLS")
+@row_rule
+def mixed_content() -> Column:
+    first = F.regexp_extract(F.col("body"), rules.MIXED_REFERENCE, 1)
+    return F.array(F.when(urls.is_https(F.col("url")) & F.col("body").rlike(rules.MIXED_REFERENCE), surface_finding(
+        "Mixed Content", "Medium", "HTTPS page loads plain HTTP parts", F.concat(F.lit("loads "), first),
+        impact="The parts can be changed on the way.", before=first, after=F.regexp_replace(first, "^http:", "https:"),
+        contract="same part over TLS")))
 
 
-def credentials_over_http(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    bad = pages.filter(~urls.is_https(URL) & BODY.rlike(rules.PASSWORD_INPUT))
-    return findings(bad, detector_id="surface", cls="Credentials Over HTTP", severity="High", rel=URL,
-                    summary="password field on a plain HTTP page", evidence=F.concat(F.lit("password input on "), URL),
-                    impact="Passwords can be read on the way.", keep=keep, after="serve the form over HTTPS")
+@row_rule
+def credentials_over_http() -> Column:
+    return F.array(F.when(~urls.is_https(F.col("url")) & F.col("body").rlike(rules.PASSWORD_INPUT), surface_finding(
+        "Credentials Over HTTP", "High", "password field on a plain HTTP page", F.concat(F.lit("password input on "), F.col("url")),
+        impact="Passwords can be read on the way.", after="serve the form over HTTPS")))
 
 
-def sensitive_urls(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    return findings(pages.filter(urls.has_sensitive_parameter(URL)), detector_id="surface", cls="Sensitive Data in URL",
-                    severity="High", rel=URL, summary="secret value in the query string",
-                    evidence=F.concat(F.lit("query of "), URL), impact="URLs end up in logs, history and referrers.",
-                    keep=keep, before=URL, after="send the value in a body or cookie")
+@row_rule
+def sensitive_urls() -> Column:
+    return F.array(F.when(urls.has_sensitive_parameter(F.col("url")), surface_finding(
+        "Sensitive Data in URL", "High", "secret value in the query string", F.concat(F.lit("query of "), F.col("url")),
+        impact="URLs end up in logs, history and referrers.", before=F.col("url"), after="send the value in a body or cookie")))
 
 
-def directory_listings(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    return findings(pages.filter(BODY.rlike(rules.LISTING)), detector_id="surface", cls="Directory Listing",
-                    severity="Medium", rel=URL, summary="directory contents are listed",
-                    evidence=F.concat(URL, F.lit(" is a generated index")), impact="Hidden files can be found.", keep=keep)
+@row_rule
+def directory_listings() -> Column:
+    return F.array(F.when(F.col("body").rlike(rules.LISTING), surface_finding(
+        "Directory Listing", "Medium", "directory contents are listed", F.concat(F.col("url"), F.lit(" is a generated index")),
+        impact="Hidden files can be found.")))
 
 
 def has_stack_frame(body: Column) -> Column:
@@ -141,42 +159,76 @@ def has_stack_frame(body: Column) -> Column:
     return F.when(body.rlike(r":\d+:\d+\)"), F.exists(F.split(body, "[\n\r]", -1), in_line)).otherwise(False)
 
 
-def verbose_errors(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    bad = pages.filter(BODY.rlike(rules.ERROR_WORDS) | has_stack_frame(BODY))
-    return findings(bad, detector_id="surface", cls="Verbose Error Disclosure", severity="Medium", rel=URL,
-                    summary="error page shows internals", evidence=F.concat(F.lit("internals in the answer of "), URL),
-                    impact="Frameworks, paths and versions become known.", keep=keep)
+@row_rule
+def verbose_errors() -> Column:
+    return F.array(F.when(F.col("body").rlike(rules.ERROR_WORDS) | has_stack_frame(F.col("body")), surface_finding(
+        "Verbose Error Disclosure", "Medium", "error page shows internals",
+        F.concat(F.lit("internals in the answer of "), F.col("url")), impact="Frameworks, paths and versions become known.")))
+
+
+@row_rule
+def bundle_secrets() -> Column:
+    """First provider match per script, redacted; only captures whose path ends like a script."""
+    def shown(first: Column) -> Column:
+        return F.when(first.isNotNull(), surface_finding(
+            "Secret in JS Bundle", "Critical", F.concat(first["name"], F.lit(" in a client script")),
+            F.concat(F.col("url"), F.lit(" holds "), text.redact(first["match"])), impact="Every visitor can read the credential.",
+            after="keep the credential on the server"))
+    return F.transform(F.array(F.when(path_of(F.col("url")).rlike(r"\.[mc]?js$"), first_provider(F.col("body")))), shown)
+
+
+@row_rule
+def sensitive_paths() -> Column:
+    """Probed paths that answer 200 with the body they should never show.
+
+    The rule list is one expression on the path, so no join of sites and rules is needed.
+    """
+    chain = None
+    for probed, severity, signature, label in rules.SENSITIVE_PATHS:
+        test = (path_of(F.col("url")) == probed) & F.col("body").rlike(signature)
+        hit = F.struct(F.lit(severity).alias("severity"), F.lit(label).alias("label"))
+        chain = F.when(test, hit) if chain is None else chain.when(test, hit)
+    known = path_of(F.col("url")).isin([p for p, *_ in rules.SENSITIVE_PATHS]) & (F.col("status") == 200)
+
+    def shown(hit: Column) -> Column:
+        return F.when(hit.isNotNull(), surface_finding(
+            "Sensitive Path Exposed", hit["severity"], F.concat(hit["label"], F.lit(" is public")),
+            F.concat(F.lit("GET "), F.col("url"), F.lit(" answers 200")), impact="Internal data can be read by anyone.",
+            after="block the path"))
+    return F.transform(F.array(F.when(known, chain)), shown)
+
+
+def surface_positives(captures: DataFrame) -> DataFrame:
+    """Good signs of a capture as (label, rel)."""
+    signs = [
+        (urls.is_https(F.col("url")), "Served over HTTPS"),
+        (header(F.col("headers"), "strict-transport-security").isNotNull(), "HSTS configured"),
+        (header(F.col("headers"), "content-security-policy").isNotNull(), "CSP configured"),
+        ((path_of(F.col("url")) == rules.SECURITY_CONTACT_PATH) & (F.col("status") == 200), "security.txt present"),
+    ]
+    labels = F.array_compact(F.array(*[F.when(test, F.lit(label)) for test, label in signs]))
+    return captures.select(F.explode(labels).alias("label"), F.col("url").alias("rel"))
 
 
 def script_sources(pages: DataFrame, keep: list[str]) -> DataFrame:
     """External script sources of each page in document order, resolved against the page."""
-    found = pages.filter(BODY.rlike(rules.SCRIPT_SOURCE)).select(
-        *keep, "url", F.posexplode(text.find_all(BODY, rules.SCRIPT_SOURCE, 1)).alias("pos", "src"))
-    return found.withColumn("script_url", urls.resolve(F.col("src"), URL))
+    found = pages.filter(F.col("body").rlike(rules.SCRIPT_SOURCE)).select(
+        *keep, "url", F.posexplode(text.find_all(F.col("body"), rules.SCRIPT_SOURCE, 1)).alias("pos", "src"))
+    return found.withColumn("script_url", urls.resolve(F.col("src"), F.col("url")))
 
 
 def inline_scripts(pages: DataFrame, keep: list[str]) -> DataFrame:
-    return pages.select(*keep, F.posexplode(text.find_all(BODY, rules.INLINE_SCRIPT, 1)).alias("pos", "script"))
+    return pages.select(*keep, F.posexplode(text.find_all(F.col("body"), rules.INLINE_SCRIPT, 1)).alias("pos", "script"))
 
 
 def page_bundles(pages: DataFrame, keep: list[str], cap: int = rules.BUNDLES_PER_PAGE) -> DataFrame:
     """The first ``cap`` same-origin scripts of each page, chosen inside the row."""
-    resolved = F.transform(text.find_all(BODY, rules.SCRIPT_SOURCE, 1), lambda s: urls.resolve(s, URL))
-    own = F.filter(resolved, lambda u: u.isNotNull() & (urls.origin(u) == urls.origin(URL)))
-    return pages.filter(BODY.rlike(rules.SCRIPT_SOURCE)).select(
+    resolved = F.transform(text.find_all(F.col("body"), rules.SCRIPT_SOURCE, 1), lambda s: urls.resolve(s, F.col("url")))
+    own = F.filter(resolved, lambda u: u.isNotNull() & (urls.origin(u) == urls.origin(F.col("url"))))
+    return pages.filter(F.col("body").rlike(rules.SCRIPT_SOURCE)).select(
         *keep, "url", F.posexplode(F.slice(own, 1, cap)).alias("pos", "script_url"))
 
 
-def bundle_secrets(assets: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """First provider match per script, redacted."""
-    bad = assets.withColumn("_s", first_provider(BODY)).filter("_s is not null")
-    shown = text.redact(F.col("_s.match"))
-    return findings(bad, detector_id="surface", cls="Secret in JS Bundle", severity="Critical", rel=URL,
-                    summary=F.concat(F.col("_s.name"), F.lit(" in a client script")),
-                    evidence=F.concat(URL, F.lit(" holds "), shown), impact="Every visitor can read the credential.",
-                    keep=keep, after="keep the credential on the server")
-
-
 def source_map_reference(body: Column) -> Column:
     return text.first_match(body, rules.SOURCE_MAP, 1)
 
@@ -187,7 +239,7 @@ def exposed_source_maps(bundles: DataFrame, captures: DataFrame, keep: list[str]
 
     The captures shrink to distinct map URLs first, so a URL captured many times counts once.
     """
-    target = F.coalesce(urls.resolve(source_map_reference(BODY), URL), F.concat(URL, F.lit(".map")))
+    target = F.coalesce(urls.resolve(source_map_reference(F.col("body")), F.col("url")), F.concat(F.col("url"), F.lit(".map")))
     wanted = bundles.withColumn("map_url", target)
     answers = captures.filter("status = 200").select(F.col("url").alias("map_url")).distinct()
     extra = {} if broadcast_rows is None else {"broadcast_rows": broadcast_rows}
@@ -206,35 +258,3 @@ def bundle_captures(pages: DataFrame, captures: DataFrame, keep: list[str],
     first = first.select("script_url", "_c.capture_id", "_c.status")
     extra = {} if broadcast_rows is None else {"broadcast_rows": broadcast_rows}
     return lookup_join(wanted, first, ["script_url"], salt_by=["url", "pos", *keep], how="inner", **extra)
-
-
-def sensitive_paths(captures: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Probed paths that answer 200 with the body they should never show.
-
-    The rule list is compiled into one expression on the path, so no join is needed.
-    """
-    path = F.regexp_extract(urls.path_and_query(URL), r"^([^?#]*)", 1)
-    known = captures.filter(path.isin([p for p, *_ in rules.SENSITIVE_PATHS]) & (F.col("status") == 200))
-    rule = None
-    for probed, severity, signature, label in rules.SENSITIVE_PATHS:
-        hit = F.struct(F.lit(severity).alias("severity"), F.lit(label).alias("label"))
-        test = (path == probed) & BODY.rlike(signature)
-        rule = F.when(test, hit) if rule is None else rule.when(test, hit)
-    bad = known.withColumn("_r", rule).filter("_r is not null")
-    return findings(bad, detector_id="surface", cls="Sensitive Path Exposed", severity=F.col("_r.severity"), rel=URL,
-                    summary=F.concat(F.col("_r.label"), F.lit(" is public")),
-                    evidence=F.concat(F.lit("GET "), URL, F.lit(" answers 200")),
-                    impact="Internal data can be read by anyone.", keep=keep, after="block the path")
-
-
-def surface_positives(captures: DataFrame) -> DataFrame:
-    """Good signs of a capture as (label, rel)."""
-    path = F.regexp_extract(urls.path_and_query(URL), r"^([^?#]*)", 1)
-    items = [
-        F.when(urls.is_https(URL), F.struct(F.lit("Served over HTTPS").alias("label"))),
-        F.when(header(HEADERS, "strict-transport-security").isNotNull(), F.struct(F.lit("HSTS configured").alias("label"))),
-        F.when(header(HEADERS, "content-security-policy").isNotNull(), F.struct(F.lit("CSP configured").alias("label"))),
-        F.when((path == rules.SECURITY_CONTACT_PATH) & (F.col("status") == 200),
-               F.struct(F.lit("security.txt present").alias("label"))),
-    ]
-    return _each(captures, items).select(F.col("_r.label").alias("label"), F.col("url").alias("rel"))

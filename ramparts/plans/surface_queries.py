@@ -143,8 +143,9 @@ def win_first_secret_per_bundle(spark, sf):
     from ramparts.operators.secrets import first_provider
     docs = table(spark, sf, "sdoc").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("body"))
     js = scripts(spark, sf).select(F.lit("script").alias("kind"), F.col("page_id").alias("id"), "body")
-    both = docs.unionByName(js).withColumn("s", first_provider(F.col("body"))).filter("s is not null")
-    return both.select("kind", "id", F.col("s.name").alias("rule"), F.col("s.match").alias("match"))
+    both = docs.unionByName(js)
+    first = both.select("kind", "id", F.explode(F.array_compact(F.array(first_provider(F.col("body"))))).alias("s"))
+    return first.select("kind", "id", F.col("s.name").alias("rule"), F.col("s.match").alias("match"))
 
 
 @query

@@ -59,7 +59,7 @@ def url_resolve(spark, sf):
         F.col("html"), "(?i)(?:src|href)\\s*=\\s*[\"']([^\"']*)[\"']", 1)).alias("pos", "ref"))
     varied = links.withColumn("ref", F.expr(
         "CASE pos % 6 WHEN 1 THEN concat('..', ref, '/./x') WHEN 2 THEN concat('?q=', substring(ref, 2)) "
-        "WHEN 3 THEN concat('#', substring(ref, 2)) WHEN 4 THEN substring(ref, 2) ELSE ref END"))
+        "WHEN 3 THEN concat('#', substring(ref, 2)) WHEN 4 THEN CASE WHEN ref LIKE '/%' THEN substring(ref, 2) ELSE ref END ELSE ref END"))
     return varied.select("page_id", long("pos"), "ref", urls.resolve(F.col("ref"), F.col("url")).alias("resolved"))
 
 

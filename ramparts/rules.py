@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ramparts.functions.text import EDGE, NOT_WS, WS
+from ramparts.functions.text import EDGE, NOT_WS, WORD, WS
 
 # ---- fixed values: results depend on these exact entries -------------------------------------
 
@@ -62,15 +62,16 @@ LISTING = rf"(?i)<title>{WS}*Index of /|Directory listing for"
 SOURCE_MAP = rf"//[#@]{WS}*sourceMappingURL=({NOT_WS}+)"
 ERROR_WORDS = r"Traceback \(most recent call last\)|SQLSTATE|ORA-\d+|System\.[0-9A-Za-z_]+Exception|stack trace"
 
-# shown name, pattern; tried in this order
+# shown name, pattern; tried in this order. Each starts with its literal, which Java finds by skipping ahead,
+# and only then looks back for a word edge.
 PROVIDERS = [
-    ("AWS access key ID", rf"{EDGE}AKIA[0-9A-Z]{{16}}{EDGE}"),
-    ("Google API key", rf"{EDGE}AIza[0-9A-Za-z\-_]{{35}}{EDGE}"),
-    ("Slack token", rf"{EDGE}xox[baprs]-[0-9A-Za-z-]{{10,}}{EDGE}"),
-    ("Stripe secret key", rf"{EDGE}sk_(?:live|test)_[0-9A-Za-z]{{16,}}{EDGE}"),
-    ("GitHub token", rf"{EDGE}gh[pousr]_[0-9A-Za-z]{{36,}}{EDGE}"),
+    ("AWS access key ID", rf"AKIA(?<![{WORD}]AKIA)[0-9A-Z]{{16}}{EDGE}"),
+    ("Google API key", rf"AIza(?<![{WORD}]AIza)[0-9A-Za-z\-_]{{35}}{EDGE}"),
+    ("Slack token", rf"xox(?<![{WORD}]xox)[baprs]-[0-9A-Za-z-]{{10,}}{EDGE}"),
+    ("Stripe secret key", rf"sk_(?<![{WORD}]sk_)(?:live|test)_[0-9A-Za-z]{{16,}}{EDGE}"),
+    ("GitHub token", rf"gh(?<![{WORD}]gh)[pousr]_[0-9A-Za-z]{{36,}}{EDGE}"),
     ("Private key block", r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----"),
-    ("JWT", rf"{EDGE}eyJ[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}{EDGE}"),
+    ("JWT", rf"eyJ(?<![{WORD}]eyJ)[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}{EDGE}"),
 ]
 
 REQUEST_ROOTS = ["req", "request", "ctx", "context", "event"]
@@ -122,11 +123,13 @@ MODULE_SUFFIXES = ["", ".js", ".ts", ".jsx", ".tsx", ".mjs", ".cjs", "/index.js"
 
 # ---- our own choices ---------------------------------------------------------------------------
 
-# one cheap test that every provider match passes
-PROVIDER_HINT = "AKIA|AIza|xox[baprs]-|sk_(?:live|test)_|gh[pousr]_|PRIVATE KEY-----|eyJ"
+# every provider match contains one of these; plain substring tests are far cheaper than a regex
+PROVIDER_HINTS = ["AKIA", "AIza", "xoxb-", "xoxa-", "xoxp-", "xoxr-", "xoxs-", "sk_live_", "sk_test_", "ghp_", "gho_",
+                  "ghu_", "ghs_", "ghr_", "PRIVATE KEY-----", "eyJ"]
 SECRET_NAMES = "secret|token|passwd|password|pwd|api_?key|access_?key|private_?key|credential"
 SECRET_ASSIGNMENT = (rf"(?i)(?<![0-9A-Za-z_])[0-9a-z_]*(?:{SECRET_NAMES})[0-9a-z_]*[ \t]*[:=][ \t]*"
                      r"(?:\"([^\"\n]{8,})\"|'([^'\n]{8,})')")
+ASSIGNMENT_HINT = "[:=][ \\t]*[\"']"
 PROBE_ORIGIN = "https://probe.example"
 
 # class -> what a remembered pattern of that class looks like

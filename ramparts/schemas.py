@@ -21,17 +21,16 @@ def as_column(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
-def findings(df: DataFrame, *, detector_id: str, cls, severity, rel, summary, evidence, impact="",
-             unit="http-surface", line=0, col=0, signal=True, kind="repro", check=None, value=None, steps=None,
-             before=None, after=None, contract=None, applyable=False, keep: list[str] | None = None) -> DataFrame:
-    """Findings with the common schema; columns nobody reads are pruned by the optimizer.
+def finding(*, detector_id, cls, severity, rel, summary, evidence, impact="", unit="http-surface", line=0, col=0,
+            signal=True, kind="repro", check=None, value=None, steps=None, before=None, after=None, contract=None,
+            applyable=False) -> Column:
+    """One finding as a struct with the common fields.
 
-    ``signal`` is what decides the section: a proof that fired, or clear evidence such as taint.
+    ``signal`` decides the section: a proof that fired, or clear evidence such as taint.
     """
     proven = F.when(as_column(signal), F.lit(True)) if kind == "repro" else as_column(signal)
     listed = F.array(*[as_column(s) for s in steps]) if steps else F.array().cast("array<string>")
-    return df.select(
-        *(keep or []),
+    return F.struct(
         F.lit(detector_id).alias("detector_id"),
         as_column(cls).alias("class"),
         as_column(severity).alias("severity"),
@@ -53,6 +52,20 @@ def findings(df: DataFrame, *, detector_id: str, cls, severity, rel, summary, ev
     )
 
 
+def findings(df: DataFrame, *, keep: list[str] | None = None, **fields) -> DataFrame:
+    """One finding per row of ``df``; columns nobody reads are pruned by the optimizer."""
+    return df.select(*(keep or []), finding(**fields).alias("_f")).select(*(keep or []), "_f.*")
+
+
+def emit(df: DataFrame, per_row: list[Column], keep: list[str] | None = None) -> DataFrame:
+    """Findings of row-level rules, each an array of structs where null means no finding.
+
+    All rules given together share one pass over ``df``.
+    """
+    every = F.array_compact(F.concat(*per_row) if len(per_row) > 1 else per_row[0])
+    return df.select(*(keep or []), F.inline(every))
+
+
 def severity_rank(severity: Column) -> Column:
     """0 for Critical to 4 for Informational; unknown severities come last."""
     rank = F.lit(None)
