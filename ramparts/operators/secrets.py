@@ -64,3 +64,20 @@ def assignment_findings(df: DataFrame, body: str, rel: Column, keep: list[str])
                     summary="literal assigned to a secret-named variable", evidence=text.redact(F.col("literal")),
                     line=F.col("line"), col=F.col("col"), signal=False,
                     impact="A credential kept in source reaches everyone with read access.", keep=keep)
+
+
+def located_provider_findings(df: DataFrame, body: str, rel: Column, keep: list[str]) -> DataFrame:
+    """Provider findings with line and column: the physical line is cut out first, then tested."""
+    lines = (df.filter(may_hold_provider(F.col(body)))
+             .select(*keep, F.posexplode(F.split(body, "\n", -1)).alias("_no", "_line"))
+             .filter(may_hold_provider(F.col("_line"))))
+
+    def tagged(name: str, pattern: str) -> Column:
+        return F.transform(text.located(F.col("_line"), pattern, {}),
+                           lambda m: F.struct(F.lit(name).alias("name"), m["col"].alias("col"), m["hit"].alias("match")))
+
+    hits = lines.select(*keep, "_no", F.inline(F.concat(*[tagged(n, p) for n, p in rules.PROVIDERS])))
+    return findings(hits, detector_id="secrets", cls="Hardcoded Secret", severity="Critical", rel=rel, unit="text",
+                    summary=F.concat(F.col("name"), F.lit(" in text")), evidence=text.redact(F.col("match")),
+                    line=F.col("_no") + 1, col=F.col("col"), kind="runnable", check="regex", value=F.col("match"),
+                    impact="Anyone who can read the text can use the credential.", keep=keep)
