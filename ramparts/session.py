@@ -51,34 +51,48 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: list[str], salt_by: list[str], how: str = "left",
-                broadcast_rows: int = BROADCAST_ROWS, salts: int = 32, share: int = 500) -> DataFrame:
-    """Equi-join of ``left`` with ``right`` that stays balanced when a left key is hot.
-
-    A small right side is broadcast after its size was counted. Otherwise keys that hold more
-    than ``1/share`` of the left rows are salted: there are fewer than ``share`` of them by
-    construction, so that list is safe to broadcast, and only their right rows are repeated
-    ``salts`` times. ``salt_by`` must tell left rows of one key apart and be deterministic.
-    Null keys never match, so in a left join they are spread out too.
-    """
-    if broadcast_rows and is_small(right, broadcast_rows):
-        return left.join(F.broadcast(right), on, how)
-    keyed = left
+def hot_keys(df: DataFrame, on: list[str], share: int = 500) -> DataFrame:
+    """Keys holding more than ``1/share`` of the rows: fewer than ``share`` of them by construction."""
+    keyed = df
     for key in on:
         keyed = keyed.filter(F.col(key).isNotNull())
     counts = keyed.groupBy(*on).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
-    hot = counts.filter(F.col("_n") * share > total).select(*on, F.lit(True).alias("_hot"))
+    return counts.filter(F.col("_n") * share > total).select(*on, F.lit(True).alias("_hot"))
+
+
+def salt_many(df: DataFrame, hot: DataFrame, on: list[str], salt_by: list[str], salts: int) -> DataFrame:
+    """Spread the rows of hot keys over ``salts`` parts, and rows with a null key, which match nothing.
+
+    The list of hot keys is bounded, so broadcasting it is safe.
+    """
     any_null = F.lit(False)
     for key in on:
         any_null = any_null | F.col(key).isNull()
     spread = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
-    salted_left = left.join(F.broadcast(hot), on, "left").withColumn(
+    return df.join(F.broadcast(hot), on, "left").withColumn(
         "_salt", F.when(F.col("_hot") | any_null, spread).otherwise(F.lit(0))).drop("_hot")
-    salted_right = right.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                           .otherwise(F.array(F.lit(0))))).drop("_hot")
-    return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
+
+
+def salt_one(df: DataFrame, hot: DataFrame, on: list[str], salts: int) -> DataFrame:
+    """Repeat the rows of hot keys once per part, all other rows stay single."""
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return df.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+
+
+def lookup_join(left: DataFrame, right: DataFrame, on: list[str], salt_by: list[str], how: str = "left",
+                broadcast_rows: int = BROADCAST_ROWS, salts: int = 32) -> DataFrame:
+    """Equi-join of ``left`` with ``right`` that stays balanced when a left key is hot.
+
+    A small right side is broadcast after its size was counted. Otherwise hot keys are salted:
+    only their right rows are repeated. ``salt_by`` must tell left rows of one key apart and be
+    deterministic, so that a task that runs again puts every row in the same place.
+    """
+    if broadcast_rows and is_small(right, broadcast_rows):
+        return left.join(F.broadcast(right), on, how)
+    hot = hot_keys(left, on)
+    return (salt_many(left, hot, on, salt_by, salts)
+            .join(salt_one(right, hot, on, salts), [*on, "_salt"], how).drop("_salt"))
 
 
 def ranked(df: DataFrame, group: list, order: list, out: str = "rank") -> DataFrame:

@@ -198,6 +198,11 @@ SELECT p_partkey AS file_id,
 FROM part CROSS JOIN (SELECT count(*) AS n FROM part) t
 """
 
+# functions nested like a binary heap; only some of them have a name
+SQL["nest"] = """
+SELECT p_partkey AS fn_id, CASE WHEN p_partkey > 0 THEN CAST(floor((p_partkey - 1) / 2) AS BIGINT) END AS parent_fn, p_size % 4 = 0 AS is_carrier FROM part
+"""
+
 # what one tab showed last: events stand for page loads, one tab per user, some tabs closed
 SQL["tab_load"] = """
 SELECT user_id AS tab_id, event_id AS load_id, ts, concat('https://site', CAST(event_id % 50 AS STRING), '.example/') AS url,
