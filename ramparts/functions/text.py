@@ -20,6 +20,11 @@ NOT_WS = f"[^{BLANK}]"
 DOT = r"[^\n\r\u2028\u2029]"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``; keeps large expressions small."""
+    return F.transform(F.array(value), body)[0]
+
+
 def matches(text: Column, pattern: str) -> Column:
     return text.rlike(pattern)
 
@@ -55,17 +60,18 @@ def line_span(text: Column, first: Column, last: Column) -> Column:
 
 
 def located(text: Column, pattern: str, groups: dict[str, int]) -> Column:
-    """Array of matches in one text, each with 1-based ``line`` and ``col`` and the named groups.
+    """Array of matches in one text, each with 1-based ``line`` and ``col``, the named groups, and
+    ``lead``, the end of the text between the match before and this one.
 
     One pass over the text: the pieces between matches carry the running line and column.
     """
-    pieces = F.split(text, pattern, -1)
-    hits = find_all(text, pattern, 0)
-    zipped = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(hits)).alias("piece"), hits.alias("hit"),
-                          *[find_all(text, pattern, g).alias(n) for n, g in groups.items()])
+    # cutting at a control character reuses the compiled pattern; a regex split compiles it per row
+    plain = F.translate(text, "\u0001", " ")
+    pieces = F.split(F.regexp_replace(plain, pattern, "\u0001"), "\u0001", -1)
+    hits = find_all(plain, pattern, 0)
     item = "".join(f", {n}: string" for n in groups)
     start = F.struct(F.lit(1).alias("line"), F.lit(1).alias("col"),
-                     F.array().cast(f"array<struct<line: int, col: int, hit: string{item}>>").alias("out"))
+                     F.array().cast(f"array<struct<line: int, col: int, lead: string, hit: string{item}>>").alias("out"))
 
     def moved(line: Column, col: Column, passed: Column) -> tuple[Column, Column]:
         tail = F.substring_index(passed, "\n", -1)
@@ -76,12 +82,17 @@ def located(text: Column, pattern: str, groups: dict[str, int]) -> Column:
     def step(acc: Column, m: Column) -> Column:
         line, col = moved(acc["line"], acc["col"], m["piece"])
         after_line, after_col = moved(line, col, m["hit"])
-        found = F.struct(line.alias("line"), col.alias("col"), m["hit"].alias("hit"),
+        found = F.struct(line.alias("line"), col.alias("col"), F.right(m["piece"], F.lit(400)).alias("lead"), m["hit"].alias("hit"),
                          *[m[n].alias(n) for n in groups])
         return F.struct(after_line.alias("line"), after_col.alias("col"),
                         F.concat(acc["out"], F.array(found)).alias("out"))
 
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    def walk(found: Column) -> Column:
+        zipped = F.arrays_zip(F.slice(found["pieces"], F.lit(1), F.size(found["hits"])).alias("piece"), found["hits"].alias("hit"),
+                              *[found[n].alias(n) for n in groups])
+        return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+
+    return let(F.struct(pieces.alias("pieces"), hits.alias("hits"), *[find_all(plain, pattern, g).alias(n) for n, g in groups.items()]), walk)
 
 
 def match_evidence(df: DataFrame, text: str, pattern: str, keep: list[str], hint: str | None = None) -> DataFrame:

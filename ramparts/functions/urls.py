@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ramparts import rules
-from ramparts.functions.text import WS
+from ramparts.functions.text import WS, let
 
 _WEB_SCHEME = r"(?i)^(?:https?|wss?|ftp):"
 _WEB_URL = (r"(?i)^(?:https?|wss?|ftp):[/\\]{2}(?:[^/?#\\@]*@)?"
@@ -16,11 +16,6 @@ _PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(
 _PRIVATE_NAME = r"(?i)^(localhost|[\s\S]*\.local|[\s\S]*\.internal)$"
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it many times in ``body``; keeps large expressions small."""
-    return F.transform(F.array(value), body)[0]
-
-
 def is_valid(url: Column) -> Column:
     text = F.regexp_replace(url, f"^{WS}+|{WS}+$", "")
     port = F.regexp_extract(text, r"(?i)^[a-z]+://(?:[^/?#@]*@)?(?:\[[^\]]*\]|[^/?#:]*):(\d+)", 1)

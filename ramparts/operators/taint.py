@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ramparts.session import BROADCAST_ROWS, hot_keys, is_small, lookup_join, materialize, salt_many, salt_one, scratch
+from ramparts.session import BROADCAST_ROWS, hot_keys, lookup_join, materialize, salt_many, salt_one, scratch
 
 _SRC = ["src_fn", "src_name"]
 
@@ -42,10 +42,11 @@ def closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 100_000, broad
         for number in range(max_rounds):
             fresh.write.parquet(f"{taint_path}/round={number}")
             newest = spark.read.schema(shape).parquet(f"{taint_path}/round={number}")
-            if newest.isEmpty():
+            size = newest.limit(max(broadcast_rows, 1) + 1).count()
+            if size == 0:
                 return spark.read.schema(shape).option("basePath", taint_path).parquet(taint_path).select("fn_id", "name")
             step = newest.select(F.col("fn_id").alias("src_fn"), F.col("name").alias("src_name"))
-            if broadcast_rows and is_small(step, broadcast_rows):
+            if size <= broadcast_rows:
                 reached = edge_rows.join(F.broadcast(step), _SRC)
             else:
                 reached = edge_rows.join(salt_one(step, hot, _SRC, salts), keys)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ramparts.operators import resolve, taint
 from ramparts.plans.catalog import query
+from ramparts.session import materialize
 from ramparts.sources.derived import table
 
 CALL_KEY = ["order_key", "seq"]
@@ -42,7 +43,8 @@ def arguments(spark, sf) -> DataFrame:
 
 
 def tainted_names(spark, sf) -> DataFrame:
-    bindings, args = table(spark, sf, "fx_binding"), arguments(spark, sf).filter("param is not null")
+    """Seeds and edges both read the resolved arguments, so those are written once."""
+    bindings, args = table(spark, sf, "fx_binding"), materialize(arguments(spark, sf).filter("param is not null"), "arguments")
     return taint.closure(taint.source_seeds(bindings, args),
                          taint.binding_edges(bindings).unionByName(taint.argument_edges(args)))
 

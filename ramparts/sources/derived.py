@@ -198,6 +198,21 @@ SELECT p_partkey AS file_id,
 FROM part CROSS JOIN (SELECT count(*) AS n FROM part) t
 """
 
+# framework styles per part: decorated parameters, resolver maps, procedure chains, request calls
+SQL["fw"] = """
+SELECT p_partkey AS file_id, concat('src/fw/f', CAST(p_partkey AS STRING), '.ts') AS rel,
+  CASE p_size % 4
+    WHEN 0 THEN concat('export class C {', chr(10), '  @Get(":id")', chr(10), '  find(@Param("id") key', CAST(p_partkey AS STRING), ': string, plain: string) {', chr(10),
+      '    return db.query("SELECT 1 WHERE a = " + key', CAST(p_partkey AS STRING), ');', chr(10), '  }', chr(10), '}', chr(10))
+    WHEN 1 THEN concat('const resolvers = {', chr(10), '  Query: {', chr(10), '    one: (parent, args) => db.query("SELECT 1 WHERE a = " + args.id),', chr(10),
+      '    two: (_, { term', CAST(p_partkey AS STRING), ', other: alias }) => db.query("SELECT 1 WHERE a = " + alias),', chr(10), '  },', chr(10), '};', chr(10))
+    WHEN 2 THEN concat('const r = router({', chr(10), '  get: publicProcedure', chr(10), '    .input(schema)', chr(10), '    .query(({ input }) => {', chr(10),
+      '      return db.query("SELECT 1 WHERE a = " + input.x);', chr(10), '    }),', chr(10), '  raw: publicProcedure.mutation(({ rawInput: inp', CAST(p_partkey AS STRING), ', ctx }) => run(ctx)),', chr(10), '});', chr(10))
+    ELSE concat('async function POST(request) {', chr(10), '  const body = await request.json();', chr(10), '  const q = request.nextUrl.searchParams.get("q");', chr(10),
+      '  const w = request.cookies.sid;', chr(10), '  return db.query("SELECT 1 WHERE a = " + body.x);', chr(10), '}', chr(10)) END AS code
+FROM part
+"""
+
 # functions nested like a binary heap; only some of them have a name
 SQL["nest"] = """
 SELECT p_partkey AS fn_id, CASE WHEN p_partkey > 0 THEN CAST(floor((p_partkey - 1) / 2) AS BIGINT) END AS parent_fn, p_size % 4 = 0 AS is_carrier FROM part
