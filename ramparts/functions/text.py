@@ -63,36 +63,39 @@ def located(text: Column, pattern: str, groups: dict[str, int]) -> Column:
     """Array of matches in one text, each with 1-based ``line`` and ``col``, the named groups, and
     ``lead``, the end of the text between the match before and this one.
 
-    One pass over the text: the pieces between matches carry the running line and column.
+    The pattern runs over the text once: every match is rewritten in place as a marked record that
+    holds the match and its groups, and the marked text is then cut at the marks. Marks that the
+    text itself contains count as blanks.
     """
-    # cutting at a control character reuses the compiled pattern; a regex split compiles it per row
-    plain = F.translate(text, "\u0001", " ")
-    pieces = F.split(F.regexp_replace(plain, pattern, "\u0001"), "\u0001", -1)
-    hits = find_all(plain, pattern, 0)
+    mark, field, end = "\u0001", "\u0002", "\u0003"
+    marked_already = F.contains(text, F.lit(mark)) | F.contains(text, F.lit(field)) | F.contains(text, F.lit(end))
+    plain = F.when(marked_already, F.translate(text, mark + field + end, "   ")).otherwise(text)
+    record = mark + field.join(["$0", *[f"${g}" for g in groups.values()]]) + end
     item = "".join(f", {n}: string" for n in groups)
-    start = F.struct(F.lit(1).alias("line"), F.lit(1).alias("col"),
-                     F.array().cast(f"array<struct<line: int, col: int, lead: string, hit: string{item}>>").alias("out"))
+    shape = f"array<struct<line: int, col: int, lead: string, hit: string{item}>>"
 
     def moved(line: Column, col: Column, passed: Column) -> tuple[Column, Column]:
-        tail = F.substring_index(passed, "\n", -1)
         turns = F.length(passed) - F.length(F.replace(passed, F.lit("\n"), F.lit("")))
         return ((line + turns).cast("int"),
-                F.when(turns > 0, F.length(tail) + 1).otherwise(col + F.length(passed)).cast("int"))
-
-    def step(acc: Column, m: Column) -> Column:
-        line, col = moved(acc["line"], acc["col"], m["piece"])
-        after_line, after_col = moved(line, col, m["hit"])
-        found = F.struct(line.alias("line"), col.alias("col"), F.right(m["piece"], F.lit(400)).alias("lead"), m["hit"].alias("hit"),
-                         *[m[n].alias(n) for n in groups])
-        return F.struct(after_line.alias("line"), after_col.alias("col"),
-                        F.concat(acc["out"], F.array(found)).alias("out"))
-
-    def walk(found: Column) -> Column:
-        zipped = F.arrays_zip(F.slice(found["pieces"], F.lit(1), F.size(found["hits"])).alias("piece"), found["hits"].alias("hit"),
-                              *[found[n].alias(n) for n in groups])
-        return F.aggregate(zipped, start, step, lambda acc: acc["out"])
-
-    return let(F.struct(pieces.alias("pieces"), hits.alias("hits"), *[find_all(plain, pattern, g).alias(n) for n, g in groups.items()]), walk)
+                F.when(turns > 0, F.length(F.substring_index(passed, "\n", -1)) + 1).otherwise(col + F.length(passed)).cast("int"))
+
+    def step(acc: Column, part: Column) -> Column:
+        def advance(v: Column) -> Column:
+            fields = v["fields"]
+            line, col = moved(acc["line"], acc["col"], F.concat(fields[0], v["tail"]))
+            found = F.struct(acc["line"].alias("line"), acc["col"].alias("col"), acc["lead"].alias("lead"), fields[0].alias("hit"),
+                             *[fields[i + 1].alias(n) for i, n in enumerate(groups)])
+            return F.struct(line.alias("line"), col.alias("col"), F.right(v["tail"], F.lit(400)).alias("lead"),
+                            F.concat(acc["out"], F.array(found)).alias("out"))
+        return let(F.struct(F.split(F.substring_index(part, end, 1), field, -1).alias("fields"),
+                            F.substring_index(part, end, -1).alias("tail")), advance)
+
+    def walk(parts: Column) -> Column:
+        line, col = moved(F.lit(1), F.lit(1), parts[0])
+        start = F.struct(line.alias("line"), col.alias("col"), F.right(parts[0], F.lit(400)).alias("lead"), F.array().cast(shape).alias("out"))
+        return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step, lambda acc: acc["out"])
+
+    return let(F.split(F.regexp_replace(plain, pattern, record), mark, -1), walk)
 
 
 def match_evidence(df: DataFrame, text: str, pattern: str, keep: list[str], hint: str | None = None) -> DataFrame:

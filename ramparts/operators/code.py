@@ -240,7 +240,7 @@ def race_conditions(lexed: DataFrame, keep: list[str]) -> DataFrame:
         after="use a transaction or one conditional update", contract="same result for one request"))])
 
 
-def check_then_act_facts(calls: DataFrame, functions: DataFrame, salt_by: list[str], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def check_then_act_facts(calls: DataFrame, functions: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The same pairing over fact tables: fn_id, read and write line and name.
 
     Reads shrink to one per function and writes to one per function and line before they meet, so

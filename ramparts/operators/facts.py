@@ -9,6 +9,7 @@ argument, and columns are exact unless a shortened string stands before them on
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -245,16 +246,15 @@ def place_id(file_id: Column, place: Column) -> Column:
     return F.when(place.isNotNull(), F.concat_ws(":", file_id.cast("string"), place["line"].cast("string"), place["col"].cast("string")))
 
 
-def lex(files: DataFrame, keep: list[str]) -> DataFrame:
-    """All facts of each file as arrays in its row; write this once and explode what is needed.
+_columns: dict[str, dict[str, Column]] = {}
 
-    ``files`` has file_id, rel and code. Only this step reads the code.
-    """
-    base = files.select(*dict.fromkeys(["file_id", "rel", *keep]), F.concat(F.lit("\n"), clean(F.col("code"))).alias("_text"), F.col("code").alias("_code"))
-    base = base.withColumn("_lines", F.split("_text", "\n", -1))
-    base = base.withColumn("fns", _functions(F.col("_text"), F.col("_lines")))
-    raw_calls = F.filter(located(F.col("_text"), CALL, {"chain": 1, "name": 2, "args": 3, "block": 4}), lambda h: ~(
-        h["name"].isin(_NOT_CALLED) & (h["chain"] == "")) & (h["block"] == "") & ~h["lead"].rlike(r"(?:\bnew\s+|\bfunction\s*\*?\s*)\z"))
+
+def _fact_columns() -> dict[str, Column]:
+    """The fact expressions over ``_text``, ``_code``, ``_lines`` and ``fns``, built once per application."""
+    app = SparkContext.getOrCreate().applicationId
+    if app in _columns:
+        return _columns[app]
+    text, fns = F.col("_text"), F.col("fns")
 
     def call(h: Column) -> Column:
         chain = F.regexp_replace(h["chain"], r"\s|\?|\.\s*\z", "")
@@ -264,13 +264,13 @@ def lex(files: DataFrame, keep: list[str]) -> DataFrame:
             F.when((chain == "") & ~chained, "id").otherwise("member").alias("kind"),
             F.when(~chained & chain.rlike(rf"^{ID}\z"), chain).alias("obj"), h["name"].alias("name"),
             F.transform(F.regexp_extract_all(h["args"], F.lit(_ITEM), F.lit(0)), _argument).alias("args"),
-            _nearest(F.col("fns"), h["line"], h["col"]).alias("fn"), _nearest(F.col("fns"), h["line"], h["col"], True).alias("carrier"))
+            _nearest(fns, h["line"], h["col"]).alias("fn"), _nearest(fns, h["line"], h["col"], True).alias("carrier"))
 
     def binding(h: Column) -> Column:
         return let(flow_names(h["right"]), lambda flow: F.struct(
             h["line"].alias("line"), h["col"].alias("col"), h["left"].alias("lhs"), h["right"].alias("right"),
             F.filter(flow, lambda n: n != SOURCE).alias("refs"), F.array_contains(flow, SOURCE).alias("has_source"),
-            _nearest(F.col("fns"), h["line"], h["col"]).alias("fn")))
+            _nearest(fns, h["line"], h["col"]).alias("fn")))
 
     def comparison(h: Column) -> Column:
         def name(t: Column) -> Column:
@@ -282,13 +282,32 @@ def lex(files: DataFrame, keep: list[str]) -> DataFrame:
         return F.struct(h["line"].alias("line"), h["col"].alias("col"), h["op"].alias("op"), name(h["left"]).alias("left_name"), kind(h["left"]).alias("left_kind"),
                         F.when(called, "").otherwise(name(h["right"])).alias("right_name"), F.when(called, "call").otherwise(kind(h["right"])).alias("right_kind"))
 
-    return base.select(
-        *dict.fromkeys(["file_id", "rel", *keep]), "fns",
-        F.transform(raw_calls, call).alias("calls"),
-        F.transform(located(F.col("_text"), BINDING, {"left": 1, "right": 2}), binding).alias("binds"),
-        F.transform(F.when(F.col("_text").rlike("[=!]="), located(F.col("_text"), COMPARISON, {"left": 1, "op": 2, "right": 3, "called": 4})), comparison).alias("compares"),
-        _imports(F.col("_text")).alias("imports"), _exports(F.col("_text")).alias("exports"),
-        F.split("_code", "\n", -1).alias("lines"))
+    real_calls = F.filter(located(text, CALL, {"chain": 1, "name": 2, "args": 3, "block": 4}), lambda h: ~(
+        h["name"].isin(_NOT_CALLED) & (h["chain"] == "")) & (h["block"] == "") & ~h["lead"].rlike(r"(?:\bnew\s+|\bfunction\s*\*?\s*)\z"))
+    compared = located(text, COMPARISON, {"left": 1, "op": 2, "right": 3, "called": 4})
+    _columns[app] = {
+        "_text": F.concat(F.lit("\n"), clean(F.col("_code"))),
+        "fns": _functions(text, F.col("_lines")),
+        "calls": F.transform(real_calls, call),
+        "binds": F.transform(located(text, BINDING, {"left": 1, "right": 2}), binding),
+        "compares": F.transform(F.when(text.rlike("[=!]="), compared), comparison),
+        "imports": _imports(text),
+        "exports": _exports(text),
+    }
+    return _columns[app]
+
+
+def lex(files: DataFrame, keep: list[str]) -> DataFrame:
+    """All facts of each file as arrays in its row; write this once and explode what is needed.
+
+    ``files`` has file_id, rel and code. Only this step reads the code, and a reader of few facts
+    has only those computed.
+    """
+    facts, kept = _fact_columns(), list(dict.fromkeys(["file_id", "rel", *keep]))
+    base = files.select(*kept, F.col("code").alias("_code"))
+    base = base.withColumn("_text", facts["_text"]).withColumn("_lines", F.split("_text", "\n", -1)).withColumn("fns", facts["fns"])
+    return base.select(*kept, "fns", *[facts[n].alias(n) for n in ("calls", "binds", "compares", "imports", "exports")],
+                       F.split("_code", "\n", -1).alias("lines"))
 
 
 def _pairs(text: Column, pattern: str, build) -> Column:

@@ -54,7 +54,13 @@ def finding(*, detector_id, cls, severity, rel, summary, evidence, impact="", un
 
 def findings(df: DataFrame, *, keep: list[str] | None = None, **fields) -> DataFrame:
     """One finding per row of ``df``; columns nobody reads are pruned by the optimizer."""
-    return df.select(*(keep or []), finding(**fields).alias("_f")).select(*(keep or []), "_f.*")
+    extra = _extra(keep)
+    return df.select(*extra, finding(**fields).alias("_f")).select(*extra, "_f.*")
+
+
+def _extra(keep: list[str] | None) -> list[str]:
+    """Columns to carry along; those every finding has anyway are left out."""
+    return [c for c in (keep or []) if c not in FINDING_COLUMNS]
 
 
 def emit(df: DataFrame, per_row: list[Column], keep: list[str] | None = None) -> DataFrame:
@@ -63,7 +69,7 @@ def emit(df: DataFrame, per_row: list[Column], keep: list[str] | None = None) ->
     All rules given together share one pass over ``df``.
     """
     every = F.array_compact(F.concat(*per_row) if len(per_row) > 1 else per_row[0])
-    return df.select(*(keep or []), F.inline(every))
+    return df.select(*_extra(keep), F.inline(every))
 
 
 def severity_rank(severity: Column) -> Column:
