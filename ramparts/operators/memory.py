@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -17,17 +17,18 @@ def load_memory(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], schemas.PATTERN_MEMORY)
 
 
-def signature_of(cls):
+def signature_of(cls: Column) -> Column:
     known = F.create_map(*[F.lit(x) for pair in rules.SIGNATURES.items() for x in pair])
     return F.coalesce(F.try_element_at(known, cls), F.concat(F.lit("confirmed pattern of "), cls))
 
 
-def merge_memory(memory: DataFrame, confirmed: DataFrame, seen_at) -> DataFrame:
+def merge_memory(memory: DataFrame, confirmed: DataFrame, seen_at: Column | None = None) -> DataFrame:
     """New version of the memory: one row per class, refreshed where the class was confirmed again.
 
-    Confirmed findings shrink to their distinct classes before the join.
+    Confirmed findings shrink to their distinct classes before the join. They are dated
+    ``seen_at``, or carry their dates in ``_seen``.
     """
-    fresh = confirmed.select("class").distinct().withColumn("_seen", seen_at)
+    fresh = confirmed.select("class").distinct().withColumn("_seen", seen_at) if seen_at is not None else confirmed
     merged = memory.join(fresh, "class", "full")
     return merged.select(
         "class",

@@ -21,5 +21,6 @@ def long(column: str):
 
 
 def all_queries() -> dict[str, Query]:
-    from ramparts.plans import code_queries, fact_queries, finding_queries, surface_queries, text_queries  # noqa: F401
+    from ramparts.plans import (  # noqa: F401
+        code_queries, fact_queries, finding_queries, stream_queries, surface_queries, text_queries)
     return dict(QUERIES)
