@@ -6,6 +6,9 @@ because Java's ``\\b`` and ``\\s`` differ from both on multilingual text.
 
 from __future__ import annotations
 
+import functools
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,30 @@ NOT_WS = f"[^{BLANK}]"
 DOT = r"[^\n\r\u2028\u2029]"
 
 
+def per_application(build):
+    """Build an expression once per application: large ones take many calls into the JVM."""
+    built: dict[str, object] = {}
+
+    @functools.wraps(build)
+    def cached():
+        app = SparkContext.getOrCreate().applicationId
+        if app not in built:
+            built[app] = build()
+        return built[app]
+    return cached
+
+
+def explode_once(df: DataFrame, keep: list, array: Column, name: str, pos: str | None = None) -> DataFrame:
+    """One row per array element, evaluating a costly array once.
+
+    A plain explode makes the optimizer test the array for emptiness in a filter of its own, which
+    computes it again; the outer form has no such filter, and its empty rows are dropped here.
+    """
+    if pos is None:
+        return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, name)).filter(F.col(pos).isNotNull())
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it many times in ``body``; keeps large expressions small."""
     return F.transform(F.array(value), body)[0]
@@ -106,11 +133,9 @@ def match_evidence(df: DataFrame, text: str, pattern: str, keep: list[str], hint
     not reach over a line break. ``hint`` is a cheaper pattern that every match contains; it
     takes the place of the full one wherever whole texts are searched.
     """
-    lines = (df.filter(matches(F.col(text), hint or pattern))
-             .select(*keep, F.posexplode(F.split(text, "\n", -1)).alias("_no", "evidence")))
+    lines = explode_once(df.filter(matches(F.col(text), hint or pattern)), keep, F.split(text, "\n", -1), "evidence", "_no")
     if hint:
         lines = lines.filter(matches(F.col("evidence"), hint))
-    found = F.explode(located(F.col("evidence"), pattern, {}))
-    return (lines.filter(matches(F.col("evidence"), pattern))
-            .select(*keep, (F.col("_no") + 1).cast("bigint").alias("line"), "evidence", found.alias("_m"))
+    kept = lines.filter(matches(F.col("evidence"), pattern))
+    return (explode_once(kept, [*keep, (F.col("_no") + 1).cast("bigint").alias("line"), "evidence"], located(F.col("evidence"), pattern, {}), "_m")
             .select(*keep, "line", F.col("_m.col").cast("bigint").alias("col"), F.col("_m.hit").alias("match"), "evidence"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ramparts import rules
+from ramparts.functions.text import explode_once, per_application
 from ramparts.operators import facts
 from ramparts.operators.resolve import taint_flags
 from ramparts.schemas import emit, finding, findings
@@ -22,6 +23,7 @@ SITE_RULES: dict[str, Callable[[], Column]] = {}
 
 def site_rule(build: Callable[[], Column]) -> Callable[..., DataFrame]:
     """Register a rule over one call site and turn it into a detector of its own."""
+    build = per_application(build)
     SITE_RULES[build.__name__] = build
 
     def detector(sites: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -208,7 +210,7 @@ def is_handler(params: Column) -> Column:
 def function_rows(lexed: DataFrame, keep: list[str]) -> DataFrame:
     """One row per function with its text and the calls in it, nested functions included."""
     f = F.col("f")
-    rows = lexed.select("file_id", *keep, "lines", "calls", F.explode("fns").alias("f"))
+    rows = explode_once(lexed, ["file_id", *keep, "lines", "calls"], F.col("fns"), "f")
     within = F.filter(F.col("calls"), lambda c: ((c["line"] > f["line"]) | ((c["line"] == f["line"]) & (c["col"] > f["col"]))) & (c["line"] <= f["end"]))
     return rows.select("file_id", *keep, facts.place_id(F.col("file_id"), f).alias("fn_id"), f["name"].alias("fn_name"), f["is_async"].alias("is_async"),
                        f["params"].alias("params"), within.alias("calls"),

@@ -9,12 +9,11 @@ argument, and columns are exact unless a shortened string stands before them on
 
 from __future__ import annotations
 
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ramparts import rules
-from ramparts.functions.text import let, located
+from ramparts.functions.text import explode_once, let, located, per_application
 
 ID = r"[A-Za-z_$][0-9A-Za-z_$]*"
 DOUBLE = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+){0,500}+"'
@@ -246,17 +245,14 @@ def place_id(file_id: Column, place: Column) -> Column:
     return F.when(place.isNotNull(), F.concat_ws(":", file_id.cast("string"), place["line"].cast("string"), place["col"].cast("string")))
 
 
-_columns: dict[str, dict[str, Column]] = {}
-
-
+@per_application
 def _fact_columns() -> dict[str, Column]:
-    """The fact expressions over ``_text``, ``_code``, ``_lines`` and ``fns``, built once per application."""
-    app = SparkContext.getOrCreate().applicationId
-    if app in _columns:
-        return _columns[app]
-    text, fns = F.col("_text"), F.col("fns")
+    """The fact expressions over ``_text``, ``_code``, ``_lines`` and ``fns``."""
+    text = F.col("_text")
 
-    def call(h: Column) -> Column:
+    # ``fns`` is bound once per row, since a column used inside a function over array elements
+    # could be computed again for every element
+    def call(h: Column, fns: Column) -> Column:
         chain = F.regexp_replace(h["chain"], r"\s|\?|\.\s*\z", "")
         chained = h["lead"].rlike(r"\.\s*\z")
         return F.struct(
@@ -266,7 +262,7 @@ def _fact_columns() -> dict[str, Column]:
             F.transform(F.regexp_extract_all(h["args"], F.lit(_ITEM), F.lit(0)), _argument).alias("args"),
             _nearest(fns, h["line"], h["col"]).alias("fn"), _nearest(fns, h["line"], h["col"], True).alias("carrier"))
 
-    def binding(h: Column) -> Column:
+    def binding(h: Column, fns: Column) -> Column:
         return let(flow_names(h["right"]), lambda flow: F.struct(
             h["line"].alias("line"), h["col"].alias("col"), h["left"].alias("lhs"), h["right"].alias("right"),
             F.filter(flow, lambda n: n != SOURCE).alias("refs"), F.array_contains(flow, SOURCE).alias("has_source"),
@@ -285,16 +281,17 @@ def _fact_columns() -> dict[str, Column]:
     real_calls = F.filter(located(text, CALL, {"chain": 1, "name": 2, "args": 3, "block": 4}), lambda h: ~(
         h["name"].isin(_NOT_CALLED) & (h["chain"] == "")) & (h["block"] == "") & ~h["lead"].rlike(r"(?:\bnew\s+|\bfunction\s*\*?\s*)\z"))
     compared = located(text, COMPARISON, {"left": 1, "op": 2, "right": 3, "called": 4})
-    _columns[app] = {
+    return {
         "_text": F.concat(F.lit("\n"), clean(F.col("_code"))),
         "fns": _functions(text, F.col("_lines")),
-        "calls": F.transform(real_calls, call),
-        "binds": F.transform(located(text, BINDING, {"left": 1, "right": 2}), binding),
+        "calls": let(F.struct(F.col("fns").alias("fns"), real_calls.alias("hits")),
+                     lambda v: F.transform(v["hits"], lambda h: call(h, v["fns"]))),
+        "binds": let(F.struct(F.col("fns").alias("fns"), located(text, BINDING, {"left": 1, "right": 2}).alias("hits")),
+                     lambda v: F.transform(v["hits"], lambda h: binding(h, v["fns"]))),
         "compares": F.transform(F.when(text.rlike("[=!]="), compared), comparison),
         "imports": _imports(text),
         "exports": _exports(text),
     }
-    return _columns[app]
 
 
 def lex(files: DataFrame, keep: list[str]) -> DataFrame:
@@ -375,7 +372,7 @@ def _exports(text: Column) -> Column:
 
 def functions_of(lexed: DataFrame, keep: list[str]) -> DataFrame:
     f = F.col("f")
-    rows = lexed.select("file_id", *keep, "fns", "lines", F.explode("fns").alias("f"))
+    rows = explode_once(lexed, ["file_id", *keep, "fns", "lines"], F.col("fns"), "f")
     parent = _nearest(F.col("fns"), f["line"], f["col"])
     return rows.select(
         place_id(F.col("file_id"), f).alias("fn_id"), "file_id", *keep, f["name"].alias("name"), f["kind"].alias("kind"), f["is_async"].alias("is_async"),
@@ -385,14 +382,14 @@ def functions_of(lexed: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def params_of(lexed: DataFrame) -> DataFrame:
-    fns = lexed.select("file_id", F.explode("fns").alias("f"))
-    each = fns.select(place_id(F.col("file_id"), F.col("f")).alias("fn_id"), F.posexplode("f.params").alias("pos", "p"))
+    fns = explode_once(lexed, ["file_id"], F.col("fns"), "f")
+    each = explode_once(fns, [place_id(F.col("file_id"), F.col("f")).alias("fn_id")], F.col("f.params"), "p", "pos")
     return each.select("fn_id", "pos", "p.name", "p.pattern", "p.decorators")
 
 
 def calls_of(lexed: DataFrame, keep: list[str]) -> DataFrame:
     c = F.col("c")
-    return lexed.select("file_id", *keep, F.explode("calls").alias("c"), "lines").select(
+    return explode_once(lexed, ["file_id", *keep, "lines"], F.col("calls"), "c").select(
         place_id(F.col("file_id"), c).alias("call_id"), "file_id", *keep, place_id(F.col("file_id"), c["fn"]).alias("fn_id"),
         place_id(F.col("file_id"), c["carrier"]).alias("carrier_fn"), c["kind"].alias("callee_kind"), c["obj"].alias("obj"), c["name"].alias("name"),
         (c["line"] - 1).alias("line"), c["col"].alias("col"), c["args"].alias("args"), F.col("lines")[c["line"] - 2].alias("source_line"))
@@ -406,24 +403,24 @@ def call_args_of(lexed: DataFrame) -> DataFrame:
 
 def bindings_of(lexed: DataFrame, keep: list[str] | None = None) -> DataFrame:
     b = F.col("b")
-    return lexed.select("file_id", *(keep or []), F.explode("binds").alias("b"), "lines").select(
+    return explode_once(lexed, ["file_id", *(keep or []), "lines"], F.col("binds"), "b").select(
         "file_id", *(keep or []), place_id(F.col("file_id"), b["fn"]).alias("fn_id"), (b["line"] - 1).alias("line"), b["col"].alias("col"), b["lhs"].alias("lhs"),
         b["right"].alias("right"), b["refs"].alias("refs"), b["has_source"].alias("has_source"), F.col("lines")[b["line"] - 2].alias("source_line"))
 
 
 def imports_of(lexed: DataFrame, keep: list[str]) -> DataFrame:
-    return lexed.select("file_id", "rel", *keep, F.inline("imports"))
+    return explode_once(lexed, ["file_id", "rel", *keep], F.col("imports"), "i").select("file_id", "rel", *keep, "i.*")
 
 
 def exports_of(lexed: DataFrame) -> DataFrame:
     """Exports with the first function of that name in the file; names bound to no function drop out."""
     fn = F.filter(F.col("fns"), lambda f: f["name"] == F.col("e.local"))
     first = F.array_min(F.transform(fn, lambda f: F.struct(f["line"].alias("line"), f["col"].alias("col"))))
-    return (lexed.select("file_id", "fns", F.explode("exports").alias("e"))
+    return (explode_once(lexed, ["file_id", "fns"], F.col("exports"), "e")
             .select("file_id", F.col("e.export_name").alias("export_name"), place_id(F.col("file_id"), first).alias("fn_id")).filter("fn_id is not null"))
 
 
 def comparisons_of(lexed: DataFrame, keep: list[str]) -> DataFrame:
-    return lexed.select("file_id", *keep, F.explode("compares").alias("m"), "lines").select(
+    return explode_once(lexed, ["file_id", *keep, "lines"], F.col("compares"), "m").select(
         "file_id", *keep, (F.col("m.line") - 1).alias("line"), "m.col", "m.op", "m.left_name", "m.left_kind", "m.right_name", "m.right_kind",
         F.col("lines")[F.col("m.line") - 2].alias("source_line"))

@@ -37,8 +37,7 @@ def first_provider(body: Column) -> Column:
 
 def provider_secrets(df: DataFrame, body: str, keep: list[str]) -> DataFrame:
     """One row per provider match. A single cheap test skips texts that hold none."""
-    hits = df.filter(may_hold_provider(F.col(body))).select(
-        *keep, F.explode(provider_matches(F.col(body))).alias("_m"))
+    hits = text.explode_once(df.filter(may_hold_provider(F.col(body))), keep, provider_matches(F.col(body)), "_m")
     return hits.select(*keep, F.col("_m.name").alias("rule"), F.col("_m.match").alias("match"))
 
 
@@ -66,17 +65,21 @@ def assignment_findings(df: DataFrame, body: str, rel: Column, keep: list[str])
                     impact="A credential kept in source reaches everyone with read access.", keep=keep)
 
 
-def located_provider_findings(df: DataFrame, body: str, rel: Column, keep: list[str]) -> DataFrame:
-    """Provider findings with line and column: the physical line is cut out first, then tested."""
-    lines = (df.filter(may_hold_provider(F.col(body)))
-             .select(*keep, F.posexplode(F.split(body, "\n", -1)).alias("_no", "_line"))
-             .filter(may_hold_provider(F.col("_line"))))
-
+@text.per_application
+def _located_providers() -> Column:
+    """All provider matches of ``_line`` with their columns."""
     def tagged(name: str, pattern: str) -> Column:
         return F.transform(text.located(F.col("_line"), pattern, {}),
                            lambda m: F.struct(F.lit(name).alias("name"), m["col"].alias("col"), m["hit"].alias("match")))
+    return F.concat(*[tagged(name, pattern) for name, pattern in rules.PROVIDERS])
+
+
+def located_provider_findings(df: DataFrame, body: str, rel: Column, keep: list[str]) -> DataFrame:
+    """Provider findings with line and column: the physical line is cut out first, then tested."""
+    lines = text.explode_once(df.filter(may_hold_provider(F.col(body))), keep, F.split(body, "\n", -1), "_line", "_no").filter(
+        may_hold_provider(F.col("_line")))
 
-    hits = lines.select(*keep, "_no", F.inline(F.concat(*[tagged(n, p) for n, p in rules.PROVIDERS])))
+    hits = lines.select(*keep, "_no", F.inline_outer(_located_providers())).filter("name is not null")
     return findings(hits, detector_id="secrets", cls="Hardcoded Secret", severity="Critical", rel=rel, unit="text",
                     summary=F.concat(F.col("name"), F.lit(" in text")), evidence=text.redact(F.col("match")),
                     line=F.col("_no") + 1, col=F.col("col"), kind="runnable", check="regex", value=F.col("match"),

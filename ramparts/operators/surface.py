@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ramparts import rules
 from ramparts.functions import text, urls
 from ramparts.functions.http import header
+from ramparts.functions.text import per_application
 from ramparts.operators.secrets import first_provider
 from ramparts.schemas import emit, finding, findings
 from ramparts.session import lookup_join
@@ -22,6 +23,7 @@ RULES: dict[str, Callable[[], Column]] = {}
 
 def row_rule(build: Callable[[], Column]) -> Callable[..., DataFrame]:
     """Register a rule over one capture row and turn it into a detector of its own."""
+    build = per_application(build)
     RULES[build.__name__] = build
 
     def detector(captures: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -212,21 +214,19 @@ def surface_positives(captures: DataFrame) -> DataFrame:
 
 def script_sources(pages: DataFrame, keep: list[str]) -> DataFrame:
     """External script sources of each page in document order, resolved against the page."""
-    found = pages.filter(F.col("body").rlike(rules.SCRIPT_SOURCE)).select(
-        *keep, "url", F.posexplode(text.find_all(F.col("body"), rules.SCRIPT_SOURCE, 1)).alias("pos", "src"))
+    found = text.explode_once(pages, [*keep, "url"], text.find_all(F.col("body"), rules.SCRIPT_SOURCE, 1), "src", "pos")
     return found.withColumn("script_url", urls.resolve(F.col("src"), F.col("url")))
 
 
 def inline_scripts(pages: DataFrame, keep: list[str]) -> DataFrame:
-    return pages.select(*keep, F.posexplode(text.find_all(F.col("body"), rules.INLINE_SCRIPT, 1)).alias("pos", "script"))
+    return text.explode_once(pages, keep, text.find_all(F.col("body"), rules.INLINE_SCRIPT, 1), "script", "pos")
 
 
 def page_bundles(pages: DataFrame, keep: list[str], cap: int = rules.BUNDLES_PER_PAGE) -> DataFrame:
     """The first ``cap`` same-origin scripts of each page, chosen inside the row."""
     resolved = F.transform(text.find_all(F.col("body"), rules.SCRIPT_SOURCE, 1), lambda s: urls.resolve(s, F.col("url")))
     own = F.filter(resolved, lambda u: u.isNotNull() & (urls.origin(u) == urls.origin(F.col("url"))))
-    return pages.filter(F.col("body").rlike(rules.SCRIPT_SOURCE)).select(
-        *keep, "url", F.posexplode(F.slice(own, 1, cap)).alias("pos", "script_url"))
+    return text.explode_once(pages, [*keep, "url"], F.slice(own, 1, cap), "script_url", "pos")
 
 
 def source_map_reference(body: Column) -> Column:

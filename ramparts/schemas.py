@@ -69,7 +69,8 @@ def emit(df: DataFrame, per_row: list[Column], keep: list[str] | None = None) ->
     All rules given together share one pass over ``df``.
     """
     every = F.array_compact(F.concat(*per_row) if len(per_row) > 1 else per_row[0])
-    return df.select(*_extra(keep), F.inline(every))
+    # the outer form evaluates the rules once per row, see explode_once
+    return df.select(*_extra(keep), F.inline_outer(every)).filter(F.col("detector_id").isNotNull())
 
 
 def severity_rank(severity: Column) -> Column:

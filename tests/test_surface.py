@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ramparts import rules, schemas
 from ramparts.functions import text, urls
 from ramparts.operators import secrets, surface
+from ramparts.plans.surface_scan import scan_site
 from ramparts.sources.captures import prepare_captures
 
 KEY = "AK" + "IA" + "R" * 16
@@ -33,12 +34,17 @@ HARDENED = [
 ]
 
 
+def with_roles(seen):
+    role = (F.when(F.col("url").endswith(".js"), "script").when(F.col("url").endswith("/none"), "error").when(F.col("request_origin").isNotNull(), "page").otherwise("probe"))
+    return seen.withColumn("role", role)
+
+
 def test_faulty_site(spark):
-    seen = captures(spark, FAULTY)
-    found = surface.scan_captures(seen.filter("request_origin is not null or url like '%none' or url like '%.env' or url like '%.js'")).collect()
+    seen = with_roles(captures(spark, FAULTY))
+    found = scan_site(seen).collect()
     classes = {f["class"] for f in found}
     assert {"Missing Security Header", "Insecure Cookie", "Permissive CORS", "Secret in JS Bundle", "Sensitive Path Exposed", "Credentials Over HTTP",
-            "Verbose Error Disclosure", "Version Disclosure", "Clickjacking Exposure"} <= classes
+            "Verbose Error Disclosure", "Version Disclosure", "Clickjacking Exposure", "Source Map Exposed"} == classes
     assert {f["severity"] for f in found if f["class"] == "Sensitive Path Exposed"} == {"Critical"}
     cors = next(f for f in found if f["class"] == "Permissive CORS")
     assert cors["severity"] == "High" and "Access-Control-Allow-Origin" in " ".join(cors["proof"]["steps"])
@@ -53,7 +59,7 @@ def test_faulty_site(spark):
 
 
 def test_hardened_site(spark):
-    assert surface.scan_captures(captures(spark, HARDENED)).collect() == []
+    assert scan_site(with_roles(captures(spark, HARDENED))).collect() == []
 
 
 def test_empty_header_counts_as_missing(spark):
@@ -77,7 +83,8 @@ def test_cookie_flags(spark):
 
 
 def test_header_names_last_spelling_wins(spark):
-    seen = captures(spark, [("https://x.test/", None, 200, {"SERVER": "a 1", "server": "b 2", "set-cookie": "k=v"}, ["m=n"], "")]).first()
+    raw = spark.sql("select map('SERVER', 'a 1', 'set-cookie', 'k=v', 'server', 'b 2') as headers, array('m=n') as set_cookies, '' as body")
+    seen = prepare_captures(raw).first()
     assert seen.headers == {"server": "b 2"} and sorted(seen.set_cookies) == ["k=v", "m=n"]
 
 
