@@ -235,7 +235,8 @@ def check_then_act(functions: DataFrame, keep: list[str]) -> DataFrame:
 def race_conditions(lexed: DataFrame, keep: list[str]) -> DataFrame:
     """Check-then-act findings; a nested function that repeats its parent's finding is dropped."""
     pairs = check_then_act(function_rows(lexed, keep), keep)
-    once = pairs.dropDuplicates(["file_id", "line"])
+    rest = [c for c in pairs.columns if c not in ("file_id", "line")]
+    once = pairs.groupBy("file_id", "line").agg(F.min_by(F.struct(*rest), "fn_id").alias("_p")).select("file_id", "line", "_p.*")
     return emit(once, [F.array(code_finding(
         "raceCondition", "Race Condition (TOCTOU)", "High", F.concat(F.col("read_name"), F.lit(" then "), F.col("write_name")),
         F.concat(_place(), F.lit(" reads, line "), F.col("write_line"), F.lit(" writes")), signal=False, impact="Two requests can both pass the check.",

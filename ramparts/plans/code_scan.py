@@ -20,19 +20,25 @@ def register_detector(detector_id: str, detect: Callable[[DataFrame], DataFrame]
     CUSTOM_DETECTORS[detector_id] = detect
 
 
+def scope_of(files: DataFrame) -> list[str]:
+    """Names and paths mean something within one repository only, if the files tell it."""
+    return ["repo"] if "repo" in files.columns else []
+
+
 def lexed_files(files: DataFrame) -> DataFrame:
     """Facts of code files, written once since every detector reads them."""
-    return materialize(facts.lex(files, ["unit"]), "lexed")
+    return materialize(facts.lex(files, ["unit", *scope_of(files)]), "lexed")
 
 
-def argument_flow(lexed: DataFrame, scope: list[str] | None = None) -> DataFrame:
+def argument_flow(lexed: DataFrame) -> DataFrame:
     """Call arguments with the parameter they reach: fn_id (the carrier), ref, has_source, callee_fn, param."""
-    calls = facts.calls_of(lexed, []).filter("carrier_fn is not null and size(args) > 0")
-    imports = facts.imports_of(lexed, [])
-    targets = resolve.resolve_modules(imports, lexed.select("file_id", "rel"))
-    slim = calls.select("call_id", "file_id", "carrier_fn", "callee_kind", "obj", "name",
+    scope = scope_of(lexed)
+    calls = facts.calls_of(lexed, scope).filter("carrier_fn is not null and size(args) > 0")
+    imports = facts.imports_of(lexed, scope)
+    targets = resolve.resolve_modules(imports, lexed.select("file_id", "rel", *scope), scope)
+    slim = calls.select(*scope, "call_id", "file_id", "carrier_fn", "callee_kind", "obj", "name",
                         F.transform("args", lambda a: F.struct(a["refs"].alias("refs"), a["has_source"].alias("has_source"))).alias("args"))
-    resolved = resolve.resolve_calls(slim, targets, facts.functions_of(lexed, []).select("fn_id", "file_id", "name"),
+    resolved = resolve.resolve_calls(slim, targets, facts.functions_of(lexed, scope).select(*scope, "fn_id", "file_id", "name"),
                                      facts.exports_of(lexed), ["call_id"], scope).filter("callee_fn is not null")
     each = resolved.select("call_id", F.col("carrier_fn").alias("fn_id"), "callee_fn", F.posexplode("args").alias("pos", "a")).select(
         "call_id", "fn_id", "callee_fn", "pos", "a.refs", "a.has_source")

@@ -229,6 +229,14 @@ def test_taint_crosses_files_and_functions(spark):
         ("SQL Injection", "app/store.js", "confirmed"), ("Command Injection", "app/routes.js", "confirmed"), ("Command Injection", "app/routes.js", "unconfirmed")}
 
 
+def test_repositories_do_not_mix(spark):
+    one = [(i, "one", rel, text) for i, (rel, text) in enumerate(sorted(ACROSS.items()))]
+    same_path = (10, "two", "app/store.js", "function other() {}\nfunction fetchRow(key) {\n  return pool.query(\"SELECT \" + key);\n}\nmodule.exports = { fetchRow };\n")
+    files = code_files(spark.createDataFrame([*one, same_path], "file_id long, repo string, rel string, code string"))
+    found = [(r["class"], r["line"], r["section"]) for r in code_scan.scan_code(files).filter("class = 'SQL Injection'").collect()]
+    assert sorted(found) == [("SQL Injection", 3, "confirmed"), ("SQL Injection", 3, "unconfirmed")]
+
+
 def test_framework_sources(spark):
     found = Counter((f["rel"], f["section"]) for f in scan(spark, FRAMEWORKS) if f["class"] == "SQL Injection")
     assert found == {("nest/people.controller.ts", "confirmed"): 2, ("next/route.js", "confirmed"): 2, ("graph/resolvers.js", "confirmed"): 3,
