@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ramparts.session import BROADCAST_ROWS, hot_keys, lookup_join, materialize, salt_many, salt_one, scratch
@@ -40,9 +40,9 @@ def closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 100_000, broad
     try:
         fresh = seeds.select("fn_id", "name").filter("fn_id is not null and name is not null").distinct()
         for number in range(max_rounds):
-            fresh.write.parquet(f"{taint_path}/round={number}")
-            newest = spark.read.schema(shape).parquet(f"{taint_path}/round={number}")
-            size = newest.limit(max(broadcast_rows, 1) + 1).count()
+            written = Observation()
+            fresh.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(f"{taint_path}/round={number}")
+            newest, size = spark.read.schema(shape).parquet(f"{taint_path}/round={number}"), written.get["rows"]
             if size == 0:
                 return spark.read.schema(shape).option("basePath", taint_path).parquet(taint_path).select("fn_id", "name")
             step = newest.select(F.col("fn_id").alias("src_fn"), F.col("name").alias("src_name"))
