@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ramparts import rules
 from ramparts.operators import memory as mem
 from ramparts.operators import secrets, surface, triage
 from ramparts.plans.catalog import long, query

@@ -114,14 +114,9 @@ def join_bundle_sourcemap(spark, sf):
     return hit.select("page_id", F.col("rel").alias("map_url"))
 
 
-def _script_captures(spark, sf):
-    """Script captures, of which every third one is not captured under its page's URL."""
-    return scripts(spark, sf)
-
-
 @query
 def join_page_bundles(spark, sf):
-    return surface.bundle_captures(web(spark, sf), _script_captures(spark, sf), ["page_id"]).select(
+    return surface.bundle_captures(web(spark, sf), scripts(spark, sf), ["page_id"]).select(
         "page_id", long("pos"), "script_url", "capture_id", long("status"))
 
 
