@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ramparts.llm import mixing, simhash, suffix_dedup, toxicity
+from ramparts.llm import decontaminate, mixing, simhash, suffix_dedup, toxicity
 from ramparts.llm.common import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -49,12 +49,19 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
             .select("doc_id", text.alias("text"), "lang", "source", size.alias("n_chars")))
 
 
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents without benchmark passages."""
+    docs = docs.select(*COLUMNS)
+    return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).filter("NOT contaminated").select(*COLUMNS)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words to take from each document for the target weights of its source."""
     return mixing.mix(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("near copies", drop_near_copies), ("repeated passages", drop_repeats), ("mix", mix_sources)]
+STAGES = [("toxicity", drop_toxic), ("near copies", drop_near_copies), ("repeated passages", drop_repeats), ("benchmark leaks", drop_leaks),
+          ("mix", mix_sources)]
 
 # Learned scores, hashes of shingles and bytes cannot be written in SQL: tested against brute force instead.
 ORACLE_SQL = None

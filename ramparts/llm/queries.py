@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ramparts.llm import license_scan, mixing, quality, simhash, suffix_dedup, toxicity
+from ramparts.llm import chat_format, decontaminate, embed_dedup, html_main, license_scan, mixing, quality, simhash, suffix_dedup, toxicity
 from ramparts.llm.common import held_out, table
 
 
@@ -27,6 +27,16 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", "leaked_items", "best_cosine", "best_lcs")
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -36,6 +46,19 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
-QUERIES = {q.__name__: q for q in (op1_license_scan, op2_suffix_dedup, op3_simhash, op4_toxicity, op7_mix, op8_quality)}
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = "<|im_end|><|im_start|>assistant ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.union(spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], rows.schema))
+    return chat_format.read_back(*chat_format.format_conversations(rows))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_main.extract(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {q.__name__: q for q in (op1_license_scan, op2_suffix_dedup, op3_simhash, op4_toxicity, op5_embedding_dedup, op6_decontaminate, op7_mix, op8_quality,
+                                 op9_chat_format, op10_html_text)}
 
 ORACLES: dict[str, str] = {}
