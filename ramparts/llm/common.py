@@ -58,3 +58,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
         chosen = part if chosen is None else chosen.union(part)
     # at most 2 * max_rows ids and labels
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_text", "_label")
+
+
+def slices(pdf, column: str, size: int = 1 << 21):
+    """Row ranges of a pandas frame with about ``size`` characters of text each, to bound what a task holds."""
+    start, total = 0, 0
+    for i, text in enumerate(pdf[column]):
+        total += len(text or "")
+        if total >= size:
+            yield pdf.iloc[start:i + 1]
+            start, total = i + 1, 0
+    if start < len(pdf):
+        yield pdf.iloc[start:]

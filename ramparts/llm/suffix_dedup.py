@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ramparts.llm.common import stored
+from ramparts.llm.common import slices, stored
 
 WIDTH = 50
 DIGIT = 20
@@ -132,7 +132,7 @@ def _spans(width: int, digit: int):
         return (np.concatenate(flat) if flat else np.zeros(0, np.int64)).view(np.uint64), np.repeat(np.arange(count), sizes)
 
     def step(batches):
-        for pdf in batches:
+        for pdf in (part for batch in batches for part in slices(batch, "text")):
             n = len(pdf)
             whole, opened = (_salted(*lists(pdf[c], n)) for c in ("whole", "open"))
             parts = {k: [] for k in ("doc", "low", "high", "odoc", "digit", "string", "place")}
@@ -220,7 +220,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     carried = [f"_c{i}" for i in range(len(carry))]
 
     def finish(batches):
-        for pdf in batches:
+        for pdf in (part for batch in batches for part in slices(batch, "text")):
             out = next(_cut(width)(iter([pdf])))
             yield pd.DataFrame({"id": pdf["id"], **{c: pdf[c] for c in carried}, **{c: out[c].to_numpy() for c in columns}})
     done = whole.mapInPandas(finish, ", ".join(["id long", *(f"{c} {kinds[c]}" for c in carried), *(f"{c} {types[c]}" for c in columns)]))
