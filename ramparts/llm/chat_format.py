@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ramparts.llm.common import stored
+from ramparts.llm.common import bounded_batches, stored
 
 START, END = "<|im_start|>", "<|im_end|>"
 NO_ID = -(1 << 63)
@@ -92,6 +92,7 @@ def _ancestors(batches):
 
 def turns_of(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Formatted turns with node names, one row per row."""
+    bounded_batches(conversations.sparkSession)
     rows = conversations.select(F.coalesce(F.col(conv_id).cast("long"), F.lit(NO_ID)).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     rows = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "role", "text")
     return rows.mapInPandas(_steps, "conv long, index int, node binary, path array<long>, position long, formatted string, loss_low int, loss_high int")

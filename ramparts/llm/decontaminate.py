@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ramparts.llm.common import stored
+from ramparts.llm.common import bounded_batches, stored
 
 PIECE_WORDS = 64
 RANK, OVERSAMPLE = 128, 16
@@ -205,6 +205,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     not searched. Repeated rows get equal results; of repeated items each counts. Without documents or items
     nothing is contaminated. Terms in over ``exp(-LEAST_IDF)`` of all documents carry no weight.
     """
+    bounded_batches(docs.sparkSession)
     n_items = benchmark.count()
     blocks = max(1, ceil(n_items / BLOCK_PIECES))
     out, parts = docs, []

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ramparts.llm.common import bounded_batches
+
 WINDOW = 3
 SURGE = 80
 
@@ -161,6 +163,8 @@ def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> Data
     A null or empty page, or one without text outside links and markup, gives an empty text. Cut-off pages are read
     to their end. Repeated rows give equal texts; an empty table gives no rows. Nothing depends on other columns.
     """
+    bounded_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def text_of(column: pd.Series) -> pd.Series:
         return pd.Series([main_text(p) for p in column], dtype="object")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ramparts.llm.common import training_rows
+from ramparts.llm.common import bounded_batches, training_rows
 
 EMBED, FILTERS, WIDTH, STEP = 6, 16, 8, 4
 BLOCK, CHUNK = 128, 512
@@ -140,6 +140,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     scored too, repeated rows get the same score. Without labels of both kinds every score is the label rate.
     An empty table gives no rows. Only the text enters a score.
     """
+    bounded_batches(docs.sparkSession)
     rows = training_rows(docs, labels, id_col, text_col, label_col, max_rows).orderBy(F.xxhash64("_text")).collect()
     net = fit([(r["_text"], int(r["_label"])) for r in rows])
     scored = docs.withColumn("score", _scorer(net)(F.col(text_col)))

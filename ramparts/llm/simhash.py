@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ramparts.llm.common import stored
+from ramparts.llm.common import bounded_batches, stored
 from ramparts.llm.components import connected_components
 
 SHINGLE = 3
@@ -191,6 +191,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of null ids only has a null ``component_id``). Repeated rows stay repeated. An empty table gives no rows.
     Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     rows = stored(docs.select(F.col(id_col).alias("id"), fingerprints(shingle)(F.col(text_col)).alias("fp")), "fingerprints")
     first = stored(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "different")
     roots = stored(connected_components(near_fingerprints(first.select("fp"), distance), "a", "b"), "roots")

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ramparts.llm.common import slices, stored
+from ramparts.llm.common import bounded_batches, slices, stored
 
 WIDTH = 50
 DIGIT = 20
@@ -237,6 +237,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nothing elsewhere. Rows of one id never remove each other; repeated rows give equal results. An empty
     table gives no rows. Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
     source = source.withColumn("tie", F.xxhash64("text"))
     long = source.filter(F.col("id").isNotNull() & (F.octet_length("text") >= width)).select("id", "text")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ramparts.llm.common import training_rows
+from ramparts.llm.common import bounded_batches, training_rows
 
 ORDERS = (4, 5)
 BITS = 20
@@ -119,6 +119,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Repeated rows get the same score. Without labels of both kinds every score is the label rate. An empty
     table gives no rows. Only the text enters a score.
     """
+    bounded_batches(docs.sparkSession)
     weights, bias = train(docs, labels, id_col, text_col, label_col, max_rows)
     scored = docs.withColumn("score", _scorer(weights, bias)(F.col(text_col)))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
