@@ -23,7 +23,7 @@ from ramparts.llm.common import bounded_batches, training_rows
 
 ORDERS = (4, 5)
 BITS = 20
-TRAIN_ROWS = 2_500
+TRAIN_ROWS = 1_500
 LEAST_Z = 4.0
 THRESHOLD = 0.7
 PIECE = 1 << 17
