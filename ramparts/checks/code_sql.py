@@ -102,12 +102,12 @@ on_code("det_object_authz", """ SELECT rel, 'Broken Object-Level Authorization'
   'findById by a client id, owner unchecked' AS summary FROM kept WHERE s = 8""")
 on_code("antijoin_owner_check", " SELECT rel, 'f' || file_id AS name FROM kept WHERE NOT regexp_matches(code, '(?i)\\breq\\.(user|session|auth|account|principal|currentuser|identity|jwt)\\b|\\b(user_?id|owner_?id|account_?id)\\b')")
 on_code("antijoin_concurrency_guard", " SELECT rel, 'f' || file_id AS name FROM kept WHERE s <> 12")
-_GOOD = r""" SELECT 'Parameterized queries' AS label, rel FROM kept WHERE regexp_matches(code, '\.(query|execute)\s*\([^)]*\?[^)]*,\s*\[')
-  UNION ALL SELECT 'Password hashing with bcrypt/argon2/scrypt', rel FROM kept WHERE regexp_matches(code, '\b(bcrypt|argon2|scrypt)\b')
-  UNION ALL SELECT 'Constant-time comparison', rel FROM kept WHERE code LIKE '%timingSafeEqual%' UNION ALL SELECT 'CSPRNG for tokens', rel FROM kept WHERE code LIKE '%crypto.randomBytes%'
-  UNION ALL SELECT 'Security headers via helmet', rel FROM kept WHERE regexp_matches(code, '\bhelmet\s*\(')
-  UNION ALL SELECT 'Input validation library', rel FROM kept WHERE regexp_matches(code, '\b(zod|joi|yup|express-validator|class-validator)\b')
-  UNION ALL SELECT 'Parameterized ORM (no raw)', rel FROM kept WHERE regexp_matches(code, '\b(prisma|knex)\b')"""
+_GOOD = r""" SELECT 'Queries with bound values' AS label, rel FROM kept WHERE regexp_matches(code, '\.(query|execute)\s*\([^)]*\?[^)]*,\s*\[')
+  UNION ALL SELECT 'Slow password hash', rel FROM kept WHERE regexp_matches(code, '\b(bcrypt|argon2|scrypt)\b')
+  UNION ALL SELECT 'Timing-safe equality', rel FROM kept WHERE code LIKE '%timingSafeEqual%' UNION ALL SELECT 'Tokens from system randomness', rel FROM kept WHERE code LIKE '%crypto.randomBytes%'
+  UNION ALL SELECT 'Header middleware', rel FROM kept WHERE regexp_matches(code, '\bhelmet\s*\(')
+  UNION ALL SELECT 'Schema validation', rel FROM kept WHERE regexp_matches(code, '\b(zod|joi|yup|express-validator|class-validator)\b')
+  UNION ALL SELECT 'Query builder', rel FROM kept WHERE regexp_matches(code, '\b(prisma|knex)\b')"""
 on_code("pos_code", _GOOD)
 on_code("agg_positive_first", f" SELECT label, min(rel) AS rel FROM ({_GOOD}) GROUP BY label")
 on_code("agg_scan_stats", " SELECT count(*) AS files, count(DISTINCT unit) AS units FROM kept")

@@ -90,7 +90,7 @@ oracle("det_secret_provider", ["sdoc"], r""", m AS (
 SELECT 'doc/' || doc_id AS rel, 'Hardcoded Secret' AS class, 'Critical' AS severity, 'confirmed' AS section, rule || ' in text' AS summary,
   CASE WHEN length(s) > 12 THEN left(s, 6) || '…' || right(s, 2) ELSE s END AS evidence FROM m""")
 _ASSIGN = r"""'(?i)\b[0-9a-z_]*(?:secret|token|passwd|password|pwd|api_?key|access_?key|private_?key|credential)[0-9a-z_]*[ \t]*[:=][ \t]*(?:"[^"\n]{8,}"|''[^''\n]{8,}'')'"""
-oracle("det_secret_assignment", [], rf"""WITH t AS (SELECT 'doc/' || doc_id AS rel, text FROM documents UNION ALL SELECT 'page/' || page_id, html FROM pages),
+oracle("det_secret_assignment", ["adoc"], rf""", t AS (SELECT 'doc/' || doc_id AS rel, text FROM adoc UNION ALL SELECT 'page/' || page_id, html FROM pages),
 l AS (SELECT rel, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM t WHERE regexp_matches(text, {_ASSIGN})),
 m0 AS (SELECT *, regexp_extract_all(x, {_ASSIGN}) AS hits, string_split_regex(x, {_ASSIGN}) AS pieces FROM l),
 m AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m0),
@@ -180,7 +180,7 @@ oracle("pos_http", ["cap", "asset"], """SELECT 'Served over HTTPS' AS label, url
   UNION ALL SELECT 'HSTS configured', url FROM cap WHERE coalesce(hsts, '') <> '' UNION ALL SELECT 'CSP configured', url FROM cap WHERE coalesce(csp, '') <> ''
   UNION ALL SELECT 'Served over HTTPS', origin || path FROM asset WHERE origin LIKE 'https:%'
   UNION ALL SELECT 'security.txt present', origin || path FROM asset WHERE path = '/.well-known/security.txt' AND status = 200""")
-oracle("agg_mixed_content", ["web"], f"""SELECT page_id, least(len({_MIXED}), 5)::BIGINT AS n_refs, {_MIXED}[1] AS first_ref FROM web
+oracle("agg_mixed_content", ["web"], f"""SELECT page_id, len({_MIXED})::BIGINT AS n_refs, {_MIXED}[1] AS first_ref FROM web
   WHERE url LIKE 'https:%' AND len({_MIXED}) > 0""")
 _SRC = r"""regexp_extract_all(html, '(?i)<script[^>]+src\s*=\s*["'']([^"'']+)["'']', 1)"""
 oracle("ext_script_srcs", ["web"], f"""SELECT page_id, pos, src, CASE WHEN src LIKE '//%' THEN regexp_extract(url, '^(https?:)', 1) || src

@@ -57,8 +57,11 @@ def assigned_secrets(df: DataFrame, body: str, keep: list[str]) -> DataFrame:
     return found.withColumn("literal", quoted)
 
 
-def assignment_findings(df: DataFrame, body: str, rel: Column, keep: list[str]) -> DataFrame:
+def assignment_findings(df: DataFrame, body: str, rel: Column, keep: list[str], reported_by_provider: bool = True) -> DataFrame:
+    """Findings of assigned literals; without ``reported_by_provider``, literals that a provider rule reports are left to it."""
     hits = assigned_secrets(df, body, keep)
+    if not reported_by_provider:
+        hits = hits.filter(first_provider(F.col("literal")).isNull())
     return findings(hits, detector_id="secrets", cls="Hardcoded Secret", severity="High", rel=rel, unit="text",
                     summary="literal assigned to a secret-named variable", evidence=text.redact(F.col("literal")),
                     line=F.col("line"), col=F.col("col"), signal=False,

@@ -115,7 +115,7 @@ def permissive_cors() -> Column:
 
 
 def mixed_references(body: Column) -> Column:
-    return F.slice(text.find_all(body, rules.MIXED_REFERENCE, 1), 1, rules.MIXED_REFERENCES)
+    return text.find_all(body, rules.MIXED_REFERENCE, 1)
 
 
 @row_rule
@@ -222,11 +222,11 @@ def inline_scripts(pages: DataFrame, keep: list[str]) -> DataFrame:
     return text.explode_once(pages, keep, text.find_all(F.col("body"), rules.INLINE_SCRIPT, 1), "script", "pos")
 
 
-def page_bundles(pages: DataFrame, keep: list[str], cap: int = rules.BUNDLES_PER_PAGE) -> DataFrame:
-    """The first ``cap`` same-origin scripts of each page, chosen inside the row."""
+def page_bundles(pages: DataFrame, keep: list[str], cap: int | None = None) -> DataFrame:
+    """The same-origin scripts of each page with their place; only the first ``cap`` if it is given."""
     resolved = F.transform(text.find_all(F.col("body"), rules.SCRIPT_SOURCE, 1), lambda s: urls.resolve(s, F.col("url")))
     own = F.filter(resolved, lambda u: u.isNotNull() & (urls.origin(u) == urls.origin(F.col("url"))))
-    return text.explode_once(pages, [*keep, "url"], F.slice(own, 1, cap), "script_url", "pos")
+    return text.explode_once(pages, [*keep, "url"], own if cap is None else F.slice(own, 1, cap), "script_url", "pos")
 
 
 def source_map_reference(body: Column) -> Column:

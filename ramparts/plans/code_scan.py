@@ -80,7 +80,7 @@ def scan_code(files: DataFrame, memory: DataFrame | None = None) -> DataFrame:
     place = F.col("rel")
     parts = [
         secrets.located_provider_findings(files, "code", place, ["file_id", "rel"]),
-        secrets.assignment_findings(files.filter(~secrets.may_hold_provider(F.col("code"))), "code", place, ["file_id", "rel"]),
+        secrets.assignment_findings(files, "code", place, ["file_id", "rel"], reported_by_provider=False),
         code.scan_sites(call_sites(lexed, tainted, keep)),
         code.insecure_random(facts.bindings_of(lexed, keep)),
         code.timing_compare(facts.comparisons_of(lexed, keep)),

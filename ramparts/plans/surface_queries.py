@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ramparts.functions import urls
 from ramparts.operators import surface
 from ramparts.plans.catalog import long, query
+from ramparts.rules import BUNDLES_PER_PAGE
 from ramparts.sources.captures import cap_body, flat_headers
 from ramparts.sources.derived import table
 
@@ -125,7 +126,7 @@ def win_bundle_cap(spark, sf):
     many = web(spark, sf).withColumn("body", F.expr(
         "concat(body, array_join(transform(sequence(1, cast(page_id % 13 as int) + 1), i -> "
         "concat('<script src=\"', case when i % 4 = 0 then 'https://cdn.example' else '' end, '/b', i, '.js\"></script>')), ''))"))
-    return surface.page_bundles(many, ["page_id"]).select("page_id", long("pos"), "script_url")
+    return surface.page_bundles(many, ["page_id"], cap=BUNDLES_PER_PAGE).select("page_id", long("pos"), "script_url")
 
 
 @query

@@ -106,7 +106,7 @@ def det_secret_provider(spark, sf):
 
 @query
 def det_secret_assignment(spark, sf):
-    docs = secrets.assignment_findings(table(spark, sf, "documents"), "text", F.concat(F.lit("doc/"), F.col("doc_id")), ["doc_id"])
+    docs = secrets.assignment_findings(table(spark, sf, "adoc"), "text", F.concat(F.lit("doc/"), F.col("doc_id")), ["doc_id"])
     pages = secrets.assignment_findings(table(spark, sf, "pages"), "html", F.concat(F.lit("page/"), F.col("page_id")), ["page_id"])
     shown = ["rel", "class", "severity", "section", "evidence", "line", "col"]
     return docs.select(*shown).unionByName(pages.select(*shown)).withColumn("line", long("line")).withColumn("col", long("col"))

@@ -13,8 +13,6 @@ CODE_EXTENSIONS = ["js", "jsx", "ts", "tsx", "mjs", "cjs"]
 SKIPPED_DIRECTORIES = ["node_modules", ".git", "dist", "build", "coverage", ".next", "out", "vendor", ".cache",
                        "tmp", "__snapshots__"]
 FILE_CHARS = 2_000_000
-BODY_CHARS = 1_500_000
-MIXED_REFERENCES = 5
 BUNDLES_PER_PAGE = 8
 
 UNITS = [
@@ -109,13 +107,13 @@ COMPARED_SECRET = "(?i)token|secret|signature|sig|hmac|digest|hash|apikey|api[_-
 
 # label, pattern of a practice worth keeping
 GOOD_PRACTICES = [
-    ("Parameterized queries", rf"\.(query|execute){WS}*\([^)]*\?[^)]*,{WS}*\["),
-    ("Password hashing with bcrypt/argon2/scrypt", f"{EDGE}(bcrypt|argon2|scrypt){EDGE}"),
-    ("Constant-time comparison", "timingSafeEqual"),
-    ("CSPRNG for tokens", r"crypto\.randomBytes"),
-    ("Security headers via helmet", rf"{EDGE}helmet{WS}*\("),
-    ("Input validation library", f"{EDGE}(zod|joi|yup|express-validator|class-validator){EDGE}"),
-    ("Parameterized ORM (no raw)", f"{EDGE}(prisma|knex){EDGE}"),
+    ("Queries with bound values", rf"\.(query|execute){WS}*\([^)]*\?[^)]*,{WS}*\["),
+    ("Slow password hash", f"{EDGE}(bcrypt|argon2|scrypt){EDGE}"),
+    ("Timing-safe equality", "timingSafeEqual"),
+    ("Tokens from system randomness", r"crypto\.randomBytes"),
+    ("Header middleware", rf"{EDGE}helmet{WS}*\("),
+    ("Schema validation", f"{EDGE}(zod|joi|yup|express-validator|class-validator){EDGE}"),
+    ("Query builder", f"{EDGE}(prisma|knex){EDGE}"),
 ]
 
 # module suffixes in the order they are tried

@@ -90,7 +90,8 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], salt_by: list[
     """
     if broadcast_rows and is_small(right, broadcast_rows):
         return left.join(F.broadcast(right), on, how)
-    hot = hot_keys(left, on)
+    # written once: used twice below, and each use would count the whole left side again
+    hot = materialize(hot_keys(left, on), "hot")
     return (salt_many(left, hot, on, salt_by, salts)
             .join(salt_one(right, hot, on, salts), [*on, "_salt"], how).drop("_salt"))
 

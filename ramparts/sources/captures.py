@@ -1,16 +1,17 @@
-"""HTTP capture source: crawl records with normalized headers and capped bodies."""
+"""HTTP capture source: crawl records with normalized headers and whole bodies."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ramparts import rules, schemas
+from ramparts import schemas
 from ramparts.functions.http import cookie_values, normalized_headers
 
 
-def cap_body(body: Column, chars: int = rules.BODY_CHARS) -> Column:
-    return F.substring(body, 1, chars)
+def cap_body(body: Column, chars: int | None = None) -> Column:
+    """The whole body, or its first ``chars`` characters."""
+    return body if chars is None else F.substring(body, 1, chars)
 
 
 def read_captures(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -18,7 +19,7 @@ def read_captures(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
 
 
 def prepare_captures(raw: DataFrame) -> DataFrame:
-    """Lower-case the header names, move Set-Cookie headers to their list, cap the body."""
+    """Lower-case the header names, move Set-Cookie headers to their list."""
     return (raw.withColumn("set_cookies", F.concat(F.coalesce("set_cookies", F.array().cast("array<string>")),
                                                    F.coalesce(cookie_values(F.col("headers")), F.array().cast("array<string>"))))
             .withColumn("headers", normalized_headers(F.col("headers")))

@@ -25,10 +25,13 @@ def is_code_path(rel: Column) -> Column:
     return rel.rlike(rf"[^/]\.(?:{'|'.join(rules.CODE_EXTENSIONS)})\z") & ~skipped
 
 
-def code_files(files: DataFrame, rel: str = "rel", code: str = "code") -> DataFrame:
-    """Keep scanned paths below the size cap and add their unit; all other columns stay."""
-    return (files.filter(is_code_path(F.col(rel))).filter(utf16_at_most(F.col(code), rules.FILE_CHARS))
-            .withColumn("unit", classify_unit(F.col(rel))))
+def code_files(files: DataFrame, rel: str = "rel", code: str = "code", max_chars: int | None = None) -> DataFrame:
+    """Keep scanned paths and add their unit; all other columns stay, and files of any size.
+
+    With ``max_chars`` a column ``oversize`` marks the files above it, for callers that treat them apart.
+    """
+    kept = files.filter(is_code_path(F.col(rel))).withColumn("unit", classify_unit(F.col(rel)))
+    return kept if max_chars is None else kept.withColumn("oversize", ~utf16_at_most(F.col(code), max_chars))
 
 
 def read_tree(spark: SparkSession, root: str, repo: str = "repo") -> DataFrame:
@@ -39,7 +42,8 @@ def read_tree(spark: SparkSession, root: str, repo: str = "repo") -> DataFrame:
     """
     raw = (spark.read.option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
            .option("ignoreCorruptFiles", True).option("wholetext", True).text(root))
-    path = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/*", "/")
+    # file paths are percent-encoded, a plus stands for itself
+    path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), r"^file:/*", "/")
     base = root.rstrip("/") + "/"
-    rel = F.when(path.contains(base), F.substring_index(path, base, -1)).otherwise(path)
+    rel = F.when(F.startswith(path, F.lit(base)), F.substring(path, len(base) + 1, 1 << 30)).otherwise(path)
     return code_files(raw.select(F.lit(repo).alias("repo"), rel.alias("rel"), F.col("value").alias("code")))

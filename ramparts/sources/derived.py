@@ -65,7 +65,7 @@ SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1),
   CASE page_id % 5 WHEN 0 THEN '/.env' WHEN 1 THEN '/.git/HEAD' WHEN 2 THEN '/metrics' WHEN 3 THEN '/config.json' ELSE '/.well-known/security.txt' END,
   CASE WHEN page_id % 7 = 0 THEN 404 ELSE 200 END,
   CASE page_id % 5 WHEN 0 THEN 'A_KEY=1' WHEN 1 THEN CASE WHEN page_id % 2 = 0 THEN 'ref: refs/heads/main' ELSE 'nothing' END WHEN 2 THEN '# HELP up' WHEN 3 THEN '{}' ELSE 'Contact: x' END
-FROM pages WHERE page_id < 50
+FROM pages
 """
 
 SQL["code"] = """
@@ -159,7 +159,21 @@ SELECT l_orderkey AS order_key, l_linenumber AS seq, l_partkey * 2 + l_linenumbe
 FROM lineitem
 """
 
-# documents with fake credentials of every provider shape planted behind the text, two in some rows
+# documents with literals assigned to secret-named variables behind the text, and near misses
+SQL["adoc"] = """
+SELECT doc_id, concat(text, chr(10), CASE doc_id % 8
+    WHEN 1 THEN concat('  const dbPassword = "hush', lpad(CAST(doc_id AS STRING), 8, '0'), '";')
+    WHEN 2 THEN concat('api_key: ', chr(39), 'quiet', lpad(CAST(doc_id AS STRING), 9, 'q'), chr(39), ' # kept')
+    WHEN 3 THEN 'password = "short"'
+    WHEN 4 THEN concat('let Access_Key="', lpad(CAST(doc_id AS STRING), 12, 'k'), '"; let other_token =  "', lpad(CAST(doc_id AS STRING), 30, 't'), '"')
+    WHEN 5 THEN concat('secret => "', lpad(CAST(doc_id AS STRING), 12, 'n'), '"')
+    WHEN 6 THEN concat('credential:', chr(9), '"several words ', CAST(doc_id AS STRING), '"')
+    WHEN 7 THEN concat('password = readFrom("', lpad(CAST(doc_id AS STRING), 12, 'f'), '")')
+    ELSE 'nothing here' END) AS text
+FROM documents
+"""
+
+# documents with fake credentials of every provider shape; the texts are cut in pieces so that no scanner takes them for real ones
 SQL["sdoc"] = """
 SELECT doc_id, lang, concat(text, chr(10), CASE doc_id % 10
     WHEN 1 THEN concat('id=AK', 'IA', lpad(CAST(doc_id AS STRING), 16, '0'), ' and AK', 'IA', lpad(CAST(doc_id AS STRING), 16, 'Z'))

@@ -13,7 +13,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(entry.oracle_sql()))
 def test_query(spark, con, key):
     wrong, rows = difference(entry.queries()[key](spark, SF), con, entry.oracle_sql()[key])
     assert wrong is None
