@@ -6,7 +6,7 @@ and id words) go with their markup. Over the rest, the block value of a line is
 links in the ``WINDOW`` lines from it. Values rise at a surge point, where a run of lines of value begins that
 reaches ``SURGE``, and fall to nothing at its dive point. The text from the first surge to the last dive is kept;
 if no run reaches ``SURGE``, the run with the highest value is. Lines inside an article or main element, where
-one has text, are the only ones that count.
+one has text, are the only ones that count; they form one run, links included.
 """
 
 from __future__ import annotations
@@ -129,8 +129,8 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     """The kept lines of one page, joined by line ends."""
     lines = lines_of(page)
     if any(inside and text for text, _, inside in lines):
-        # whatever stands between the lines of an article is its own
-        kept = [(text, size) for text, size, inside in lines if inside]
+        # an article has no boundaries inside, and its links are part of it
+        kept = [(text, len(text)) for text, _, inside in lines if inside and text]
     else:
         kept = [(text, size) for text, size, _ in lines]
     spread: list[tuple[str, int]] = []

@@ -24,7 +24,7 @@ from ramparts.llm.common import bounded_batches, training_rows
 ORDERS = (4, 5)
 BITS = 20
 TRAIN_ROWS = 1_500
-LEAST_Z = 4.0
+LEAST_Z = 2.5
 THRESHOLD = 0.7
 PIECE = 1 << 17
 _BLANK = re.compile(r"\s+")
@@ -59,7 +59,7 @@ def _extractor():
     return extract
 
 
-def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, steps: int = 400, penalty: float = 1e-4, least_z: float = LEAST_Z):
+def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, steps: int = 400, penalty: float = 1e-3, least_z: float = LEAST_Z):
     """(weight per place, bias) from (places, label) rows; without both classes the bias alone gives the rate."""
     y = np.array([label for _, label in rows], np.float64)
     p, n = y.sum(), len(y) - y.sum()
@@ -77,11 +77,13 @@ def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, steps: int = 400,
     at[used] = np.arange(len(used))
     kept = [at[places][at[places] >= 0] for places, _ in rows]
     row, col = np.repeat(np.arange(len(rows)), [len(k) for k in kept]), np.concatenate([*kept, np.zeros(0, np.int64)])
-    value, w, b = ratio[used], np.full(len(used), 0.05), bias
+    # both classes weigh the same, however few rows one has
+    value, w, b = ratio[used], np.full(len(used), 0.05), 0.0
+    share = np.where(y == 1, 0.5 / p, 0.5 / n)
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, steps + 1):
         prob = 1 / (1 + np.exp(-np.clip(np.bincount(row, (value * w)[col], len(rows)) + b, -40, 40)))
-        slope = (prob - y) / len(y)
+        slope = (prob - y) * share
         grad = np.append(np.bincount(col, slope[row], len(used)) * value + penalty * w, slope.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = 0.05 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-9)
