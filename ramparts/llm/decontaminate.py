@@ -16,6 +16,7 @@ block's term table is what tasks receive. Documents are neither shuffled nor cut
 from __future__ import annotations
 
 import re
+from itertools import repeat
 from math import ceil
 
 import numpy as np
@@ -34,11 +35,16 @@ COSINE = 0.4
 LCS, LCS_ALONE = 0.5, 0.65
 ANSWER, ANSWER_WORDS = 0.5, 6
 LEAST_WORDS = 4
+# Texts are searched together until they hold so many words.
+GROUP_WORDS = 1 << 15
 _WORD = re.compile(r"\w+")
+# the same words of an ASCII text by a faster way: everything else becomes a blank
+_ASCII = str.maketrans({chr(c): " " for c in range(128) if not _WORD.match(chr(c))})
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    low = (text or "").lower()
+    return low.translate(_ASCII).split() if low.isascii() else _WORD.findall(low)
 
 
 def pieces_of(text: str | None, size: int = PIECE_WORDS) -> list[list[str]]:
@@ -50,19 +56,21 @@ def pieces_of(text: str | None, size: int = PIECE_WORDS) -> list[list[str]]:
     return [words[s:s + size] for s in starts]
 
 
-def common_subsequence(piece: list[str], window: list[str]) -> int:
-    """Length of the longest common subsequence of words, bit-parallel."""
+def places_of(piece: list[str]) -> dict[str, int]:
+    """Where each word stands in a piece, as bits."""
     masks: dict[str, int] = {}
     for i, w in enumerate(piece):
         masks[w] = masks.get(w, 0) | 1 << i
-    full = (1 << len(piece)) - 1
-    row = full
-    for w in window:
-        m = masks.get(w)
-        if m is not None:
-            u = row & m
-            row = ((row + u) | (row - u)) & full
-    return len(piece) - row.bit_count()
+    return masks
+
+
+def common_subsequence(masks: dict[str, int], size: int, window: list[str]) -> int:
+    """Length of the longest common subsequence of words, bit-parallel; the piece is given by its words' places."""
+    row = full = (1 << size) - 1
+    for m in filter(None, map(masks.get, window)):
+        u = row & m
+        row = ((row + u) | (row - u)) & full
+    return size - row.bit_count()
 
 
 def _document_counts(docs: DataFrame, text_col: str, vocabulary: frozenset) -> tuple[dict[str, int], int]:
@@ -146,54 +154,106 @@ def latent_terms(spark, pieces: list[list[str]], idf: dict[str, float], rank: in
 
 def _finder(pieces, items, idf, latent, cosine, lcs, lcs_alone, answer):
     terms = sorted(latent)
-    number = {w: i for i, w in enumerate(terms)}
+    # weighted terms first, then the other words of the pieces
+    number = {w: i for i, w in enumerate([*terms, *sorted({w for p in pieces for w in p} - latent.keys())])}
     loading = np.stack([latent[w] * idf[w] for w in terms]).astype(np.float32)
     targets = np.zeros((len(pieces), loading.shape[1]), np.float32)
     for i, piece in enumerate(pieces):
         for w in piece:
-            if w in number:
+            if w in latent:
                 targets[i] += loading[number[w]]
     targets /= np.maximum(np.sqrt((targets * targets).sum(1, keepdims=True)), 1e-9)
     step = PIECE_WORDS
-
-    def leaks(text):
-        """(items, best cosine, best share of a piece found) of one whole text."""
-        words = words_of(text)
-        known = [(i, n) for i, n in enumerate(map(number.get, words)) if n is not None]
-        if not known:
-            return [], 0.0, 0.0
-        at, ids = np.array(known).T
+    masks, closing = [places_of(p) for p in pieces], [places_of(p[-ANSWER_WORDS:]) for p in pieces]
+    sizes = np.array([len(p) for p in pieces])
+    columns = -(-(len(number) + 1) // 64) * 64
+    chunk = max(16, min(2048, (1 << 23) // columns))
+    distinct = np.array([len(m) for m in masks])
+    least = min(lcs, lcs_alone)
+
+    def bits(rows, numbers, count):
+        """Which words each row holds, as packed bits; words of no piece have the number -1, the last bit."""
+        held = np.zeros((count, columns), bool)
+        held[rows, numbers] = True
+        return np.packbits(held, axis=1).view(np.uint64)
+    contents = np.concatenate([bits(0, [number[w] for w in p], 1) for p in pieces])
+
+    def limits(i, j, ids, first):
+        """Upper limits of the shares: a piece's different words that the window lacks are in no common subsequence."""
+        windows, at = np.unique(i, return_inverse=True)
+        place = np.minimum(first[windows][:, None] * step + np.arange(2 * step), len(ids) - 1)
+        held = bits(np.arange(len(windows))[:, None], ids[place], len(windows))
+        both = np.concatenate([np.bitwise_count(held[at[k:k + 16384]] & contents[j[k:k + 16384]]).sum(1, dtype=np.int64) for k in range(0, len(i), 16384)])
+        return (sizes[j] - distinct[j] + both) / sizes[j]
+
+    def leaks(texts):
+        """(items, best cosine, best share of a piece found) of each of some whole texts, laid out in one row of blocks.
+
+        A text begins with a block of its own and ends with an empty block, so no window holds words of two texts.
+        """
+        words, begins = [], []
+        for mine in texts:
+            begins.append(len(words) // step)
+            words += mine
+            words += [""] * (-len(mine) % step + step)
+        begins = np.array(begins)
+        found, best_cos, best_lcs = [set() for _ in texts], np.zeros(len(texts)), [0.0] * len(texts)
+        ids = np.fromiter(map(number.get, words, repeat(-1)), np.int32, len(words))
+        at = np.flatnonzero(ids.view(np.uint32) < len(terms))
+        if not len(at):
+            return list(zip(map(sorted, found), best_cos, best_lcs))
+        weighted = ids[at]
         blocks, first = np.unique(at // step, return_index=True)
-        bounds = np.r_[first, len(ids)]
-        sums = np.concatenate([np.add.reduceat(loading[ids[bounds[k]:bounds[min(k + 256, len(blocks))]]], first[k:k + 256] - first[k], 0)
+        bounds = np.append(first, len(at))
+        sums = np.concatenate([np.add.reduceat(loading[weighted[bounds[k]:bounds[min(k + 256, len(blocks))]]], first[k:k + 256] - first[k], 0)
                                for k in range(0, len(blocks), 256)])
         sums = np.concatenate([sums, np.zeros_like(sums[:1])])
         # a window is a block and the next; a block without known terms stands for zeros (the last row)
-        starts = np.unique(np.r_[blocks, np.maximum(blocks - 1, 0)])
+        starts = np.unique(np.append(blocks, blocks[~np.isin(blocks, begins)] - 1))
 
         def row(wanted):
             place = np.minimum(np.searchsorted(blocks, wanted), len(blocks) - 1)
             return np.where(blocks[place] == wanted, place, len(blocks))
-        found, best_cos, best_lcs = set(), 0.0, 0.0
-        for k in range(0, len(starts), 2048):
-            mine = starts[k:k + 2048]
+        for k in range(0, len(starts), chunk):
+            mine = starts[k:k + chunk]
+            text = np.searchsorted(begins, mine, "right") - 1
             m = sums[row(mine)] + sums[row(mine + 1)]
             m /= np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-9)
             near = m @ targets.T
-            best_cos = max(best_cos, float(near.max()))
-            for i, j in zip(*np.nonzero(near >= cosine)):
-                piece = pieces[j]
-                window = words[mine[i] * step:(mine[i] + 2) * step]
-                share = common_subsequence(piece, window) / len(piece)
-                best_lcs = max(best_lcs, share)
-                close = piece[-ANSWER_WORDS:]
-                if share >= lcs_alone or share >= lcs and common_subsequence(close, window) >= answer * len(close):
-                    found.add(items[j])
-        return sorted(found), best_cos, best_lcs
+            np.maximum.at(best_cos, text, near.max(1))
+            i, j = np.nonzero(near >= cosine)
+            if not len(i):
+                continue
+            limit, of = limits(i, j, ids, mine), text[i]
+            order = np.lexsort((-limit, of))
+            for n, t, high in zip(order.tolist(), of[order].tolist(), limit[order].tolist()):
+                if high < least and high <= best_lcs[t]:
+                    continue
+                low, j_n = int(mine[i[n]]) * step, int(j[n])
+                window, size = words[low:low + 2 * step], int(sizes[j_n])
+                share = common_subsequence(masks[j_n], size, window) / size
+                best_lcs[t] = max(best_lcs[t], share)
+                close = min(ANSWER_WORDS, size)
+                if share >= lcs_alone or share >= lcs and common_subsequence(closing[j_n], close, window) >= answer * close:
+                    found[t].add(items[j_n])
+        return list(zip(map(sorted, found), best_cos, best_lcs))
+
+    def groups(texts):
+        """Some texts' words at a time; a long text stands alone."""
+        held, total = [], 0
+        for text in texts:
+            words = words_of(text)
+            if held and total + len(words) > GROUP_WORDS:
+                yield held
+                held, total = [], 0
+            held.append(words)
+            total += len(words)
+        if held:
+            yield held
 
     @F.pandas_udf("items array<long>, cosine double, lcs double")
     def find(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([leaks(t) for t in texts], columns=["items", "cosine", "lcs"])
+        return pd.DataFrame([r for group in groups(texts) for r in leaks(group)], columns=["items", "cosine", "lcs"])
     return find
 
 

@@ -72,13 +72,27 @@ def test_embedding_recall(spark):
     assert all(got[i] <= n for i, n, _ in want)
 
 
-def test_subsequence():
-    a, b = "a b c d a b".split(), "x a c b d y b a".split()
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, x in enumerate(a):
+def subsequence(a, b):
+    """Length of the longest common subsequence, by the plain table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above, row = row, [0]
         for j, y in enumerate(b):
-            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-    assert decontaminate.common_subsequence(a, b) == table[-1][-1]
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+    return row[-1]
+
+
+def test_subsequence():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        a, b = ([chr(97 + c) for c in rng.integers(0, 6, n)] for n in rng.integers(1, 90, 2))
+        assert decontaminate.common_subsequence(decontaminate.places_of(a), len(a), b) == subsequence(a, b)
+
+
+def test_words():
+    text = "".join(map(chr, range(128))) + "Ab_1 c\x1cd-e"
+    assert decontaminate.words_of(text) == decontaminate._WORD.findall(text.lower())
+    assert decontaminate.words_of("Ünï \u2003 x") == ["ünï", "x"] and decontaminate.words_of(None) == []
 
 
 def test_leaks(spark):
@@ -98,8 +112,8 @@ def test_leaks(spark):
         for low in range(0, max(1, len(words)), 64):
             window = words[low:low + 128]
             for i, p in pieces:
-                share, close = decontaminate.common_subsequence(p, window) / len(p), p[-6:]
-                if share >= 0.65 or share >= 0.5 and decontaminate.common_subsequence(close, window) >= 0.5 * len(close):
+                share, close = subsequence(p, window) / len(p), p[-6:]
+                if share >= 0.65 or share >= 0.5 and subsequence(close, window) >= 0.5 * len(close):
                     want.add(i)
         assert set(leaked) == want, doc_id
     by_id = {r[0]: r[2] for r in got}
