@@ -1,7 +1,8 @@
 """Structured Streaming forms of the detectors and of the triage steps.
 
-State lives in Spark's state store or in versioned tables in shared storage; a batch that runs
-again writes the same place, so restarts neither lose nor repeat anything.
+State lives in Spark's state store or in versioned tables. Every flow takes ``place``, a folder for its output
+and its progress: started again with the same one it goes on where it stopped, and a batch that runs again writes
+the same place, so restarts neither lose nor repeat anything. Without ``place`` a run begins anew in the shared folder.
 """
 
 from __future__ import annotations
@@ -25,17 +26,18 @@ def read_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return reader.parquet(folder)
 
 
-def run_append(rows: DataFrame, label: str) -> DataFrame:
-    """Process everything available in append mode and return the written table."""
-    spark, out = rows.sparkSession, scratch(rows.sparkSession, label)
-    stream = (rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, f"{label}-progress"))
+def run_append(rows: DataFrame, label: str, place: str | None = None) -> DataFrame:
+    """Process everything available in append mode and return the table written so far."""
+    spark = rows.sparkSession
+    place = place or scratch(spark, label)
+    stream = (rows.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/progress")
               .outputMode("append").trigger(availableNow=True).start())
     stream.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(out)
+    return spark.read.schema(rows.schema).parquet(f"{place}/rows")
 
 
-def run_batches(rows: DataFrame, label: str, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    stream = (rows.writeStream.foreachBatch(handle).option("checkpointLocation", scratch(rows.sparkSession, f"{label}-progress"))
+def run_batches(rows: DataFrame, handle: Callable[[DataFrame, int], None], place: str, mode: str = "append") -> None:
+    stream = (rows.writeStream.foreachBatch(handle).option("checkpointLocation", f"{place}/progress")
               .outputMode(mode).trigger(availableNow=True).start())
     stream.awaitTermination()
 
@@ -53,15 +55,17 @@ def latest_tabs(loads: DataFrame) -> DataFrame:
     return loads.groupBy("tab_id").agg(*newest_load()).select("tab_id", "newest.*").filter("not closed").drop("closed")
 
 
-def latest_tabs_stream(loads: DataFrame) -> DataFrame:
+def latest_tabs_stream(loads: DataFrame, place: str | None = None) -> DataFrame:
     """Stream form: the state store keeps the newest load per tab, each batch writes the tabs it changed."""
-    spark, out = loads.sparkSession, scratch(loads.sparkSession, "tabs")
+    spark = loads.sparkSession
+    place = place or scratch(spark, "tabs")
+    out = f"{place}/rows"
     state = loads.groupBy("tab_id").agg(*newest_load())
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    run_batches(state, "tabs", write, mode="update")
+    run_batches(state, write, place, mode="update")
     changed = spark.read.parquet(out)
     return (changed.groupBy("tab_id").agg(F.max_by("newest", "batch").alias("newest"))
             .select("tab_id", "newest.*").filter("not closed").drop("closed"))
@@ -82,26 +86,28 @@ def merge_by_tab(header_findings: DataFrame, dom_findings: DataFrame) -> DataFra
     return header_findings.unionByName(dom_findings)
 
 
-def memory_stream(findings: DataFrame, memory: DataFrame, salt_by: list[str]) -> tuple[DataFrame, DataFrame]:
+def memory_stream(findings: DataFrame, memory: DataFrame, salt_by: list[str], place: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Mark known classes per batch, then merge the batch's confirmed classes into the memory.
 
     Returns the marked findings and the last memory version. Batch n reads version n and writes
-    version n + 1.
+    version n + 1. ``memory`` is version 0 of a new ``place``; a place that has progress keeps its own.
     """
     spark = findings.sparkSession
-    out, versions = scratch(spark, "marked"), scratch(spark, "memory")
-    shape, last = memory.schema, {"version": 0}
-    memory.write.parquet(f"{versions}/0")
+    place = place or scratch(spark, "memory")
+    out, versions, shape = f"{place}/rows", f"{place}/versions", memory.schema
 
     def handle(batch: DataFrame, number: int) -> None:
-        current = spark.read.schema(shape).parquet(f"{versions}/{number}")
+        if number == 0:
+            memory.write.mode("overwrite").parquet(f"{versions}/version=0")
+        current = spark.read.schema(shape).parquet(f"{versions}/version={number}")
         marked = triage.mark_known(batch, current, salt_by)
         marked.write.mode("overwrite").parquet(f"{out}/batch={number}")
         confirmed = batch.filter("section = 'confirmed'")
         seen = confirmed.groupBy("class").agg(F.max("ts").alias("_seen"))
         merged = mem.merge_memory(current, seen, seen_at=None)
-        merged.write.mode("overwrite").parquet(f"{versions}/{number + 1}")
-        last["version"] = number + 1
+        merged.write.mode("overwrite").parquet(f"{versions}/version={number + 1}")
 
-    run_batches(findings, "memory", handle)
-    return spark.read.parquet(out).drop("batch"), spark.read.schema(shape).parquet(f"{versions}/{last['version']}")
+    run_batches(findings, handle, place)
+    stored = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in shape)}, version bigint").parquet(versions)
+    last = stored.agg(F.max("version")).first()[0] or 0
+    return spark.read.parquet(out).drop("batch"), spark.read.schema(shape).parquet(f"{versions}/version={last}")

@@ -101,8 +101,8 @@ def test_dedup_is_idempotent_and_sections_are_complete(spark):
     assert judged.filter("proof_kind = 'repro' and proven = false").count() == 0
 
 
-def _split(df, folder, spark):
-    for part in range(4):
+def _split(df, folder, spark, parts=range(4)):
+    for part in parts:
         df.filter(F.col("finding_id") % 4 == part).coalesce(1).write.mode("append").parquet(folder)
 
 
@@ -130,6 +130,27 @@ def test_latest_tab_stream_equals_batch(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, flows.latest_tabs(loads).collect()))
 
 
+def test_streams_go_on_after_a_restart(spark):
+    findings = triage.assign_section(_find(spark))
+    folder, places = scratch(spark, "restart-in"), {k: scratch(spark, k) for k in ("unique", "memory", "tabs")}
+    memory = spark.createDataFrame([("c9", "s", None, None)], "class string, signature string, first_seen timestamp, last_seen timestamp")
+    loads = lambda df: df.select((F.col("finding_id") % 7).alias("tab_id"), F.col("finding_id").alias("load_id"), "ts", F.col("evidence").alias("url"),
+                                 (F.col("finding_id") % 13 == 0).alias("closed"))
+    # half the files, a new start with the other half, a start without new files
+    for parts in (range(2), range(2, 4), ()):
+        _split(findings, folder, spark, parts)
+        stream = lambda: flows.read_stream(spark, folder, "*.parquet", files_per_trigger=1)
+        unique = flows.run_append(flows.dedup_stream(stream(), ["class", "evidence"], ["finding_id"]).select("class", "evidence"), "t", places["unique"])
+        marked, merged = flows.memory_stream(stream(), memory, ["finding_id"], places["memory"])
+        tabs = flows.latest_tabs_stream(loads(stream()), places["tabs"])
+    assert sorted(map(tuple, unique.collect())) == sorted(map(tuple, findings.select("class", "evidence").distinct().collect()))
+    assert sorted(r.finding_id for r in marked.select("finding_id").collect()) == sorted(r.finding_id for r in findings.collect())
+    want = {r["class"]: r.t for r in findings.filter("section = 'confirmed'").groupBy("class").agg(F.max("ts").alias("t")).collect()}
+    got = {r["class"]: r.last_seen for r in merged.collect()}
+    assert got.pop("c9") is None and got == want
+    assert sorted(map(tuple, tabs.collect())) == sorted(map(tuple, flows.latest_tabs(loads(findings)).collect()))
+
+
 def test_fixes_apply_in_line_order(spark):
     files = spark.createDataFrame([(1, "a\na\nb"), (2, "x")], "file_id long, code string")
     todo = spark.createDataFrame([(1, 1, "a", "A", True), (1, 2, "a", "AA", True), (1, 3, "zz", "q", True), (1, 3, "b", "B", False)],
