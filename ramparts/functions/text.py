@@ -88,7 +88,7 @@ def line_span(text: Column, first: Column, last: Column) -> Column:
 
 def located(text: Column, pattern: str, groups: dict[str, int]) -> Column:
     """Array of matches in one text, each with 1-based ``line`` and ``col``, the named groups, and
-    ``lead``, the end of the text between the match before and this one.
+    ``lead``, the text between the match before and this one, from its last semicolon on.
 
     The pattern runs over the text once: every match is rewritten in place as a marked record that
     holds the match and its groups, and the marked text is then cut at the marks. Marks that the
@@ -112,14 +112,14 @@ def located(text: Column, pattern: str, groups: dict[str, int]) -> Column:
             line, col = moved(acc["line"], acc["col"], F.concat(fields[0], v["tail"]))
             found = F.struct(acc["line"].alias("line"), acc["col"].alias("col"), acc["lead"].alias("lead"), fields[0].alias("hit"),
                              *[fields[i + 1].alias(n) for i, n in enumerate(groups)])
-            return F.struct(line.alias("line"), col.alias("col"), F.right(v["tail"], F.lit(400)).alias("lead"),
+            return F.struct(line.alias("line"), col.alias("col"), F.substring_index(v["tail"], ";", -1).alias("lead"),
                             F.concat(acc["out"], F.array(found)).alias("out"))
         return let(F.struct(F.split(F.substring_index(part, end, 1), field, -1).alias("fields"),
                             F.substring_index(part, end, -1).alias("tail")), advance)
 
     def walk(parts: Column) -> Column:
         line, col = moved(F.lit(1), F.lit(1), parts[0])
-        start = F.struct(line.alias("line"), col.alias("col"), F.right(parts[0], F.lit(400)).alias("lead"), F.array().cast(shape).alias("out"))
+        start = F.struct(line.alias("line"), col.alias("col"), F.substring_index(parts[0], ";", -1).alias("lead"), F.array().cast(shape).alias("out"))
         return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step, lambda acc: acc["out"])
 
     return let(F.split(F.regexp_replace(plain, pattern, record), mark, -1), walk)

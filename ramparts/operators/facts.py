@@ -213,8 +213,9 @@ def _functions(text: Column, lines: Column) -> Column:
                 f["bare_arrow"] & line_text.rlike(r"=>\s*$"), F.least(f["line"] + 1, F.size(lines))).otherwise(f["line"])
             in_map = F.exists(mapped, lambda m: (m["no"] < f["line"]) & (F.length(F.regexp_extract(lines[m["no"]], r"^([ \t]*)", 1)) == indent) & (m["indent"] < indent)
                               & (F.coalesce(end_of(m["no"], m["indent"], closing), F.size(lines)) >= f["line"])) & f["name"].isNotNull()
-            in_procedure = f["lead"].rlike(r"(?:[Pp][Rr][Oo][Cc][Ee][Dd][Uu][Rr][Ee](?![0-9A-Za-z_$])|\.\s*input\s*\()[^;]*\.\s*"
-                                           rf"(?:{'|'.join(rules.PROCEDURE_CALLS)})\s*\(\s*$")
+            # no semicolon stands in a lead, so both parts are of one statement
+            in_procedure = (f["lead"].rlike(rf"\.\s*(?:{'|'.join(rules.PROCEDURE_CALLS)})\s*\(\s*$")
+                            & f["lead"].rlike(r"[Pp][Rr][Oo][Cc][Ee][Dd][Uu][Rr][Ee](?![0-9A-Za-z_$])|\.\s*input\s*\("))
             second, first = F.get(f["params"], F.lit(1)), F.get(f["params"], F.lit(0))
             none = F.array().cast("array<string>")
             resolver = F.when(in_map & second.isNotNull(), F.when(second["name"].isNotNull(), F.array(second["name"])).otherwise(

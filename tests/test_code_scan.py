@@ -244,6 +244,13 @@ def test_framework_sources(spark):
                      ("graph/fleet.js", "unconfirmed"): 1, ("rpc/cargo.ts", "confirmed"): 2}
 
 
+def test_long_procedure_inputs_are_sources(spark):
+    fields = ",\n".join(f"    field{i}: z.string().describe('column number {i} of the form')" for i in range(60))
+    program = {"rpc/form.ts": "export const form = router({\n  save: openProcedure.input(z.object({\n" + fields + "\n  })).mutation(async ({ input }) => {\n"
+                              "    return conn.raw(\"INSERT INTO form VALUES ('\" + input.field7 + \"')\");\n  }),\n});\n"}
+    assert [f["section"] for f in scan(spark, program) if f["class"] == "SQL Injection"] == ["confirmed"]
+
+
 def test_known_classes_on_a_second_run(spark):
     from ramparts.operators.memory import load_memory, merge_memory, write_memory
     from ramparts.operators.triage import confirmed_classes
