@@ -5,7 +5,9 @@ document frequency taken over all documents. A randomised SVD of the pieces' wei
 sums over (piece, term) rows with a seeded random start and one power step, gives every term a latent vector;
 only matrices of ``RANK`` + ``OVERSAMPLE`` columns squared come to the driver. All documents then pass once:
 windows of twice a piece, moved by a piece's length, so that every piece lies whole in some window, are
-projected, and pieces within ``COSINE`` are candidates. A candidate is a leak if the longest common
+projected, and pieces within ``COSINE`` are candidates. So are, by an exact way, all pieces that the cut loses:
+of a piece's words the commonest that together are fewer than a leak takes are set aside, and any window that
+holds one of the others is compared word by word. A candidate is a leak if the longest common
 subsequence of words covers ``LCS_ALONE`` of the piece, or ``LCS`` of it and ``ANSWER`` of its closing
 ``ANSWER_WORDS`` words, where a question's answer stands.
 
@@ -16,6 +18,7 @@ block's term table is what tasks receive. Documents are neither shuffled nor cut
 from __future__ import annotations
 
 import re
+from collections import Counter
 from itertools import repeat
 from math import ceil
 
@@ -152,7 +155,20 @@ def latent_terms(spark, pieces: list[list[str]], idf: dict[str, float], rank: in
     return vectors
 
 
-def _finder(pieces, items, idf, latent, cosine, lcs, lcs_alone, answer):
+def deciding_words(piece: list[str], least: float, rarity: dict[str, float]) -> list[str]:
+    """Words of a piece of which every window with a share of ``least`` holds one.
+
+    The commonest words that together are fewer than ``least`` of the piece do not make a leak by themselves.
+    """
+    left, out = least * len(piece) - 1e-9, []
+    for w, n in sorted(Counter(piece).items(), key=lambda x: (rarity[x[0]], x[0])):
+        left -= n
+        if left <= 0:
+            out.append(w)
+    return out
+
+
+def _finder(pieces, items, idf, rarity, latent, cosine, lcs, lcs_alone, answer):
     terms = sorted(latent)
     # weighted terms first, then the other words of the pieces
     number = {w: i for i, w in enumerate([*terms, *sorted({w for p in pieces for w in p} - latent.keys())])}
@@ -170,6 +186,13 @@ def _finder(pieces, items, idf, latent, cosine, lcs, lcs_alone, answer):
     chunk = max(16, min(2048, (1 << 23) // columns))
     distinct = np.array([len(m) for m in masks])
     least = min(lcs, lcs_alone)
+    # the pieces that each word decides on, one word after the other
+    decided: list[list[int]] = [[] for _ in number]
+    for j, piece in enumerate(pieces):
+        for w in deciding_words(piece, least, rarity):
+            decided[number[w]].append(j)
+    n_decided = np.array([*map(len, decided), 0])  # the last one for words of no piece
+    first_decided, decided = np.append(0, np.cumsum(n_decided)), np.array([j for js in decided for j in js])
 
     def bits(rows, numbers, count):
         """Which words each row holds, as packed bits; words of no piece have the number -1, the last bit."""
@@ -186,6 +209,17 @@ def _finder(pieces, items, idf, latent, cosine, lcs, lcs_alone, answer):
         both = np.concatenate([np.bitwise_count(held[at[k:k + 16384]] & contents[j[k:k + 16384]]).sum(1, dtype=np.int64) for k in range(0, len(i), 16384)])
         return (sizes[j] - distinct[j] + both) / sizes[j]
 
+    def held_pairs(ids, begins):
+        """Windows with deciding words of pieces, as sorted numbers window * pieces + piece."""
+        at = np.flatnonzero(n_decided[ids])
+        block, word = np.divmod(np.unique(at // step * len(number) + ids[at]), len(number))
+        n = n_decided[word]
+        block = np.repeat(block, n)
+        piece = decided[np.repeat(first_decided[word] - np.cumsum(n) + n, n) + np.arange(len(block))]
+        # a window is a block and the next
+        before = ~np.isin(block, begins)
+        return np.unique(np.append(block * len(pieces) + piece, (block[before] - 1) * len(pieces) + piece[before]))
+
     def leaks(texts):
         """(items, best cosine, best share of a piece found) of each of some whole texts, laid out in one row of blocks.
 
@@ -199,32 +233,35 @@ def _finder(pieces, items, idf, latent, cosine, lcs, lcs_alone, answer):
         begins = np.array(begins)
         found, best_cos, best_lcs = [set() for _ in texts], np.zeros(len(texts)), [0.0] * len(texts)
         ids = np.fromiter(map(number.get, words, repeat(-1)), np.int32, len(words))
+        held = held_pairs(ids, begins)
         at = np.flatnonzero(ids.view(np.uint32) < len(terms))
-        if not len(at):
-            return list(zip(map(sorted, found), best_cos, best_lcs))
         weighted = ids[at]
         blocks, first = np.unique(at // step, return_index=True)
         bounds = np.append(first, len(at))
-        sums = np.concatenate([np.add.reduceat(loading[weighted[bounds[k]:bounds[min(k + 256, len(blocks))]]], first[k:k + 256] - first[k], 0)
-                               for k in range(0, len(blocks), 256)])
-        sums = np.concatenate([sums, np.zeros_like(sums[:1])])
+        sums = [np.add.reduceat(loading[weighted[bounds[k]:bounds[min(k + 256, len(blocks))]]], first[k:k + 256] - first[k], 0)
+                for k in range(0, len(blocks), 256)]
+        sums = np.concatenate([*sums, np.zeros((1, loading.shape[1]), np.float32)])
         # a window is a block and the next; a block without known terms stands for zeros (the last row)
-        starts = np.unique(np.append(blocks, blocks[~np.isin(blocks, begins)] - 1))
-
-        def row(wanted):
-            place = np.minimum(np.searchsorted(blocks, wanted), len(blocks) - 1)
-            return np.where(blocks[place] == wanted, place, len(blocks))
+        starts = np.unique(np.concatenate([blocks, blocks[~np.isin(blocks, begins)] - 1, held // len(pieces)]))
+        row = np.full(len(words) // step + 1, len(blocks))
+        row[blocks] = np.arange(len(blocks))
         for k in range(0, len(starts), chunk):
             mine = starts[k:k + chunk]
             text = np.searchsorted(begins, mine, "right") - 1
-            m = sums[row(mine)] + sums[row(mine + 1)]
+            m = sums[row[mine]] + sums[row[mine + 1]]
             m /= np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-9)
             near = m @ targets.T
             np.maximum.at(best_cos, text, near.max(1))
+            exact = held[slice(*np.searchsorted(held, (mine[0] * len(pieces), (mine[-1] + 1) * len(pieces))))]
+            exact = exact[near[np.searchsorted(mine, exact // len(pieces)), exact % len(pieces)] < cosine]
             i, j = np.nonzero(near >= cosine)
+            n_near = len(i)
+            i, j = np.append(i, np.searchsorted(mine, exact // len(pieces))), np.append(j, exact % len(pieces))
             if not len(i):
                 continue
-            limit, of = limits(i, j, ids, mine), text[i]
+            limit = limits(i, j, ids, mine)
+            able = np.flatnonzero((limit >= least) | (np.arange(len(i)) < n_near))
+            i, j, limit, of = i[able], j[able], limit[able], text[i[able]]
             order = np.lexsort((-limit, of))
             for n, t, high in zip(order.tolist(), of[order].tolist(), limit[order].tolist()):
                 if high < least and high <= best_lcs[t]:
@@ -276,11 +313,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         pieces, items = [p for p, _ in split], [i for _, i in split]
         counts, total = _document_counts(docs, text_col, frozenset(w for p in pieces for w in p))
         idf = {w: float(np.log((total + 1) / (counts.get(w, 0) + 1))) for p in pieces for w in p}
-        idf = {w: x for w, x in idf.items() if x >= LEAST_IDF} or idf
+        rarity, idf = idf, {w: x for w, x in idf.items() if x >= LEAST_IDF} or idf
         latent = {w: v for w, v in latent_terms(docs.sparkSession, pieces, idf).items() if w in idf} if total and pieces else {}
         if latent:
             parts.append(f"_leak{b}")
-            out = out.withColumn(parts[-1], _finder(pieces, items, idf, latent, cosine, lcs, lcs_alone, answer)(F.col(text_col)))
+            out = out.withColumn(parts[-1], _finder(pieces, items, idf, rarity, latent, cosine, lcs, lcs_alone, answer)(F.col(text_col)))
     none = F.array().cast("array<long>")
     items = F.array_sort(F.array_distinct(F.concat(none, *(F.col(f"{p}.items") for p in parts))))
     best = {k: F.greatest(F.lit(0.0), F.lit(0.0), *(F.col(f"{p}.{k}") for p in parts)) for k in ("cosine", "lcs")}

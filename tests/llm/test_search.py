@@ -120,3 +120,41 @@ def test_leaks(spark):
     assert by_id[7000] == [items[0][0]] and by_id[7001] == [items[1][0]] and by_id[7002] == [items[1][0]] and by_id[7003] == []
     assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0
     assert decontaminate.find_leaks(docs, bench.limit(0)).filter("contaminated").count() == 0
+
+
+def brute_leaks(texts, items):
+    """Items of each text by comparing every window with every piece."""
+    pieces = [(i, p, decontaminate.places_of(p), decontaminate.places_of(p[-6:])) for i, t in items for p in decontaminate.pieces_of(t)]
+    out = []
+    for words in map(decontaminate.words_of, texts):
+        windows = [words[low:low + 128] for low in range(0, max(1, len(words)), 64)]
+        out.append({i for i, p, whole, close in pieces for w in windows if decontaminate.common_subsequence(whole, len(p), w) >= 0.65 * len(p)
+                    or decontaminate.common_subsequence(whole, len(p), w) >= 0.5 * len(p) and decontaminate.common_subsequence(close, 6, w) >= 3})
+    return out
+
+
+def many_items(n, rng):
+    """``n`` items of 12 to 40 words and, for each, a text of 300 words that holds it; 20 words stand in all texts."""
+    vocabulary = [f"w{k}" for k in range(6000)]
+    weight = 1 / np.arange(1, 6001)
+    common = [f"c{k}" for k in range(20)]
+
+    def words(size):
+        return [common[rng.integers(20)] if rng.random() < 0.4 else w for w in rng.choice(vocabulary, size, p=weight / weight.sum())]
+    items = [words(rng.integers(12, 40)) for _ in range(n)] + [[common[k] for k in rng.permutation(20)]]
+    texts = []
+    for item in items:
+        filler = words(300) + common
+        texts.append(" ".join(filler[:150] + item + filler[150:]))
+    return [(k, " ".join(item)) for k, item in enumerate(items)], texts
+
+
+def test_leaks_of_many_items(spark):
+    """A crowded latent space loses verbatim items and those of common words only; none may be lost."""
+    items, texts = many_items(1500, np.random.default_rng(5))
+    texts = texts[-300:]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = dict(rows_of(decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "leaked_items")))
+    assert all(1201 + k in got[k] for k in range(300))
+    for k, want in enumerate(brute_leaks(texts[-20:], items)):
+        assert set(got[280 + k]) == want
