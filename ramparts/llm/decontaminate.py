@@ -6,10 +6,11 @@ sums over (piece, term) rows with a seeded random start and one power step, give
 only matrices of ``RANK`` + ``OVERSAMPLE`` columns squared come to the driver. All documents then pass once:
 windows of twice a piece, moved by a piece's length, so that every piece lies whole in some window, are
 projected, and pieces within ``COSINE`` are candidates. So are, by an exact way, all pieces that the cut loses:
-of a piece's words the commonest that together are fewer than a leak takes are set aside, and any window that
-holds one of the others is compared word by word. A candidate is a leak if the longest common
-subsequence of words covers ``LCS_ALONE`` of the piece, or ``LCS`` of it and ``ANSWER`` of its closing
-``ANSWER_WORDS`` words, where a question's answer stands.
+of a piece's weighted words the commonest that together are fewer than a leak takes are set aside, and any window
+that holds one of the others is compared word by word. A candidate is a leak if in a span of the window of at most
+``SPAN`` times its length the longest common subsequence covers ``LCS_ALONE`` of its words and of its weighted
+words, or ``LCS`` of both and ``ANSWER`` of the weighted ones of its closing ``ANSWER_WORDS`` words, where a
+question's answer stands. Where no word has weight, all count.
 
 The benchmark is a query set: it is taken in blocks of ``BLOCK_PIECES`` pieces, each with its own SVD, and a
 block's term table is what tasks receive. Documents are neither shuffled nor cut.
@@ -37,6 +38,7 @@ LEAST_IDF = 1.0
 COSINE = 0.4
 LCS, LCS_ALONE = 0.5, 0.65
 ANSWER, ANSWER_WORDS = 0.5, 6
+SPAN = 1.5
 LEAST_WORDS = 4
 # Texts are searched together until they hold so many words.
 GROUP_WORDS = 1 << 15
@@ -168,6 +170,22 @@ def deciding_words(piece: list[str], least: float, rarity: dict[str, float]) ->
     return out
 
 
+def leak_spans(places: list[int], counted: int, span: int, least: float, least_counted: float):
+    """Begins of the spans of a window that hold enough words of a piece and enough of its counted words, in any order.
+
+    ``places``: for each word of the window where it stands in the piece, as bits; ``counted``: the places that count.
+    """
+    ends = [k for k, m in enumerate(places) if m]
+    end = words = weighted = 0
+    for n, begin in enumerate(ends):
+        while end < len(ends) and ends[end] < begin + span:
+            words, weighted = words + 1, weighted + bool(places[ends[end]] & counted)
+            end += 1
+        if words >= least and weighted >= least_counted:
+            yield begin
+        words, weighted = words - 1, weighted - bool(places[begin] & counted)
+
+
 def _finder(pieces, items, idf, rarity, latent, cosine, lcs, lcs_alone, answer):
     terms = sorted(latent)
     # weighted terms first, then the other words of the pieces
@@ -180,16 +198,20 @@ def _finder(pieces, items, idf, rarity, latent, cosine, lcs, lcs_alone, answer):
                 targets[i] += loading[number[w]]
     targets /= np.maximum(np.sqrt((targets * targets).sum(1, keepdims=True)), 1e-9)
     step = PIECE_WORDS
-    masks, closing = [places_of(p) for p in pieces], [places_of(p[-ANSWER_WORDS:]) for p in pieces]
-    sizes = np.array([len(p) for p in pieces])
+    def weighty(words):
+        return [w for w in words if w in idf] or words
+    heavy, closing = [weighty(p) for p in pieces], [weighty(p[-ANSWER_WORDS:]) for p in pieces]
+    masks, heavy_masks, closing_masks = ([places_of(p) for p in ps] for ps in (pieces, heavy, closing))
+    counted = [sum(m for w, m in masks[j].items() if w in heavy_masks[j]) for j in range(len(pieces))]
+    sizes, heavy_sizes = np.array([len(p) for p in pieces]), np.array([len(p) for p in heavy])
     columns = -(-(len(number) + 1) // 64) * 64
     chunk = max(16, min(2048, (1 << 23) // columns))
-    distinct = np.array([len(m) for m in masks])
+    distinct, heavy_distinct = np.array([len(m) for m in masks]), np.array([len(m) for m in heavy_masks])
     least = min(lcs, lcs_alone)
     # the pieces that each word decides on, one word after the other
     decided: list[list[int]] = [[] for _ in number]
     for j, piece in enumerate(pieces):
-        for w in deciding_words(piece, least, rarity):
+        for w in deciding_words(heavy[j], least, rarity):
             decided[number[w]].append(j)
     n_decided = np.array([*map(len, decided), 0])  # the last one for words of no piece
     first_decided, decided = np.append(0, np.cumsum(n_decided)), np.array([j for js in decided for j in js])
@@ -199,15 +221,31 @@ def _finder(pieces, items, idf, rarity, latent, cosine, lcs, lcs_alone, answer):
         held = np.zeros((count, columns), bool)
         held[rows, numbers] = True
         return np.packbits(held, axis=1).view(np.uint64)
-    contents = np.concatenate([bits(0, [number[w] for w in p], 1) for p in pieces])
+    contents, heavy_contents = (np.concatenate([bits(0, [number[w] for w in p], 1) for p in ps]) for ps in (pieces, heavy))
 
     def limits(i, j, ids, first):
-        """Upper limits of the shares: a piece's different words that the window lacks are in no common subsequence."""
+        """Upper limits of the shares, of all and of weighted words: a piece's different words that the window lacks are in no common subsequence."""
         windows, at = np.unique(i, return_inverse=True)
         place = np.minimum(first[windows][:, None] * step + np.arange(2 * step), len(ids) - 1)
         held = bits(np.arange(len(windows))[:, None], ids[place], len(windows))
-        both = np.concatenate([np.bitwise_count(held[at[k:k + 16384]] & contents[j[k:k + 16384]]).sum(1, dtype=np.int64) for k in range(0, len(i), 16384)])
-        return (sizes[j] - distinct[j] + both) / sizes[j]
+
+        def limit(sizes, distinct, contents):
+            both = [np.bitwise_count(held[at[k:k + 16384]] & contents[j[k:k + 16384]]).sum(1, dtype=np.int64) for k in range(0, len(i), 16384)]
+            return (sizes[j] - distinct[j] + np.concatenate(both)) / sizes[j]
+        return limit(sizes, distinct, contents), limit(heavy_sizes, heavy_distinct, heavy_contents)
+
+    def leaked(j, window):
+        """Whether a piece stands in a window, close together."""
+        size, heavy_size = len(pieces[j]), len(heavy[j])
+        span = ceil(SPAN * size)
+        for begin in leak_spans([masks[j].get(w, 0) for w in window], counted[j], span, least * size, least * heavy_size):
+            part = window[begin:begin + span]
+            share = common_subsequence(masks[j], size, part) / size
+            if share >= least:
+                share = min(share, common_subsequence(heavy_masks[j], heavy_size, part) / heavy_size)
+            if share >= lcs_alone or share >= lcs and common_subsequence(closing_masks[j], len(closing[j]), part) >= answer * len(closing[j]):
+                return True
+        return False
 
     def held_pairs(ids, begins):
         """Windows with deciding words of pieces, as sorted numbers window * pieces + piece."""
@@ -259,19 +297,19 @@ def _finder(pieces, items, idf, rarity, latent, cosine, lcs, lcs_alone, answer):
             i, j = np.append(i, np.searchsorted(mine, exact // len(pieces))), np.append(j, exact % len(pieces))
             if not len(i):
                 continue
-            limit = limits(i, j, ids, mine)
-            able = np.flatnonzero((limit >= least) | (np.arange(len(i)) < n_near))
-            i, j, limit, of = i[able], j[able], limit[able], text[i[able]]
+            limit, heavy_limit = limits(i, j, ids, mine)
+            can = (limit >= least) & (heavy_limit >= least)
+            able = np.flatnonzero(can | (np.arange(len(i)) < n_near))
+            i, j, limit, can, of = i[able], j[able], limit[able], can[able], text[i[able]]
             order = np.lexsort((-limit, of))
-            for n, t, high in zip(order.tolist(), of[order].tolist(), limit[order].tolist()):
-                if high < least and high <= best_lcs[t]:
+            for n, t, high, may in zip(order.tolist(), of[order].tolist(), limit[order].tolist(), can[order].tolist()):
+                if not may and high <= best_lcs[t]:
                     continue
                 low, j_n = int(mine[i[n]]) * step, int(j[n])
                 window, size = words[low:low + 2 * step], int(sizes[j_n])
                 share = common_subsequence(masks[j_n], size, window) / size
                 best_lcs[t] = max(best_lcs[t], share)
-                close = min(ANSWER_WORDS, size)
-                if share >= lcs_alone or share >= lcs and common_subsequence(closing[j_n], close, window) >= answer * close:
+                if may and share >= least and items[j_n] not in found[t] and leaked(j_n, window):
                     found[t].add(items[j_n])
         return list(zip(map(sorted, found), best_cos, best_lcs))
 

@@ -1,5 +1,7 @@
 """Embedding links and benchmark leaks against brute force."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -122,14 +124,27 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
-def brute_leaks(texts, items):
-    """Items of each text by comparing every window with every piece."""
-    pieces = [(i, p, decontaminate.places_of(p), decontaminate.places_of(p[-6:])) for i, t in items for p in decontaminate.pieces_of(t)]
-    out = []
-    for words in map(decontaminate.words_of, texts):
-        windows = [words[low:low + 128] for low in range(0, max(1, len(words)), 64)]
-        out.append({i for i, p, whole, close in pieces for w in windows if decontaminate.common_subsequence(whole, len(p), w) >= 0.65 * len(p)
-                    or decontaminate.common_subsequence(whole, len(p), w) >= 0.5 * len(p) and decontaminate.common_subsequence(close, 6, w) >= 3})
+def brute_leaks(texts, items, chosen=None):
+    """Items of each (chosen) text by comparing every span of every window with every piece; document frequencies are of ``texts``."""
+    texts = [decontaminate.words_of(t) for t in texts]
+    counts = Counter(w for words in texts for w in set(words))
+    heavy = {w for w in {w for _, t in items for w in decontaminate.words_of(t)} if np.log((len(texts) + 1) / (counts[w] + 1)) >= 1}
+    pieces = [(i, *([p, q, c]), *map(decontaminate.places_of, (p, q, c))) for i, t in items for p in decontaminate.pieces_of(t)
+              for q in [[w for w in p if w in heavy] or p] for c in [[w for w in p[-6:] if w in heavy] or p[-6:]]]
+    common, out = decontaminate.common_subsequence, []
+    for words in texts if chosen is None else texts[chosen]:
+        want = set()
+        for window in (words[low:low + 128] for low in range(0, max(1, len(words)), 64)):
+            for i, p, q, c, whole, weighted, close in pieces:
+                if i in want or common(whole, len(p), window) < 0.5 * len(p):
+                    continue
+                size = int(np.ceil(1.5 * len(p)))
+                for part in (window[k:k + size] for k in range(len(window))):
+                    share = min(common(whole, len(p), part) / len(p), common(weighted, len(q), part) / len(q))
+                    if share >= 0.65 or share >= 0.5 and common(close, len(c), part) >= 0.5 * len(c):
+                        want.add(i)
+                        break
+        out.append(want)
     return out
 
 
@@ -156,5 +171,19 @@ def test_leaks_of_many_items(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = dict(rows_of(decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "leaked_items")))
     assert all(1201 + k in got[k] for k in range(300))
-    for k, want in enumerate(brute_leaks(texts[-20:], items)):
+    for k, want in enumerate(brute_leaks(texts, items, slice(280, 300))):
         assert set(got[280 + k]) == want
+
+
+def test_clean_documents_stay(spark):
+    """Scattered words of an item are no leak, and neither are its stop words close together; a close copy with some words changed is one."""
+    item = "of ravel is mistor the quanter was blenk that of glimmer is the was that of"
+    stops, rng = ["of", "is", "the", "was", "that"], np.random.default_rng(3)
+    fill = [" ".join(stops + [f"x{k}" for k in rng.integers(0, 900, 200)]) for _ in range(40)]
+    wide = " ".join(w + " " + " ".join(f"x{k}" for k in rng.integers(0, 900, 6)) for w in item.split())
+    texts = fill + [f"{fill[0]} {wide} {fill[1]}", f"{fill[0]} of one is two the three was four that of five is the was that of {fill[1]}",
+                    f"{fill[0]} of ravel is mistor the new quanter was other that of glimmer is the was that of {fill[1]}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(rows_of(decontaminate.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).select("doc_id", "leaked_items")))
+    assert got[40] == [] and got[41] == [] and got[42] == [1]
+    assert [set(got[k]) for k in range(43)] == brute_leaks(texts, [(1, item)])
