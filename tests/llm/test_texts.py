@@ -116,6 +116,21 @@ def test_page_text(page, text):
     assert html_main.main_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<article><p class='ad'>Buy<p>Text<p>More</article>", "Text\nMore"),
+    ("<article><ul><li class=ad>Buy<li>One<li>Two</ul><p>Text</article>", "One\nTwo\nText"),
+    ("<article><p>Text</p><div class=ad>Buy</article><p>after</p>", "Text"),
+    ("<article><table><tr><td class=ad>Buy<td>Cell<tr><td>Next</table></article>", "Cell\nNext"),
+    ("<article><p>a <span class=ad>Buy <span>now</span></span> b</p></article>", "a b"),
+    ("<div class='layout sidebar-right'><article><p>Text</p><div class=ad>Buy</div><p>More</p></article></div><p>x</p>", "Text\nMore"),
+    ("<div class='sidebar'><main><p>Text</p></main></div>", "Text"),
+    ("<div id=main><p>" + "text " * 40 + "</p></div><div class=sidebar><article>Teaser</article></div>", ("text " * 40).strip()),
+    ("<p>Text</p><section id=comments><article>" + "no " * 80 + "</article></section>", "Text"),
+])
+def test_page_ends(page, text):
+    assert html_main.main_text(page) == text
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, None, None), (1, "u", "<p>a</p>"), (None, "u", "<p>a</p>")], "page_id long, url string, html string").withColumn("text", F.lit(3))
     assert sorted(rows_of(html_main.extract(pages).select("text"))) == [("",), ("a",), ("a",)]
