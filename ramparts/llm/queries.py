@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ramparts.llm import chat_format, decontaminate, embed_dedup, html_main, license_scan, mixing, quality, simhash, suffix_dedup, toxicity
+from ramparts.llm import chat_format, collocations, decontaminate, embed_dedup, html_main, license_scan, manifest, mixing, piece_bpe, quality, simhash, suffix_dedup, toxicity
 from ramparts.llm.common import held_out, table
 
 
@@ -58,8 +58,32 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public vocabulary files are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    done = piece_bpe.decode(piece_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text"), model)
+    listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    return manifest.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id",
+                             {"n_chars": more}, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {q.__name__: q for q in (op1_license_scan, op2_suffix_dedup, op3_simhash, op4_toxicity, op5_embedding_dedup, op6_decontaminate, op7_mix, op8_quality,
-                                 op9_chat_format, op10_html_text)}
+                                 op9_chat_format, op10_html_text, op11_sentencepiece, op12_merkle_manifest, op13_collocations)}
 
 ORACLES: dict[str, str] = {"op9_chat_format": r"""WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -70,4 +94,53 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_ag
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(head) + length(escaped) + length('<|im_start|>') + length('<|im_end|>') + 2) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id"""}
+FROM e GROUP BY conv_id""",
+    "op12_merkle_manifest": r"""WITH RECURSIVE d AS (
+  SELECT *, CAST(doc_id AS VARCHAR) AS name FROM documents),
+t AS (SELECT *, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(name) + 1),
+    lambda i: list_prepend(ascii(name[i])::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1])))),
+    lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS crc FROM d),
+f AS (SELECT doc_id, lang, coalesce(xor(crc, 4294967295) % 7 = 0, false) AS tampered,
+  coalesce(strlen(name) || ':' || name, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+  coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS size,
+  coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS more, coalesce(strlen(text) || ':' || text, '-') AS body FROM t),
+l AS (SELECT doc_id, lang, sha256(head || size || body) AS leaf, sha256(head || CASE WHEN tampered THEN more ELSE size END || body) AS shown FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+up AS (SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM p GROUP BY lang
+  UNION ALL SELECT lang, level + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM up WHERE len(nodes) > 1),
+s AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place FROM up WHERE len(nodes) = 1),
+over AS (SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM s
+  UNION ALL SELECT level + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM over WHERE len(nodes) > 1),
+layers AS (SELECT coalesce('=' || lang, '') AS grp, level, nodes FROM up WHERE len(nodes) > 1),
+walk AS (SELECT doc_id, leaf, shown, p.pos AS seq, coalesce('=' || p.lang, '') AS grp, 0 AS level, p.pos AS pos, shown AS folded, '' AS proof FROM p
+  UNION ALL SELECT doc_id, leaf, shown, seq, w.grp, w.level + 1, w.pos // 2,
+    sha256(CASE WHEN w.pos % 2 = 1 THEN nodes[w.pos] || folded ELSE folded || coalesce(nodes[w.pos + 2], '') END),
+    proof || CASE WHEN w.pos % 2 = 1 THEN nodes[w.pos] ELSE coalesce(nodes[w.pos + 2], '') END FROM walk w JOIN layers USING (grp, level)),
+lower_part AS (SELECT grp, seq, arg_max(folded, level) AS folded, arg_max(proof, level) AS proof, any_value(doc_id) AS doc_id, any_value(leaf) AS leaf FROM walk GROUP BY grp, seq),
+rise AS (SELECT grp, seq, 0 AS level, place AS pos, folded, proof FROM lower_part JOIN s ON grp = coalesce('=' || lang, '')
+  UNION ALL SELECT grp, seq, r.level + 1, r.pos // 2,
+    sha256(CASE WHEN r.pos % 2 = 1 THEN nodes[r.pos] || folded ELSE folded || coalesce(nodes[r.pos + 2], '') END),
+    proof || CASE WHEN r.pos % 2 = 1 THEN nodes[r.pos] ELSE coalesce(nodes[r.pos + 2], '') END FROM rise r JOIN over o ON o.level = r.level WHERE len(nodes) > 1),
+whole AS (SELECT grp, seq, arg_max(folded, level) AS folded, arg_max(proof, level) AS proof FROM rise GROUP BY grp, seq),
+top AS (SELECT nodes[1] AS root FROM over WHERE len(nodes) = 1)
+SELECT doc_id, leaf, subroot, root, sha256(whole.proof) AS proof_sha256, whole.folded AS folded_root, whole.folded = root AS verified
+FROM lower_part JOIN whole USING (grp, seq) JOIN s ON grp = coalesce('=' || lang, '') CROSS JOIN top""",
+    "op13_collocations": r"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+g AS (SELECT lang, unnest([1, 2, 3]) AS k, ws FROM w),
+grams AS (SELECT lang, k, array_to_string(unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])), ' ') AS phrase FROM g),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+halves AS (SELECT c.*, cut, array_to_string(string_split(phrase, ' ')[1:cut], ' ') AS first_part, array_to_string(string_split(phrase, ' ')[cut + 1:], ' ') AS rest
+    FROM (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k > 1 AND a >= 10) c),
+cuts AS (SELECT h.lang, h.k, h.phrase, h.a, x.a AS l, y.a AS r, h.cut, ((1000000::HUGEINT * h.a * h.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+    FROM halves h JOIN f x ON x.lang = h.lang AND x.phrase = h.first_part JOIN f y ON y.lang = h.lang AND y.phrase = h.rest),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+held AS (SELECT lang, array_to_string(string_split(phrase, ' ')[1:2], ' ') AS phrase, a FROM c WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(string_split(phrase, ' ')[2:3], ' '), a FROM c WHERE k = 3),
+most AS (SELECT lang, phrase, max(a) AS a FROM held GROUP BY ALL),
+kept AS (SELECT s.* FROM scored s LEFT JOIN most m ON m.lang = s.lang AND m.phrase = s.phrase WHERE m.a IS NULL OR 100 * m.a < 50 * s.a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM r JOIN n ON n.lang = r.lang WHERE rank <= 2000"""}
