@@ -92,21 +92,25 @@ def fold(node: bytes, path: bytes) -> bytes:
     return node
 
 
-def _inside(sizes: int) -> int:
-    """Levels that a superblock reduces: all that are left, or as many as a full superblock has."""
-    return min(_height(sizes), BLOCK_LEVELS)
+def _inside(block: int, count: int) -> int:
+    """Levels that a superblock reduces: as many as a full one has, or all levels of a group that fits into one.
+
+    Only the first superblock of a group can be its only one, and it is, unless it is full.
+    """
+    return BLOCK_LEVELS if block else _height(count)
 
 
 def _tops(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("pos")
-    top = _levels(list(frame["node"]), _inside(int(frame["size"].iloc[0])))[-1][0]
-    return pd.DataFrame({"grp": [frame["grp"].iloc[0]], "pos": [int(frame["block"].iloc[0])], "node": [top]})
+    block = int(frame["block"].iloc[0])
+    top = _levels(list(frame["node"]), _inside(block, len(frame)))[-1][0]
+    return pd.DataFrame({"grp": [frame["grp"].iloc[0]], "pos": [block], "node": [top]})
 
 
 def _with_paths(nodes: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
     """The nodes of one superblock with their whole proofs: siblings inside it, then those of its outer row."""
     nodes = nodes.sort_values("pos").reset_index(drop=True)
-    levels, above = _levels(list(nodes["node"]), _inside(int(nodes["size"].iloc[0]))), outer.iloc[0]
+    levels, above = _levels(list(nodes["node"]), _inside(int(nodes["block"].iloc[0]), len(nodes))), outer.iloc[0]
     return nodes.assign(path=[_steps(levels, at) + above["path"] for at in range(len(nodes))], subroot=above["subroot"], root=above["root"])
 
 
@@ -122,18 +126,16 @@ def _finished(nodes: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
         ["id", "node", "subroot", "root", "proof", "folded"]]
 
 
-def _placed(nodes: DataFrame) -> DataFrame:
-    """Nodes with their superblock and the number of nodes of their group."""
-    sizes = nodes.groupBy("grp").agg((F.max("pos") + 1).alias("size"))
-    return nodes.join(sizes, "grp").withColumn("block", F.shiftright("pos", BLOCK_LEVELS))
+def _blocked(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("block", F.shiftright("pos", BLOCK_LEVELS))
 
 
 def _climb(nodes: DataFrame) -> list[DataFrame]:
     """All tiers, each the tops of the superblocks of the one before; in the last one every group has one node."""
-    tiers = [_placed(nodes)]
-    while (tiers[-1].agg(F.max("size").alias("m")).first()["m"] or 0) > 1:
-        tops = tiers[-1].select("grp", "block", "pos", "node", "size").groupBy("grp", "block").applyInPandas(_tops, NODES)
-        tiers.append(_placed(stored(tops, "tops")))
+    tiers = [_blocked(nodes)]
+    while (tiers[-1].agg(F.max("pos").alias("m")).first()["m"] or 0) > 0:
+        tops = tiers[-1].select("grp", "block", "pos", "node").groupBy("grp", "block").applyInPandas(_tops, NODES)
+        tiers.append(_blocked(stored(tops, "tops")))
     return tiers
 
 
@@ -144,7 +146,7 @@ def _exchange(tier: DataFrame, outer: DataFrame, finish, schema: str) -> DataFra
 def _descend(tiers: list[DataFrame], outer: DataFrame) -> DataFrame:
     """Outer rows of the superblocks of the lowest tier, from those of the last tier's nodes."""
     for tier in reversed(tiers[1:-1]):
-        outer = stored(_exchange(tier.select("grp", "block", "pos", "node", "size"), outer, _next_outer, OUTER), "outer")
+        outer = stored(_exchange(tier.select("grp", "block", "pos", "node"), outer, _next_outer, OUTER), "outer")
     return outer
 
 
