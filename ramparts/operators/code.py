@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ramparts import rules
-from ramparts.functions.text import explode_once, per_application
+from ramparts.functions.text import per_application
 from ramparts.operators import facts
 from ramparts.operators.resolve import taint_flags
 from ramparts.schemas import emit, finding, findings
@@ -154,7 +154,7 @@ def insecure_cipher() -> Column:
 
 def insecure_random(bindings: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Math.random() below an assignment to a security-named variable."""
-    bad = F.col("right").rlike(r"(?<![0-9A-Za-z_$.])Math\s*\.\s*random(?![0-9A-Za-z_$])") & F.col("lhs").rlike(rules.RANDOM_TARGET)
+    bad = F.col("draws_random") & F.col("lhs").rlike(rules.RANDOM_TARGET)
     return emit(bindings, [F.array(F.when(bad, code_finding(
         "weakCrypto", "Insecure Randomness", "High", F.concat(F.lit("Math.random() feeds "), F.col("lhs")), F.concat(_place(), F.lit(" assigns Math.random() to "), F.col("lhs")),
         after=safe_random(F.col("source_line")), applyable=True, impact="The value can be predicted.", contract="same use, random value")))], keep)
@@ -207,34 +207,33 @@ def is_handler(params: Column) -> Column:
     return F.exists(params, lambda p: F.coalesce(p["name"].rlike(rf"(?i)^(?:{'|'.join(rules.HANDLER_PARAMETERS)})\z"), F.lit(False)))
 
 
-def function_rows(lexed: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per function with its text and the calls in it, nested functions included."""
-    f = F.col("f")
-    rows = explode_once(lexed, ["file_id", *keep, "lines", "calls"], F.col("fns"), "f")
-    within = F.filter(F.col("calls"), lambda c: ((c["line"] > f["line"]) | ((c["line"] == f["line"]) & (c["col"] > f["col"]))) & (c["line"] <= f["end"]))
-    return rows.select("file_id", *keep, facts.place_id(F.col("file_id"), f).alias("fn_id"), f["name"].alias("fn_name"), f["is_async"].alias("is_async"),
-                       f["params"].alias("params"), within.alias("calls"),
-                       F.array_join(F.slice("lines", f["line"] - 1, f["end"] - f["line"] + 1), "\n").alias("src"), "lines")
+def function_rows(lexed: facts.Lexed, keep: list[str]) -> DataFrame:
+    """One row per function with its text and the place of its first and last token."""
+    return facts.functions_of(lexed, keep).select("file_id", *keep, "fn_id", F.col("name").alias("fn_name"), "is_async", "params", "src", "start", "end")
 
 
-def first_call(calls: Column, names: list[str], after: Column | None = None) -> Column:
-    """(line, col, name) of the first call of one of ``names``, not before line ``after``."""
-    wanted = F.filter(calls, lambda c: c["name"].isin(names) & (c["line"] >= after if after is not None else F.lit(True)))
-    return F.array_min(F.transform(wanted, lambda c: F.struct(c["line"].alias("line"), c["col"].alias("col"), c["name"].alias("name"))))
+def calls_within(functions: DataFrame, lexed: facts.Lexed, names: list[str], keep: list[str]) -> DataFrame:
+    """Calls of one of ``names`` with every function around them, nested ones included."""
+    calls = facts.calls_of(lexed, []).filter(F.col("name").isin(names)).select("file_id", "call_id", "p", "name", "line", "col", "args", "source_line")
+    return functions.select("file_id", *keep, "fn_id", "start", "end").join(calls, "file_id").filter("p > start AND p <= `end`")
 
 
-def check_then_act(functions: DataFrame, keep: list[str]) -> DataFrame:
+def check_then_act(functions: DataFrame, lexed: facts.Lexed, keep: list[str]) -> DataFrame:
     """First read and the first write at its line or later, per function that is async and unguarded."""
-    open_fns = functions.filter(is_unguarded_async(F.col("src"), F.col("is_async"))).withColumn("read", first_call(F.col("calls"), rules.READ_CALLS))
-    acted = open_fns.filter("read is not null").withColumn("write", first_call(F.col("calls"), rules.WRITE_CALLS, F.col("read.line")))
-    return acted.filter("write is not null").select(*keep, "file_id", "fn_id", F.col("read.name").alias("read_name"), (F.col("read.line") - 1).alias("line"),
-                                                    F.col("read.col").alias("col"), F.col("write.name").alias("write_name"),
-                                                    (F.col("write.line") - 1).alias("write_line"), F.col("lines")[F.col("read.line") - 2].alias("source_line"))
-
-
-def race_conditions(lexed: DataFrame, keep: list[str]) -> DataFrame:
+    open_fns = functions.filter(is_unguarded_async(F.col("src"), F.col("is_async")))
+    calls = calls_within(open_fns, lexed, [*rules.READ_CALLS, *rules.WRITE_CALLS], keep)
+    place = F.struct("line", "col", "name", "source_line")
+    per_fn = calls.groupBy("file_id", "fn_id", *keep).agg(F.min(F.when(F.col("name").isin(rules.READ_CALLS), place)).alias("read"),
+                                                          F.collect_list(F.when(F.col("name").isin(rules.WRITE_CALLS), place)).alias("writes"))
+    later = F.array_min(F.filter("writes", lambda w: w["line"] >= F.col("read.line")))
+    return per_fn.withColumn("write", later).filter("read IS NOT NULL AND write IS NOT NULL").select(
+        *keep, "file_id", "fn_id", F.col("read.name").alias("read_name"), F.col("read.line").alias("line"), F.col("read.col").alias("col"),
+        F.col("write.name").alias("write_name"), F.col("write.line").alias("write_line"), F.col("read.source_line").alias("source_line"))
+
+
+def race_conditions(lexed: facts.Lexed, keep: list[str]) -> DataFrame:
     """Check-then-act findings; a nested function that repeats its parent's finding is dropped."""
-    pairs = check_then_act(function_rows(lexed, keep), keep)
+    pairs = check_then_act(function_rows(lexed, keep), lexed, keep)
     rest = [c for c in pairs.columns if c not in ("file_id", "line")]
     once = pairs.groupBy("file_id", "line").agg(F.min_by(F.struct(*rest), "fn_id").alias("_p")).select("file_id", "line", "_p.*")
     return emit(once, [F.array(code_finding(
@@ -264,13 +263,11 @@ def owner_less_handlers(functions: DataFrame) -> DataFrame:
     return functions.filter(is_handler(F.col("params"))).filter(~mentions_owner(F.col("src")))
 
 
-def object_authorization(lexed: DataFrame, taint: DataFrame, keep: list[str], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def object_authorization(lexed: facts.Lexed, taint: DataFrame, keep: list[str], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Object lookups by tainted arguments in handlers that never mention an owner."""
-    handlers = owner_less_handlers(function_rows(lexed, keep))
-    sinks = handlers.select("file_id", *keep, "fn_id", "lines", F.explode(F.filter("calls", lambda c: c["name"].isin(rules.OBJECT_SINKS))).alias("c"))
-    sinks = sinks.select("file_id", *keep, "fn_id", facts.place_id(F.col("file_id"), F.col("c")).alias("call_id"), (F.col("c.line") - 1).alias("line"),
-                         F.col("c.col").alias("col"), F.col("c.name").alias("name"), F.flatten(F.transform("c.args", lambda a: a["refs"])).alias("refs"),
-                         F.exists("c.args", lambda a: a["has_source"]).alias("has_source"), F.col("lines")[F.col("c.line") - 2].alias("source_line"))
+    sinks = calls_within(owner_less_handlers(function_rows(lexed, keep)), lexed, rules.OBJECT_SINKS, keep).select(
+        "file_id", *keep, "fn_id", "call_id", "line", "col", "name", F.flatten(F.transform("args", lambda a: a["refs"])).alias("refs"),
+        F.exists("args", lambda a: a["has_source"]).alias("has_source"), "source_line")
     flagged = taint_flags(sinks, taint, "refs", ["call_id"], broadcast_rows=broadcast_rows).filter("tainted or has_source")
     once = flagged.dropDuplicates(["call_id"])
     return emit(once, [F.array(code_finding(

@@ -1,427 +1,489 @@
-"""Lexical code facts: functions, calls, bindings, imports, exports and comparisons from source text.
+"""Code facts from the token table: functions, calls, bindings, imports, exports and comparisons.
 
-Everything happens inside the row of a file with built-in expressions: no shuffle, no parser, no
-user code. The price is a lexical view: formatted code is assumed (a block ends at the first later
-line that starts with a closing bracket and is indented no deeper than its header), comments over
-several lines must start every line with ``*``, brackets nest at most five deep inside one
-argument, and columns are exact unless a shortened string stands before them on the line.
+Every fact is a filter or a grouping of token rows (see ``tokens``): a call is an opening bracket behind a name, its
+arguments are the parts of that bracket, a function reaches to the partner of its brace, names flow from where they
+stand into every argument or binding around them that shares their region. Nothing looks at indentation, and no
+length, nesting or count is bounded. Joins are on the file and a token's place, so rows stay spread by file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ramparts import rules
-from ramparts.functions.text import explode_once, let, located, per_application
-
-ID = r"[A-Za-z_$][0-9A-Za-z_$]*"
-DOUBLE = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+){0,500}+"'
-SINGLE = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+){0,500}+'"
-BACKTICK = r"`[^`\\]*+(?:\\.[^`\\]*+){0,500}+`"
-STRINGS = f"{DOUBLE}|{SINGLE}|{BACKTICK}"
-_PLAIN = r"[^\"'`\\\n=(){}\[\];,+|&?]"
-
-
-def _nested(depth: int) -> str:
-    inner = r"[^()\[\]{}\"'`]++|" + STRINGS
-    if depth:
-        inner += rf"|[(\[{{]{_nested(depth - 1)}[)\]}}]"
-    return f"(?:{inner}){{0,200}}+"
-
-
-_GROUP = rf"[(\[{{]{_nested(4)}[)\]}}]"
-_ARGUMENTS = _nested(5)
-_ITEM = rf"(?:[^,()\[\]{{}}\"'`]++|{STRINGS}|{_GROUP}){{1,200}}+"
-_RIGHT_SIDE = rf"(?:[^;,\n()\[\]{{}}\"'`]++|{STRINGS}|{_GROUP}){{0,200}}+"
-_PARAMS = r"\(([^()]*+(?:\([^()]*+(?:\([^()]*+\)[^()]*+){0,20}+\)[^()]*+){0,50}+)\)"
-_TYPE = r"(?:\s*:[^={}\n;()]{1,80})?"
-_OPEN = r"(?:[ \t]*\{[ \t]*(?=\n|$))?"
-_NO_NAME = r"(?!(?:if|for|while|switch|catch|return|function|with|else|do|new|await|typeof)\b)"
-_PLAIN_FN = rf"(?:({ID})\s*[=:]\s*)?(async\s+)?function\b\s*\*?\s*({ID})?\s*{_PARAMS}{_TYPE}{_OPEN}"
-_ARROW = rf"(?:({ID}){_TYPE}\s*[=:]\s*)?(async\s+)?(?:{_PARAMS}|(?<![0-9A-Za-z_$.])({ID})){_TYPE}\s*=>{_OPEN}"
-_METHOD = (r"(?<=\n)[ \t]*(?:(?:public|private|protected|static|readonly|override)\s+)*(async\s+)?\*?"
-           rf"{_NO_NAME}({ID})\s*{_PARAMS}{_TYPE}[ \t]*\{{[ \t]*(?=\n|$)")
-FUNCTION = f"{_PLAIN_FN}|{_ARROW}|{_METHOD}"
-CALL = rf"((?:{ID}\s*\??\.\s*)*)({ID})\s*\((?=({_ARGUMENTS})\)?([ \t]*{_TYPE}[ \t]*\{{)?)"
-BINDING = (rf"(?<![0-9A-Za-z_$.])({ID})(?:\s*:\s*[^=\n;(){{}}\"'`,]{{1,80}})?\s*"
-           rf"(?:[-+*/%^]|\*\*|&&?|\|\|?|\?\?|<<|>>>?)?=(?![=>])\s*(?=({_RIGHT_SIDE}))")
-_OPERAND = rf"(?:{ID}(?:\??\.{ID}|\[[^\[\]\n]*\])*|{DOUBLE}|{SINGLE}|\d[\d.]*)"
-COMPARISON = rf"({_OPERAND})?[ \t]*(===|!==|==|!=)(?!=)[ \t]*({_OPERAND})?([ \t]*\()?"
+from ramparts.operators import tokens as tok
+from ramparts.session import materialize
+
+NAME = r"[A-Za-z_$][0-9A-Za-z_$]*"
+SOURCE = "__source__"
 _NOT_CALLED = ["if", "for", "while", "switch", "catch", "return", "function", "typeof", "await", "super", "import", "async"]
+_NOT_METHODS = [*_NOT_CALLED, "with", "else", "do", "new"]
 _NOT_NAMES = ["await", "async", "true", "false", "null", "undefined", "typeof", "this", "new", "void", "delete", "function",
-              "instanceof", "in", "of", "yield", "return", "const", "let", "var"]
-SOURCE = "__source__"
-_ROOT = "(?:" + "|".join(rules.REQUEST_ROOTS) + ")"
-_PROPERTY = "(?:" + "|".join(rules.REQUEST_PROPERTIES) + ")"
-_STEP = rf"(?:\s*\??\.\s*{ID}|\[[^\[\]]*\])"
-_REQUEST = rf"(?<![0-9A-Za-z_$.]){_ROOT}{_STEP}{{0,20}}?\s*\??\.\s*{_PROPERTY}(?![0-9A-Za-z_$]){_STEP}{{0,20}}"
-REQUEST_MEMBER = rf"{_REQUEST}(?![0-9A-Za-z_$])(?!\s*\()"
-REQUEST_CALL = (rf"(?<![0-9A-Za-z_$.]){_ROOT}{_STEP}{{0,20}}?\s*\??\.\s*(?:{'|'.join(rules.REQUEST_BODY_CALLS)})\s*\(|"
-                rf"(?<![0-9A-Za-z_$.]){_ROOT}{_STEP}{{0,20}}?\s*\??\.\s*{_PROPERTY}(?![0-9A-Za-z_$]){_STEP}{{0,20}}?\s*\??\.\s*(?:{'|'.join(rules.REQUEST_GETTERS)})\s*\(")
-_LOGICAL = r"\|\||&&|\?\?|\?(?!\.)|=>"
+              "instanceof", "in", "of", "yield", "return", "const", "let", "var", "if", "else", "for", "while", "switch", "case"]
+_MODIFIERS = "public|private|protected|readonly|override"
+_DOTS = [".", "?."]
+_COMPARED = ["==", "===", "!=", "!=="]
 
 
-def clean(code: Column) -> Column:
-    """Code without comments; string literals with operators or brackets in them become empty.
+@dataclass(frozen=True)
+class Lexed:
+    """Files (file_id, rel, kept columns, code), their token table, and the facts that were read from it so far."""
 
-    Line numbers stay as they are. Templates stay whole, because their parts matter.
-    """
-    keep = rf"({BACKTICK}|\"{_PLAIN}*+\"|'{_PLAIN}*+')"
-    one_pass = rf"{keep}|(\")[^\"\\\n]*+(?:\\.[^\"\\\n]*+){{0,500}}+\"|(')[^'\\\n]*+(?:\\.[^'\\\n]*+){{0,500}}+'|//[^\n]*|/\*[^\n]*?\*/"
-    starred = F.regexp_replace(code, r"(?m)^[ \t]*\*[^\n]*$|/\*(?:(?!\*/)[^\n])*$", "")
-    return F.regexp_replace(starred, one_pass, "$1$2$2$3$3")
+    files: DataFrame
+    tokens: DataFrame
+    keep: tuple[str, ...]
+    made: dict[str, DataFrame] = field(default_factory=dict)
 
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A fact table that several facts and detectors read, written when the first one asks for it."""
+        if name not in self.made:
+            self.made[name] = materialize(build(), name)
+        return self.made[name]
 
-def flow_names(expression: Column) -> Column:
-    """Names through which taint enters an expression, with ``__source__`` for request data.
+    def with_files(self, facts: DataFrame, keep: list[str], *more: str) -> DataFrame:
+        """Facts with columns of their file."""
+        wanted = list(dict.fromkeys(["file_id", *keep, *more]))
+        return facts.join(self.files.select(*wanted), "file_id") if len(wanted) > 1 else facts
 
-    Names count as operands, template parts, awaited values and call arguments. The receiver of
-    a call, and anything below a logical, conditional, function, object or array, does not count.
-    """
-    e = F.regexp_replace(expression, rf"{DOUBLE}|{SINGLE}", " ")
-    e = F.regexp_replace(e, r"(?:`|\})[^`${}]*(?:\$\{|`)", " + ")
-    e = F.regexp_replace(e, REQUEST_CALL, f" {SOURCE} + (")
-    e = F.regexp_replace(e, r"\[[^\[\]]*\]", " ")
-    for _ in range(3):
-        e = F.regexp_replace(e, r"\{[^{}]*\}", " ")
-    e = F.regexp_replace(e, rf"(?:new\s+|!\s*)?(?<![0-9A-Za-z_$])(?:{ID}\s*\??\.\s*)*{ID}\s*\(", "(")
-    e = F.regexp_replace(e, r"\)\s*(?:\??\.\s*" + ID + r"\s*)+\(", ") (")
-    e = F.regexp_replace(e, REQUEST_MEMBER, f" {SOURCE} ")
-    e = F.regexp_replace(e, rf"!\s*{ID}(?:\??\.{ID})*", " ")
-    for _ in range(4):
-        e = F.regexp_replace(e, rf"(?<=[(,])[^(),]*(?:{_LOGICAL})[^(),]*(?=[,)])", " ")
-        e = F.regexp_replace(e, r",(?=[^()]*\))", "+")
-        e = F.regexp_replace(e, r"\(([^()]*)\)", " $1 ")
-
-    def names(flat: Column) -> Column:
-        found = F.regexp_extract_all(flat, F.lit(rf"(?<![0-9A-Za-z_$.])({ID})(?!\s*\()"), F.lit(1))
-        return F.when(flat.rlike(_LOGICAL), F.array().cast("array<string>")).otherwise(
-            F.array_distinct(F.filter(found, lambda n: ~n.isin(_NOT_NAMES))))
-    none = F.array().cast("array<string>")
-    return (F.when(expression.rlike(rf"^{ID}\z"), F.when(expression.isin(_NOT_NAMES), none).otherwise(F.array(expression)))
-            .when(expression.rlike(rf"^(?:{DOUBLE}|{SINGLE}|[0-9.]*)\z"), none)
-            .otherwise(let(e, names)))
-
-
-def _bare(expression: Column) -> Column:
-    """An expression without its strings and bracket groups."""
-    e = F.regexp_replace(expression, STRINGS, '"')
-    for _ in range(6):
-        e = F.regexp_replace(e, r"[(\[{][^()\[\]{}]*[)\]}]", "")
-    return F.when(expression.rlike(r"[()\[\]{}\"'`]"), F.trim(e)).otherwise(expression)
-
-
-def expression_kind(text: Column, bare: Column) -> Column:
-    return (F.when(text.rlike(rf"^(?:{DOUBLE}|{SINGLE})\z"), "string")
-            .when(text.rlike(rf"^{BACKTICK}\z"), F.when(text.contains("${"), "template").otherwise("plain-template"))
-            .when(bare.rlike(r"=>|^(?:async\s+)?function\b"), "function")
-            .when(bare.rlike(r"\|\||&&|\?\?|\?(?!\.)"), "logical")
-            .when(bare.rlike(r"(?<!\+)\+(?!\+)"), "plus")
-            .when(text.startswith("{"), "object")
-            .when(text.startswith("["), "array")
-            .when(text.rlike(r"^\d"), "number")
-            .when(text.rlike(rf"^{ID}\z"), "identifier")
-            .when(text.rlike(r"^await\b"), "await")
-            .when(text.rlike(rf"^(?!new\b){ID}[\s\S]*\)\z"), "call")
-            .when(bare.rlike(rf"^{ID}(?:\s*\??\.\s*{ID})*\z"), "member")
-            .otherwise("other"))
-
-
-def object_entries(text: Column) -> Column:
-    """Keys and value texts of an inline object, as an array of (key, value)."""
-    inside = F.regexp_extract(text, r"^\{([\s\S]*)\}\z", 1)
-    return F.transform(F.regexp_extract_all(inside, F.lit(_ITEM), F.lit(0)), lambda item: F.struct(
-        F.regexp_extract(item, rf"^\s*[\"']?({ID})", 1).alias("key"),
-        F.trim(F.regexp_extract(item, r"^\s*[\"']?[0-9A-Za-z_$]+[\"']?\s*:([\s\S]*)$", 1)).alias("value")))
-
-
-def _argument(raw: Column) -> Column:
-    def build(t: Column) -> Column:
-        def finish(v: Column) -> Column:
-            kind = expression_kind(v["text"], v["bare"])
-            return F.struct(
-                v["text"].alias("text"), kind.alias("kind"),
-                F.when(kind == "string", F.regexp_replace(v["text"], r"^[\"']|[\"']\z", "")).alias("literal"),
-                F.when(kind == "call", F.regexp_extract(v["bare"], rf"({ID})\s*\z", 1)).alias("callee"),
-                F.filter(v["flow"], lambda n: n != SOURCE).alias("refs"),
-                F.array_contains(v["flow"], SOURCE).alias("has_source"),
-                F.when(kind == "object", object_entries(v["text"])).alias("entries"))
-        return let(F.struct(t.alias("text"), _bare(t).alias("bare"), flow_names(t).alias("flow")), finish)
-    return let(F.trim(F.regexp_replace(raw, r"^\s+|\s+\z", "")), build)
-
-
-def _parameters(params: Column) -> Column:
-    """Parameters in order: name (null for patterns and rest), pattern text, decorators."""
-    def build(raw: Column) -> Column:
-        body = F.trim(F.regexp_replace(F.regexp_replace(raw, rf"@{ID}(?:\((?:[^()]|\([^()]*\)){{0,200}}\))?", ""),
-                                       r"^\s*(?:(?:public|private|protected|readonly)\s+)*", ""))
-        return let(F.struct(F.regexp_extract_all(raw, F.lit(f"@({ID})"), F.lit(1)).alias("decorators"), body.alias("body")), lambda v: F.struct(
-            F.nullif(F.regexp_extract(v["body"], rf"^({ID})", 1), F.lit("")).alias("name"),
-            F.when(v["body"].rlike(r"^[{\[]"), v["body"]).alias("pattern"), v["decorators"].alias("decorators")))
-    return F.transform(F.regexp_extract_all(params, F.lit(_ITEM), F.lit(0)), build)
-
-
-def _pattern_names(pattern: Column) -> Column:
-    """Names bound by a destructured parameter: shorthand, renamed and rest entries."""
-    entries = F.regexp_extract_all(F.regexp_extract(pattern, r"^\{([\s\S]*?)\}", 1), F.lit("[^,]+"), F.lit(0))
-    named = F.transform(entries, lambda x: F.regexp_extract(x, rf"^\s*(?:\.\.\.\s*|{ID}\s*:\s*)?({ID})\s*\z", 1))
-    return F.filter(named, lambda n: n != "")
 
-
-def _input_names(pattern: Column) -> Column:
-    wanted = "|".join(rules.PROCEDURE_INPUTS)
-    entries = F.regexp_extract_all(F.regexp_extract(pattern, r"^\{([\s\S]*?)\}", 1), F.lit("[^,]+"), F.lit(0))
-    named = F.transform(entries, lambda x: F.regexp_extract(x, rf"^\s*(?:(?:{wanted})\s*:\s*)?({ID})\s*\z", 1))
-    listed = F.filter(F.arrays_zip(entries.alias("e"), named.alias("n")),
-                      lambda z: z["e"].rlike(rf"^\s*(?:{wanted})\s*(?::|\z)") & (z["n"] != ""))
-    return F.transform(listed, lambda z: z["n"])
-
-
-def _functions(text: Column, lines: Column) -> Column:
-    closers = F.filter(F.transform(lines, lambda l, i: F.struct((i + 1).cast("int").alias("no"), F.length(F.regexp_extract(l, r"^([ \t]*)[)\]}]", 1)).alias("indent"),
-                                                                l.rlike(r"^[ \t]*[)\]}]").alias("closes"))), lambda c: c["closes"])
-    maps = F.filter(F.transform(lines, lambda l, i: F.struct((i + 1).cast("int").alias("no"), F.length(F.regexp_extract(l, r"^([ \t]*)", 1)).alias("indent"),
-                                                             l.rlike(rf"^[ \t]*[\"']?(?:{'|'.join(rules.GRAPHQL_MAPS)})[\"']?\s*:\s*\{{[ \t]*$").alias("opens"))), lambda m: m["opens"])
-
-    def end_of(no: Column, indent: Column, marks: Column) -> Column:
-        return F.array_min(F.transform(F.filter(marks, lambda c: (c["no"] > no) & (c["indent"] <= indent)), lambda c: c["no"]))
-
-    def build(h: Column) -> Column:
-        # groups: 1-4 function keyword, 5-8 arrow, 9-11 method
-        def part(group: int) -> Column:
-            return F.nullif(F.regexp_extract(h["hit"], FUNCTION, group), F.lit(""))
-        method = F.regexp_extract(F.concat(F.lit("\n"), h["hit"]), _METHOD, 2)
-        arrow = h["hit"].rlike(r"=>\s*\{?[ \t]*$")
-        keyword = h["hit"].rlike(r"\bfunction\b") & ~arrow
-        params = F.when(keyword, part(4)).when(arrow, F.coalesce(part(7), part(8))).otherwise(
-            F.regexp_extract(F.concat(F.lit("\n"), h["hit"]), _METHOD, 3))
-        name = F.when(keyword, F.coalesce(part(1), part(3))).when(arrow, part(5)).otherwise(method)
-        is_async = F.coalesce(F.when(keyword, part(2)).when(arrow, part(6)).otherwise(
-            F.nullif(F.regexp_extract(F.concat(F.lit("\n"), h["hit"]), _METHOD, 1), F.lit(""))), F.lit("")) != ""
-        kind = F.when(keyword, "function").when(arrow, "arrow").otherwise("method")
-        skipped = F.length(F.regexp_extract(h["hit"], r"^([ \t]*)", 1))
-        return F.struct(h["line"].alias("line"), (h["col"] + skipped).cast("int").alias("col"), name.alias("name"), kind.alias("kind"),
-                        is_async.alias("is_async"), h["hit"].rlike(r"\{[ \t]*$").alias("opens"), h["hit"].rlike(r"=>\s*$").alias("bare_arrow"),
-                        h["lead"].alias("lead"), _parameters(F.coalesce(params, F.lit(""))).alias("params"))
-
-    def finish(closing: Column, mapped: Column):
-        def one(f: Column) -> Column:
-            line_text = lines[f["line"] - 1]
-            indent = F.length(F.regexp_extract(line_text, r"^([ \t]*)", 1))
-            last = F.when(f["opens"], F.coalesce(end_of(f["line"], indent, closing), F.size(lines))).when(
-                f["bare_arrow"] & line_text.rlike(r"=>\s*$"), F.least(f["line"] + 1, F.size(lines))).otherwise(f["line"])
-            in_map = F.exists(mapped, lambda m: (m["no"] < f["line"]) & (F.length(F.regexp_extract(lines[m["no"]], r"^([ \t]*)", 1)) == indent) & (m["indent"] < indent)
-                              & (F.coalesce(end_of(m["no"], m["indent"], closing), F.size(lines)) >= f["line"])) & f["name"].isNotNull()
-            # no semicolon stands in a lead, so both parts are of one statement
-            in_procedure = (f["lead"].rlike(rf"\.\s*(?:{'|'.join(rules.PROCEDURE_CALLS)})\s*\(\s*$")
-                            & f["lead"].rlike(r"[Pp][Rr][Oo][Cc][Ee][Dd][Uu][Rr][Ee](?![0-9A-Za-z_$])|\.\s*input\s*\("))
-            second, first = F.get(f["params"], F.lit(1)), F.get(f["params"], F.lit(0))
-            none = F.array().cast("array<string>")
-            resolver = F.when(in_map & second.isNotNull(), F.when(second["name"].isNotNull(), F.array(second["name"])).otherwise(
-                F.coalesce(_pattern_names(second["pattern"]), none))).otherwise(none)
-            procedure = F.when(in_procedure, F.coalesce(_input_names(first["pattern"]), none)).otherwise(none)
-            decorated = F.transform(F.filter(f["params"], lambda p: p["name"].isNotNull() & F.arrays_overlap(
-                p["decorators"], F.array(*[F.lit(d) for d in rules.INPUT_DECORATORS]))), lambda p: p["name"])
-            return F.struct(f["line"], f["col"], last.cast("int").alias("end"), f["name"], f["kind"], f["is_async"], f["params"],
-                            resolver.alias("resolver"), procedure.alias("procedure"), decorated.alias("decorated"),
-                            (f["name"].isNotNull() | (F.size(resolver) > 0) | (F.size(procedure) > 0)).alias("is_carrier"))
-        return one
-
-    hits = F.transform(located(text, FUNCTION, {}), build)
-    named = F.transform(F.array(F.struct(closers.alias("c"), maps.alias("m"))), lambda s: F.transform(hits, finish(s["c"], s["m"])))
-    return named[0]
-
-
-def _inside(f: Column, line: Column, col: Column) -> Column:
-    return ((f["line"] < line) | ((f["line"] == line) & (f["col"] < col))) & (f["end"] >= line)
-
-
-def _nearest(fns: Column, line: Column, col: Column, carrier: bool = False) -> Column:
-    around = F.filter(fns, lambda f: _inside(f, line, col) & (f["is_carrier"] if carrier else F.lit(True)))
-    return F.array_max(F.transform(around, lambda f: F.struct(f["line"].alias("line"), f["col"].alias("col"))))
+def lex(files: DataFrame, keep: list[str]) -> Lexed:
+    """The token table of ``files`` (file_id, rel, code), written once; facts are read from it."""
+    kept = list(dict.fromkeys(["file_id", "rel", *keep]))
+    base = files.select(*kept, "code")
+    return Lexed(base, tok.stored_tokens(base.select("file_id", "code")), tuple(kept))
 
 
 def place_id(file_id: Column, place: Column) -> Column:
     return F.when(place.isNotNull(), F.concat_ws(":", file_id.cast("string"), place["line"].cast("string"), place["col"].cast("string")))
 
 
-@per_application
-def _fact_columns() -> dict[str, Column]:
-    """The fact expressions over ``_text``, ``_code``, ``_lines`` and ``fns``."""
-    text = F.col("_text")
-
-    # ``fns`` is bound once per row, since a column used inside a function over array elements
-    # could be computed again for every element
-    def call(h: Column, fns: Column) -> Column:
-        chain = F.regexp_replace(h["chain"], r"\s|\?|\.\s*\z", "")
-        chained = h["lead"].rlike(r"\.\s*\z")
-        return F.struct(
-            h["line"].alias("line"), h["col"].alias("col"),
-            F.when((chain == "") & ~chained, "id").otherwise("member").alias("kind"),
-            F.when(~chained & chain.rlike(rf"^{ID}\z"), chain).alias("obj"), h["name"].alias("name"),
-            F.transform(F.regexp_extract_all(h["args"], F.lit(_ITEM), F.lit(0)), _argument).alias("args"),
-            _nearest(fns, h["line"], h["col"]).alias("fn"), _nearest(fns, h["line"], h["col"], True).alias("carrier"))
-
-    def binding(h: Column, fns: Column) -> Column:
-        return let(flow_names(h["right"]), lambda flow: F.struct(
-            h["line"].alias("line"), h["col"].alias("col"), h["left"].alias("lhs"), h["right"].alias("right"),
-            F.filter(flow, lambda n: n != SOURCE).alias("refs"), F.array_contains(flow, SOURCE).alias("has_source"),
-            _nearest(fns, h["line"], h["col"]).alias("fn")))
-
-    def comparison(h: Column) -> Column:
-        def name(t: Column) -> Column:
-            return F.regexp_extract(t, rf"(?:^|\.)({ID})\z", 1)
-
-        def kind(t: Column) -> Column:
-            return (F.when(t.rlike("^[\"']"), "string").when(t.rlike(r"^\d"), "number").when(t == "", "other").otherwise("name"))
-        called = h["called"] != ""
-        return F.struct(h["line"].alias("line"), h["col"].alias("col"), h["op"].alias("op"), name(h["left"]).alias("left_name"), kind(h["left"]).alias("left_kind"),
-                        F.when(called, "").otherwise(name(h["right"])).alias("right_name"), F.when(called, "call").otherwise(kind(h["right"])).alias("right_kind"))
-
-    real_calls = F.filter(located(text, CALL, {"chain": 1, "name": 2, "args": 3, "block": 4}), lambda h: ~(
-        h["name"].isin(_NOT_CALLED) & (h["chain"] == "")) & (h["block"] == "") & ~h["lead"].rlike(r"(?:\bnew\s+|\bfunction\s*\*?\s*)\z"))
-    compared = located(text, COMPARISON, {"left": 1, "op": 2, "right": 3, "called": 4})
-    return {
-        "_text": F.concat(F.lit("\n"), clean(F.col("_code"))),
-        "fns": _functions(text, F.col("_lines")),
-        "calls": let(F.struct(F.col("fns").alias("fns"), real_calls.alias("hits")),
-                     lambda v: F.transform(v["hits"], lambda h: call(h, v["fns"]))),
-        "binds": let(F.struct(F.col("fns").alias("fns"), located(text, BINDING, {"left": 1, "right": 2}).alias("hits")),
-                     lambda v: F.transform(v["hits"], lambda h: binding(h, v["fns"]))),
-        "compares": F.transform(F.when(text.rlike("[=!]="), compared), comparison),
-        "imports": _imports(text),
-        "exports": _exports(text),
-    }
-
-
-def lex(files: DataFrame, keep: list[str]) -> DataFrame:
-    """All facts of each file as arrays in its row; write this once and explode what is needed.
-
-    ``files`` has file_id, rel and code. Only this step reads the code, and a reader of few facts
-    has only those computed.
-    """
-    facts, kept = _fact_columns(), list(dict.fromkeys(["file_id", "rel", *keep]))
-    base = files.select(*kept, F.col("code").alias("_code"))
-    base = base.withColumn("_text", facts["_text"]).withColumn("_lines", F.split("_text", "\n", -1)).withColumn("fns", facts["fns"])
-    return base.select(*kept, "fns", *[facts[n].alias(n) for n in ("calls", "binds", "compares", "imports", "exports")],
-                       F.split("_code", "\n", -1).alias("lines"))
-
-
-def _pairs(text: Column, pattern: str, build) -> Column:
-    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hit: build(lambda g: F.regexp_extract(hit, pattern, g))))
-
-
-def _entry(local: Column, source: Column, imported: Column) -> Column:
-    return F.struct(local.alias("local"), source.alias("source"), imported.alias("imported"))
-
-
-def _listed(names: Column, separator: str):
-    """(first, second) of every ``a``, ``a as b`` or ``a: b`` in a list; second defaults to first."""
-    items = F.filter(F.split(names, ","), lambda x: x.rlike(rf"^\s*{ID}(?:\s*{separator}\s*{ID})?\s*$"))
-    return F.transform(items, lambda x: F.struct(
-        F.regexp_extract(x, rf"^\s*({ID})", 1).alias("a"),
-        F.coalesce(F.nullif(F.regexp_extract(x, rf"{separator}\s*({ID})\s*$", 1), F.lit("")), F.regexp_extract(x, rf"^\s*({ID})", 1)).alias("b")))
-
-
-def _imports(text: Column) -> Column:
-    es = rf"(?<=\n)[ \t]*import\s+(?:type\s+)?(?:({ID})\s*,?\s*)?(?:\{{([^}}]*)\}}|\*\s+as\s+({ID}))?\s*from\s*[\"']([^\"'\n]+)[\"']"
-    whole = rf"(?<![0-9A-Za-z_$.])({ID})\s*=\s*require\(\s*[\"']([^\"'\n]+)[\"']\s*\)(?!\s*[.(\[])"
-    parts = r"\{([^{}]*)\}\s*=\s*require\(\s*[\"']([^\"'\n]+)[\"']\s*\)(?!\s*[.(\[])"
-
-    def from_es(g) -> Column:
-        own = F.array(F.when(g(1) != "", _entry(g(1), g(4), F.lit("default"))), F.when(g(3) != "", _entry(g(3), g(4), F.lit("*"))))
-        return F.array_compact(F.concat(own, F.transform(_listed(g(2), "as"), lambda x: _entry(x["b"], g(4), x["a"]))))
-    stripped_es = es.replace(r"(?<=\n)[ \t]*", "")
-    from_list = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(es), F.lit(0)), lambda hit: from_es(lambda i: F.regexp_extract(hit, stripped_es, i))))
-    return F.concat(from_list,
-                    _pairs(text, whole, lambda g: F.array(_entry(g(1), g(2), F.lit("*")))),
-                    _pairs(text, parts, lambda g: F.transform(_listed(g(1), ":"), lambda x: _entry(x["b"], g(2), x["a"]))))
-
-
-def _exports(text: Column) -> Column:
-    def pair(name: Column, local: Column) -> Column:
-        return F.struct(name.alias("export_name"), local.alias("local"))
-    named_fn = rf"\bexport\s+(?:async\s+)?function\s*\*?\s*({ID})"
-    clause = r"\bexport\s*\{([^}]*)\}(?!\s*from)"
-    default_fn = rf"\bexport\s+default\s+(?:async\s+)?function\s*\*?\s*({ID})"
-    default_id = rf"\bexport\s+default\s+(?!async\b|function\b|class\b|new\b)({ID})\s*(?:;|\n|$)"
-    whole = rf"(?<![0-9A-Za-z_$])(?:module\.exports|(?<!\.)exports)\s*=\s*(?!async\b|function\b)({ID})\s*(?:;|\n|$)"
-    whole_fn = rf"(?<![0-9A-Za-z_$])(?:module\.)?exports\s*=\s*(?:async\s+)?(?:function\b|{_PARAMS}\s*=>|{ID}\s*=>)"
-    table = rf"(?<![0-9A-Za-z_$])(?:module\.)?exports\s*=\s*\{{({_nested(3)})\}}"
-    single = rf"(?<![0-9A-Za-z_$])(?:module\.)?exports\.({ID})\s*=\s*(?:({ID})\s*(?:;|\n|$)|(?:async\s+)?(?:function\b|\())"
-
-    def from_table(g) -> Column:
-        items = F.regexp_extract_all(g(1), F.lit(_ITEM), F.lit(0))
-        return F.filter(F.transform(items, lambda x: pair(
-            F.regexp_extract(x, rf"^\s*({ID})\s*(?:$|:|\()", 1),
-            F.coalesce(F.nullif(F.regexp_extract(x, rf"^\s*{ID}\s*:\s*(?!async\b|function\b)({ID})\s*$", 1), F.lit("")), F.regexp_extract(x, rf"^\s*({ID})", 1)))),
-            lambda p: p["export_name"] != "")
-    return F.concat(
-        _pairs(text, named_fn, lambda g: F.array(pair(g(1), g(1)))),
-        _pairs(text, clause, lambda g: F.transform(_listed(g(1), "as"), lambda x: pair(x["b"], x["a"]))),
-        _pairs(text, default_fn, lambda g: F.array(pair(F.lit("default"), g(1)))),
-        _pairs(text, default_id, lambda g: F.array(pair(F.lit("default"), g(1)))),
-        _pairs(text, whole, lambda g: F.array(pair(F.lit("default"), g(1)))),
-        _pairs(text, whole_fn, lambda g: F.array(pair(F.lit("default"), F.lit("exports")))),
-        _pairs(text, table, from_table),
-        _pairs(text, single, lambda g: F.array(pair(g(1), F.when(g(2) != "", g(2)).otherwise(g(1))))))
-
-
-# ---- fact tables: one explode each -----------------------------------------------------------------
-
-
-def functions_of(lexed: DataFrame, keep: list[str]) -> DataFrame:
-    f = F.col("f")
-    rows = explode_once(lexed, ["file_id", *keep, "fns", "lines"], F.col("fns"), "f")
-    parent = _nearest(F.col("fns"), f["line"], f["col"])
-    return rows.select(
-        place_id(F.col("file_id"), f).alias("fn_id"), "file_id", *keep, f["name"].alias("name"), f["kind"].alias("kind"), f["is_async"].alias("is_async"),
-        (f["line"] - 1).alias("start_line"), (f["end"] - 1).alias("end_line"), f["col"].alias("col"), place_id(F.col("file_id"), parent).alias("parent_fn"),
-        f["is_carrier"].alias("is_carrier"), f["params"].alias("params"), f["resolver"].alias("resolver"), f["procedure"].alias("procedure"),
-        f["decorated"].alias("decorated"), F.array_join(F.slice("lines", f["line"] - 1, f["end"] - f["line"] + 1), "\n").alias("src"))
+def _unquoted(text: Column) -> Column:
+    return F.regexp_replace(text, r"^[\"'`]|[\"'`]\z", "")
 
 
-def params_of(lexed: DataFrame) -> DataFrame:
-    fns = explode_once(lexed, ["file_id"], F.col("fns"), "f")
-    each = explode_once(fns, [place_id(F.col("file_id"), F.col("f")).alias("fn_id")], F.col("f.params"), "p", "pos")
-    return each.select("fn_id", "pos", "p.name", "p.pattern", "p.decorators")
+def _op(*words: str) -> Column:
+    return (F.col("k") == "op") & F.col("t").isin(*words)
 
 
-def calls_of(lexed: DataFrame, keep: list[str]) -> DataFrame:
-    c = F.col("c")
-    return explode_once(lexed, ["file_id", *keep, "lines"], F.col("calls"), "c").select(
-        place_id(F.col("file_id"), c).alias("call_id"), "file_id", *keep, place_id(F.col("file_id"), c["fn"]).alias("fn_id"),
-        place_id(F.col("file_id"), c["carrier"]).alias("carrier_fn"), c["kind"].alias("callee_kind"), c["obj"].alias("obj"), c["name"].alias("name"),
-        (c["line"] - 1).alias("line"), c["col"].alias("col"), c["args"].alias("args"), F.col("lines")[c["line"] - 2].alias("source_line"))
+def _in_order(value: Column) -> Column:
+    """Token texts of a group in order."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(F.col("pos"), value.alias("v")))), lambda x: x["v"])
 
 
-def call_args_of(lexed: DataFrame) -> DataFrame:
-    rows = calls_of(lexed, []).select("call_id", "file_id", "carrier_fn", F.posexplode("args").alias("pos", "a"))
-    return rows.select("call_id", "file_id", "carrier_fn", "pos", "a.kind", "a.literal", "a.refs", "a.has_source",
-                       F.col("a.kind").isin("plus", "template").alias("is_built"))
+def _line_of(code: Column, line: Column) -> Column:
+    return F.get(F.split(code, "\n", -1), line - 1)
 
 
-def bindings_of(lexed: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    b = F.col("b")
-    return explode_once(lexed, ["file_id", *(keep or []), "lines"], F.col("binds"), "b").select(
-        "file_id", *(keep or []), place_id(F.col("file_id"), b["fn"]).alias("fn_id"), (b["line"] - 1).alias("line"), b["col"].alias("col"), b["lhs"].alias("lhs"),
-        b["right"].alias("right"), b["refs"].alias("refs"), b["has_source"].alias("has_source"), F.col("lines")[b["line"] - 2].alias("source_line"))
+# ---- groups of tokens --------------------------------------------------------------------------------
 
 
-def imports_of(lexed: DataFrame, keep: list[str]) -> DataFrame:
-    return explode_once(lexed, ["file_id", "rel", *keep], F.col("imports"), "i").select("file_id", "rel", *keep, "i.*")
+def chains(lexed: Lexed) -> DataFrame:
+    return lexed.once("chains", lambda: _chains(lexed))
 
 
-def exports_of(lexed: DataFrame) -> DataFrame:
-    """Exports with the first function of that name in the file; names bound to no function drop out."""
-    fn = F.filter(F.col("fns"), lambda f: f["name"] == F.col("e.local"))
-    first = F.array_min(F.transform(fn, lambda f: F.struct(f["line"].alias("line"), f["col"].alias("col"))))
-    return (explode_once(lexed, ["file_id", "fns"], F.col("exports"), "e")
-            .select("file_id", F.col("e.export_name").alias("export_name"), place_id(F.col("file_id"), first).alias("fn_id")).filter("fn_id is not null"))
+def _chains(lexed: Lexed) -> DataFrame:
+    """One row per operand that starts with a name: its names in order, whether it calls, and what it stands for.
 
+    ``flows`` is the name through which taint enters: the first name of an operand without calls, or ``SOURCE``
+    for request data. Operands behind ``!`` carry nothing.
+    """
+    grouped = lexed.tokens.filter("chain_k = 'id'").groupBy("file_id", "chain").agg(
+        F.first("chain_t").alias("root"), F.first("chain_before").alias("before"), F.first("chain_line").alias("line"), F.first("chain_col").alias("col"),
+        F.min_by(F.struct("inside", "region"), "pos").alias("at"), F.min(F.when(_op("("), F.col("pos"))).alias("call"),
+        F.array_sort(F.collect_list(F.struct("pos", "t", "k"))).alias("tokens"))
+    names = F.transform(F.filter("tokens", lambda x: x["k"] == "id"), lambda x: x["t"])
+    until = F.size(F.filter("tokens", lambda x: (x["k"] == "id") & (F.col("call").isNull() | (x["pos"] < F.col("call")))))
+    rows = grouped.withColumns({"names": names, "until": until})
+    called = F.get("names", F.col("until") - 1)
+    rooted = F.col("root").isin(rules.REQUEST_ROOTS)
+
+    def has_property(upto: Column) -> Column:
+        return F.arrays_overlap(F.slice("names", F.lit(2), F.greatest(upto, F.lit(0))), F.array(*[F.lit(p) for p in rules.REQUEST_PROPERTIES]))
+    member = rooted & F.col("call").isNull() & has_property(F.size("names") - 1)
+    request_call = rooted & F.col("call").isNotNull() & (F.col("until") > 1) & (
+        called.isin(rules.REQUEST_BODY_CALLS) | (called.isin(rules.REQUEST_GETTERS) & has_property(F.col("until") - 2)))
+    flows = F.when(F.coalesce(F.col("before") == "!", F.lit(False)), None).when(member | request_call, F.lit(SOURCE)).when(
+        F.col("call").isNull() & ~F.col("root").isin(_NOT_NAMES), F.col("root"))
+    return rows.select("file_id", "chain", "root", "line", "col", "call", "names", "at.*", flows.alias("flows"), member.alias("is_member"),
+                       request_call.alias("is_request_call"), F.array_join(F.transform("tokens", lambda x: x["t"]), "").alias("text"),
+                       F.array_join(F.transform(F.filter("tokens", lambda x: F.col("call").isNull() | (x["pos"] <= F.col("call"))), lambda x: x["t"]), "").alias("upto_call"))
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """Parts of brackets: their tokens of this level in order, without the separators."""
+    return rows.filter(~_op(",", ";")).groupBy("file_id", "par", "smin").agg(
+        F.first("last").alias("last"), F.array_sort(F.collect_list(F.struct("pos", "t", "k"))).alias("tokens"))
+
+
+def _insides(rows: DataFrame) -> DataFrame:
+    """The text of brackets, nested ones left out, as tokens with blanks between."""
+    return rows.groupBy("file_id", "par").agg(F.array_join(_in_order(F.col("t")), " ").alias("text"))
+
+
+def _flowing(lexed: Lexed, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """``spans`` (file_id, inside, region, from, to) with the names inside them that share their region.
+
+    A region is part of one statement, so a name meets only the spans around it and beside it.
+    """
+    names = chains(lexed).filter("flows is not null").select("file_id", "inside", "region", "chain", "flows")
+    hits = spans.join(names, ["file_id", "inside", "region"]).filter("chain >= `from` AND chain <= `to`")
+    found = hits.groupBy(*keys).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("chain", "flows"))), lambda x: x["flows"])).alias("_flow"))
+    none = F.array().cast("array<string>")
+    flow = F.coalesce("_flow", none)
+    return spans.join(found, keys, "left").withColumns({"refs": F.filter(flow, lambda n: n != SOURCE), "has_source": F.array_contains(flow, SOURCE)}).drop("_flow")
+
+
+# ---- functions ---------------------------------------------------------------------------------------
+
+
+def _function_spans(lexed: Lexed) -> DataFrame:
+    """Where functions start and end, their kind, name and parameters' place."""
+    t = lexed.tokens
+    anchor = t.filter("(t = '(' AND k = 'op') OR (k = 'id' AND next = '=>')").select(
+        "file_id", F.col("pos").alias("at"), F.col("t").alias("anchor"), F.col("l1").alias("a1"), F.col("l1_pos").alias("a1_pos"), F.col("l2").alias("a2"),
+        F.col("l2_pos").alias("a2_pos"), F.col("n2").alias("after"), F.col("n3_pos").alias("b_end"), F.col("n3_line").alias("b_line"), F.col("n3_end").alias("b_off"),
+        F.col("last").alias("p_end"), F.col("last_line").alias("p_line"), F.col("last_end").alias("p_off"), "par", "smin", "lvl")
+
+    def ends(braced: Column, place: Column, line: Column, offset: Column) -> Column:
+        return F.when(braced, F.struct(place.alias("end"), line.alias("end_line"), offset.alias("end_off"))).otherwise(
+            F.struct(F.col("p_end").alias("end"), F.col("p_line").alias("end_line"), F.col("p_off").alias("end_off")))
+    own_end = ends(F.col("after") == "{", F.col("b_end"), F.col("b_line"), F.col("b_off"))
+    keyword = t.filter("t = 'function' AND k = 'id' AND NOT linked").select(
+        "file_id", F.when(F.col("n1") == "(", F.col("n1_pos")).when(F.col("n2") == "(", F.col("n2_pos")).otherwise(F.col("n3_pos")).alias("at"), F.col("pos").alias("word"),
+        F.when(F.col("n1").rlike("^[A-Za-z_$]"), F.col("n1")).when((F.col("n1") == "*") & (F.col("n2") != "("), F.col("n2")).alias("own"),
+        F.col("l1").alias("b1"), F.col("l1_pos").alias("b1_pos"), F.col("l2").alias("b2"), F.col("l2_pos").alias("b2_pos"))
+    keyword = keyword.join(anchor, ["file_id", "at"]).select(
+        "file_id", "at", F.lit("function").alias("kind"), "own", "word", "b1", "b1_pos", "b2", "b2_pos", own_end.alias("e"), F.lit(None).cast("int").alias("from_part"))
+
+    arrows = t.filter("t = '=>' AND k = 'op'")
+    typed_result = F.col("l2").isin(":", "|", "&", "<", ",", ".") | (F.col("l1").isin(">", "]", "}") | F.col("l1_k").isin("string"))
+    body = F.when(F.col("n1") == "{", F.struct(F.col("n2_pos").alias("end"), F.col("n2_line").alias("end_line"), F.col("n2_end").alias("end_off"))).otherwise(
+        F.struct(F.col("last").alias("end"), F.col("last_line").alias("end_line"), F.col("last_end").alias("end_off")))
+    arrows = arrows.select("file_id", F.col("pos").alias("arrow"), "par", "smin", body.alias("e"), F.when(F.col("l1") == ")", F.col("l2_pos")).when(
+        ~F.coalesce(typed_result, F.lit(False)) & (F.col("l1_k") == "id"), F.col("l1_pos")).alias("at"))
+    # the parameters of an arrow with a result type are the last bracket before it in the part
+    typed = (arrows.filter("at IS NULL").drop("at").join(anchor.filter("anchor = '('").select("file_id", "par", "smin", F.col("at")), ["file_id", "par", "smin"])
+             .filter("at < arrow").groupBy("file_id", "arrow").agg(F.first("e").alias("e"), F.max("at").alias("at")))
+    arrows = arrows.filter("at IS NOT NULL").select("file_id", "at", "e").unionByName(typed.select("file_id", "at", "e"))
+    arrows = arrows.join(anchor, ["file_id", "at"]).select("file_id", "at", F.lit("arrow").alias("kind"), F.lit(None).cast("string").alias("own"), F.col("at").alias("word"),
+                                                         F.col("a1").alias("b1"), F.col("a1_pos").alias("b1_pos"), F.col("a2").alias("b2"), F.col("a2_pos").alias("b2_pos"), "e",
+                                                         F.lit(None).cast("int").alias("from_part"))
+
+    methods = t.filter("t = '(' AND k = 'op' AND l1_k = 'id' AND up = '{' AND (n2 = '{' OR (n2 = ':' AND NOT logical))").filter(
+        ~F.col("l1").isin(_NOT_METHODS) & ~F.coalesce(F.col("l2").isin("function", "new", *_DOTS, "=", "return", "await"), F.lit(False))
+        & ~F.coalesce((F.col("l2") == "*") & (F.col("prev3") == "function"), F.lit(False))).select(
+        "file_id", F.col("pos").alias("at"), F.lit("method").alias("kind"), F.col("l1").alias("own"), F.col("l1_pos").alias("word"), F.col("l2").alias("b1"), F.col("l2_pos").alias("b1_pos"),
+        F.lit(None).cast("string").alias("b2"), F.lit(None).cast("int").alias("b2_pos"),
+        F.when(F.col("n2") == "{", F.struct(F.col("n3_pos").alias("end"), F.col("n3_line").alias("end_line"), F.col("n3_end").alias("end_off"))).otherwise(
+            F.struct(F.col("last").alias("end"), F.col("last_line").alias("end_line"), F.col("last_end").alias("end_off"))).alias("e"), F.col("smin").alias("from_part"))
+
+    every = keyword.unionByName(arrows).unionByName(methods).withColumn("is_async", F.coalesce(F.col("b1") == "async", F.lit(False)))
+    named_by = F.when(F.col("kind") == "method", None).when(F.col("is_async"), F.when(F.col("b2").isin("=", ":"), F.col("b2_pos"))).when(F.col("b1").isin("=", ":"), F.col("b1_pos"))
+    every = every.withColumn("named_by", named_by)
+    given = t.filter(_op("=", ":")).select("file_id", F.col("pos").alias("named_by"), *_given())
+    every = every.join(given, ["file_id", "named_by"], "left")
+    start = F.coalesce("given_pos", F.when(F.col("kind") == "method", F.col("from_part")).when(F.col("is_async"), F.col("b1_pos")).otherwise(F.col("word")))
+    every = every.withColumns({"start": start, "name": F.coalesce("given", "own")})
+    places = t.select("file_id", F.col("pos").alias("start"), "line", "col", F.col("start").alias("start_off"), "up", "up_prev1", "up_prev2", "up_chain", "prev1")
+    return every.join(places, ["file_id", "start"]).select("file_id", "start", "e.*", "line", "col", "start_off", "kind", "name", "is_async", F.col("at").alias("params_at"),
+                                                        "up", "up_prev1", "up_prev2", "up_chain", "prev1")
+
+
+def _given() -> list[Column]:
+    """The name that an assignment or a colon gives its value to, and the name's place."""
+    typed = (F.col("t") != ":") & F.col("typed").isNotNull() & (F.col("typed_pos") - F.col("smin") <= 2) & (F.col("typed_pos") != F.col("l1_pos"))
+    return [F.when(typed, F.col("typed")).when(F.col("l1_k") == "id", F.col("l1")).alias("given"),
+            F.when(typed, F.col("typed_pos")).when(F.col("l1_k") == "id", F.col("l1_pos")).alias("given_pos")]
+
+
+def _bound_names(pattern: Column) -> Column:
+    """Names bound by a destructured parameter: shorthand, renamed and rest entries."""
+    named = F.transform(F.split(pattern, ","), lambda x: F.regexp_extract(x, rf"^\s*(?:\.\.\.\s*|{NAME}\s*:\s*)?({NAME})(?:\s*=.*)?\s*\z", 1))
+    return F.filter(named, lambda n: n != "")
+
+
+def _input_names(pattern: Column) -> Column:
+    wanted = "|".join(rules.PROCEDURE_INPUTS)
+    named = F.transform(F.split(pattern, ","), lambda x: F.regexp_extract(x, rf"^\s*((?:{wanted}))(?:\s*:\s*({NAME}))?\s*(?:=.*)?\z", 0))
+    return F.transform(F.filter(named, lambda n: n != ""), lambda n: F.regexp_extract(n, rf"({NAME})\s*(?:=.*)?\z", 1))
+
+
+def _all_functions(lexed: Lexed) -> DataFrame:
+    return lexed.once("functions", lambda: _functions(lexed))
+
+
+def _functions(lexed: Lexed) -> DataFrame:
+    """Function spans with parameters and with what frameworks hand them."""
+    spans, t = materialize(_function_spans(lexed), "spans"), lexed.tokens
+    within = _insides(t.filter("up IN ('{', '[')")).select("file_id", F.col("par").alias("opened"), F.col("text").alias("inner"))
+    parts = _parts(t.filter("up = '('")).withColumnRenamed("par", "params_at").join(spans.select("file_id", "params_at").distinct(), ["file_id", "params_at"])
+    text = F.concat(F.array_join(F.transform("tokens", lambda x: x["t"]), " "), F.lit(" "))
+    bare = F.regexp_replace(F.regexp_replace(text, rf"@ {NAME} (?:\. {NAME} )*(?:\( \) )?", ""), rf"^(?:(?:{_MODIFIERS}) )*", "")
+    decorators = F.transform(F.filter("tokens", lambda x, i: F.coalesce(F.get("tokens", i - 1)["t"] == "@", F.lit(False))), lambda x: x["t"])
+    opened = F.when(bare.rlike(r"^[{\[]"), F.get(F.filter("tokens", lambda x: x["t"].isin("{", "[")), F.lit(0))["pos"])
+    params = parts.select("file_id", "params_at", "smin", F.nullif(F.regexp_extract(bare, rf"^({NAME})", 1), F.lit("")).alias("name"), opened.alias("opened"), decorators.alias("decorators"))
+    params = params.join(within, ["file_id", "opened"], "left").withColumn("pattern", F.when(F.col("opened").isNotNull(), F.coalesce("inner", F.lit(""))))
+    listed = params.groupBy("file_id", "params_at").agg(F.transform(F.array_sort(F.collect_list(F.struct("smin", F.struct("name", "pattern", "decorators").alias("p")))),
+                                                                    lambda x: x["p"]).alias("params"))
+    # the only parameter of an arrow without brackets is its own anchor
+    single = t.filter("k = 'id' AND next = '=>'").select("file_id", F.col("pos").alias("params_at"), F.array(F.struct(
+        F.col("t").alias("name"), F.lit(None).cast("string").alias("pattern"), F.array().cast("array<string>").alias("decorators"))).alias("single"))
+    fns = spans.join(listed, ["file_id", "params_at"], "left").join(single, ["file_id", "params_at"], "left")
+    shape = "array<struct<name: string, pattern: string, decorators: array<string>>>"
+    fns = fns.withColumn("params", F.coalesce("params", "single", F.array().cast(shape)))
+    asked = chains(lexed).filter(F.exists("names", lambda n: F.lower(n).endswith("procedure") | (n == "input"))).select("file_id", F.col("chain").alias("up_chain"), F.lit(True).alias("_asked"))
+    fns = fns.join(asked, ["file_id", "up_chain"], "left")
+    none = F.array().cast("array<string>")
+    first, second = F.get("params", F.lit(0)), F.get("params", F.lit(1))
+    in_map = (F.col("up") == "{") & (F.col("up_prev1") == ":") & _unquoted(F.col("up_prev2")).isin(rules.GRAPHQL_MAPS) & F.col("name").isNotNull()
+    resolver = F.when(in_map & second.isNotNull(), F.when(second["name"].isNotNull(), F.array(second["name"])).otherwise(F.coalesce(_bound_names(second["pattern"]), none)))
+    asked_by = F.col("up_prev1").isin(rules.PROCEDURE_CALLS) & (F.col("up_prev2") == ".") & (F.col("up") == "(") & (F.col("prev1") == "(") & F.col("_asked")
+    procedure = F.when(asked_by, F.coalesce(_input_names(first["pattern"]), none))
+    handed = F.array(*[F.lit(d) for d in rules.INPUT_DECORATORS])
+    decorated = F.transform(F.filter("params", lambda p: p["name"].isNotNull() & F.arrays_overlap(p["decorators"], handed)), lambda p: p["name"])
+    fns = fns.withColumns({"resolver": F.coalesce(resolver, none), "procedure": F.coalesce(procedure, none), "decorated": decorated})
+    return fns.withColumn("is_carrier", F.col("name").isNotNull() | (F.size("resolver") > 0) | (F.size("procedure") > 0)).drop("single", "_asked")
+
+
+def _enclosed(points: DataFrame, fns: DataFrame, out: str, carrier: bool = False) -> DataFrame:
+    """``points`` (file_id, p) with the place of the nearest function around them.
+
+    Functions nest, so a running count of open ones gives the depth, and the latest one that reached a depth is
+    the one around everything there. Only facts and functions take part, not tokens.
+    """
+    around = fns.filter("is_carrier") if carrier else fns
+    payload = F.struct(*points.columns)
+    rows = points.select("file_id", F.col("p").alias("_p"), F.lit(0).alias("_kind"), payload.alias("_row"), F.lit(None).cast("struct<line: int, col: int>").alias("_fn"))
+    empty = F.lit(None).cast(points.select(payload.alias("r")).schema["r"].dataType)
+    starts = around.select("file_id", F.col("start").alias("_p"), F.lit(1).alias("_kind"), empty.alias("_row"), F.struct("line", "col").alias("_fn"))
+    ends = around.select("file_id", F.col("end").alias("_p"), F.lit(2).alias("_kind"), empty.alias("_row"), F.lit(None).cast("struct<line: int, col: int>").alias("_fn"))
+    order = Window.partitionBy("file_id").orderBy("_p", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    move = F.when(F.col("_kind") == 1, 1).when(F.col("_kind") == 2, -1).otherwise(0)
+    depth = rows.unionByName(starts).unionByName(ends).withColumn("_depth", F.sum(move).over(order))
+    level = Window.partitionBy("file_id", "_depth").orderBy("_p", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = depth.filter("_kind < 2").withColumn("_around", F.last("_fn", ignorenulls=True).over(level))
+    return found.filter("_kind = 0").select("_row.*", F.when(F.col("_depth") > 0, F.col("_around")).alias(out))
+
+
+def functions_of(lexed: Lexed, keep: list[str]) -> DataFrame:
+    fns = _all_functions(lexed)
+    rows = _enclosed(fns.withColumn("p", F.col("start")), fns, "parent")
+    rows = lexed.with_files(rows, keep, "code")
+    here = F.struct("line", "col")
+    return rows.select(
+        place_id(F.col("file_id"), here).alias("fn_id"), "file_id", *keep, "name", "kind", "is_async", F.col("line").alias("start_line"), "end_line", "col",
+        place_id(F.col("file_id"), F.col("parent")).alias("parent_fn"), "is_carrier", "params", "resolver", "procedure", "decorated", "start", "end",
+        F.substring(F.col("code"), F.col("start_off") + 1, F.col("end_off") - F.col("start_off")).alias("src"))
+
+
+def params_of(lexed: Lexed) -> DataFrame:
+    fns = _all_functions(lexed).select(place_id(F.col("file_id"), F.struct("line", "col")).alias("fn_id"), F.posexplode("params").alias("pos", "p"))
+    return fns.select("fn_id", "pos", "p.name", "p.pattern", "p.decorators")
+
+
+# ---- calls -------------------------------------------------------------------------------------------
+
+
+def _call_rows(lexed: Lexed) -> DataFrame:
+    """Opening brackets that call a name: not definitions, not constructors, not control words."""
+    chained = F.coalesce(F.col("l2").isin(_DOTS), F.lit(False))
+    alone = (F.col("run") == F.col("l1_pos")) & ~chained
+    defined = (F.col("n2") == "{") | ((F.col("n2") == ":") & ~F.col("logical") & F.coalesce(F.col("up") == "{", F.lit(True)) & ~F.coalesce(F.col("chain_before").isin("case", ":"), F.lit(False))
+                                      & (F.col("last") > F.col("n2_pos") + 2) & alone & (F.col("smin") == F.col("run")))
+    rows = lexed.tokens.filter("t = '(' AND k = 'op' AND linked AND l1_k = 'id'").filter(
+        ~F.coalesce(defined, F.lit(False)) & ~F.coalesce(F.col("l2").isin("function", "new") | (F.col("chain_before") == "new"), F.lit(False))
+        & ~F.coalesce((F.col("l2") == "*") & (F.col("prev3") == "function"), F.lit(False)) & ~(alone & F.col("l1").isin(_NOT_CALLED)))
+    one_step = (F.col("l1_pos") - F.col("run") == 2) & ~F.coalesce(F.col("run_before").isin(_DOTS), F.lit(False))
+    return rows.select("file_id", F.col("pos").alias("call"), F.when(alone, "id").otherwise("member").alias("callee_kind"), F.when(one_step, F.col("run_t")).alias("obj"),
+                       F.col("l1").alias("name"), F.col("run_line").alias("line"), F.col("run_col").alias("col"), F.col("run").alias("p"), "inside", "region")
+
+
+def _argument_kind() -> Column:
+    first, last, n = F.get("tokens", F.lit(0)), F.element_at("tokens", -1), F.size("tokens")
+
+    def some(test) -> Column:
+        return F.exists("tokens", test)
+    template = (first["k"] == "template") & F.forall("tokens", lambda x: (x["k"] == "template") | (x["t"] == "}"))
+    words = F.forall("tokens", lambda x: (x["k"] == "id") | x["t"].isin(*_DOTS, "[", "]"))
+    return (F.when((n == 1) & (first["k"] == "string"), "string").when(template, F.when(n > 1, "template").otherwise("plain-template"))
+            .when(some(lambda x: (x["k"] == "op") & (x["t"] == "=>")) | (first["t"] == "function") | ((first["t"] == "async") & (F.get("tokens", F.lit(1))["t"] == "function")), "function")
+            .when(some(lambda x: (x["k"] == "op") & x["t"].isin("||", "&&", "??", "?")), "logical").when(some(lambda x: (x["k"] == "op") & (x["t"] == "+")), "plus")
+            .when(first["t"] == "{", "object").when(first["t"] == "[", "array").when(first["k"] == "number", "number").when((n == 1) & (first["k"] == "id"), "identifier")
+            .when(first["t"] == "await", "await").when((first["k"] == "id") & (first["t"] != "new") & (last["t"] == ")"), "call").when(words & (first["k"] == "id"), "member").otherwise("other"))
+
+
+def _entries(lexed: Lexed) -> DataFrame:
+    """Keys and value texts of objects that stand as arguments, by the object's brace."""
+    t = lexed.tokens
+    lists = _insides(t.filter("up = '[' AND up_prev1 = ':'")).select("file_id", F.col("par").alias("list"), F.col("text").alias("items"))
+    parts = _parts(t.filter("up = '{' AND up_prev1 IN ('(', ',')"))
+    key, value = F.get("tokens", F.lit(0)), F.when(F.get("tokens", F.lit(1))["t"] == ":", F.slice("tokens", F.lit(3), F.size("tokens")))
+    text = F.array_join(F.transform(value, lambda x: x["t"]), " ")
+    rows = parts.filter(key["k"].isin("id", "string")).select("file_id", "par", "smin", _unquoted(key["t"]).alias("key"), F.coalesce(text, F.lit("")).alias("value"),
+                                                             F.when(F.get(value, F.lit(0))["t"] == "[", F.get(value, F.lit(0))["pos"]).alias("list"))
+    rows = rows.join(lists, ["file_id", "list"], "left").withColumn("value", F.when(F.col("list").isNotNull(), F.concat(F.lit("["), F.coalesce("items", F.lit("")), F.lit("]"))).otherwise(F.col("value")))
+    return rows.groupBy("file_id", F.col("par").alias("object")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("smin", F.struct("key", "value").alias("e")))), lambda x: x["e"]).alias("entries"))
+
+
+def _argument_rows(lexed: Lexed, calls: DataFrame) -> DataFrame:
+    parts = _parts(lexed.tokens.filter("up = '('")).withColumnRenamed("par", "call").join(calls.select("file_id", "call", "inside", "region"), ["file_id", "call"])
+    spans = _flowing(lexed, parts.withColumns({"from": F.col("smin"), "to": F.col("last")}), ["file_id", "call", "smin"])
+    kind = _argument_kind()
+    rows = spans.withColumn("kind", kind)
+    first = F.get("tokens", F.lit(0))
+    rows = rows.select("file_id", "call", "smin", "kind", F.when(F.col("kind") == "string", _unquoted(first["t"])).alias("literal"),
+                       F.when(F.col("kind") == "call", F.element_at(F.filter("tokens", lambda x: x["k"] == "id"), -1)["t"]).alias("callee"), "refs", "has_source",
+                       F.when(F.col("kind") == "object", first["pos"]).alias("object"))
+    return rows.join(_entries(lexed), ["file_id", "object"], "left")
+
+
+def _calls(lexed: Lexed) -> DataFrame:
+    """Calls with their arguments and the functions around them."""
+    calls = _call_rows(lexed)
+    given = _argument_rows(lexed, calls)
+    args = given.groupBy("file_id", "call").agg(F.transform(F.array_sort(F.collect_list(F.struct("smin", F.struct(
+        "kind", "literal", "callee", "refs", "has_source", "entries").alias("a")))), lambda x: x["a"]).alias("args"))
+    none = F.array().cast(args.schema["args"].dataType)
+    rows = calls.drop("inside", "region").join(args, ["file_id", "call"], "left").withColumn("args", F.coalesce("args", none))
+    fns = _all_functions(lexed)
+    return _enclosed(_enclosed(rows, fns, "fn"), fns, "carrier", carrier=True)
+
+
+def calls_of(lexed: Lexed, keep: list[str], with_line: bool = True) -> DataFrame:
+    rows = lexed.with_files(lexed.once("calls", lambda: _calls(lexed)), keep, *(["code"] if with_line else []))
+    here, line = F.struct("line", "col"), [_line_of(F.col("code"), F.col("line")).alias("source_line")] if with_line else []
+    return rows.select(place_id(F.col("file_id"), here).alias("call_id"), "file_id", *keep, place_id(F.col("file_id"), F.col("fn")).alias("fn_id"),
+                       place_id(F.col("file_id"), F.col("carrier")).alias("carrier_fn"), "callee_kind", "obj", "name", "line", "col", "args", "p", *line)
+
+
+def call_args_of(lexed: Lexed) -> DataFrame:
+    rows = calls_of(lexed, [], with_line=False).select("call_id", "file_id", "carrier_fn", F.posexplode("args").alias("pos", "a"))
+    return rows.select("call_id", "file_id", "carrier_fn", "pos", "a.kind", "a.literal", "a.refs", "a.has_source",
+                       F.col("a.kind").isin("plus", "template").alias("is_built"))
 
-def comparisons_of(lexed: DataFrame, keep: list[str]) -> DataFrame:
-    return explode_once(lexed, ["file_id", *keep, "lines"], F.col("compares"), "m").select(
-        "file_id", *keep, (F.col("m.line") - 1).alias("line"), "m.col", "m.op", "m.left_name", "m.left_kind", "m.right_name", "m.right_kind",
-        F.col("lines")[F.col("m.line") - 2].alias("source_line"))
+
+# ---- bindings, comparisons ---------------------------------------------------------------------------
+
+
+def _bindings(lexed: Lexed) -> DataFrame:
+    """Names and what their values refer to; ``draws_random`` tells of Math.random() anywhere in the value."""
+    t = lexed.tokens
+    typed = F.col("typed").isNotNull() & (F.col("typed_pos") - F.col("smin") <= 2) & (F.col("typed_pos") != F.col("l1_pos"))
+    simple = (F.col("l1_k") == "id") & ~F.coalesce(F.col("l2").isin(_DOTS), F.lit(False)) & ~F.col("l1").isin(_NOT_NAMES)
+    rows = t.filter((F.col("k") == "op") & F.col("t").isin(tok.ASSIGNMENTS) & (typed | simple)).select(
+        "file_id", F.col("pos").alias("assign"), F.when(typed, F.col("typed")).otherwise(F.col("l1")).alias("lhs"),
+        F.when(typed, F.col("typed_line")).otherwise(F.col("run_line")).alias("line"), F.when(typed, F.col("typed_col")).otherwise(F.col("run_col")).alias("col"),
+        F.when(typed, F.col("typed_pos")).otherwise(F.col("l1_pos")).alias("p"), "inside", "region", (F.col("pos") + 1).alias("from"),
+        # a value with a logical or arrow operator carries nothing
+        F.when(F.col("logical"), F.lit(-1)).otherwise(F.col("last")).alias("to"), F.col("last").alias("value_end"))
+    rows = _flowing(lexed, rows, ["file_id", "assign"])
+    random = chains(lexed).filter("root = 'Math' AND names[1] = 'random' AND call IS NOT NULL").select("file_id", F.col("chain").alias("drawn"))
+    drawing = rows.select("file_id", "assign", "value_end").join(random, "file_id").filter("drawn > assign AND drawn <= value_end").select("file_id", "assign").distinct()
+    rows = rows.join(drawing.withColumn("draws_random", F.lit(True)), ["file_id", "assign"], "left").withColumn("draws_random", F.coalesce("draws_random", F.lit(False)))
+    return _enclosed(rows, _all_functions(lexed), "fn")
+
+
+def bindings_of(lexed: Lexed, keep: list[str] | None = None, with_line: bool = True) -> DataFrame:
+    keep = keep or []
+    rows = lexed.with_files(lexed.once("bindings", lambda: _bindings(lexed)), keep, *(["code"] if with_line else []))
+    line = [_line_of(F.col("code"), F.col("line")).alias("source_line")] if with_line else []
+    return rows.select("file_id", *keep, place_id(F.col("file_id"), F.col("fn")).alias("fn_id"), "line", "col", "lhs", "refs", "has_source", "draws_random", *line)
+
+
+def comparisons_of(lexed: Lexed, keep: list[str]) -> DataFrame:
+    operands = chains(lexed).select("file_id", "chain", "call", "text", F.col("line").alias("l"), F.col("col").alias("c"))
+    named = F.regexp_extract("text", rf"(?:^|\.)({NAME})\z", 1)
+    left = operands.select("file_id", F.col("chain").alias("l1_chain"), F.col("call").alias("l_call"), named.alias("l_name"), "l", "c")
+    right = operands.select("file_id", F.col("chain").alias("n1_pos"), F.col("call").alias("r_call"), named.alias("r_name"))
+    rows = lexed.tokens.filter(_op(*_COMPARED)).select("file_id", "pos", F.col("t").alias("op"), "line", "col", "l1", "l1_k", "l1_chain", "n1", "n1_pos").join(
+        left, ["file_id", "l1_chain"], "left").join(right, ["file_id", "n1_pos"], "left")
+
+    def literal(text: Column) -> Column:
+        return F.when(text.rlike("^[\"']"), "string").when(text.rlike("^[0-9]"), "number")
+    here = F.col("l").isNotNull() & F.col("l_call").isNull()
+    rows = rows.select(
+        "file_id", F.when(here, F.col("l")).otherwise(F.col("line")).alias("line"), F.when(here, F.col("c")).otherwise(F.col("col")).alias("col"), "op",
+        F.when(here, F.col("l_name")).otherwise("").alias("left_name"), F.coalesce(literal(F.col("l1")), F.when(here, "name"), F.lit("other")).alias("left_kind"),
+        F.when(F.col("r_call").isNull(), F.coalesce("r_name", F.lit(""))).otherwise("").alias("right_name"),
+        F.coalesce(literal(F.col("n1")), F.when(F.col("r_call").isNotNull(), "call"), F.when(F.col("r_name").isNotNull(), "name"), F.lit("other")).alias("right_kind"))
+    return lexed.with_files(rows, keep, "code").select("file_id", *keep, "line", "col", "op", "left_name", "left_kind", "right_name", "right_kind",
+                                                     _line_of(F.col("code"), F.col("line")).alias("source_line"))
+
+
+# ---- imports, exports --------------------------------------------------------------------------------
+
+
+def _listed(names: Column, separator: str) -> Column:
+    """(a, b) of every ``a``, ``a as b`` or ``a : b`` of a list; b defaults to a."""
+    items = F.filter(F.split(names, ","), lambda x: x.rlike(rf"^\s*(?:type )?{NAME}(?:\s*{separator}\s*{NAME})?\s*\z"))
+    return F.transform(items, lambda x: F.struct(F.regexp_extract(x, rf"^\s*(?:type )?({NAME})", 1).alias("a"), F.regexp_extract(x, rf"({NAME})\s*\z", 1).alias("b")))
+
+
+def imports_of(lexed: Lexed, keep: list[str]) -> DataFrame:
+    t = lexed.tokens
+    braces = _insides(t.filter("up = '{'")).select("file_id", F.col("par").alias("opened"), F.col("text").alias("names"))
+    begins = t.filter("t = '{' AND k = 'op'").select("file_id", F.col("pos").alias("opened"), F.col("l1").alias("o1"), F.col("l2").alias("o2"))
+    froms = t.filter("t = 'from' AND lvl = 0 AND l1 IS NOT NULL").filter(F.col("n1").rlike("^[\"']")).select(
+        "file_id", _unquoted(F.col("n1")).alias("source"), "l1", "l2", F.when(F.col("l1") == "}", F.col("l2_pos")).alias("opened"))
+    froms = froms.join(braces, ["file_id", "opened"], "left").join(begins, ["file_id", "opened"], "left")
+
+    def entry(local: Column, imported: Column) -> Column:
+        return F.struct(local.alias("local"), imported.alias("imported"))
+    default = F.when(F.col("l2").isin("import", "type"), F.col("l1")).when((F.col("o1") == ",") & F.col("o2").rlike(f"^{NAME}"), F.col("o2"))
+    named = F.when(F.col("o1").isin("import", "type", ","), F.transform(_listed(F.col("names"), "as"), lambda x: entry(x["b"], x["a"])))
+    none = F.array().cast("array<struct<local: string, imported: string>>")
+    own = F.array_compact(F.array(F.when(default.isNotNull(), entry(default, F.lit("default"))), F.when(F.col("l2") == "as", entry(F.col("l1"), F.lit("*")))))
+    es = froms.select("file_id", "source", F.explode(F.concat(own, F.coalesce(named, none))).alias("i"))
+
+    required = t.filter("t = 'require' AND k = 'id' AND NOT linked AND l1 = '=' AND n1 = '('").select("file_id", F.col("pos").alias("chain"), F.col("n1_pos").alias("par"), "l2", "l2_k", "l2_pos")
+    plain = chains(lexed).filter("text = 'require()'").select("file_id", "chain")
+    arg = t.filter("up = '(' AND up_prev1 = 'require' AND k = 'string'").select("file_id", "par", _unquoted(F.col("t")).alias("source"))
+    closes = t.filter("t = '}' AND k = 'op'").select("file_id", F.col("pos").alias("l2_pos"), F.col("l1_pos").alias("opened"))
+    required = required.join(plain, ["file_id", "chain"]).join(arg, ["file_id", "par"]).join(closes, ["file_id", "l2_pos"], "left").join(braces, ["file_id", "opened"], "left")
+    found = F.when(F.col("l2_k") == "id", F.array(entry(F.col("l2"), F.lit("*")))).when(F.col("l2") == "}", F.transform(_listed(F.col("names"), ":"), lambda x: entry(x["b"], x["a"])))
+    cjs = required.select("file_id", "source", F.explode(F.coalesce(found, none)).alias("i"))
+    rows = es.unionByName(cjs).select("file_id", "i.local", "source", "i.imported")
+    return lexed.with_files(rows, ["rel", *keep]).select("file_id", "rel", *keep, "local", "source", "imported")
+
+
+def _export_names(lexed: Lexed) -> DataFrame:
+    """(file_id, export_name, local) of export statements and of assignments to the module's exports."""
+    t = lexed.tokens
+    braces = _insides(t.filter("up = '{'")).select("file_id", F.col("par").alias("opened"), F.col("text").alias("names"))
+
+    def pairs(rows: DataFrame, name: Column, local: Column) -> DataFrame:
+        return rows.select("file_id", name.alias("export_name"), local.alias("local"))
+    word = F.when(F.col("n1") == "*", F.col("n2")).otherwise(F.col("n1"))
+    before = F.when(F.col("l1") == "async", F.col("l2")).otherwise(F.col("l1"))
+    fns = t.filter("t = 'function' AND k = 'id'").withColumns({"word": word, "before": before}).filter(F.col("word").rlike("^[A-Za-z_$]"))
+    out = pairs(fns.filter("before = 'export'"), F.col("word"), F.col("word")).unionByName(pairs(fns.filter("before = 'default'"), F.lit("default"), F.col("word")))
+    kept = t.filter("t IN ('const', 'let', 'var') AND l1 = 'export'").filter(F.col("n1").rlike("^[A-Za-z_$]"))
+    out = out.unionByName(pairs(kept, F.col("n1"), F.col("n1")))
+    ends = F.coalesce(F.col("n2") == ";", F.lit(True)) | (F.col("last") == F.col("n1_pos"))
+    simple = F.col("n1").rlike("^[A-Za-z_$]") & ~F.col("n1").isin("async", "function", "class", "new") & ends
+    out = out.unionByName(pairs(t.filter("t = 'default' AND l1 = 'export'").filter(simple), F.lit("default"), F.col("n1")))
+    clause = t.filter("t = '{' AND k = 'op' AND l1 = 'export' AND (n2 IS NULL OR n2 <> 'from')").select("file_id", F.col("pos").alias("opened")).join(braces, ["file_id", "opened"])
+    out = out.unionByName(clause.select("file_id", F.explode(_listed(F.col("names"), "as")).alias("x")).select("file_id", F.col("x.b").alias("export_name"), F.col("x.a").alias("local")))
+
+    targets = chains(lexed).filter(r"text RLIKE '^(module\\.)?exports(\\.[A-Za-z_$][0-9A-Za-z_$]*)?$'").select("file_id", F.col("chain").alias("l1_chain"), "text")
+    given = t.filter("t = '=' AND k = 'op'").select("file_id", "l1_chain", "n1", "n1_pos", "logical", ends.alias("ends"), simple.alias("simple")).join(targets, ["file_id", "l1_chain"])
+    whole = given.filter("text IN ('exports', 'module.exports')")
+    single = given.filter("text NOT IN ('exports', 'module.exports')").withColumn("member", F.element_at(F.split("text", r"\."), -1))
+    out = out.unionByName(pairs(whole.filter("simple AND NOT logical"), F.lit("default"), F.col("n1")))
+    out = out.unionByName(pairs(whole.filter("n1 IN ('function', 'async') OR logical"), F.lit("default"), F.lit("exports")))
+    out = out.unionByName(pairs(single, F.col("member"), F.when(F.col("simple") & ~F.col("logical"), F.col("n1")).otherwise(F.col("member"))))
+    listed = whole.filter("n1 = '{'").select("file_id", F.col("n1_pos").alias("par")).join(_parts(t.filter("up = '{' AND up_prev1 = '='")), ["file_id", "par"])
+    key = F.regexp_extract(F.get("tokens", F.lit(0))["t"], rf"^({NAME})\z", 1)
+    value = F.when((F.size("tokens") == 3) & (F.get("tokens", F.lit(1))["t"] == ":") & (F.get("tokens", F.lit(2))["k"] == "id"), F.get("tokens", F.lit(2))["t"])
+    return out.unionByName(pairs(listed.filter(key != ""), key, F.coalesce(value, key)))
+
+
+def exports_of(lexed: Lexed) -> DataFrame:
+    """Exports with the first function of that name in the file; names bound to no function drop out."""
+    first = _all_functions(lexed).filter("name IS NOT NULL").groupBy("file_id", F.col("name").alias("local")).agg(F.min(F.struct("line", "col")).alias("fn"))
+    return _export_names(lexed).distinct().join(first, ["file_id", "local"]).select("file_id", "export_name", place_id(F.col("file_id"), F.col("fn")).alias("fn_id"))

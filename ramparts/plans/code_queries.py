@@ -9,7 +9,6 @@ from ramparts.operators import code, facts, fixes, surface
 from ramparts.plans import code_scan, fact_queries
 from ramparts.plans.catalog import long, query
 from ramparts.plans.surface_queries import web
-from ramparts.session import materialize
 from ramparts.sources.code_files import classify_unit, code_files
 from ramparts.sources.derived import table
 
@@ -31,8 +30,7 @@ def files(spark, sf) -> DataFrame:
     return code_files(sources(spark, sf, "code"))
 
 
-def lexed(spark, sf) -> DataFrame:
-    """Unwritten facts: a query that needs one kind of fact computes only that kind."""
+def lexed(spark, sf) -> facts.Lexed:
     return facts.lex(files(spark, sf), ["unit"])
 
 
@@ -47,7 +45,7 @@ def lex_functions(spark, sf):
 
 @query
 def lex_calls(spark, sf):
-    calls = facts.calls_of(facts.lex(sources(spark, sf, "mod"), []), [])
+    calls = facts.calls_of(facts.lex(sources(spark, sf, "mod"), []), [], with_line=False)
     first = F.get("args", F.lit(0))
     return calls.select("file_id", "callee_kind", "obj", "name", long("line"), long("col"), F.size("args").cast("bigint").alias("n_args"),
                         first["kind"].alias("arg0_kind"), F.array_join(first["refs"], ",").alias("arg0_refs"), F.col("fn_id").isNotNull().alias("in_function"))
@@ -55,7 +53,7 @@ def lex_calls(spark, sf):
 
 @query
 def lex_bindings(spark, sf):
-    binds = facts.bindings_of(facts.lex(sources(spark, sf, "mod"), []))
+    binds = facts.bindings_of(facts.lex(sources(spark, sf, "mod"), []), with_line=False)
     return binds.select("file_id", long("line"), "lhs", F.array_join("refs", ",").alias("refs"), "has_source")
 
 
@@ -73,20 +71,20 @@ def lex_exports(spark, sf):
 
 @query
 def src_request_member(spark, sf):
-    text = sources(spark, sf, "code")
-    return text.select("file_id", F.explode(F.regexp_extract_all("code", F.lit(facts.REQUEST_MEMBER), F.lit(0))).alias("member"))
+    found = facts.chains(facts.lex(sources(spark, sf, "code"), [])).filter("is_member")
+    return found.select("file_id", F.col("text").alias("member"))
 
 
 @query
 def src_request_call(spark, sf):
-    text = sources(spark, sf, "fw")
-    return text.select("file_id", F.explode(F.regexp_extract_all("code", F.lit(facts.REQUEST_CALL), F.lit(0))).alias("call"))
+    found = facts.chains(facts.lex(sources(spark, sf, "fw"), [])).filter("is_request_call")
+    return found.select("file_id", F.col("upto_call").alias("call"))
 
 
 def _framework(spark, sf, reason: str) -> DataFrame:
     seeds = code_scan.framework_seeds(facts.lex(sources(spark, sf, "fw"), []))
     return seeds.filter(F.col("reason") == reason).select(F.split_part("fn_id", F.lit(":"), F.lit(1)).cast("bigint").alias("file_id"),
-                                                          (F.split_part("fn_id", F.lit(":"), F.lit(2)).cast("bigint") - 1).alias("line"), "name")
+                                                          F.split_part("fn_id", F.lit(":"), F.lit(2)).cast("bigint").alias("line"), "name")
 
 
 @query
@@ -191,8 +189,8 @@ def det_race_toctou(spark, sf):
 @query
 def det_object_authz(spark, sf):
     from ramparts.operators import taint
-    text = materialize(lexed(spark, sf).select("file_id", "rel", "unit", "fns", "calls", "binds", "lines"), "handlers")
-    binds = facts.bindings_of(text).filter("fn_id is not null")
+    text = lexed(spark, sf)
+    binds = facts.bindings_of(text, with_line=False).filter("fn_id is not null")
     tainted = taint.closure(taint.source_seeds(binds), taint.binding_edges(binds.select("fn_id", "lhs", F.explode("refs").alias("ref"))))
     return code.object_authorization(text, tainted, ["rel", "unit"]).select(*_PLACE).withColumn("line", long("line"))
 

@@ -25,17 +25,17 @@ def scope_of(files: DataFrame) -> list[str]:
     return ["repo"] if "repo" in files.columns else []
 
 
-def lexed_files(files: DataFrame) -> DataFrame:
-    """Facts of code files, written once since every detector reads them."""
-    return materialize(facts.lex(files, ["unit", *scope_of(files)]), "lexed")
+def lexed_files(files: DataFrame) -> facts.Lexed:
+    """The token table of code files, written once since every detector reads it."""
+    return facts.lex(files, ["unit", *scope_of(files)])
 
 
-def argument_flow(lexed: DataFrame) -> DataFrame:
+def argument_flow(lexed: facts.Lexed) -> DataFrame:
     """Call arguments with the parameter they reach: fn_id (the carrier), ref, has_source, callee_fn, param."""
-    scope = scope_of(lexed)
-    calls = facts.calls_of(lexed, scope).filter("carrier_fn is not null and size(args) > 0")
+    scope = scope_of(lexed.files)
+    calls = facts.calls_of(lexed, scope, with_line=False).filter("carrier_fn is not null and size(args) > 0")
     imports = facts.imports_of(lexed, scope)
-    targets = resolve.resolve_modules(imports, lexed.select("file_id", "rel", *scope), scope)
+    targets = resolve.resolve_modules(imports, lexed.files.select("file_id", "rel", *scope), scope)
     slim = calls.select(*scope, "call_id", "file_id", "carrier_fn", "callee_kind", "obj", "name",
                         F.transform("args", lambda a: F.struct(a["refs"].alias("refs"), a["has_source"].alias("has_source"))).alias("args"))
     resolved = resolve.resolve_calls(slim, targets, facts.functions_of(lexed, scope).select(*scope, "fn_id", "file_id", "name"),
@@ -46,7 +46,7 @@ def argument_flow(lexed: DataFrame) -> DataFrame:
     return resolve.match_parameters(each, params, ["call_id"]).filter("param is not null")
 
 
-def framework_seeds(lexed: DataFrame) -> DataFrame:
+def framework_seeds(lexed: facts.Lexed) -> DataFrame:
     """Decorated parameters, resolver arguments and procedure inputs as (fn_id, name, reason)."""
     fns = facts.functions_of(lexed, [])
 
@@ -55,17 +55,17 @@ def framework_seeds(lexed: DataFrame) -> DataFrame:
     return named("decorated", "decorator").unionByName(named("resolver", "graphql")).unionByName(named("procedure", "procedure"))
 
 
-def taint_of(lexed: DataFrame) -> DataFrame:
+def taint_of(lexed: facts.Lexed) -> DataFrame:
     """Local and interprocedural taint in one closure."""
     flow = materialize(argument_flow(lexed), "flow")
-    binds = facts.bindings_of(lexed).filter("fn_id is not null")
+    binds = facts.bindings_of(lexed, with_line=False).filter("fn_id is not null")
     edges = taint.binding_edges(binds.select("fn_id", "lhs", F.explode("refs").alias("ref"))).unionByName(
         taint.argument_edges(flow.select("fn_id", "callee_fn", "param", F.explode("refs").alias("ref"))))
     seeds = taint.source_seeds(binds, flow).unionByName(framework_seeds(lexed).select("fn_id", "name"))
     return taint.closure(seeds, edges)
 
 
-def call_sites(lexed: DataFrame, tainted: DataFrame, keep: list[str]) -> DataFrame:
+def call_sites(lexed: facts.Lexed, tainted: DataFrame, keep: list[str]) -> DataFrame:
     """Call sites with the flag whether argument 0 is tainted in the nearest function."""
     calls = facts.calls_of(lexed, keep)
     refs = F.coalesce(F.get("args", F.lit(0))["refs"], F.array().cast("array<string>"))

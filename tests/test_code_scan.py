@@ -288,9 +288,78 @@ def test_own_detector_joins_the_scan(spark):
     ("req.user", ["req"]), ("a[b]", ["a"]), ("xs.map(x => q(x))", []), ("null", []), ("12", []), ("'text'", []), ("req.body.a || \"\"", []),
 ])
 def test_flow_names(spark, expression, names):
-    from pyspark.sql import functions as F
-    row = spark.range(1).select(facts.flow_names(F.lit(expression)).alias("n")).first()
-    assert sorted(row.n) == sorted(names)
+    lexed = facts.lex(spark.createDataFrame([(1, "a.js", f"const taken = 1;\nsink({expression});\n")], "file_id long, rel string, code string"), [])
+    call = facts.calls_of(lexed, []).filter("name = 'sink'").first()
+    refs = {n for a in call.args for n in a.refs} | ({facts.SOURCE} if any(a.has_source for a in call.args) else set())
+    assert sorted(refs) == sorted(names)
+
+
+def flow(sql, before="const wanted = req.query.id;"):
+    return "exports.show = async (req, res) => {\n  " + before + "\n  return pool.query(" + sql + ");\n};\n"
+
+
+DEEP = {
+    "plain": flow('"SELECT " + wanted'),
+    "long": flow(" + ".join(f'"part {i} (" + n{i}' for i in range(1000)) + " + wanted"),
+    "calls": flow('"SELECT " + ' + "f(" * 40 + "wanted" + ")" * 40),
+    "groups": flow('"SELECT " + ' + "(" * 40 + "wanted" + ")" * 40),
+    "steps": flow('"SELECT " + found', "const found = req.query" + "".join(f".step{i}[{i}]" for i in range(60)) + ";"),
+    "template": flow("`SELECT ${ pick(`'${wanted}'`, { a: \"}\" }) } FROM t`"),
+    "own_line": flow('"SELECT " + wanted').replace("=> {", "=>\n{"),
+    "one_line": flow('"SELECT " + wanted').replace("\n", " "),
+    "regex": flow('"SELECT " + wanted', 'const odd = /["`(]/.test(req.url); const wanted = req.query.id;'),
+    "no_semicolons": flow('"SELECT " + wanted').replace(";", ""),
+    "typed": flow('"SELECT " + wanted', "const wanted: string = req.query.id;").replace("(req, res)", "(req: Request, res: Response): Promise<void>"),
+}
+
+
+def test_code_of_any_depth_and_layout(spark):
+    program = {f"src/{name}.ts": text for name, text in DEEP.items()}
+    found = {f["rel"]: f["section"] for f in scan(spark, program) if f["class"] == "SQL Injection"}
+    assert found == {rel: "confirmed" for rel in program}
+
+
+def test_comments_and_strings_hold_no_code(spark):
+    program = {"a.js": '''
+/*
+ db.query("S " + req.query.id);
+ crypto.createHash("md5");
+*/
+const text = "exec('ls ' + req.body.y)", more = 'createHash("md5")', tick = `db.query(req.query.id)`;
+// jwt.decode(x)
+const pattern = /jwt.decode(x)/;
+if (a /* === signature */ ) { run(); }
+'''}
+    assert scan(spark, program) == []
+
+
+LAYOUTS = {
+    "formatted": lambda code: code,
+    "no indentation": lambda code: "\n".join(line.strip() for line in code.split("\n")),
+    "braces on their own lines": lambda code: code.replace(" {\n", "\n{\n"),
+    "few lines": lambda code: code.replace("{\n", "{ ").replace(";\n", "; "),
+}
+
+
+@pytest.mark.parametrize("layout", [n for n in LAYOUTS if n != "formatted"])
+def test_layout_changes_no_finding(spark, layout):
+    def facts_of(change):
+        program = {rel: change(text) for rel, text in (FAULTY | ACROSS).items() if "// crates" not in text and "/* berths" not in text}
+        return Counter((f["rel"], f["class"], f["section"], f["summary"]) for f in scan(spark, program))
+    assert facts_of(LAYOUTS[layout]) == facts_of(LAYOUTS["formatted"])
+
+
+def test_functions_in_one_line(spark):
+    code_text = "function a(x) { return x } const b = (y) => ({ y }), c = z => z + 1; class K { m(p) { go(p) } async n({ q, r: s }, ...t) { go(q) } }\n"
+    lexed = facts.lex(spark.createDataFrame([(1, "a.js", code_text)], "file_id long, rel string, code string"), [])
+    rows = {r["name"]: r for r in facts.functions_of(lexed, []).collect()}
+    assert {n: (r["kind"], r["src"]) for n, r in rows.items()} == {
+        "a": ("function", "function a(x) { return x }"), "b": ("arrow", "b = (y) => ({ y }),"), "c": ("arrow", "c = z => z + 1;"),
+        "m": ("method", "m(p) { go(p) }"), "n": ("method", "async n({ q, r: s }, ...t) { go(q) }")}
+    assert [(p["name"], p["pattern"]) for p in rows["n"]["params"]] == [(None, "q , r : s"), (None, None)]
+    assert rows["n"]["is_async"] and not rows["m"]["is_async"]
+    calls = {(c["name"], c["col"]): c["fn_id"] for c in facts.calls_of(lexed, []).collect()}
+    assert set(calls.values()) == {rows["m"]["fn_id"], rows["n"]["fn_id"]}
 
 
 def test_timing_fix_keeps_the_negation(spark):
