@@ -6,8 +6,9 @@ windows are counted. A ROLLUP over the window's columns then sums successively s
 the last column turns counts of triples into counts of pairs, since every pair occurrence starts exactly
 one padded triple. No n-gram of another order is ever generated from the texts.
 
-Windows are counted before anything is summed, so the roll-up works on distinct windows; both steps
-add up inside tasks first, so a pair that stands everywhere is one row per task. Words that stand in many
+Words that cannot reach the least count are first replaced by one mark, by a table of hashed word counts
+of fixed size; this changes no result, as a phrase occurs no more often than its words. Windows are counted
+before anything is summed, so the roll-up works on distinct windows; both steps add up inside tasks first, so a pair that stands everywhere is one row per task. Words that stand in many
 phrases meet in equi-joins over phrases that reach the least count, which adaptive execution splits.
 
 Defined results: a null text counts as empty and has no words, as has a text of separators only; texts of
@@ -18,45 +19,83 @@ exact whole numbers: products are decimals of 38 digits, enough for counts up to
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ramparts.llm.common import LOWER, UPPER, stored, whole
 
 SEPARATORS = ".,;:!?\n\x0b\x0c\r"
-PAD = "."  # no word holds a separator
+PAD, RARE = ".", ","  # no word holds a separator
 LONGEST = 3
 LEAST, BEST, COVERED = 10, 2000, 50
 SCALE = 1_000_000
+BUCKETS = 1 << 22  # bytes broadcast to sort out rare words early
 ORDERS = [f"w{i}" for i in range(1, LONGEST + 1)]
 
 
-def windows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, w1, w2, w3) per word occurrence: the word and its lead columns, padded at the end of its piece."""
-    # separators become words of their own, blanks only stand between words
+def _words(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, words) per text; separators stand between the words as words of their own, blanks are gone."""
     flat = F.translate(whole(text_col), UPPER + SEPARATORS + "\t", LOWER + PAD * len(SEPARATORS) + " ")
-    words = F.split(F.replace(flat, F.lit(PAD), F.lit(f" {PAD} ")), " +")
-    listed = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), words.alias("words"))
+    return docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.split(F.replace(flat, F.lit(PAD), F.lit(f" {PAD} ")), " +").alias("words"))
+
+
+def _bucket(word: str) -> Column:
+    return F.pmod(F.xxhash64("lang", word), F.lit(BUCKETS))
+
+
+def frequent_buckets(words: DataFrame, least: int) -> DataFrame:
+    """One row with a byte per bucket of (language, word) hashes: 1 where the words of a bucket have ``least`` occurrences together.
+
+    The size is fixed, whatever the vocabulary: a rare word that shares a bucket is merely not sorted out early.
+    """
+    each = words.select("lang", F.explode("words").alias("word")).filter(~F.col("word").isin("", PAD))
+    full = each.groupBy((_bucket("word") + 1).alias("bucket")).count().filter(F.col("count") >= least)
+    maps = full.groupBy(F.bitmap_bucket_number("bucket").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bucket")).alias("bits"))
+    flags = np.zeros(BUCKETS, np.uint8)
+    for part, bits in maps.collect():  # at most BUCKETS / 32768 rows
+        flags[(part - 1) * 32768:part * 32768] = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")[:BUCKETS - (part - 1) * 32768]
+    return stored(words.sparkSession.createDataFrame([(bytearray(flags.tobytes()),)], "flags binary"), "flags")
+
+
+def windows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> DataFrame:
+    """(lang, w1, w2, w3) per word occurrence: the word and its lead columns, padded at the end of its piece.
+
+    A word that has less than ``least`` occurrences for sure is in no phrase that counts, so it is written as
+    ``RARE`` and ends the window; most windows then agree with others before they are counted.
+    """
+    words = _words(docs, text_col, lang_col)
+    frequent = frequent_buckets(words, least).scalar()
     leads = [F.col("words"), *[F.slice("words", i, F.greatest(F.size("words"), F.lit(1))) for i in range(2, LONGEST + 1)]]
-    rows = listed.select("lang", F.inline(F.arrays_zip(*[lead.alias(w) for lead, w in zip(leads, ORDERS)])))
-    rows = rows.filter(~F.col("w1").isin("", PAD))
+    rows = words.select("lang", F.inline(F.arrays_zip(*[lead.alias(w) for lead, w in zip(leads, ORDERS)]))).filter(~F.col("w1").isin("", PAD))
+
+    def kept(word: str) -> Column:
+        known = F.substring(frequent, (_bucket(word) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
+        return F.when(F.col(word).isNull() | F.col(word).isin("", PAD), F.lit(PAD)).when(known, F.col(word)).otherwise(F.lit(RARE))
+    rows = rows.select("lang", *[kept(w).alias(w) for w in ORDERS])
+    ended = F.lit(False)
+    shown = [F.col("lang"), F.col("w1")]
     for shorter, longer in zip(ORDERS, ORDERS[1:]):
-        ended = F.col(longer).isNull() | (F.col(longer) == "") | (F.col(shorter) == PAD)
-        rows = rows.withColumn(longer, F.when(ended, F.lit(PAD)).otherwise(F.col(longer)))
-    return rows
+        ended = ended | F.col(shorter).isin(PAD, RARE)
+        shown.append(F.when(ended, F.lit(PAD)).otherwise(F.col(longer)).alias(longer))
+    return rows.select(*shown)
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """Counts of all phrases of 1 to 3 words with at least ``least`` occurrences, and the words per language."""
-    counted = windows(docs, text_col, lang_col).groupBy("lang", *ORDERS).agg(F.count("*").alias("c"))
-    # grouping_id has one bit per column left out, the last column's lowest
-    summed = counted.rollup("lang", *ORDERS).agg(F.sum("c").alias("f"), F.grouping_id().alias("left_out"))
-    order = F.lit(LONGEST) - F.log2(F.col("left_out") + 1).cast("int")
+    # one key column of joined words: half the bytes of three in the shuffle
+    counted = windows(docs, text_col, lang_col, least).groupBy("lang", F.concat_ws(" ", *ORDERS).alias("window")).agg(F.count("*").alias("c"))
+    # written, as two readers would otherwise both read the texts; this also frees the shuffled windows
+    cut = stored(counted, "windows", "zstd").select("lang", *[F.split_part("window", F.lit(" "), F.lit(i)).alias(w) for i, w in enumerate(ORDERS, 1)], "c")
+    longest = cut.filter((F.col("c") >= least)).select("lang", F.lit(LONGEST).alias("order"), *ORDERS, F.col("c").alias("f"))
+    # the top order is counted already; grouping_id has one bit per column left out, the last column's lowest
+    summed = cut.rollup("lang", *ORDERS[:-1]).agg(F.sum("c").alias("f"), F.grouping_id().alias("left_out")).filter(F.col("left_out") < (1 << (LONGEST - 1)))
+    order = F.lit(LONGEST - 1) - F.log2(F.col("left_out") + 1).cast("int")
+    shorter = summed.select("lang", order.alias("order"), *ORDERS[:-1], F.lit(None).cast("string").alias(ORDERS[-1]), "f").filter(
+        (F.col("order") == 0) | (F.col("f") >= least))
+    # a padded prefix is a shorter phrase that its own order counts
     last = F.element_at(F.array(F.lit("-"), *[F.col(w) for w in ORDERS]), F.col("order") + 1)
-    kept = (summed.filter(F.col("left_out") < (1 << LONGEST)).withColumn("order", order)
-            # a padded prefix is a shorter phrase that its own order counts
-            .filter((last != PAD) & ((F.col("order") == 0) | (F.col("f") >= least))))
-    rows = stored(kept.select("lang", "order", *ORDERS, "f"), "phrases")
+    rows = stored(longest.unionByName(shorter).filter(~last.isin(PAD, RARE)), "phrases")
     return rows.filter("order > 0"), rows.filter("order = 0").select("lang", F.col("f").alias("n"))
 
 
