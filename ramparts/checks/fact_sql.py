@@ -48,5 +48,10 @@ oracle("taint_carrier", ["nest"], """, up AS (SELECT fn_id, fn_id AS at FROM nes
 SELECT f.fn_id, c.at AS carrier_fn FROM nest f LEFT JOIN (SELECT u.* FROM up u JOIN nest n ON u.at = n.fn_id WHERE n.is_carrier) c USING (fn_id)""")
 oracle("join_sink_taint", FX, TAINT + """ SELECT order_key, seq, name, arg0_ref, arg0_has_source OR EXISTS (
   SELECT 1 FROM t WHERE t.fn_id = c.fn_id AND t.name = c.arg0_ref) AS confirmed FROM fx_call c WHERE name IN ('query', 'exec', 'readFile')""")
-oracle("taint_reach", FX, TAINT + """ SELECT c.order_key, c.seq, c.fn_id, c.name AS sink, CAST(c.line AS BIGINT) AS line
+oracle("taint_reach", FX, ARGS + """, edge AS (SELECT fn_id AS sf, ref AS sn, fn_id AS df, lhs AS dn FROM fx_binding UNION SELECT fn_id, ref, callee_fn, param FROM args),
+seed AS (SELECT fn_id, lhs AS name FROM fx_binding WHERE has_source UNION SELECT callee_fn, param FROM args WHERE has_source),
+t(fn_id, name, hops, src) USING KEY (fn_id, name) AS (SELECT fn_id, name, CAST(0 AS BIGINT), {'f': fn_id, 'n': name} FROM seed
+  UNION SELECT e.df, e.dn, max(t.hops) + 1, min(t.src) FROM t JOIN edge e ON t.fn_id = e.sf AND t.name = e.sn
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.t r WHERE r.fn_id = e.df AND r.name = e.dn) GROUP BY e.df, e.dn)
+SELECT c.order_key, c.seq, c.fn_id, c.name AS sink, CAST(c.line AS BIGINT) AS line, t.src.f AS source_fn, t.src.n AS source_name, t.hops
   FROM fx_call c JOIN t ON t.fn_id = c.fn_id AND t.name = c.arg0_ref WHERE c.name IN ('query', 'exec', 'readFile')""")

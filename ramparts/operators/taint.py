@@ -25,6 +25,22 @@ def closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 100_000, broad
     shuffles them; a round whose new names are few broadcasts those instead. Each round is its own
     folder of one table, which cuts lineage and lets a lost executor be replaced at any time.
     """
+    return _closure(seeds, edges, max_rounds, broadcast_rows, salts, traced=False)
+
+
+def traced_closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 100_000, broadcast_rows: int = BROADCAST_ROWS, salts: int = 32) -> DataFrame:
+    """``closure`` with provenance: ``hops`` edges from the nearest seed, that seed, and the name before on the way.
+
+    Of several nearest seeds the smallest (source_fn, source_name) is kept, and of several names before on a
+    shortest way from it the smallest (via_fn, via_name); a seed is its own source and has none before it.
+    """
+    return _closure(seeds, edges, max_rounds, broadcast_rows, salts, traced=True)
+
+
+_TRACE = ["source_fn", "source_name", "via_fn", "via_name"]
+
+
+def _closure(seeds: DataFrame, edges: DataFrame, max_rounds: int, broadcast_rows: int, salts: int, traced: bool) -> DataFrame:
     spark = edges.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edge_path, taint_path = scratch(spark, "edges"), scratch(spark, "taint")
@@ -36,28 +52,58 @@ def closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 100_000, broad
     (salt_many(clean, hot, _SRC, ["dst_fn", "dst_name"], salts).repartition(buckets, *keys)
      .write.bucketBy(buckets, *keys).option("path", edge_path).saveAsTable(edge_table))
     edge_rows = spark.table(edge_table)
-    shape = seeds.select("fn_id", "name").schema
+    shown = ["fn_id", "name", *(["hops", *_TRACE] if traced else [])]
     try:
         fresh = seeds.select("fn_id", "name").filter("fn_id is not null and name is not null").distinct()
+        if traced:
+            kind = seeds.schema["fn_id"].dataType
+            fresh = fresh.select("fn_id", "name", F.lit(0).cast("bigint").alias("hops"), F.col("fn_id").alias("source_fn"), F.col("name").alias("source_name"),
+                                 F.lit(None).cast(kind).alias("via_fn"), F.lit(None).cast("string").alias("via_name"))
+        shape = fresh.schema
         for number in range(max_rounds):
             written = Observation()
             fresh.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(f"{taint_path}/round={number}")
             newest, size = spark.read.schema(shape).parquet(f"{taint_path}/round={number}"), written.get["rows"]
             if size == 0:
-                return spark.read.schema(shape).option("basePath", taint_path).parquet(taint_path).select("fn_id", "name")
-            step = newest.select(F.col("fn_id").alias("src_fn"), F.col("name").alias("src_name"))
+                return spark.read.schema(shape).option("basePath", taint_path).parquet(taint_path).select(*shown)
+            step = newest.withColumnsRenamed({"fn_id": "src_fn", "name": "src_name"})
             if size <= broadcast_rows:
                 reached = edge_rows.join(F.broadcast(step), _SRC)
             else:
                 reached = edge_rows.join(salt_one(step, hot, _SRC, salts), keys)
-            known = spark.read.schema(shape).parquet(*[f"{taint_path}/round={n}" for n in range(number + 1)])
-            fresh = (reached.select(F.col("dst_fn").alias("fn_id"), F.col("dst_name").alias("name")).distinct()
-                     .join(known, ["fn_id", "name"], "left_anti"))
+            known = spark.read.schema(shape).parquet(*[f"{taint_path}/round={n}" for n in range(number + 1)]).select("fn_id", "name")
+            there = [F.col("dst_fn").alias("fn_id"), F.col("dst_name").alias("name")]
+            if traced:
+                way = F.struct("source_fn", "source_name", F.col("src_fn").alias("via_fn"), F.col("src_name").alias("via_name"))
+                step = reached.groupBy(*there).agg(F.min(way).alias("_way")).select("fn_id", "name", F.lit(number + 1).cast("bigint").alias("hops"), "_way.*")
+            else:
+                step = reached.select(*there).distinct()
+            fresh = step.join(known, ["fn_id", "name"], "left_anti")
         raise FixpointError(f"taint still grows after {max_rounds} rounds")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {edge_table}")
 
 
+def witness_paths(traced: DataFrame, targets: DataFrame) -> DataFrame:
+    """``targets`` (fn_id, name) with ``path``: (fn_id, name) from their source to themselves, one shortest way.
+
+    Walks back one edge a round for all targets together, and only targets that are not at their source yet take part.
+    """
+    place = F.struct("fn_id", "name")
+    open_paths = targets.select("fn_id", "name").distinct().select("fn_id", "name", F.col("fn_id").alias("at_fn"), F.col("name").alias("at_name"), F.array(place).alias("path"))
+    back = traced.select(F.col("fn_id").alias("at_fn"), F.col("name").alias("at_name"), "via_fn", "via_name")
+    done = None
+    while True:
+        step = materialize(open_paths.join(back, ["at_fn", "at_name"]), "witness")
+        ended = step.filter("via_fn IS NULL").select("fn_id", "name", "path")
+        done = ended if done is None else done.unionByName(ended)
+        rest = step.filter("via_fn IS NOT NULL")
+        if rest.isEmpty():
+            return done
+        before = F.struct(F.col("via_fn").alias("fn_id"), F.col("via_name").alias("name"))
+        open_paths = rest.select("fn_id", "name", F.col("via_fn").alias("at_fn"), F.col("via_name").alias("at_name"), F.concat(F.array(before), F.col("path")).alias("path"))
+
+
 def binding_edges(bindings: DataFrame) -> DataFrame:
     """Within a function: a name flows into the variable whose expression refers to it."""
     return bindings.select(F.col("fn_id").alias("src_fn"), F.col("ref").alias("src_name"),

@@ -42,11 +42,11 @@ def arguments(spark, sf) -> DataFrame:
     return resolve.match_parameters(args, params(spark, sf), CALL_KEY)
 
 
-def tainted_names(spark, sf) -> DataFrame:
+def tainted_names(spark, sf, close=taint.closure) -> DataFrame:
     """Seeds and edges both read the resolved arguments, so those are written once."""
     bindings, args = table(spark, sf, "fx_binding"), materialize(arguments(spark, sf).filter("param is not null"), "arguments")
-    return taint.closure(taint.source_seeds(bindings, args),
-                         taint.binding_edges(bindings).unionByName(taint.argument_edges(args)))
+    return close(taint.source_seeds(bindings, args),
+                 taint.binding_edges(bindings).unionByName(taint.argument_edges(args)))
 
 
 @query
@@ -104,7 +104,9 @@ def join_sink_taint(spark, sf):
 
 @query
 def taint_reach(spark, sf):
+    """Which sinks are reached from which sources: the nearest source of each sink's argument, and how far it is."""
     sinks = calls(spark, sf).filter("name in ('query', 'exec', 'readFile') and arg0_ref is not null").select(
-        *CALL_KEY, "fn_id", F.array("arg0_ref").alias("refs"), "name", "line")
-    hit = resolve.taint_flags(sinks, tainted_names(spark, sf), "refs", CALL_KEY).filter("tainted")
-    return hit.select(*CALL_KEY, "fn_id", F.col("name").alias("sink"), F.col("line").cast("bigint").alias("line"))
+        *CALL_KEY, "fn_id", F.col("arg0_ref").alias("ref"), "name", "line")
+    sources = tainted_names(spark, sf, taint.traced_closure).select("fn_id", F.col("name").alias("ref"), "source_fn", "source_name", "hops")
+    return sinks.join(sources, ["fn_id", "ref"]).select(*CALL_KEY, "fn_id", F.col("name").alias("sink"), F.col("line").cast("bigint").alias("line"),
+                                                       "source_fn", "source_name", "hops")

@@ -49,6 +49,29 @@ def test_closure_ignores_partitions_and_join_path(spark):
             assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_traced_closure_gives_nearest_sources_and_ways(spark):
+    _, edges = _graph(spark)
+    seeds = spark.createDataFrame([(0, "a"), (9, "a"), (9, "c")], "fn_id long, name string")
+    listed = [tuple(r) for r in edges.collect() if r[0] is not None]
+    known = {tuple(r): (0, tuple(r)) for r in seeds.collect()}
+    fresh, hops = set(known), 0
+    while fresh:
+        hops, found = hops + 1, {}
+        for a, b, c, d in listed:
+            if (a, b) in fresh and (c, d) not in known:
+                found[c, d] = min(found.get((c, d), known[a, b][1]), known[a, b][1])
+        known |= {k: (hops, v) for k, v in found.items()}
+        fresh = set(found)
+    for rows in (0, 1000):
+        got = taint.traced_closure(seeds, edges, broadcast_rows=rows, salts=3)
+        assert {(r.fn_id, r.name): (r.hops, (r.source_fn, r.source_name)) for r in got.collect()} == known
+    steps = {((a, b), (c, d)) for a, b, c, d in listed}
+    for fn, name, path in taint.witness_paths(got, got).collect():
+        path = [tuple(p) for p in path]
+        assert path[-1] == (fn, name) and path[0] == known[fn, name][1] and len(path) == known[fn, name][0] + 1
+        assert all(pair in steps for pair in zip(path, path[1:]))
+
+
 def test_closure_cap_raises_and_no_seed_is_empty(spark):
     seeds, edges = _graph(spark)
     with pytest.raises(taint.FixpointError):
