@@ -34,7 +34,7 @@ def stream_latest_tab(spark, sf):
 def stream_dedup(spark, sf):
     flows.read_stream(spark, sf, "events.parquet").createOrReplaceTempView("events")
     findings = spark.sql(SQL["find"].replace("SELECT event_id AS finding_id", "SELECT CAST(ts AS TIMESTAMP) AS ts, event_id AS finding_id"))
-    return flows.run_append(flows.dedup_stream(findings, ["run", "class", "evidence"], ["finding_id"]).select("run", "class", "evidence"), "dedup")
+    return flows.dedup_exactly(findings, ["run", "class", "evidence"]).select("run", "class", "evidence")
 
 
 @query

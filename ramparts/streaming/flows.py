@@ -71,16 +71,52 @@ def latest_tabs_stream(loads: DataFrame, place: str | None = None) -> DataFrame:
             .select("tab_id", "newest.*").filter("not closed").drop("closed"))
 
 
-def dedup_stream(findings: DataFrame, keys: list[str], spread_by: list[str], delay: str = "30 days", salts: int = 16) -> DataFrame:
-    """One finding per key within the watermark; a repeat that comes later than ``delay`` shows again.
+def dedup_stream(findings: DataFrame, keys: list[str], spread_by: list[str], delay: str, salts: int = 16) -> DataFrame:
+    """One finding per key within the watermark, with state that ``delay`` bounds.
 
-    Repeats of one key are first thinned out on several tasks, so a hot key does not meet whole.
+    Rows older than the watermark are dropped by Spark, first findings too, and a repeat later than ``delay`` shows
+    again; where nothing may be lost use ``dedup_exactly``. Repeats of one key are first thinned out on several
+    tasks, so a hot key does not meet whole.
     """
     spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts))
     return (findings.withWatermark("ts", delay).withColumn("_salt", spread)
             .dropDuplicatesWithinWatermark([*keys, "_salt"]).drop("_salt").dropDuplicatesWithinWatermark(keys))
 
 
+def dedup_exactly(findings: DataFrame, keys: list[str], place: str | None = None, buckets: int = 256) -> DataFrame:
+    """One finding per key for ever: no row is too late to be a first finding, no repeat too late to be dropped.
+
+    Keys seen so far are a stored table with a folder per bucket of key hashes. A batch is reduced to one row per
+    key (the smallest), reads only the buckets it has keys in, and adds its new keys under its own number, so a
+    batch that runs again sees what it saw before. Null is a key value like any other. Keys must be atomic columns.
+    """
+    spark = findings.sparkSession
+    place = place or scratch(spark, "unique")
+    out, seen = f"{place}/rows", f"{place}/keys"
+    rest = [c for c in findings.columns if c not in keys]
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    shape = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in findings.select(*keys).schema)}, bucket int, batch bigint"
+
+    def handle(batch: DataFrame, number: int) -> None:
+        least = F.min(F.struct(*rest)).alias("_rest") if rest else F.count("*").alias("_rest")
+        firsts = batch.groupBy(*keys).agg(least).withColumn("bucket", bucket)
+        touched = [r["bucket"] for r in firsts.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        if number and touched:
+            known = spark.read.schema(shape).parquet(seen).filter(F.col("bucket").isin(touched) & (F.col("batch") < number))
+            same = F.lit(True)
+            for key in ["bucket", *keys]:
+                same = same & firsts[key].eqNullSafe(known[key])
+            firsts = firsts.join(known, same, "left_anti")
+        shown = firsts.select(*keys, *(["_rest.*"] if rest else []), "bucket")
+        shown.drop("bucket").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        new = spark.read.schema(findings.schema).parquet(f"{out}/batch={number}").select(*keys, bucket.alias("bucket"), F.lit(number).cast("bigint").alias("batch"))
+        # one batch replaces its own folders only
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(seen)
+
+    run_batches(findings, handle, place)
+    return spark.read.schema(findings.schema).parquet(out).select(*findings.columns)
+
+
 def merge_by_tab(header_findings: DataFrame, dom_findings: DataFrame) -> DataFrame:
     """Findings of both kinds of one tab in one stream; no state is needed to put them together."""
     return header_findings.unionByName(dom_findings)

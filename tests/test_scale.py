@@ -134,7 +134,7 @@ def test_streams_in_several_batches_equal_the_batch(spark):
     folder = scratch(spark, "in")
     _split(findings, folder, spark)
     stream = lambda: flows.read_stream(spark, folder, "*.parquet", files_per_trigger=1)
-    unique = flows.run_append(flows.dedup_stream(stream(), ["class", "evidence"], ["finding_id"]).select("class", "evidence"), "t")
+    unique = flows.run_append(flows.dedup_stream(stream(), ["class", "evidence"], ["finding_id"], "30 days").select("class", "evidence"), "t")
     assert sorted(map(tuple, unique.collect())) == sorted(map(tuple, findings.select("class", "evidence").distinct().collect()))
     memory = spark.createDataFrame([("c9", "s", None, None)], "class string, signature string, first_seen timestamp, last_seen timestamp")
     marked, merged = flows.memory_stream(stream(), memory, ["finding_id"])
@@ -163,7 +163,7 @@ def test_streams_go_on_after_a_restart(spark):
     for parts in (range(2), range(2, 4), ()):
         _split(findings, folder, spark, parts)
         stream = lambda: flows.read_stream(spark, folder, "*.parquet", files_per_trigger=1)
-        unique = flows.run_append(flows.dedup_stream(stream(), ["class", "evidence"], ["finding_id"]).select("class", "evidence"), "t", places["unique"])
+        unique = flows.run_append(flows.dedup_stream(stream(), ["class", "evidence"], ["finding_id"], "30 days").select("class", "evidence"), "t", places["unique"])
         marked, merged = flows.memory_stream(stream(), memory, ["finding_id"], places["memory"])
         tabs = flows.latest_tabs_stream(loads(stream()), places["tabs"])
     assert sorted(map(tuple, unique.collect())) == sorted(map(tuple, findings.select("class", "evidence").distinct().collect()))
@@ -174,6 +174,22 @@ def test_streams_go_on_after_a_restart(spark):
     assert sorted(map(tuple, tabs.collect())) == sorted(map(tuple, flows.latest_tabs(loads(findings)).collect()))
 
 
+def test_late_findings_are_neither_lost_nor_repeated(spark):
+    day, where, folder = 86_400, scratch(spark, "exact"), scratch(spark, "late-in")
+    files = [[(1, "a", "x", 100 * day), (2, "b", "x", 100 * day), (3, "a", "x", 101 * day), (4, None, "x", 100 * day)],
+             [(5, "late", "y", 40 * day), (6, "a", "x", 40 * day), (7, None, "x", 41 * day)], [(8, "b", "x", 300 * day), (9, "late", "y", 41 * day), (10, "c", "z", 1 * day)]]
+    shape = "finding_id long, class string, evidence string, t long"
+    for n, rows in enumerate(files):
+        spark.createDataFrame(rows, shape).withColumn("ts", F.timestamp_seconds("t")).drop("t").coalesce(1).write.mode("append").parquet(folder)
+        stream = flows.read_stream(spark, folder, "*.parquet", files_per_trigger=1)
+        for _ in range(2):  # a start with the new file, and one without any
+            got = flows.dedup_exactly(stream, ["class", "evidence"], where, buckets=4)
+        firsts = {}
+        for row in (r for part in files[:n + 1] for r in part):
+            firsts.setdefault(row[1:3], row[0])
+        assert {(r["class"], r.evidence): r.finding_id for r in got.collect()} == firsts and got.count() == len(firsts)
+
+
 def test_fixes_apply_in_line_order(spark):
     files = spark.createDataFrame([(1, "a\na\nb"), (2, "x")], "file_id long, code string")
     todo = spark.createDataFrame([(1, 1, "a", "A", True), (1, 2, "a", "AA", True), (1, 3, "zz", "q", True), (1, 3, "b", "B", False)],
