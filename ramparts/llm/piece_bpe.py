@@ -6,8 +6,7 @@ last token of the shorter prefix, already known) is *compatible* is the prefix's
 tokens are compatible if no merge across their border would have come before the merges that made
 them. The table takes one step per position, and the ids are read from it backwards.
 
-Texts are cut where no piece can reach across (before a run of word marks that follows anything
-else), and the tokens of short chunks are remembered in the worker, up to a fixed number of them.
+Texts are cut where no piece can reach across (between characters that no piece has side by side), and the tokens of short chunks are remembered in the worker, up to a fixed number of them.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; characters outside
 the vocabulary become byte tokens; texts of any length are encoded whole; repeated rows and null
@@ -22,7 +21,9 @@ from __future__ import annotations
 
 import re
 from array import array
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,10 @@ from ramparts.llm.common import bounded_batches
 
 MARK = "▁"  # stands for a space inside pieces
 LATEST = 1 << 60  # the rank of a merge that never comes
-REMEMBERED, LONGEST_REMEMBERED = 250_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 400_000, 48
+LENGTH_BITS = 8
+LENGTH = (1 << LENGTH_BITS) - 1
+PAIR_BITS = 28
 
 
 def merge_steps(text: str, rank: dict[str, int]) -> tuple[list[str], dict[str, tuple[str, str]]]:
@@ -71,6 +75,8 @@ def load_model(path: str) -> dict:
     normal = {p.piece: (i, p.score) for i, p in enumerate(model.pieces) if p.type == p.NORMAL}
     scores = {s: n for n, s in enumerate(sorted({s for _, s in normal.values()}, reverse=True))}
     rank = {text: scores[s] for text, (_, s) in normal.items()}
+    if max(map(len, normal)) > LENGTH or len(model.pieces) >= 1 << PAIR_BITS - LENGTH_BITS:
+        raise ValueError(f"{path}: pieces or vocabulary too long for the table's entries")
     if any(c not in normal for text in normal for c in text):
         raise ValueError(f"{path}: a character stands in pieces but is none itself")
     reached = [text for text in normal if merge_steps(text, rank)[0] == [text]]
@@ -84,10 +90,34 @@ def load_model(path: str) -> dict:
         "ids": {text: normal[text][0] for text in reached},
         "right_edge": {normal[t][0]: _edge(t, rank, 1) for t in reached},
         "left_edge": {normal[t][0]: _edge(t, rank, 0) for t in reached},
-        "cut": not any(re.search(f"[^{MARK}]{MARK}", text) for text in normal),
+        "chunk": chunk_pattern(normal),
     }
 
 
+def chunk_pattern(pieces) -> str:
+    """A pattern that cuts texts only between characters that are side by side in no piece.
+
+    Marks and letters stay together with what may join them: marks before a letter, and after a letter those
+    characters (with what follows them up to the next letter) that some piece has behind that letter.
+    """
+    pairs = {pair for text in pieces for pair in zip(text, text[1:])}
+    signs = {c for text in pieces for c in text} - {MARK}
+    letters = {c for c in signs if c.isalpha()}
+
+    def any_of(chars) -> str:
+        return "[" + "".join(map(re.escape, sorted(chars))) + "]"
+    if any(b == MARK and a != MARK or b in letters and a not in letters and a != MARK for a, b in pairs) or not letters or letters == signs:
+        return r"[\s\S]+"
+    other = any_of(signs - letters)
+    behind: dict[str, list[str]] = {}
+    for a, b in sorted(pairs):
+        if a in letters and b not in letters:
+            behind.setdefault(b, []).append(a)
+    joined = "|".join(f"(?<={any_of(a)}){re.escape(b)}{other}*" for b, a in behind.items())
+    # a character outside the vocabulary stands alone
+    return rf"{MARK}*{any_of(letters)}+{f'(?:{joined})?' if joined else ''}|{MARK}*{other}+|{MARK}+|[\s\S]"
+
+
 class Encoder:
     """The automaton, the compatibility test and the prefix table over one loaded model."""
 
@@ -97,13 +127,12 @@ class Encoder:
         self.model, self.rank = model, model["rank"]
         self.automaton = ahocorasick.Automaton()
         for text, i in model["ids"].items():
-            self.automaton.add_word(text, (i, len(text)))
+            self.automaton.add_word(text, i << LENGTH_BITS | len(text))
         self.automaton.make_automaton()
-        self.chunk = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if model["cut"] else r"[\s\S]+")
+        self.chunk = re.compile(model["chunk"])
         self.known_pairs: dict[int, bool] = {}
-        # chunks met lately, and those met before them: rare ones drop out, frequent ones move back
-        self.lately: dict[str, array] = {}
-        self.before: dict[str, array] = {}
+        # the ids of short chunks met lately, as bytes
+        self.remembered = lru_cache(REMEMBERED)(self._chunk_ids)
 
     def compatible(self, first: int, second: int) -> bool:
         """No merge across the border comes before the border tokens are taken up by their own sides."""
@@ -122,55 +151,47 @@ class Encoder:
             else:
                 j += 1
 
-    def _chunk_ids(self, chunk: str) -> array:
-        last: list[tuple[int, int] | None] = [None] * (len(chunk) + 1)
-        pairs = self.known_pairs
-        if len(pairs) > 2 * REMEMBERED:
+    def _chunk_ids(self, chunk: str) -> bytes:
+        # an entry is a token and its length in one number, 0 where no piece ends
+        last, pairs = [0] * (len(chunk) + 1), self.known_pairs
+        known = pairs.get
+        if len(pairs) > REMEMBERED:
             pairs.clear()
-        for end, piece in self.automaton.iter(chunk):
+        for end, entry in self.automaton.iter(chunk):
             end += 1
-            if last[end] is None:
-                token, size = piece
-                before = last[end - size]
+            if not last[end]:
+                size = entry & LENGTH
+                before = last[end - size] if end > size else 0
                 # an unknown character before a token keeps it apart, as the start of the text does
-                if before is not None:
-                    pair = before[0] << 32 | token
-                    fits = pairs.get(pair)
+                if before:
+                    pair = before << PAIR_BITS | entry
+                    fits = known(pair)
                     if fits is None:
-                        fits = pairs[pair] = self.compatible(before[0], token)
+                        fits = pairs[pair] = self.compatible(before >> LENGTH_BITS, entry >> LENGTH_BITS)
                     if not fits:
                         continue
-                last[end] = piece
-        ids, at = array("i"), len(chunk)
+                last[end] = entry
+        ids, at = [], len(chunk)
         while at:
-            if last[at] is None:
+            entry = last[at]
+            if entry:
+                ids.append(entry >> LENGTH_BITS)
+                at -= entry & LENGTH
+            else:
                 at -= 1
                 ids.extend(self.model["bytes"][b] for b in reversed(chunk[at].encode()))
-            else:
-                token, size = last[at]
-                ids.append(token)
-                at -= size
         ids.reverse()
-        return ids
-
-    def _remembered(self, chunk: str) -> array:
-        ids = self.before.get(chunk)
-        if ids is None:
-            ids = self._chunk_ids(chunk)
-        if len(chunk) <= LONGEST_REMEMBERED:
-            if len(self.lately) >= REMEMBERED:
-                self.before, self.lately = self.lately, {}
-            self.lately[chunk] = ids
-        return ids
-
-    def ids(self, text: str) -> array:
-        """The ids of a text."""
-        out = array("i")
-        if text:
-            spaced = text.replace(" ", MARK)
-            for chunk in self.chunk.findall(MARK + spaced if self.model["prefix"] else spaced):
-                out += self.lately.get(chunk) or self._remembered(chunk)
-        return out
+        return array("i", ids).tobytes()
+
+    def ids(self, text: str) -> bytes:
+        """The ids of a text, 4 bytes each."""
+        if not text:
+            return b""
+        spaced = text.replace(" ", MARK)
+        chunks = self.chunk.findall(MARK + spaced if self.model["prefix"] else spaced)
+        if max(map(len, chunks)) <= LONGEST_REMEMBERED:
+            return b"".join(map(self.remembered, chunks))
+        return b"".join(self.remembered(c) if len(c) <= LONGEST_REMEMBERED else self._chunk_ids(c) for c in chunks)
 
 
 def _joined_bytes(raw: bytes) -> str:
@@ -232,11 +253,10 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out: str =
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array) -> pa.Array:
         encoder = _made_once(shared, "_encoder", Encoder)
-        flat, ends = array("i"), [0]
-        for text in texts:
-            flat += encoder.ids(text.as_py() or "")
-            ends.append(len(flat))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)]))
+        parts = [encoder.ids(text or "") for text in texts.to_pylist()]
+        ends = np.cumsum([0, *map(len, parts)]) // 4
+        flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
     return docs.withColumn(out, ids_of(F.col(text_col)))
 
 
@@ -248,5 +268,5 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out: str = "d
     @F.arrow_udf("string")
     def text_of(lists: pa.Array) -> pa.Array:
         decoder = _made_once(shared, "_decoder", Decoder)
-        return pa.array([decoder.text(ids.values.to_pylist() if ids.is_valid else []) for ids in lists], pa.string())
+        return pa.array([decoder.text(ids or []) for ids in lists.to_pylist()], pa.string())
     return rows.withColumn(out, text_of(F.col(ids_col)))
