@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -214,6 +215,29 @@ class Decoder:
         self.byte = {i: b for b, i in model["bytes"].items()}
         self.special = set(self.byte) | set(model["silent"])
         self.model = model
+        # for whole columns: every piece's own text, and the ids whose text depends on their neighbours
+        alone = {i: chr(b) for i, b in self.byte.items() if b < 128}
+        self.column = pa.array([alone.get(i, text) for i, text in enumerate(self.texts)], pa.string())
+        self.bound = np.array([i in self.special and i not in alone for i in range(len(self.texts))])
+        self.marked = np.array([p.startswith(MARK) for p in model["pieces"]]) & model["prefix"]
+
+    def column_of(self, lists: pa.ListArray) -> pa.Array:
+        """The texts of a column of id lists: joined by Arrow, list by list only where ids depend on their neighbours."""
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        ends = np.append(0, np.cumsum(sizes))
+        flat = lists.flatten()
+        ids = flat.to_numpy(zero_copy_only=False)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.column.take(flat)), "")
+        first = ids[np.minimum(ends[:-1], max(len(ids) - 1, 0))] if len(ids) else np.zeros(len(sizes), np.int32)
+        own_mark = pa.array(self.marked[first] & (sizes > 0))
+        texts = pc.if_else(own_mark, pc.utf8_slice_codeunits(joined, 1), joined)
+        bound = np.append(0, np.cumsum(self.bound[ids]))
+        odd = np.flatnonzero(bound[ends[1:]] > bound[ends[:-1]])
+        if not len(odd):
+            return texts
+        mask = np.zeros(len(sizes), bool)
+        mask[odd] = True
+        return pc.replace_with_mask(texts, pa.array(mask), pa.array([self.text(ids[ends[i]:ends[i + 1]].tolist()) for i in odd], pa.string()))
 
     def text(self, ids: list[int]) -> str:
         texts, out = self.texts, []
@@ -267,6 +291,5 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out: str = "d
 
     @F.arrow_udf("string")
     def text_of(lists: pa.Array) -> pa.Array:
-        decoder = _made_once(shared, "_decoder", Decoder)
-        return pa.array([decoder.text(ids or []) for ids in lists.to_pylist()], pa.string())
+        return _made_once(shared, "_decoder", Decoder).column_of(lists)
     return rows.withColumn(out, text_of(F.col(ids_col)))

@@ -8,6 +8,7 @@ from array import array
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -40,9 +41,14 @@ def test_tokens_of_awkward_texts(spark, library):
         ids = array("i", encoder.ids(text)).tolist()
         assert ids == library.encode(text), text
         assert decoder.text(ids) == library.decode(ids), text
+    lists = []
     for _ in range(3000):
         ids = [pick.randrange(32000) if pick.random() < 0.5 else pick.randrange(3, 259) for _ in range(pick.randint(0, 8))]
         assert decoder.text(ids) == library.decode(ids), ids
+        lists.append(ids if ids else None)
+    lists += [encoder_ids for encoder_ids in map(library.encode, texts)]
+    for part in (lists, lists[:1], [None], [[]], []):
+        assert decoder.column_of(pa.array(part, pa.list_(pa.int32()))).to_pylist() == [library.decode(ids or []) for ids in part]
 
 
 def test_tokens_of_rows(spark, library):
