@@ -10,10 +10,12 @@ from ramparts import rules, schemas
 
 
 def load_memory(spark: SparkSession, path: str) -> DataFrame:
-    """The stored memory; a missing one is empty."""
+    """The stored memory; a missing one is empty, any other fault is an error."""
     try:
         return spark.read.schema(schemas.PATTERN_MEMORY).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schemas.PATTERN_MEMORY)
 
 

@@ -7,8 +7,8 @@ sums over whole files: bracket depth, and since nothing else stands at an openin
 the partner is simply the next token of that level. So nesting, argument lists, chains and functions have no bound of
 their own, and neither indentation nor line breaks decide about blocks. Nothing is shuffled.
 
-The running sums are numpy over Arrow batches. As window functions (the same rules, 8 windows and 5 sorts) they took
-more than ten times as long and shuffled every token.
+The running sums are numpy over Arrow batches. As window functions (the same rules, 8 windows and 5 sorts, the same
+rows) they took almost three times as long, 15.5 against 5.8 seconds for 4 MB of code, and shuffled every token.
 
 Levels: a bracket and its partner stand at the level of what surrounds them, their content one deeper. A *part*
 (``seg``) is what stands between commas, semicolons or statement ends of one bracket. A *chain* is an operand with

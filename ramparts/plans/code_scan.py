@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ramparts.operators import code, facts, resolve, secrets, taint, triage
 from ramparts.session import materialize
 
+log = logging.getLogger(__name__)
 CUSTOM_DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 SHOWN = ["class", "severity", "section", "proven", "unit", "rel", "line", "col", "summary", "evidence", "detector_id", "known", "impact",
          "remediation", "proof"]
@@ -72,12 +74,29 @@ def call_sites(lexed: facts.Lexed, tainted: DataFrame, keep: list[str]) -> DataF
     return resolve.taint_flags(calls.withColumn("_refs", refs), tainted, "_refs", ["call_id"]).drop("_refs")
 
 
-def scan_code(files: DataFrame, memory: DataFrame | None = None) -> DataFrame:
-    """Findings of all detectors over code files (file_id, rel, code, unit)."""
+def custom_findings(files: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Findings of the registered detectors, and (detector_id, reason) of those that failed.
+
+    Each one is run and written on its own, so a failing detector costs its own findings only. Whatever it
+    raises, while it is planned or while it runs, is logged and becomes a row; nothing of it is kept.
+    """
+    found, failed = [], []
+    for detector_id, detect in CUSTOM_DETECTORS.items():
+        try:
+            found.append(materialize(detect(files).select(*SHOWN), "custom"))
+        except Exception as error:  # noqa: BLE001
+            log.warning("detector %s failed and is left out: %s", detector_id, error)
+            failed.append((detector_id, f"{type(error).__name__}: {error}"))
+    return found, files.sparkSession.createDataFrame(failed, "detector_id string, reason string")
+
+
+def scan_with_quarantine(files: DataFrame, memory: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Findings of all detectors over code files (file_id, rel, code, unit), and the detectors that failed."""
     lexed = lexed_files(files)
     tainted = taint_of(lexed)
     keep = ["rel", "unit"]
     place = F.col("rel")
+    custom, failed = custom_findings(files)
     parts = [
         secrets.located_provider_findings(files, "code", place, ["file_id", "rel"]),
         secrets.assignment_findings(files, "code", place, ["file_id", "rel"], reported_by_provider=False),
@@ -86,9 +105,14 @@ def scan_code(files: DataFrame, memory: DataFrame | None = None) -> DataFrame:
         code.timing_compare(facts.comparisons_of(lexed, keep)),
         code.race_conditions(lexed, keep),
         code.object_authorization(lexed, tainted, keep),
-        *[detect(files) for detect in CUSTOM_DETECTORS.values()],
+        *custom,
     ]
     every = triage.union_findings([p.select(*SHOWN) for p in parts])
-    if memory is None:
-        return every
-    return triage.mark_known(every, memory, ["rel", "line", "col", "detector_id"])
+    if memory is not None:
+        every = triage.mark_known(every, memory, ["rel", "line", "col", "detector_id"])
+    return every, failed
+
+
+def scan_code(files: DataFrame, memory: DataFrame | None = None) -> DataFrame:
+    """Findings of all detectors over code files; failing custom detectors are logged and left out."""
+    return scan_with_quarantine(files, memory)[0]

@@ -34,16 +34,31 @@ def code_files(files: DataFrame, rel: str = "rel", code: str = "code", max_chars
     return kept if max_chars is None else kept.withColumn("oversize", ~utf16_at_most(F.col(code), max_chars))
 
 
+def _relative(path: Column, root: str) -> Column:
+    # file paths are percent-encoded, a plus stands for itself
+    plain = F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), r"^file:/*", "/")
+    base = root.rstrip("/") + "/"
+    return F.when(F.startswith(plain, F.lit(base)), F.substring(plain, len(base) + 1, 1 << 30)).otherwise(plain)
+
+
 def read_tree(spark: SparkSession, root: str, repo: str = "repo") -> DataFrame:
     """Read a folder tree as one row per file.
 
-    Unreadable files are skipped. Path filters run on file metadata, so skipped files are
-    never opened.
+    Unreadable files are skipped; ``quarantined_files`` names them. Path filters run on file metadata, so
+    skipped files are never opened.
     """
     raw = (spark.read.option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
            .option("ignoreCorruptFiles", True).option("wholetext", True).text(root))
-    # file paths are percent-encoded, a plus stands for itself
-    path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), r"^file:/*", "/")
-    base = root.rstrip("/") + "/"
-    rel = F.when(F.startswith(path, F.lit(base)), F.substring(path, len(base) + 1, 1 << 30)).otherwise(path)
-    return code_files(raw.select(F.lit(repo).alias("repo"), rel.alias("rel"), F.col("value").alias("code")))
+    return code_files(raw.select(F.lit(repo).alias("repo"), _relative(F.col("_metadata.file_path"), root).alias("rel"), F.col("value").alias("code")))
+
+
+def quarantined_files(spark: SparkSession, root: str, tree: DataFrame) -> DataFrame:
+    """(rel, reason) of the files of a folder tree that ``tree``, the rows read from it, does not hold whole.
+
+    The listing asks for names only, so no file is opened a second time for it. ``unreadable`` files are listed
+    but have no row; ``undecodable`` ones have bytes that are no UTF-8.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    wanted = listed.select(_relative(F.col("path"), root).alias("rel")).filter(is_code_path(F.col("rel")))
+    missing = wanted.join(tree.select("rel"), "rel", "left_anti").select("rel", F.lit("unreadable").alias("reason"))
+    return missing.unionByName(tree.filter(~F.is_valid_utf8("code")).select("rel", F.lit("undecodable").alias("reason")))

@@ -281,17 +281,56 @@ def test_own_detector_joins_the_scan(spark):
         code_scan.CUSTOM_DETECTORS.clear()
 
 
-@pytest.mark.parametrize("expression,names", [
+def test_failing_detectors_cost_their_own_findings_only(spark):
+    from pyspark.sql import functions as F
+    from ramparts.schemas import findings
+
+    def raises(files):
+        raise KeyError("no rules")
+    code_scan.register_detector("plan", raises)
+    code_scan.register_detector("run", lambda files: findings(files, detector_id="run", cls="Broken", severity="Low", rel=F.raise_error(F.lit("odd file")).cast("string"), summary="s", evidence="e"))
+    code_scan.register_detector("good", lambda files: findings(files, detector_id="good", cls="Seen", severity="Low", rel=F.col("rel"), summary="s", evidence="e"))
+    try:
+        found, failed = code_scan.scan_with_quarantine(table(spark, {"a.js": "crypto.createHash('md5');\n"}))
+        assert {r["class"] for r in found.collect()} == {"Seen", "Weak Hash Algorithm"}
+        reasons = dict(map(tuple, failed.collect()))
+        assert set(reasons) == {"plan", "run"} and "no rules" in reasons["plan"] and "odd file" in reasons["run"]
+    finally:
+        code_scan.CUSTOM_DETECTORS.clear()
+
+
+def test_files_that_cannot_be_read_are_named(spark, tmp_path):
+    from ramparts.sources.code_files import quarantined_files
+    for rel, data in {"src/a.js": b"let a;", "src/b c+d.ts": b"let \xff\xfe b;", "src/gone.js": b"x", "notes.md": b"\xff"}.items():
+        (tmp_path / rel).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / rel).write_bytes(data)
+    tree = read_tree(spark, str(tmp_path))
+    rows = quarantined_files(spark, str(tmp_path), tree.filter("rel <> 'src/gone.js'"))
+    assert {tuple(r) for r in rows.collect()} == {("src/b c+d.ts", "undecodable"), ("src/gone.js", "unreadable")}
+
+
+def test_memory_of_another_shape_is_an_error(spark, tmp_path):
+    from ramparts.operators.memory import load_memory
+    (tmp_path / "memory").mkdir()
+    (tmp_path / "memory" / "part-0.parquet").write_text("no table")
+    assert load_memory(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="(?i)parquet|footer"):
+        load_memory(spark, str(tmp_path / "memory")).count()
+
+
+FLOWS = [
     ("id", ["id"]), ('"a" + id', ["id"]), ("id.trim()", []), ("a || b", []), ("ok ? a : b", []), ("[a, b]", []), ("{ a: b }", []),
     ("`x ${a} y ${b.c} z`", ["a", "b"]), ("f(a, b || c)", ["a"]), ('"x" + (a || b)', []), ("await load(a)", ["a"]), ("a.b.c", ["a"]),
     ("req.query.id", [facts.SOURCE]), ("req.query.id.trim()", []), ("await request.json()", [facts.SOURCE]), ("request.headers.get(\"x\")", [facts.SOURCE]),
     ("req.user", ["req"]), ("a[b]", ["a"]), ("xs.map(x => q(x))", []), ("null", []), ("12", []), ("'text'", []), ("req.body.a || \"\"", []),
-])
-def test_flow_names(spark, expression, names):
-    lexed = facts.lex(spark.createDataFrame([(1, "a.js", f"const taken = 1;\nsink({expression});\n")], "file_id long, rel string, code string"), [])
-    call = facts.calls_of(lexed, []).filter("name = 'sink'").first()
-    refs = {n for a in call.args for n in a.refs} | ({facts.SOURCE} if any(a.has_source for a in call.args) else set())
-    assert sorted(refs) == sorted(names)
+]
+
+
+def test_flow_names(spark):
+    rows = [(i, "a.js", f"const taken = 1;\nsink({expression});\n") for i, (expression, _) in enumerate(FLOWS)]
+    calls = facts.calls_of(facts.lex(spark.createDataFrame(rows, "file_id long, rel string, code string"), []), []).filter("name = 'sink'").collect()
+    found = {c.file_id: sorted({n for a in c.args for n in a.refs} | ({facts.SOURCE} if any(a.has_source for a in c.args) else set())) for c in calls}
+    assert found == {i: sorted(names) for i, (_, names) in enumerate(FLOWS)}
 
 
 def flow(sql, before="const wanted = req.query.id;"):
@@ -341,12 +380,12 @@ LAYOUTS = {
 }
 
 
-@pytest.mark.parametrize("layout", [n for n in LAYOUTS if n != "formatted"])
-def test_layout_changes_no_finding(spark, layout):
-    def facts_of(change):
-        program = {rel: change(text) for rel, text in (FAULTY | ACROSS).items() if "// crates" not in text and "/* berths" not in text}
-        return Counter((f["rel"], f["class"], f["section"], f["summary"]) for f in scan(spark, program))
-    assert facts_of(LAYOUTS[layout]) == facts_of(LAYOUTS["formatted"])
+def test_layout_changes_no_finding(spark):
+    program = {rel: text for rel, text in (FAULTY | ACROSS).items() if "// crates" not in text and "/* berths" not in text}
+    rows = [(f"{layout} {rel}", layout, f"{layout}/{rel}", change(text)) for layout, change in LAYOUTS.items() for rel, text in program.items()]
+    found = code_scan.scan_code(code_files(spark.createDataFrame(rows, "file_id string, repo string, rel string, code string"))).collect()
+    per_layout = {layout: Counter((f["rel"][len(layout):], f["class"], f["section"], f["summary"]) for f in found if f["rel"].startswith(f"{layout}/")) for layout in LAYOUTS}
+    assert sum(per_layout["formatted"].values()) > 10 and all(p == per_layout["formatted"] for p in per_layout.values())
 
 
 def test_functions_in_one_line(spark):
