@@ -17,15 +17,76 @@ class FixpointError(RuntimeError):
 
 
 def closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 100_000, broadcast_rows: int = BROADCAST_ROWS,
-            salts: int = 32) -> DataFrame:
+            salts: int = 32, shortcut_after: int = 8) -> DataFrame:
     """Every (fn_id, name) that ``seeds`` reach over ``edges`` (src_fn, src_name, dst_fn, dst_name).
 
     Semi-naive: a round joins only the newest names with the edges and keeps what was not known.
     The edges are de-duplicated, salted on hot source names and bucketed once, so no round
     shuffles them; a round whose new names are few broadcasts those instead. Each round is its own
     folder of one table, which cuts lineage and lets a lost executor be replaced at any time.
+
+    If names are still found after ``shortcut_after`` rounds, what is left of the graph is made shorter first
+    (``shortcut``) and the closure goes on over it, with twice as many rounds before the next shortening. A chain
+    of n names takes log3(n) rounds that way, not n.
     """
-    return _closure(seeds, edges, max_rounds, broadcast_rows, salts, traced=False)
+    known, settled = _spread(seeds, edges, min(max_rounds, shortcut_after), broadcast_rows, salts, traced=False)
+    if settled:
+        return known
+    if shortcut_after >= max_rounds:
+        raise FixpointError(f"taint still grows after {max_rounds} rounds")
+    places, begun, rest = shortcut(known, edges)
+    inner = closure(begun, rest, max_rounds - shortcut_after, broadcast_rows, salts, 2 * shortcut_after)
+    behind = places.filter("root_fn IS NOT NULL").join(
+        inner.withColumnsRenamed({"fn_id": "root_fn", "name": "root_name"}), ["root_fn", "root_name"], "left_semi")
+    return known.unionByName(places.filter("root_fn IS NULL").select("fn_id", "name")).unionByName(behind.select("fn_id", "name"))
+
+
+def shortcut(known: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is left of ``edges`` once ``known`` names are reached, with names that only one other name leads to merged into it.
+
+    A name with a single name before it is reached exactly if that one is, so it follows its pointer up to a name
+    that is known or that several names lead to: its root. Every written round triples how far pointers reach. Names
+    behind nothing, or behind a circle that nothing enters, have no root and are never reached.
+    Gives ``places`` (fn_id, name, root_fn, root_name; a null root is reached already), the roots that a reached name
+    leads to as new seeds, and the edges between roots.
+    """
+    before, there = (F.struct(F.col(f"{end}_fn").alias("fn_id"), F.col(f"{end}_name").alias("name")) for end in ("src", "dst"))
+    sure = known.select(F.col("fn_id").alias("src_fn"), F.col("name").alias("src_name"), F.lit(True).alias("_sure"))
+    left = materialize(
+        _clean(edges).filter(before != there).join(known.withColumnsRenamed({"fn_id": "dst_fn", "name": "dst_name"}), ["dst_fn", "dst_name"], "left_anti")
+        .join(sure, _SRC, "left").withColumn("_sure", F.coalesce("_sure", F.lit(False))), "shortcut-edges")
+    ways = left.groupBy("dst_fn", "dst_name").agg(F.bool_or("_sure").alias("_reached"), F.min(before).alias("_least"), F.max(before).alias("_most"))
+    several = F.col("_least") != F.col("_most")
+    pointers = ways.select(
+        F.col("dst_fn").alias("fn_id"), F.col("dst_name").alias("name"),
+        F.when(~F.col("_reached"), F.when(several, there).otherwise(F.col("_least"))).alias("at"), (F.col("_reached") | several).alias("done"))
+    open_rows, span = None, 1
+    while True:
+        counted, path = Observation(), scratch(left.sparkSession, "pointers")
+        pointers.observe(counted, F.count_if(~F.col("done")).alias("rows")).write.parquet(path)
+        pointers = left.sparkSession.read.schema(pointers.schema).parquet(path)
+        now_open = counted.get["rows"]
+        open_rows = now_open if open_rows is None else open_rows
+        # as many steps as there were open pointers: what is open still goes in a circle
+        if not now_open or span > open_rows:
+            break
+        ahead = pointers.select(F.struct("fn_id", "name").alias("at"), F.col("at").alias("_next"), F.col("done").alias("_done"))
+        moving = pointers.filter("not done")
+        for _ in range(2):
+            # a pointer to a name that nothing leads to finds no row and ends here
+            moving = (moving.join(ahead, "at").select("fn_id", "name", F.when(F.col("done"), F.col("at")).otherwise(F.col("_next")).alias("at"),
+                                                      (F.col("done") | F.col("_done")).alias("done"))
+                      .unionByName(moving.filter("at IS NULL")))
+        pointers = pointers.filter("done").unionByName(moving)
+        span *= 3
+    places = pointers.filter("done").select("fn_id", "name", F.col("at.fn_id").alias("root_fn"), F.col("at.name").alias("root_name"))
+    roots = places.filter("fn_id = root_fn AND name = root_name").select(F.col("fn_id").alias("dst_fn"), F.col("name").alias("dst_name"))
+    moved = materialize(
+        left.join(roots, ["dst_fn", "dst_name"], "left_semi").select(*_SRC, "dst_fn", "dst_name")
+        .join(places.withColumnsRenamed({"fn_id": "src_fn", "name": "src_name"}), _SRC)
+        .select(F.col("root_fn").alias("src_fn"), F.col("root_name").alias("src_name"), "dst_fn", "dst_name").distinct(), "shortcut-rest")
+    begun = moved.filter("src_fn IS NULL").select(F.col("dst_fn").alias("fn_id"), F.col("dst_name").alias("name"))
+    return places, begun, moved.filter("src_fn IS NOT NULL").filter(before != there)
 
 
 def traced_closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 100_000, broadcast_rows: int = BROADCAST_ROWS, salts: int = 32) -> DataFrame:
@@ -34,19 +95,27 @@ def traced_closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 100_000
     Of several nearest seeds the smallest (source_fn, source_name) is kept, and of several names before on a
     shortest way from it the smallest (via_fn, via_name); a seed is its own source and has none before it.
     """
-    return _closure(seeds, edges, max_rounds, broadcast_rows, salts, traced=True)
+    reached, settled = _spread(seeds, edges, max_rounds, broadcast_rows, salts, traced=True)
+    if not settled:
+        raise FixpointError(f"taint still grows after {max_rounds} rounds")
+    return reached
 
 
 _TRACE = ["source_fn", "source_name", "via_fn", "via_name"]
 
 
-def _closure(seeds: DataFrame, edges: DataFrame, max_rounds: int, broadcast_rows: int, salts: int, traced: bool) -> DataFrame:
+def _clean(edges: DataFrame) -> DataFrame:
+    return (edges.filter("src_fn is not null and src_name is not null and dst_fn is not null and dst_name is not null")
+            .select(*_SRC, "dst_fn", "dst_name").distinct())
+
+
+def _spread(seeds: DataFrame, edges: DataFrame, max_rounds: int, broadcast_rows: int, salts: int, traced: bool) -> tuple[DataFrame, bool]:
+    """The names reached in at most ``max_rounds`` rounds, and whether these are all."""
     spark = edges.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edge_path, taint_path = scratch(spark, "edges"), scratch(spark, "taint")
     edge_table = f"ramparts_edges_{uuid.uuid4().hex}"
-    clean = materialize(edges.filter("src_fn is not null and src_name is not null and dst_fn is not null and dst_name is not null")
-                        .select(*_SRC, "dst_fn", "dst_name").distinct(), "edges-raw")
+    clean = materialize(_clean(edges), "edges-raw")
     hot = materialize(hot_keys(clean, _SRC), "edges-hot")
     keys = [*_SRC, "_salt"]
     (salt_many(clean, hot, _SRC, ["dst_fn", "dst_name"], salts).repartition(buckets, *keys)
@@ -59,13 +128,14 @@ def _closure(seeds: DataFrame, edges: DataFrame, max_rounds: int, broadcast_rows
             kind = seeds.schema["fn_id"].dataType
             fresh = fresh.select("fn_id", "name", F.lit(0).cast("bigint").alias("hops"), F.col("fn_id").alias("source_fn"), F.col("name").alias("source_name"),
                                  F.lit(None).cast(kind).alias("via_fn"), F.lit(None).cast("string").alias("via_name"))
-        shape = fresh.schema
+        shape, total = fresh.schema, 0
         for number in range(max_rounds):
             written = Observation()
             fresh.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(f"{taint_path}/round={number}")
             newest, size = spark.read.schema(shape).parquet(f"{taint_path}/round={number}"), written.get["rows"]
+            total += size
             if size == 0:
-                return spark.read.schema(shape).option("basePath", taint_path).parquet(taint_path).select(*shown)
+                break
             step = newest.withColumnsRenamed({"fn_id": "src_fn", "name": "src_name"})
             if size <= broadcast_rows:
                 reached = edge_rows.join(F.broadcast(step), _SRC)
@@ -78,12 +148,25 @@ def _closure(seeds: DataFrame, edges: DataFrame, max_rounds: int, broadcast_rows
                 step = reached.groupBy(*there).agg(F.min(way).alias("_way")).select("fn_id", "name", F.lit(number + 1).cast("bigint").alias("hops"), "_way.*")
             else:
                 step = reached.select(*there).distinct()
-            fresh = step.join(known, ["fn_id", "name"], "left_anti")
-        raise FixpointError(f"taint still grows after {max_rounds} rounds")
+            fresh = _unknown(step, known, total, broadcast_rows)
+        return spark.read.schema(shape).option("basePath", taint_path).parquet(taint_path).select(*shown), size == 0
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {edge_table}")
 
 
+def _unknown(step: DataFrame, known: DataFrame, known_rows: int, broadcast_rows: int) -> DataFrame:
+    """The rows of ``step`` that are not ``known``. Known names are only shuffled where the step has many names, too."""
+    place = ["fn_id", "name"]
+    if known_rows <= broadcast_rows:
+        return step.join(F.broadcast(known), place, "left_anti")
+    counted, path = Observation(), scratch(step.sparkSession, "step")
+    step.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    step = step.sparkSession.read.schema(step.schema).parquet(path)
+    if counted.get["rows"] <= broadcast_rows:
+        known = known.join(F.broadcast(step.select(*place)), place, "left_semi")
+    return step.join(known, place, "left_anti")
+
+
 def witness_paths(traced: DataFrame, targets: DataFrame) -> DataFrame:
     """``targets`` (fn_id, name) with ``path``: (fn_id, name) from their source to themselves, one shortest way.
 

@@ -49,6 +49,40 @@ def test_closure_ignores_partitions_and_join_path(spark):
             assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def _random_graph(seed, names=90):
+    """Chains, trees, circles with and without a way in, ladders, self-loops, repeats and edges into seeds."""
+    import random
+    dice = random.Random(seed)
+    edges = [(dice.randrange(names), "n", dice.randrange(names), "n") for _ in range(dice.choice([30, 80, 140]))]
+    edges += [(1000 + i, "chain", 1001 + i, "chain") for i in range(40)] + [(dice.randrange(names), "n", 1000, "chain")]
+    edges += [(2000 + i, "ring", 2000 + (i + 1) % 9, "ring") for i in range(9)] + [(2003, "ring", 2100, "tail")]
+    edges += [(3000 + i, "loop", 3000 + (i + 1) % 7, "loop") for i in range(7)] + [(1020, "chain", 3002, "loop"), (3005, "loop", 3100, "tail")]
+    edges += [(4000 + i + a, "rung", 4000 + i + b, "rung") for i in range(0, 20, 2) for a in (0, 1) for b in (2, 3)] + [(1040, "chain", 4000, "rung"), (3100, "tail", 4001, "rung")]
+    edges += [(5, "n", 5, "n"), (5000, "dead", 5001, "dead"), (5001, "dead", 5002, "dead"), edges[0], (1010, "chain", 0, "n"), (None, "n", 1, "n")]
+    return [(0, "n"), (dice.randrange(names), "n")], edges
+
+
+def test_shortened_closure_equals_the_plain_walk(spark):
+    for seed in range(2):
+        seeds, edges = _random_graph(seed)
+        rows = spark.createDataFrame(edges, "src_fn long, src_name string, dst_fn long, dst_name string")
+        begin = spark.createDataFrame(seeds, "fn_id long, name string")
+        want = sorted(_reach(seeds, [e for e in edges if e[0] is not None]))
+        for after, rows_sent in ((1, 0), (2, 1000)):
+            got = taint.closure(begin, rows, broadcast_rows=rows_sent, salts=3, shortcut_after=after)
+            assert sorted(map(tuple, got.collect())) == want
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    chain = spark.range(10_000).select(F.col("id").alias("src_fn"), F.lit("a").alias("src_name"), (F.col("id") + 1).alias("dst_fn"), F.lit("a").alias("dst_name"))
+    labels, plain = [], taint.scratch
+    monkeypatch.setattr(taint, "scratch", lambda session, label: labels.append(label) or plain(session, label))
+    got = taint.closure(spark.createDataFrame([(0, "a")], "fn_id long, name string"), chain)
+    assert got.count() == 10_001 and got.distinct().count() == 10_001
+    # rounds of the walk before the shortening, written pointers, and the empty walk after it
+    assert 8 + labels.count("pointers") + 1 < 20 and labels.count("taint") == 2
+
+
 def test_traced_closure_gives_nearest_sources_and_ways(spark):
     _, edges = _graph(spark)
     seeds = spark.createDataFrame([(0, "a"), (9, "a"), (9, "c")], "fn_id long, name string")
