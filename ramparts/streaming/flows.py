@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,20 +56,66 @@ def latest_tabs(loads: DataFrame) -> DataFrame:
     return loads.groupBy("tab_id").agg(*newest_load()).select("tab_id", "newest.*").filter("not closed").drop("closed")
 
 
-def latest_tabs_stream(loads: DataFrame, place: str | None = None) -> DataFrame:
-    """Stream form: the state store keeps the newest load per tab, each batch writes the tabs it changed."""
+def latest_tabs_stream(loads: DataFrame, place: str | None = None, late: str | None = None, buckets: int = 64) -> DataFrame:
+    """Stream form: the open tabs as a stored table that every batch brings up to date, in a folder per bucket of tabs.
+
+    A batch is reduced to the newest load per tab and rewrites only the buckets it has tabs in. Every bucket has two
+    slots: a batch reads the one that the index of the batch before names and writes the other, then the index, so a
+    batch that runs again sees what it saw before, and neither storage nor reading grows with the number of batches.
+    Read the table between runs: a slot is written anew by the second next batch that touches its bucket.
+
+    A closed tab leaves only its closing event, so that an older load that comes later does not open it again. With
+    ``late`` (an interval such as '1 hour') closing events that far behind the newest event seen go when their
+    bucket is next written; None keeps them, and the table equals the batch form whatever the order.
+    """
     spark = loads.sparkSession
     place = place or scratch(spark, "tabs")
-    out = f"{place}/rows"
-    state = loads.groupBy("tab_id").agg(*newest_load())
+    rows, index = f"{place}/tabs", f"{place}/index"
+    shape = loads.select("tab_id", "ts", "load_id", "url", "closed").schema
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape)
+    stored = f"{columns}, filled boolean"
+    kept = "bucket int, slot int, batch bigint, newest_ts " + shape["ts"].dataType.simpleString()
+    bucket = F.pmod(F.xxhash64("tab_id"), F.lit(buckets)).cast("int")
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    def slots(listed: list) -> DataFrame:
+        paths = [f"{rows}/bucket={r['bucket']}/slot={r['slot']}" for r in listed]
+        return spark.read.schema(stored).parquet(*paths).filter("filled") if paths else spark.createDataFrame([], stored)
 
-    run_batches(state, write, place, mode="update")
-    changed = spark.read.parquet(out)
-    return (changed.groupBy("tab_id").agg(F.max_by("newest", "batch").alias("newest"))
-            .select("tab_id", "newest.*").filter("not closed").drop("closed"))
+    def handle(batch: DataFrame, number: int) -> None:
+        # at most ``buckets`` rows; a batch reads the index of the one before
+        before = spark.read.schema(kept).parquet(f"{index}/turn={(number + 1) % 2}").collect() if number else []
+        place_of = {r["bucket"]: r for r in before}
+        batch.groupBy("tab_id").agg(*newest_load()).select("tab_id", "newest.*").write.mode("overwrite").parquet(f"{place}/batch")
+        fresh = spark.read.schema(shape).parquet(f"{place}/batch").withColumn("bucket", bucket)
+        touched = {r["bucket"]: r["newest_ts"] for r in fresh.groupBy("bucket").agg(F.max("ts").alias("newest_ts")).collect()}
+        seen = [t for t in [*(r["newest_ts"] for r in before), *touched.values()] if t is not None]
+        old = slots([place_of[b] for b in touched if b in place_of])
+        state = old.select(*shape.names).unionByName(fresh.select(*shape.names)).groupBy("tab_id").agg(*newest_load()).select("tab_id", "newest.*")
+        if late is not None and seen:
+            state = state.filter(~F.col("closed") | (F.col("ts") > F.lit(max(seen)).cast(shape["ts"].dataType) - F.expr(f"INTERVAL {late}")))
+        slot = {b: 1 - place_of[b]["slot"] if b in place_of else 0 for b in touched}
+        if touched:
+            turned = F.create_map(*[F.lit(x) for pair in slot.items() for x in pair])
+            # a row that marks the bucket, so that a bucket without tabs replaces its slot, too
+            marks = spark.createDataFrame([(b,) for b in touched], "bucket int")
+            (state.withColumn("bucket", bucket).withColumn("filled", F.lit(True)).unionByName(marks.withColumn("filled", F.lit(False)), allowMissingColumns=True)
+             .withColumn("slot", turned[F.col("bucket")]).repartition("bucket")
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "slot").parquet(rows))
+        now = [(b, slot[b], number, max((t for t in (touched[b], place_of[b]["newest_ts"] if b in place_of else None) if t is not None), default=None)) for b in touched]
+        now += [(r["bucket"], r["slot"], r["batch"], r["newest_ts"]) for b, r in place_of.items() if b not in touched]
+        spark.createDataFrame(now, kept).coalesce(1).write.mode("overwrite").parquet(f"{index}/turn={number % 2}")
+
+    run_batches(loads, handle, place)
+    try:
+        turns = spark.read.schema(f"{kept}, turn int").parquet(index)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return slots([]).filter("not closed").drop("closed", "filled")
+    listed = turns.collect()
+    newest = max((r["batch"] for r in listed), default=0)
+    last = next((r["turn"] for r in listed if r["batch"] == newest), 0)
+    return slots([r for r in listed if r["turn"] == last]).filter("not closed").drop("closed", "filled")
 
 
 def dedup_stream(findings: DataFrame, keys: list[str], spread_by: list[str], delay: str, salts: int = 16) -> DataFrame:

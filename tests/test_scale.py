@@ -178,13 +178,51 @@ def test_streams_in_several_batches_equal_the_batch(spark):
     assert got.pop("c9") is None and got == want
 
 
-def test_latest_tab_stream_equals_batch(spark):
-    loads = spark.range(400).select((F.col("id") % 7).alias("tab_id"), F.col("id").alias("load_id"), F.timestamp_seconds(F.col("id") * 37 % 101).alias("ts"),
-                                    F.concat(F.lit("u"), F.col("id")).alias("url"), (F.col("id") % 13 == 0).alias("closed"), F.col("id").alias("finding_id"))
-    folder = scratch(spark, "tabs-in")
-    _split(loads, folder, spark)
-    got = flows.latest_tabs_stream(flows.read_stream(spark, folder, "*.parquet", files_per_trigger=1))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, flows.latest_tabs(loads).collect()))
+def _loads(spark, rows):
+    return spark.createDataFrame(rows, "tab_id long, load_id long, t long, url string, closed boolean").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+
+
+def _files_below(path):
+    import glob
+    return sorted(p.removeprefix(path) for p in glob.glob(f"{path}/tabs/*/*"))
+
+
+def test_latest_tab_stream_equals_batch_after_every_file(spark):
+    folder, place, sofar = scratch(spark, "tabs-in"), scratch(spark, "tabs"), []
+    # out of order, closed and opened again, a late load of a closed tab, a null tab, ties by time, a bucket that loses all its tabs, an empty file
+    files = [[(n % 7, n, n * 37 % 101, f"u{n}", n % 13 == 0) for n in range(0, 120, step)] for step in (1, 3)]
+    files += [[(3, 500, 900, None, True), (None, 501, 5, "u", False)], [], [(3, 502, 800, "late", False), (4, 503, 901, "a", False), (4, 504, 901, "b", True)],
+              [(n, 600 + n, 1000, "end", True) for n in range(7)], [(3, 700, 1001, "again", False), (3, 701, 1001, "tie", False)]]
+    for rows in files:
+        sofar += rows
+        _loads(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+        for _ in range(2 if len(rows) == 2 else 1):  # now and then a start without a new file
+            got = flows.latest_tabs_stream(flows.read_stream(spark, folder, "*.parquet", files_per_trigger=1), place, buckets=4)
+        want = flows.latest_tabs(_loads(spark, sofar))
+        assert sorted(map(str, got.select("tab_id", "ts", "load_id", "url").collect())) == sorted(map(str, want.select("tab_id", "ts", "load_id", "url").collect()))
+    assert len(_files_below(place)) <= 4 * 2
+
+
+def test_closed_tabs_leave_the_state_in_the_time_named(spark):
+    folder, place = scratch(spark, "tabs-in"), scratch(spark, "tabs")
+    for rows in ([(n, n, n, "u", False) for n in range(20)], [(n, 100 + n, 50, "u", n % 2 == 0) for n in range(20)], [(99, 300, 7200, "u", False), *[(n, 400 + n, 7200, "v", False) for n in range(1, 20, 2)]]):
+        _loads(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+        got = flows.latest_tabs_stream(flows.read_stream(spark, folder, "*.parquet", files_per_trigger=1), place, late="1 hour", buckets=1)
+    index = max((r for r in spark.read.parquet(f"{place}/index").collect()), key=lambda r: r.batch)
+    state = spark.read.parquet(f"{place}/tabs/bucket=0/slot={index.slot}").filter("filled")
+    assert got.count() == state.count() == 11  # open tabs only: the ten closings of two hours ago are gone
+
+
+def test_a_tab_batch_that_runs_again_changes_nothing(spark, monkeypatch):
+    folder, place, plain = scratch(spark, "tabs-in"), scratch(spark, "tabs"), flows.run_batches
+    monkeypatch.setattr(flows, "run_batches", lambda rows, handle, where, mode="append": plain(rows, lambda batch, n: (handle(batch, n), handle(batch, n)), where, mode))
+    sofar = []
+    for start in range(3):
+        rows = [(n % 5, 10 * n + start, n * 31 % 17 + start, "u", n % 4 == 0) for n in range(30)]
+        sofar += rows
+        _loads(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+        got = flows.latest_tabs_stream(flows.read_stream(spark, folder, "*.parquet", files_per_trigger=1), place, buckets=2)
+        assert sorted(map(str, got.select("tab_id", "load_id").collect())) == sorted(map(str, flows.latest_tabs(_loads(spark, sofar)).select("tab_id", "load_id").collect()))
 
 
 def test_streams_go_on_after_a_restart(spark):
