@@ -68,3 +68,11 @@ f AS (SELECT 'doc/' || doc_id AS rel, line, CAST(1 + list_sum(list_transform(pie
 e AS (SELECT *, CASE WHEN length(v) > 12 THEN left(v, 6) || '…' || right(v, 2) ELSE v END AS evidence FROM f),
 r AS (SELECT *, row_number() OVER (ORDER BY section, CASE severity WHEN 'Critical' THEN 0 ELSE 1 END, rel, line, col, summary, evidence) AS rank FROM e)
 SELECT rel, 'Hardcoded Secret' AS class, severity, section, line, col, summary, evidence, rank, {_ID} AS id FROM r""")
+
+oracle("rule_rows_scan", ["sdoc"], f""", p AS ({_SECRETS}),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM sdoc),
+h AS (SELECT rule, doc_id, line, regexp_extract_all(x, p) AS hits, string_split_regex(x, p) AS pieces FROM l, p WHERE regexp_matches(x, p)),
+k AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM h)
+SELECT 'doc/' || doc_id AS rel, 'Hardcoded Secret' AS class, 'Critical' AS severity, 'confirmed' AS section, line,
+  CAST(1 + list_sum(list_transform(pieces[1:i], lambda e: length(e))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda e: length(e))), 0) AS BIGINT) AS col,
+  rule || ' in text' AS summary, CASE WHEN length(hits[i]) > 12 THEN left(hits[i], 6) || '…' || right(hits[i], 2) ELSE hits[i] END AS evidence FROM k""")

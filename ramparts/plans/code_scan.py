@@ -5,10 +5,10 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from ramparts.operators import code, facts, resolve, secrets, taint, triage
+from ramparts.operators import code, facts, resolve, rule_rows, secrets, taint, triage
 from ramparts.session import materialize
 
 log = logging.getLogger(__name__)
@@ -90,8 +90,11 @@ def custom_findings(files: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     return found, files.sparkSession.createDataFrame(failed, "detector_id string, reason string")
 
 
-def scan_with_quarantine(files: DataFrame, memory: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Findings of all detectors over code files (file_id, rel, code, unit), and the detectors that failed."""
+def scan_with_quarantine(files: DataFrame, memory: DataFrame | None = None, rules: list[Row] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Findings of all detectors over code files (file_id, rel, code, unit), and the detectors that failed.
+
+    ``rules`` are rows of a rule table as ``rule_rows.load_rules`` gives them; they add their findings.
+    """
     lexed = lexed_files(files)
     tainted = taint_of(lexed)
     keep = ["rel", "unit"]
@@ -107,12 +110,14 @@ def scan_with_quarantine(files: DataFrame, memory: DataFrame | None = None) -> t
         code.object_authorization(lexed, tainted, keep),
         *custom,
     ]
+    if rules:
+        parts.append(rule_rows.rule_findings(files, rules, "code", place, ["file_id", "rel"]))
     every = triage.union_findings([p.select(*SHOWN) for p in parts])
     if memory is not None:
         every = triage.mark_known(every, memory, ["rel", "line", "col", "detector_id"])
     return every, failed
 
 
-def scan_code(files: DataFrame, memory: DataFrame | None = None) -> DataFrame:
+def scan_code(files: DataFrame, memory: DataFrame | None = None, rules: list[Row] | None = None) -> DataFrame:
     """Findings of all detectors over code files; failing custom detectors are logged and left out."""
-    return scan_with_quarantine(files, memory)[0]
+    return scan_with_quarantine(files, memory, rules)[0]

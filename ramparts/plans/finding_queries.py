@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ramparts.operators import memory as mem
-from ramparts.operators import secrets, surface, triage
+from ramparts.operators import rule_rows, secrets, surface, triage
 from ramparts.plans.catalog import long, query
 from ramparts.plans.surface_queries import assets, captures, cookies, web
+from ramparts.session import materialize
 from ramparts.sources.derived import table
 
 
@@ -125,3 +126,11 @@ def secret_report(spark, sf):
     ranks = triage.finding_rank(marked, ["col", "summary", "evidence"])
     return ranks.select("rel", "class", "severity", "section", long("line"), long("col"), "summary", "evidence",
                         "rank", triage.finding_id(F.col("rank")).alias("id"))
+
+
+@query
+def rule_rows_scan(spark, sf):
+    """The provider rules, run from a stored table of rule rows."""
+    stored = materialize(rule_rows.own_rules(spark), "rules")
+    found = rule_rows.rule_findings(table(spark, sf, "sdoc"), rule_rows.load_rules(stored), "text", F.concat(F.lit("doc/"), F.col("doc_id")), ["doc_id"])
+    return found.select("rel", "class", "severity", "section", long("line"), long("col"), "summary", "evidence")

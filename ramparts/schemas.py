@@ -31,7 +31,7 @@ def finding(*, detector_id, cls, severity, rel, summary, evidence, impact="", un
     proven = F.when(as_column(signal), F.lit(True)) if kind == "repro" else as_column(signal)
     listed = F.array(*[as_column(s) for s in steps]) if steps else F.array().cast("array<string>")
     return F.struct(
-        F.lit(detector_id).alias("detector_id"),
+        as_column(detector_id).alias("detector_id"),
         as_column(cls).alias("class"),
         as_column(severity).alias("severity"),
         F.when(proven, F.lit("confirmed")).otherwise("unconfirmed").alias("section"),
