@@ -1,8 +1,8 @@
 """License scan: exact containment join of license templates with blocks of text. DataFrame operations only.
 
 Templates and phrases are token sets. A block (a window of ``BLOCK_WORDS`` words, moved by half) matches a
-template if it holds at least ``threshold`` of the template's tokens; a phrase needs all of them, and then its
-words in a row. Tokens are ordered by their number of occurrences in all documents, rare first. The filters:
+template if it holds at least ``threshold`` of the template's tokens, among them the words that tell the license
+from its siblings; a phrase needs all of them, and then its words in a row. Tokens are ordered by their number of occurrences in all documents, rare first. The filters:
 
 * prefix: of ``n`` template tokens ``need`` must be there, so one of the ``n - need + 1`` rarest must;
 * length: a block with fewer different template tokens than ``need`` cannot match;
@@ -30,23 +30,35 @@ MAX_TOKENS = 5000
 # Fixed phrases and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-# Sentences of well-known public notices and the labels they give.
-TEMPLATES = (
+# Sentences of well-known public notices: the label, the words that decide for it, and those that decide for a sibling.
+NOTICES = (
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
-     "to deal in the software without restriction", "mit"),
-    ("licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "apache"),
-    ("licensed under the apache license version 2 0", "apache"),
+     "to deal in the software without restriction", "mit", "permission granted charge software restriction", ""),
+    ("licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "apache", "apache", ""),
+    ("licensed under the apache license version 2 0", "apache", "apache", ""),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
-     "published by the free software foundation", "gpl"),
-    ("this work is licensed under the gnu general public license version 3", "gpl"),
-    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("licensed under cc by sa 4 0", "cc-by-sa"),
-    ("released under the mit license", "mit"),
+     "published by the free software foundation", "gpl", "gnu general public", "lesser affero library"),
+    ("this work is licensed under the gnu general public license version 3", "gpl", "gnu general public", "lesser affero library"),
+    ("released under the mit license", "mit", "mit license", ""),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following "
-     "conditions are met", "bsd"),
-    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl"),
+     "conditions are met", "bsd", "redistribution source binary forms conditions", ""),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl", "mozilla", ""),
 )
+# The terms a Creative Commons attribution license may add: as the notice and as the short name writes them.
+TERMS = (("noncommercial", "nc"), ("sharealike", "sa"), ("noderivatives", "nd"))
+
+
+def commons_notices():
+    """Notices of the attribution licenses: every choice of terms but share-alike without derivatives."""
+    for chosen in ((), (0,), (1,), (2,), (0, 1), (0, 2)):
+        label = "-".join(["cc-by", *(TERMS[i][1] for i in chosen)])
+        for form, frame, deciding in ((0, "this work is licensed under a creative commons attribution {} 4 0 international license", "commons attribution"),
+                                      (1, "licensed under cc by {} 4 0", "cc by")):
+            terms = " ".join(TERMS[i][form] for i in chosen)
+            yield " ".join(frame.format(terms).split()), label, f"{deciding} {terms}", " ".join(t[form] for i, t in enumerate(TERMS) if i not in chosen)
+
+
+TEMPLATES = (*NOTICES, *commons_notices())
 
 
 def license_words(text):
@@ -68,19 +80,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
          threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per row of ``docs`` with the contract's columns; ``score`` is the best containment found.
 
-    A template sentence counts if a block holds ``threshold`` of its different words. Null and empty texts have
+    A template is (sentence, label) or (sentence, label, deciding words, words of siblings). It counts if a block
+    holds ``threshold`` of the sentence's different words, all deciding words and none of its siblings' words, so of
+    similar notices the one whose own words are there wins; siblings that share a block are told apart by what it
+    holds as a whole. Blocks grow with the longest template, so whole license texts can be given. Null and empty texts have
     no words and score 0; null ids and repeated rows give a row each; an empty table gives no rows. Labels and
     phrases found in several blocks count once per place. Other columns are not read.
     """
-    entries = [(_words_of(p), label, True) for p, label in phrases] + [(_words_of(t), label, False) for t, label in templates]
-    vocabulary = sorted({w for words, _, _ in entries for w in words})
-    half = block_words // 2
-    if len(vocabulary) > MAX_TOKENS or any(len(w) > half for w, _, _ in entries):
-        raise ValueError(f"at most {MAX_TOKENS} template tokens, and {half} words a template")
+    entries = [(_words_of(p), label, True, [], []) for p, label in phrases]
+    entries += [(_words_of(t), label, False, *(_words_of(w) for w in (deciding or ("", "")))) for t, label, *deciding in templates]
+    vocabulary = sorted({w for words, _, _, own, others in entries for w in (*words, *own, *others)})
+    if len(vocabulary) > MAX_TOKENS:
+        raise ValueError(f"at most {MAX_TOKENS} template tokens")
+    half = max(block_words // 2, *(len(words) for words, *_ in entries))
     counts = token_counts(docs, text_col, vocabulary)
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     plans = []
-    for n, (words, label, phrase) in enumerate(entries):
+    for n, (words, label, phrase, *_) in enumerate(entries):
         ranked = sorted({order[w] for w in words})
         need = len(ranked) if phrase else ceil(threshold * len(ranked) - 1e-9)
         plans.append((n, words, label, phrase, ranked, need))
@@ -92,7 +108,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
                            F.when(F.arrays_overlap("words", F.array(*map(F.lit, rare))), F.col("words")).alias("words")), "license")
     blocks = (words.filter("words IS NOT NULL")
               .select("row", "n_words", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n_words") / half) - 1)),
-                                                                 lambda b: F.slice("words", (b * half + 1).cast("int"), block_words))).alias("block", "held")))
+                                                                 lambda b: F.slice("words", (b * half + 1).cast("int"), 2 * half))).alias("block", "held")))
     ranks = F.create_map(*(x for w, r in order.items() for x in (F.lit(w), F.lit(r))))
     known = F.filter("held", lambda w: w.isin(vocabulary))
     blocks = blocks.withColumn("tokens", F.sort_array(F.array_distinct(F.transform(known, lambda w: F.element_at(ranks, w))))).filter(F.size("tokens") > 0)
@@ -111,8 +127,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     ranked_of = F.array(*(F.array(*map(F.lit, ranked)) for *_, ranked, _ in plans))
     wanted = F.element_at(ranked_of, F.col("template") + 1)
     shared = F.array_intersect("tokens", wanted)
+
+    def ranks_of(part: int):
+        return F.element_at(F.array(*(F.array(*(F.lit(order[w]) for w in e[part])).cast("array<int>") for e in entries)), F.col("template") + 1)
+    decided = (F.size(F.array_except(ranks_of(3), F.col("tokens"))) == 0) & ~F.arrays_overlap(ranks_of(4), F.col("tokens"))
     # a pair found through several prefix tokens is taken at the first
-    pairs = (probes.filter(F.size(shared) >= F.col("need")).filter(F.element_at(shared, 1) == F.col("token"))
+    pairs = (probes.filter(F.size(shared) >= F.col("need")).filter(F.element_at(shared, 1) == F.col("token")).filter(decided)
              .withColumn("score", F.size(shared) / F.col("width")))
     phrase_of = F.array(*(F.array(*map(F.lit, words)) if phrase else F.array().cast("array<string>") for _, words, _, phrase, _, _ in plans))
     label_of = F.array(*(F.lit(label) for _, _, label, *_ in plans))
