@@ -60,3 +60,10 @@ def test_bad_rows_are_refused_by_name(spark):
         rule_rows.load_rules(rule_rows.own_rules(spark), 7)
     with pytest.raises(rule_rows.RuleError, match="more than"):
         rule_rows.load_rules(spark.createDataFrame([_rule(rule_id=str(n)) for n in range(rule_rows.MOST_RULES + 1)], rule_rows.RULE_ROWS))
+
+
+def test_a_scan_takes_rules_of_a_table(spark):
+    from ramparts.plans.code_scan import scan_code
+    files = spark.createDataFrame([(1, "a.js", "const u = 1;\nfetch('db.corp');", "business")], "file_id long, rel string, code string, unit string")
+    chosen = rule_rows.load_rules(spark.createDataFrame([_rule()], rule_rows.RULE_ROWS))
+    assert [(r["class"], r.line, r.col, r.rel) for r in scan_code(files, rules=chosen).filter("detector_id = 'mine'").collect()] == [("Internal Name", 2, 8, "a.js")]
