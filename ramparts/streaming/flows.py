@@ -19,8 +19,17 @@ from ramparts.session import scratch
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Files called ``name`` in ``folder`` as a stream with the schema of the files already there."""
-    schema = spark.read.option("pathGlobFilter", name).parquet(folder).schema
+    """Files called ``name`` in ``folder`` as a stream with the schema of the files already there.
+
+    If no file has that name, it is the folder of a table, whose files may have any name.
+    """
+    try:
+        schema = spark.read.option("pathGlobFilter", name).parquet(folder).schema
+    except AnalysisException as missing:
+        if missing.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        folder, name = f"{folder}/{name}", "*"
+        schema = spark.read.parquet(folder).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)

@@ -269,3 +269,12 @@ def test_fixes_apply_in_line_order(spark):
     for rows in (0, 1000):
         got = {r.file_id: (r.code, r.applied, r.conflicts) for r in fixes.apply_fixes(files, todo, broadcast_rows=rows).collect()}
         assert got == {1: ("A\nAA\nb", 2, 2), 2: ("x", 0, 0)}
+
+
+def test_a_streamed_table_may_be_a_folder_of_files(spark):
+    folder = scratch(spark, "given")
+    rows = spark.range(40).select("id", (F.col("id") * 3).alias("v"))
+    rows.repartition(4).write.parquet(f"{folder}/rows.parquet")
+    spark.range(7).select("id", F.lit("other").alias("w")).repartition(2).write.parquet(f"{folder}/others.parquet")
+    got = flows.run_append(flows.read_stream(spark, folder, "rows.parquet", files_per_trigger=1), "got")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
