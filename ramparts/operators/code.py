@@ -16,7 +16,14 @@ from ramparts.functions.text import per_application
 from ramparts.operators import facts
 from ramparts.operators.resolve import taint_flags
 from ramparts.schemas import emit, finding, findings
-from ramparts.session import BROADCAST_ROWS, lookup_join
+from ramparts.session import BROADCAST_ROWS, large, lookup_join
+
+# words of which a file must hold one from each list for a detector to find anything in it (``facts.mentioning``)
+RANDOM_WORDS = [["Math"], ["random"]]
+COMPARISON_WORDS = [["==", "!="]]
+WEAK_HASH_WORDS = [["createHash"]]
+RACE_WORDS = [["async", "await"], rules.READ_CALLS, rules.WRITE_CALLS]
+OBJECT_WORDS = [rules.OBJECT_SINKS, rules.HANDLER_PARAMETERS]
 
 SITE_RULES: dict[str, Callable[[], Column]] = {}
 
@@ -215,7 +222,7 @@ def function_rows(lexed: facts.Lexed, keep: list[str]) -> DataFrame:
 def calls_within(functions: DataFrame, lexed: facts.Lexed, names: list[str], keep: list[str]) -> DataFrame:
     """Calls of one of ``names`` with every function around them, nested ones included."""
     calls = facts.calls_of(lexed, []).filter(F.col("name").isin(names)).select("file_id", "call_id", "p", "name", "line", "col", "args", "source_line")
-    return functions.select("file_id", *keep, "fn_id", "start", "end").join(calls, "file_id").filter("p > start AND p <= `end`")
+    return functions.select("file_id", *keep, "fn_id", "start", "end").join(large(calls), "file_id").filter("p > start AND p <= `end`")
 
 
 def check_then_act(functions: DataFrame, lexed: facts.Lexed, keep: list[str]) -> DataFrame:
@@ -253,7 +260,7 @@ def check_then_act_facts(calls: DataFrame, functions: DataFrame, broadcast_rows:
     guarded = functions.filter("is_async").select("fn_id").distinct()
     reads = lookup_join(reads, guarded, ["fn_id"], ["fn_id"], "inner", broadcast_rows)
     writes = calls.filter(F.col("name").isin(rules.WRITE_CALLS)).select("fn_id", "line", "name").groupBy("fn_id", "line").agg(F.min("name").alias("name"))
-    pairs = writes.join(reads, "fn_id").filter("line >= read.line")
+    pairs = writes.join(large(reads), "fn_id").filter("line >= read.line")
     acted = pairs.groupBy("fn_id", "read").agg(F.min(F.struct("line", "name")).alias("write"))
     return acted.select("fn_id", F.col("read.line").alias("read_line"), F.col("read.name").alias("read_name"),
                         F.col("write.line").alias("write_line"), F.col("write.name").alias("write_name"))

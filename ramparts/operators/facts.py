@@ -8,7 +8,7 @@ length, nesting or count is bounded. Joins are on the file and a token's place,
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ramparts import rules
 from ramparts.operators import tokens as tok
-from ramparts.session import materialize
+from ramparts.session import large, materialize
 
 NAME = r"[A-Za-z_$][0-9A-Za-z_$]*"
 SOURCE = "__source__"
@@ -47,7 +47,7 @@ class Lexed:
     def with_files(self, facts: DataFrame, keep: list[str], *more: str) -> DataFrame:
         """Facts with columns of their file."""
         wanted = list(dict.fromkeys(["file_id", *keep, *more]))
-        return facts.join(self.files.select(*wanted), "file_id") if len(wanted) > 1 else facts
+        return facts.join(large(self.files.select(*wanted)), "file_id") if len(wanted) > 1 else facts
 
 
 def lex(files: DataFrame, keep: list[str]) -> Lexed:
@@ -57,6 +57,21 @@ def lex(files: DataFrame, keep: list[str]) -> Lexed:
     return Lexed(base, tok.stored_tokens(base.select("file_id", "code")), tuple(kept))
 
 
+def mentioning(files: DataFrame, *lists: Sequence[str]) -> DataFrame:
+    """Files whose text holds a word of every list, in capitals or not.
+
+    Names and operators of facts are pieces of the text, so a rule that asks for one finds nothing in any other file,
+    and those need not be cut into tokens.
+    """
+    text = F.lower("code")
+    for words in lists:
+        some = F.lit(False)
+        for word in sorted({w.lower() for w in words}):
+            some = some | F.contains(text, F.lit(word))
+        files = files.filter(some)
+    return files
+
+
 def place_id(file_id: Column, place: Column) -> Column:
     return F.when(place.isNotNull(), F.concat_ws(":", file_id.cast("string"), place["line"].cast("string"), place["col"].cast("string")))
 
@@ -130,11 +145,11 @@ def _flowing(lexed: Lexed, spans: DataFrame, keys: list[str]) -> DataFrame:
     A region is part of one statement, so a name meets only the spans around it and beside it.
     """
     names = chains(lexed).filter("flows is not null").select("file_id", "inside", "region", "chain", "flows")
-    hits = spans.join(names, ["file_id", "inside", "region"]).filter("chain >= `from` AND chain <= `to`")
+    hits = spans.join(large(names), ["file_id", "inside", "region"]).filter("chain >= `from` AND chain <= `to`")
     found = hits.groupBy(*keys).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("chain", "flows"))), lambda x: x["flows"])).alias("_flow"))
     none = F.array().cast("array<string>")
     flow = F.coalesce("_flow", none)
-    return spans.join(found, keys, "left").withColumns({"refs": F.filter(flow, lambda n: n != SOURCE), "has_source": F.array_contains(flow, SOURCE)}).drop("_flow")
+    return spans.join(large(found), keys, "left").withColumns({"refs": F.filter(flow, lambda n: n != SOURCE), "has_source": F.array_contains(flow, SOURCE)}).drop("_flow")
 
 
 # ---- functions ---------------------------------------------------------------------------------------
@@ -156,7 +171,7 @@ def _function_spans(lexed: Lexed) -> DataFrame:
         "file_id", F.when(F.col("n1") == "(", F.col("n1_pos")).when(F.col("n2") == "(", F.col("n2_pos")).otherwise(F.col("n3_pos")).alias("at"), F.col("pos").alias("word"),
         F.when(F.col("n1").rlike("^[A-Za-z_$]"), F.col("n1")).when((F.col("n1") == "*") & (F.col("n2") != "("), F.col("n2")).alias("own"),
         F.col("l1").alias("b1"), F.col("l1_pos").alias("b1_pos"), F.col("l2").alias("b2"), F.col("l2_pos").alias("b2_pos"))
-    keyword = keyword.join(anchor, ["file_id", "at"]).select(
+    keyword = keyword.join(large(anchor), ["file_id", "at"]).select(
         "file_id", "at", F.lit("function").alias("kind"), "own", "word", "b1", "b1_pos", "b2", "b2_pos", own_end.alias("e"), F.lit(None).cast("int").alias("from_part"))
 
     arrows = t.filter("t = '=>' AND k = 'op'")
@@ -166,10 +181,10 @@ def _function_spans(lexed: Lexed) -> DataFrame:
     arrows = arrows.select("file_id", F.col("pos").alias("arrow"), "par", "smin", body.alias("e"), F.when(F.col("l1") == ")", F.col("l2_pos")).when(
         ~F.coalesce(typed_result, F.lit(False)) & (F.col("l1_k") == "id"), F.col("l1_pos")).alias("at"))
     # the parameters of an arrow with a result type are the last bracket before it in the part
-    typed = (arrows.filter("at IS NULL").drop("at").join(anchor.filter("anchor = '('").select("file_id", "par", "smin", F.col("at")), ["file_id", "par", "smin"])
+    typed = (arrows.filter("at IS NULL").drop("at").join(large(anchor.filter("anchor = '('").select("file_id", "par", "smin", F.col("at"))), ["file_id", "par", "smin"])
              .filter("at < arrow").groupBy("file_id", "arrow").agg(F.first("e").alias("e"), F.max("at").alias("at")))
     arrows = arrows.filter("at IS NOT NULL").select("file_id", "at", "e").unionByName(typed.select("file_id", "at", "e"))
-    arrows = arrows.join(anchor, ["file_id", "at"]).select("file_id", "at", F.lit("arrow").alias("kind"), F.lit(None).cast("string").alias("own"), F.col("at").alias("word"),
+    arrows = arrows.join(large(anchor), ["file_id", "at"]).select("file_id", "at", F.lit("arrow").alias("kind"), F.lit(None).cast("string").alias("own"), F.col("at").alias("word"),
                                                          F.col("a1").alias("b1"), F.col("a1_pos").alias("b1_pos"), F.col("a2").alias("b2"), F.col("a2_pos").alias("b2_pos"), "e",
                                                          F.lit(None).cast("int").alias("from_part"))
 
@@ -185,11 +200,11 @@ def _function_spans(lexed: Lexed) -> DataFrame:
     named_by = F.when(F.col("kind") == "method", None).when(F.col("is_async"), F.when(F.col("b2").isin("=", ":"), F.col("b2_pos"))).when(F.col("b1").isin("=", ":"), F.col("b1_pos"))
     every = every.withColumn("named_by", named_by)
     given = t.filter(_op("=", ":")).select("file_id", F.col("pos").alias("named_by"), *_given())
-    every = every.join(given, ["file_id", "named_by"], "left")
+    every = every.join(large(given), ["file_id", "named_by"], "left")
     start = F.coalesce("given_pos", F.when(F.col("kind") == "method", F.col("from_part")).when(F.col("is_async"), F.col("b1_pos")).otherwise(F.col("word")))
     every = every.withColumns({"start": start, "name": F.coalesce("given", "own")})
     places = t.select("file_id", F.col("pos").alias("start"), "line", "col", F.col("start").alias("start_off"), "up", "up_prev1", "up_prev2", "up_chain", "prev1")
-    return every.join(places, ["file_id", "start"]).select("file_id", "start", "e.*", "line", "col", "start_off", "kind", "name", "is_async", F.col("at").alias("params_at"),
+    return every.join(large(places), ["file_id", "start"]).select("file_id", "start", "e.*", "line", "col", "start_off", "kind", "name", "is_async", F.col("at").alias("params_at"),
                                                         "up", "up_prev1", "up_prev2", "up_chain", "prev1")
 
 
@@ -220,23 +235,23 @@ def _functions(lexed: Lexed) -> DataFrame:
     """Function spans with parameters and with what frameworks hand them."""
     spans, t = materialize(_function_spans(lexed), "spans"), lexed.tokens
     within = _insides(t.filter("up IN ('{', '[')")).select("file_id", F.col("par").alias("opened"), F.col("text").alias("inner"))
-    parts = _parts(t.filter("up = '('")).withColumnRenamed("par", "params_at").join(spans.select("file_id", "params_at").distinct(), ["file_id", "params_at"])
+    parts = _parts(t.filter("up = '('")).withColumnRenamed("par", "params_at").join(large(spans.select("file_id", "params_at").distinct()), ["file_id", "params_at"])
     text = F.concat(F.array_join(F.transform("tokens", lambda x: x["t"]), " "), F.lit(" "))
     bare = F.regexp_replace(F.regexp_replace(text, rf"@ {NAME} (?:\. {NAME} )*(?:\( \) )?", ""), rf"^(?:(?:{_MODIFIERS}) )*", "")
     decorators = F.transform(F.filter("tokens", lambda x, i: F.coalesce(F.get("tokens", i - 1)["t"] == "@", F.lit(False))), lambda x: x["t"])
     opened = F.when(bare.rlike(r"^[{\[]"), F.get(F.filter("tokens", lambda x: x["t"].isin("{", "[")), F.lit(0))["pos"])
     params = parts.select("file_id", "params_at", "smin", F.nullif(F.regexp_extract(bare, rf"^({NAME})", 1), F.lit("")).alias("name"), opened.alias("opened"), decorators.alias("decorators"))
-    params = params.join(within, ["file_id", "opened"], "left").withColumn("pattern", F.when(F.col("opened").isNotNull(), F.coalesce("inner", F.lit(""))))
+    params = params.join(large(within), ["file_id", "opened"], "left").withColumn("pattern", F.when(F.col("opened").isNotNull(), F.coalesce("inner", F.lit(""))))
     listed = params.groupBy("file_id", "params_at").agg(F.transform(F.array_sort(F.collect_list(F.struct("smin", F.struct("name", "pattern", "decorators").alias("p")))),
                                                                     lambda x: x["p"]).alias("params"))
     # the only parameter of an arrow without brackets is its own anchor
     single = t.filter("k = 'id' AND next = '=>'").select("file_id", F.col("pos").alias("params_at"), F.array(F.struct(
         F.col("t").alias("name"), F.lit(None).cast("string").alias("pattern"), F.array().cast("array<string>").alias("decorators"))).alias("single"))
-    fns = spans.join(listed, ["file_id", "params_at"], "left").join(single, ["file_id", "params_at"], "left")
+    fns = spans.join(large(listed), ["file_id", "params_at"], "left").join(large(single), ["file_id", "params_at"], "left")
     shape = "array<struct<name: string, pattern: string, decorators: array<string>>>"
     fns = fns.withColumn("params", F.coalesce("params", "single", F.array().cast(shape)))
     asked = chains(lexed).filter(F.exists("names", lambda n: F.lower(n).endswith("procedure") | (n == "input"))).select("file_id", F.col("chain").alias("up_chain"), F.lit(True).alias("_asked"))
-    fns = fns.join(asked, ["file_id", "up_chain"], "left")
+    fns = fns.join(large(asked), ["file_id", "up_chain"], "left")
     none = F.array().cast("array<string>")
     first, second = F.get("params", F.lit(0)), F.get("params", F.lit(1))
     in_map = (F.col("up") == "{") & (F.col("up_prev1") == ":") & _unquoted(F.col("up_prev2")).isin(rules.GRAPHQL_MAPS) & F.col("name").isNotNull()
@@ -325,13 +340,13 @@ def _entries(lexed: Lexed) -> DataFrame:
     text = F.array_join(F.transform(value, lambda x: x["t"]), " ")
     rows = parts.filter(key["k"].isin("id", "string")).select("file_id", "par", "smin", _unquoted(key["t"]).alias("key"), F.coalesce(text, F.lit("")).alias("value"),
                                                              F.when(F.get(value, F.lit(0))["t"] == "[", F.get(value, F.lit(0))["pos"]).alias("list"))
-    rows = rows.join(lists, ["file_id", "list"], "left").withColumn("value", F.when(F.col("list").isNotNull(), F.concat(F.lit("["), F.coalesce("items", F.lit("")), F.lit("]"))).otherwise(F.col("value")))
+    rows = rows.join(large(lists), ["file_id", "list"], "left").withColumn("value", F.when(F.col("list").isNotNull(), F.concat(F.lit("["), F.coalesce("items", F.lit("")), F.lit("]"))).otherwise(F.col("value")))
     return rows.groupBy("file_id", F.col("par").alias("object")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("smin", F.struct("key", "value").alias("e")))), lambda x: x["e"]).alias("entries"))
 
 
 def _argument_rows(lexed: Lexed, calls: DataFrame) -> DataFrame:
-    parts = _parts(lexed.tokens.filter("up = '('")).withColumnRenamed("par", "call").join(calls.select("file_id", "call", "inside", "region"), ["file_id", "call"])
+    parts = _parts(lexed.tokens.filter("up = '('")).withColumnRenamed("par", "call").join(large(calls.select("file_id", "call", "inside", "region")), ["file_id", "call"])
     spans = _flowing(lexed, parts.withColumns({"from": F.col("smin"), "to": F.col("last")}), ["file_id", "call", "smin"])
     kind = _argument_kind()
     rows = spans.withColumn("kind", kind)
@@ -339,7 +354,7 @@ def _argument_rows(lexed: Lexed, calls: DataFrame) -> DataFrame:
     rows = rows.select("file_id", "call", "smin", "kind", F.when(F.col("kind") == "string", _unquoted(first["t"])).alias("literal"),
                        F.when(F.col("kind") == "call", F.element_at(F.filter("tokens", lambda x: x["k"] == "id"), -1)["t"]).alias("callee"), "refs", "has_source",
                        F.when(F.col("kind") == "object", first["pos"]).alias("object"))
-    return rows.join(_entries(lexed), ["file_id", "object"], "left")
+    return rows.join(large(_entries(lexed)), ["file_id", "object"], "left")
 
 
 def _calls(lexed: Lexed) -> DataFrame:
@@ -349,7 +364,7 @@ def _calls(lexed: Lexed) -> DataFrame:
     args = given.groupBy("file_id", "call").agg(F.transform(F.array_sort(F.collect_list(F.struct("smin", F.struct(
         "kind", "literal", "callee", "refs", "has_source", "entries").alias("a")))), lambda x: x["a"]).alias("args"))
     none = F.array().cast(args.schema["args"].dataType)
-    rows = calls.drop("inside", "region").join(args, ["file_id", "call"], "left").withColumn("args", F.coalesce("args", none))
+    rows = calls.drop("inside", "region").join(large(args), ["file_id", "call"], "left").withColumn("args", F.coalesce("args", none))
     fns = _all_functions(lexed)
     return _enclosed(_enclosed(rows, fns, "fn"), fns, "carrier", carrier=True)
 
@@ -383,8 +398,8 @@ def _bindings(lexed: Lexed) -> DataFrame:
         F.when(F.col("logical"), F.lit(-1)).otherwise(F.col("last")).alias("to"), F.col("last").alias("value_end"))
     rows = _flowing(lexed, rows, ["file_id", "assign"])
     random = chains(lexed).filter("root = 'Math' AND names[1] = 'random' AND call IS NOT NULL").select("file_id", F.col("chain").alias("drawn"))
-    drawing = rows.select("file_id", "assign", "value_end").join(random, "file_id").filter("drawn > assign AND drawn <= value_end").select("file_id", "assign").distinct()
-    rows = rows.join(drawing.withColumn("draws_random", F.lit(True)), ["file_id", "assign"], "left").withColumn("draws_random", F.coalesce("draws_random", F.lit(False)))
+    drawing = rows.select("file_id", "assign", "value_end").join(large(random), "file_id").filter("drawn > assign AND drawn <= value_end").select("file_id", "assign").distinct()
+    rows = rows.join(large(drawing.withColumn("draws_random", F.lit(True))), ["file_id", "assign"], "left").withColumn("draws_random", F.coalesce("draws_random", F.lit(False)))
     return _enclosed(rows, _all_functions(lexed), "fn")
 
 
@@ -401,7 +416,7 @@ def comparisons_of(lexed: Lexed, keep: list[str]) -> DataFrame:
     left = operands.select("file_id", F.col("chain").alias("l1_chain"), F.col("call").alias("l_call"), named.alias("l_name"), "l", "c")
     right = operands.select("file_id", F.col("chain").alias("n1_pos"), F.col("call").alias("r_call"), named.alias("r_name"))
     rows = lexed.tokens.filter(_op(*_COMPARED)).select("file_id", "pos", F.col("t").alias("op"), "line", "col", "l1", "l1_k", "l1_chain", "n1", "n1_pos").join(
-        left, ["file_id", "l1_chain"], "left").join(right, ["file_id", "n1_pos"], "left")
+        large(left), ["file_id", "l1_chain"], "left").join(large(right), ["file_id", "n1_pos"], "left")
 
     def literal(text: Column) -> Column:
         return F.when(text.rlike("^[\"']"), "string").when(text.rlike("^[0-9]"), "number")
@@ -430,7 +445,7 @@ def imports_of(lexed: Lexed, keep: list[str]) -> DataFrame:
     begins = t.filter("t = '{' AND k = 'op'").select("file_id", F.col("pos").alias("opened"), F.col("l1").alias("o1"), F.col("l2").alias("o2"))
     froms = t.filter("t = 'from' AND lvl = 0 AND l1 IS NOT NULL").filter(F.col("n1").rlike("^[\"']")).select(
         "file_id", _unquoted(F.col("n1")).alias("source"), "l1", "l2", F.when(F.col("l1") == "}", F.col("l2_pos")).alias("opened"))
-    froms = froms.join(braces, ["file_id", "opened"], "left").join(begins, ["file_id", "opened"], "left")
+    froms = froms.join(large(braces), ["file_id", "opened"], "left").join(large(begins), ["file_id", "opened"], "left")
 
     def entry(local: Column, imported: Column) -> Column:
         return F.struct(local.alias("local"), imported.alias("imported"))
@@ -444,7 +459,7 @@ def imports_of(lexed: Lexed, keep: list[str]) -> DataFrame:
     plain = chains(lexed).filter("text = 'require()'").select("file_id", "chain")
     arg = t.filter("up = '(' AND up_prev1 = 'require' AND k = 'string'").select("file_id", "par", _unquoted(F.col("t")).alias("source"))
     closes = t.filter("t = '}' AND k = 'op'").select("file_id", F.col("pos").alias("l2_pos"), F.col("l1_pos").alias("opened"))
-    required = required.join(plain, ["file_id", "chain"]).join(arg, ["file_id", "par"]).join(closes, ["file_id", "l2_pos"], "left").join(braces, ["file_id", "opened"], "left")
+    required = required.join(large(plain), ["file_id", "chain"]).join(large(arg), ["file_id", "par"]).join(large(closes), ["file_id", "l2_pos"], "left").join(large(braces), ["file_id", "opened"], "left")
     found = F.when(F.col("l2_k") == "id", F.array(entry(F.col("l2"), F.lit("*")))).when(F.col("l2") == "}", F.transform(_listed(F.col("names"), ":"), lambda x: entry(x["b"], x["a"])))
     cjs = required.select("file_id", "source", F.explode(F.coalesce(found, none)).alias("i"))
     rows = es.unionByName(cjs).select("file_id", "i.local", "source", "i.imported")
@@ -467,17 +482,17 @@ def _export_names(lexed: Lexed) -> DataFrame:
     ends = F.coalesce(F.col("n2") == ";", F.lit(True)) | (F.col("last") == F.col("n1_pos"))
     simple = F.col("n1").rlike("^[A-Za-z_$]") & ~F.col("n1").isin("async", "function", "class", "new") & ends
     out = out.unionByName(pairs(t.filter("t = 'default' AND l1 = 'export'").filter(simple), F.lit("default"), F.col("n1")))
-    clause = t.filter("t = '{' AND k = 'op' AND l1 = 'export' AND (n2 IS NULL OR n2 <> 'from')").select("file_id", F.col("pos").alias("opened")).join(braces, ["file_id", "opened"])
+    clause = t.filter("t = '{' AND k = 'op' AND l1 = 'export' AND (n2 IS NULL OR n2 <> 'from')").select("file_id", F.col("pos").alias("opened")).join(large(braces), ["file_id", "opened"])
     out = out.unionByName(clause.select("file_id", F.explode(_listed(F.col("names"), "as")).alias("x")).select("file_id", F.col("x.b").alias("export_name"), F.col("x.a").alias("local")))
 
     targets = chains(lexed).filter(r"text RLIKE '^(module\\.)?exports(\\.[A-Za-z_$][0-9A-Za-z_$]*)?$'").select("file_id", F.col("chain").alias("l1_chain"), "text")
-    given = t.filter("t = '=' AND k = 'op'").select("file_id", "l1_chain", "n1", "n1_pos", "logical", ends.alias("ends"), simple.alias("simple")).join(targets, ["file_id", "l1_chain"])
+    given = t.filter("t = '=' AND k = 'op'").select("file_id", "l1_chain", "n1", "n1_pos", "logical", ends.alias("ends"), simple.alias("simple")).join(large(targets), ["file_id", "l1_chain"])
     whole = given.filter("text IN ('exports', 'module.exports')")
     single = given.filter("text NOT IN ('exports', 'module.exports')").withColumn("member", F.element_at(F.split("text", r"\."), -1))
     out = out.unionByName(pairs(whole.filter("simple AND NOT logical"), F.lit("default"), F.col("n1")))
     out = out.unionByName(pairs(whole.filter("n1 IN ('function', 'async') OR logical"), F.lit("default"), F.lit("exports")))
     out = out.unionByName(pairs(single, F.col("member"), F.when(F.col("simple") & ~F.col("logical"), F.col("n1")).otherwise(F.col("member"))))
-    listed = whole.filter("n1 = '{'").select("file_id", F.col("n1_pos").alias("par")).join(_parts(t.filter("up = '{' AND up_prev1 = '='")), ["file_id", "par"])
+    listed = whole.filter("n1 = '{'").select("file_id", F.col("n1_pos").alias("par")).join(large(_parts(t.filter("up = '{' AND up_prev1 = '='"))), ["file_id", "par"])
     key = F.regexp_extract(F.get("tokens", F.lit(0))["t"], rf"^({NAME})\z", 1)
     value = F.when((F.size("tokens") == 3) & (F.get("tokens", F.lit(1))["t"] == ":") & (F.get("tokens", F.lit(2))["k"] == "id"), F.get("tokens", F.lit(2))["t"])
     return out.unionByName(pairs(listed.filter(key != ""), key, F.coalesce(value, key)))
@@ -486,4 +501,4 @@ def _export_names(lexed: Lexed) -> DataFrame:
 def exports_of(lexed: Lexed) -> DataFrame:
     """Exports with the first function of that name in the file; names bound to no function drop out."""
     first = _all_functions(lexed).filter("name IS NOT NULL").groupBy("file_id", F.col("name").alias("local")).agg(F.min(F.struct("line", "col")).alias("fn"))
-    return _export_names(lexed).distinct().join(first, ["file_id", "local"]).select("file_id", "export_name", place_id(F.col("file_id"), F.col("fn")).alias("fn_id"))
+    return _export_names(lexed).distinct().join(large(first), ["file_id", "local"]).select("file_id", "export_name", place_id(F.col("file_id"), F.col("fn")).alias("fn_id"))

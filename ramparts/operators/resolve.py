@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ramparts import rules
-from ramparts.session import BROADCAST_ROWS, lookup_join
+from ramparts.session import BROADCAST_ROWS, large, lookup_join
 
 
 def normal_path(path: Column) -> Column:
@@ -113,4 +113,4 @@ def taint_flags(sites: DataFrame, taint: DataFrame, refs: str, salt_by: list[str
     known = taint.select("fn_id", "name").distinct()
     hit = lookup_join(names, known.withColumn("_t", F.lit(True)), ["fn_id", "name"], salt_by, "inner", broadcast_rows)
     marked = hit.select(*keys).distinct().withColumn(out, F.lit(True))
-    return sites.join(marked, keys, "left").withColumn(out, F.coalesce(F.col(out), F.lit(False)))
+    return sites.join(large(marked), keys, "left").withColumn(out, F.coalesce(F.col(out), F.lit(False)))

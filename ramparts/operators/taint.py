@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ramparts.session import BROADCAST_ROWS, hot_keys, lookup_join, materialize, salt_many, salt_one, scratch
+from ramparts.session import BROADCAST_ROWS, hot_keys, large, lookup_join, materialize, salt_many, salt_one, scratch
 
 _SRC = ["src_fn", "src_name"]
 
@@ -37,7 +37,7 @@ def closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 100_000, broad
     places, begun, rest = shortcut(known, edges)
     inner = closure(begun, rest, max_rounds - shortcut_after, broadcast_rows, salts, 2 * shortcut_after)
     behind = places.filter("root_fn IS NOT NULL").join(
-        inner.withColumnsRenamed({"fn_id": "root_fn", "name": "root_name"}), ["root_fn", "root_name"], "left_semi")
+        large(inner.withColumnsRenamed({"fn_id": "root_fn", "name": "root_name"})), ["root_fn", "root_name"], "left_semi")
     return known.unionByName(places.filter("root_fn IS NULL").select("fn_id", "name")).unionByName(behind.select("fn_id", "name"))
 
 
@@ -53,8 +53,8 @@ def shortcut(known: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame,
     before, there = (F.struct(F.col(f"{end}_fn").alias("fn_id"), F.col(f"{end}_name").alias("name")) for end in ("src", "dst"))
     sure = known.select(F.col("fn_id").alias("src_fn"), F.col("name").alias("src_name"), F.lit(True).alias("_sure"))
     left = materialize(
-        _clean(edges).filter(before != there).join(known.withColumnsRenamed({"fn_id": "dst_fn", "name": "dst_name"}), ["dst_fn", "dst_name"], "left_anti")
-        .join(sure, _SRC, "left").withColumn("_sure", F.coalesce("_sure", F.lit(False))), "shortcut-edges")
+        _clean(edges).filter(before != there).join(large(known.withColumnsRenamed({"fn_id": "dst_fn", "name": "dst_name"})), ["dst_fn", "dst_name"], "left_anti")
+        .join(large(sure), _SRC, "left").withColumn("_sure", F.coalesce("_sure", F.lit(False))), "shortcut-edges")
     ways = left.groupBy("dst_fn", "dst_name").agg(F.bool_or("_sure").alias("_reached"), F.min(before).alias("_least"), F.max(before).alias("_most"))
     several = F.col("_least") != F.col("_most")
     pointers = ways.select(
@@ -74,7 +74,7 @@ def shortcut(known: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame,
         moving = pointers.filter("not done")
         for _ in range(2):
             # a pointer to a name that nothing leads to finds no row and ends here
-            moving = (moving.join(ahead, "at").select("fn_id", "name", F.when(F.col("done"), F.col("at")).otherwise(F.col("_next")).alias("at"),
+            moving = (moving.join(large(ahead), "at").select("fn_id", "name", F.when(F.col("done"), F.col("at")).otherwise(F.col("_next")).alias("at"),
                                                       (F.col("done") | F.col("_done")).alias("done"))
                       .unionByName(moving.filter("at IS NULL")))
         pointers = pointers.filter("done").unionByName(moving)
@@ -82,8 +82,8 @@ def shortcut(known: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame,
     places = pointers.filter("done").select("fn_id", "name", F.col("at.fn_id").alias("root_fn"), F.col("at.name").alias("root_name"))
     roots = places.filter("fn_id = root_fn AND name = root_name").select(F.col("fn_id").alias("dst_fn"), F.col("name").alias("dst_name"))
     moved = materialize(
-        left.join(roots, ["dst_fn", "dst_name"], "left_semi").select(*_SRC, "dst_fn", "dst_name")
-        .join(places.withColumnsRenamed({"fn_id": "src_fn", "name": "src_name"}), _SRC)
+        left.join(large(roots), ["dst_fn", "dst_name"], "left_semi").select(*_SRC, "dst_fn", "dst_name")
+        .join(large(places.withColumnsRenamed({"fn_id": "src_fn", "name": "src_name"})), _SRC)
         .select(F.col("root_fn").alias("src_fn"), F.col("root_name").alias("src_name"), "dst_fn", "dst_name").distinct(), "shortcut-rest")
     begun = moved.filter("src_fn IS NULL").select(F.col("dst_fn").alias("fn_id"), F.col("dst_name").alias("name"))
     return places, begun, moved.filter("src_fn IS NOT NULL").filter(before != there)
@@ -140,7 +140,7 @@ def _spread(seeds: DataFrame, edges: DataFrame, max_rounds: int, broadcast_rows:
             if size <= broadcast_rows:
                 reached = edge_rows.join(F.broadcast(step), _SRC)
             else:
-                reached = edge_rows.join(salt_one(step, hot, _SRC, salts), keys)
+                reached = edge_rows.join(large(salt_one(step, hot, _SRC, salts)), keys)
             known = spark.read.schema(shape).parquet(*[f"{taint_path}/round={n}" for n in range(number + 1)]).select("fn_id", "name")
             there = [F.col("dst_fn").alias("fn_id"), F.col("dst_name").alias("name")]
             if traced:
@@ -164,7 +164,7 @@ def _unknown(step: DataFrame, known: DataFrame, known_rows: int, broadcast_rows:
     step = step.sparkSession.read.schema(step.schema).parquet(path)
     if counted.get["rows"] <= broadcast_rows:
         known = known.join(F.broadcast(step.select(*place)), place, "left_semi")
-    return step.join(known, place, "left_anti")
+    return step.join(large(known), place, "left_anti")
 
 
 def witness_paths(traced: DataFrame, targets: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def witness_paths(traced: DataFrame, targets: DataFrame) -> DataFrame:
     back = traced.select(F.col("fn_id").alias("at_fn"), F.col("name").alias("at_name"), "via_fn", "via_name")
     done = None
     while True:
-        step = materialize(open_paths.join(back, ["at_fn", "at_name"]), "witness")
+        step = materialize(open_paths.join(large(back), ["at_fn", "at_name"]), "witness")
         ended = step.filter("via_fn IS NULL").select("fn_id", "name", "path")
         done = ended if done is None else done.unionByName(ended)
         rest = step.filter("via_fn IS NOT NULL")

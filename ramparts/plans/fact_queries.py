@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ramparts.operators import resolve, taint
 from ramparts.plans.catalog import query
-from ramparts.session import materialize
+from ramparts.session import large, materialize
 from ramparts.sources.derived import table
 
 CALL_KEY = ["order_key", "seq"]
@@ -24,7 +24,7 @@ def params(spark, sf) -> DataFrame:
 
 def imports(spark, sf) -> DataFrame:
     files = table(spark, sf, "fx_file")
-    placed = table(spark, sf, "fx_import").join(files, "file_id")
+    placed = table(spark, sf, "fx_import").join(large(files), "file_id")
     return resolve.resolve_modules(placed, files)
 
 
@@ -108,5 +108,5 @@ def taint_reach(spark, sf):
     sinks = calls(spark, sf).filter("name in ('query', 'exec', 'readFile') and arg0_ref is not null").select(
         *CALL_KEY, "fn_id", F.col("arg0_ref").alias("ref"), "name", "line")
     sources = tainted_names(spark, sf, taint.traced_closure).select("fn_id", F.col("name").alias("ref"), "source_fn", "source_name", "hops")
-    return sinks.join(sources, ["fn_id", "ref"]).select(*CALL_KEY, "fn_id", F.col("name").alias("sink"), F.col("line").cast("bigint").alias("line"),
+    return sinks.join(large(sources), ["fn_id", "ref"]).select(*CALL_KEY, "fn_id", F.col("name").alias("sink"), F.col("line").cast("bigint").alias("line"),
                                                        "source_fn", "source_name", "hops")

@@ -51,6 +51,15 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def large(df: DataFrame) -> DataFrame:
+    """``df`` as a join side that Spark must not broadcast by its own estimate.
+
+    The estimate is the size of compressed files: tables of a few MB on disk can be hundreds of MB in the driver.
+    Sides that may be broadcast are counted first and say so with ``F.broadcast``.
+    """
+    return df.hint("merge")
+
+
 def hot_keys(df: DataFrame, on: list[str], share: int = 500) -> DataFrame:
     """Keys holding more than ``1/share`` of the rows: fewer than ``share`` of them by construction."""
     keyed = df
@@ -93,7 +102,7 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], salt_by: list[
     # written once: used twice below, and each use would count the whole left side again
     hot = materialize(hot_keys(left, on), "hot")
     return (salt_many(left, hot, on, salt_by, salts)
-            .join(salt_one(right, hot, on, salts), [*on, "_salt"], how).drop("_salt"))
+            .join(large(salt_one(right, hot, on, salts)), [*on, "_salt"], how).drop("_salt"))
 
 
 def ranked(df: DataFrame, group: list, order: list, out: str = "rank") -> DataFrame:
@@ -114,6 +123,6 @@ def ranked(df: DataFrame, group: list, order: list, out: str = "rank") -> DataFr
     sizes = placed.groupBy("_range", *group).agg(F.min("_seq").alias("_first"), F.count("*").alias("_rows"))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
-    return (placed.join(starts, ["_range", *group])
+    return (placed.join(large(starts), ["_range", *group])
             .withColumn(out, F.col("_seq") - F.col("_first") + F.col("_before") + 1)
             .drop("_range", "_seq", "_first", "_before"))

@@ -278,3 +278,31 @@ def test_a_streamed_table_may_be_a_folder_of_files(spark):
     spark.range(7).select("id", F.lit("other").alias("w")).repartition(2).write.parquet(f"{folder}/others.parquet")
     got = flows.run_append(flows.read_stream(spark, folder, "rows.parquet", files_per_trigger=1), "got")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sides_above_the_counted_limit_are_not_broadcast_by_their_size_on_disk(spark):
+    place = scratch(spark, "small-on-disk")
+    spark.range(4000).select(F.col("id").alias("k"), F.lit("x" * 500).alias("v")).write.parquet(place)
+    right = spark.read.parquet(place)
+    got = lookup_join(spark.range(9000).withColumn("k", F.col("id") % 5000), right, ["k"], ["id"], broadcast_rows=1000)
+    assert got.filter("v IS NOT NULL").count() == 8000
+    plan = _plan(got)
+    # only the bounded list of hot keys may be broadcast, once a side
+    assert "SortMergeJoin" in plan and plan.count("+- BroadcastHashJoin") + plan.count(":- BroadcastHashJoin") <= 2
+
+
+def test_files_without_a_rules_words_are_left_out_and_results_stay(spark):
+    from ramparts.operators import code, facts
+    texts = ["const token = Math.random();", "const a = math.floor(random);", "const sessionKey = 1 + Math\n  .random() * 9;", "call(x);", None]
+    files = spark.createDataFrame([(i, f"src/f{i}.js", "business", t) for i, t in enumerate(texts)], "file_id long, rel string, unit string, code string")
+    fewer = facts.mentioning(files, *code.RANDOM_WORDS)
+    assert sorted(r.file_id for r in fewer.collect()) == [0, 1, 2]
+
+    def found(some):
+        rows = code.insecure_random(facts.bindings_of(facts.lex(some, ["unit"]), ["rel", "unit"])).select("rel", "line", "summary")
+        return sorted(map(tuple, rows.collect()))
+    assert found(fewer) == found(files) and len(found(fewer)) == 2
