@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ramparts import rules
 from ramparts.operators import code, facts, fixes, surface
 from ramparts.plans import code_scan, fact_queries
 from ramparts.plans.catalog import long, query
 from ramparts.plans.surface_queries import web
+from ramparts.session import large
 from ramparts.sources.code_files import classify_unit, code_files
 from ramparts.sources.derived import table
 
@@ -30,8 +32,9 @@ def files(spark, sf) -> DataFrame:
     return code_files(sources(spark, sf, "code"))
 
 
-def lexed(spark, sf) -> facts.Lexed:
-    return facts.lex(files(spark, sf), ["unit"])
+def lexed(spark, sf, words=()) -> facts.Lexed:
+    """The token table of the code files, or of those that hold the words a detector needs."""
+    return facts.lex(facts.mentioning(files(spark, sf), *words), ["unit"])
 
 
 # ---- lexical facts ---------------------------------------------------------------------------------
@@ -66,40 +69,42 @@ def lex_imports(spark, sf):
 def lex_exports(spark, sf):
     lexed_mod = facts.lex(sources(spark, sf, "mod"), [])
     fns = facts.functions_of(lexed_mod, []).select("fn_id", "name")
-    return facts.exports_of(lexed_mod).join(fns, "fn_id").select("file_id", "export_name", F.col("name").alias("fn_name"))
+    return facts.exports_of(lexed_mod).join(large(fns), "fn_id").select("file_id", "export_name", F.col("name").alias("fn_name"))
 
 
 @query
 def src_request_member(spark, sf):
-    found = facts.chains(facts.lex(sources(spark, sf, "code"), [])).filter("is_member")
+    asking = facts.mentioning(sources(spark, sf, "code"), rules.REQUEST_ROOTS, rules.REQUEST_PROPERTIES)
+    found = facts.chains(facts.lex(asking, [])).filter("is_member")
     return found.select("file_id", F.col("text").alias("member"))
 
 
 @query
 def src_request_call(spark, sf):
-    found = facts.chains(facts.lex(sources(spark, sf, "fw"), [])).filter("is_request_call")
+    asking = facts.mentioning(sources(spark, sf, "fw"), rules.REQUEST_ROOTS, [*rules.REQUEST_BODY_CALLS, *rules.REQUEST_GETTERS])
+    found = facts.chains(facts.lex(asking, [])).filter("is_request_call")
     return found.select("file_id", F.col("upto_call").alias("call"))
 
 
-def _framework(spark, sf, reason: str) -> DataFrame:
-    seeds = code_scan.framework_seeds(facts.lex(sources(spark, sf, "fw"), []))
+def _framework(spark, sf, reason: str, *words) -> DataFrame:
+    seeds = code_scan.framework_seeds(facts.lex(facts.mentioning(sources(spark, sf, "fw"), *words), []))
     return seeds.filter(F.col("reason") == reason).select(F.split_part("fn_id", F.lit(":"), F.lit(1)).cast("bigint").alias("file_id"),
                                                           F.split_part("fn_id", F.lit(":"), F.lit(2)).cast("bigint").alias("line"), "name")
 
 
 @query
 def src_decorated_params(spark, sf):
-    return _framework(spark, sf, "decorator")
+    return _framework(spark, sf, "decorator", ["@"], rules.INPUT_DECORATORS)
 
 
 @query
 def src_graphql_args(spark, sf):
-    return _framework(spark, sf, "graphql")
+    return _framework(spark, sf, "graphql", rules.GRAPHQL_MAPS)
 
 
 @query
 def src_trpc_input(spark, sf):
-    return _framework(spark, sf, "procedure")
+    return _framework(spark, sf, "procedure", rules.PROCEDURE_CALLS, ["procedure", "input"], rules.PROCEDURE_INPUTS)
 
 
 @query
@@ -107,7 +112,7 @@ def taint_code(spark, sf):
     """Imports, calls, bindings and taint, all from text: which names of which function are tainted."""
     lexed_mod = code_scan.lexed_files(sources(spark, sf, "mod").withColumn("unit", F.lit("business")))
     fns = facts.functions_of(lexed_mod, []).select("fn_id", "file_id", F.col("name").alias("fn_name"))
-    return code_scan.taint_of(lexed_mod).join(fns, "fn_id").select("file_id", "fn_name", "name")
+    return code_scan.taint_of(lexed_mod).join(large(fns), "fn_id").select("file_id", "fn_name", "name")
 
 
 @query
@@ -170,26 +175,26 @@ def join_check_then_act(spark, sf):
 
 @query
 def det_insecure_random(spark, sf):
-    found = code.insecure_random(facts.bindings_of(lexed(spark, sf), ["rel", "unit"]))
+    found = code.insecure_random(facts.bindings_of(lexed(spark, sf, code.RANDOM_WORDS), ["rel", "unit"]))
     return found.select(*_PLACE, "col").withColumn("line", long("line")).withColumn("col", long("col"))
 
 
 @query
 def det_timing_compare(spark, sf):
-    found = code.timing_compare(facts.comparisons_of(lexed(spark, sf), ["rel", "unit"]))
+    found = code.timing_compare(facts.comparisons_of(lexed(spark, sf, code.COMPARISON_WORDS), ["rel", "unit"]))
     return found.select(*_PLACE, "col").withColumn("line", long("line")).withColumn("col", long("col"))
 
 
 @query
 def det_race_toctou(spark, sf):
-    found = code.race_conditions(lexed(spark, sf), ["rel", "unit"])
+    found = code.race_conditions(lexed(spark, sf, code.RACE_WORDS), ["rel", "unit"])
     return found.select(*_PLACE, "evidence").withColumn("line", long("line"))
 
 
 @query
 def det_object_authz(spark, sf):
     from ramparts.operators import taint
-    text = lexed(spark, sf)
+    text = lexed(spark, sf, code.OBJECT_WORDS)
     binds = facts.bindings_of(text, with_line=False).filter("fn_id is not null")
     tainted = taint.closure(taint.source_seeds(binds), taint.binding_edges(binds.select("fn_id", "lhs", F.explode("refs").alias("ref"))))
     return code.object_authorization(text, tainted, ["rel", "unit"]).select(*_PLACE).withColumn("line", long("line"))
@@ -197,13 +202,13 @@ def det_object_authz(spark, sf):
 
 @query
 def antijoin_owner_check(spark, sf):
-    rows = code.function_rows(lexed(spark, sf), ["rel"])
+    rows = code.function_rows(lexed(spark, sf, [rules.HANDLER_PARAMETERS]), ["rel"])
     return code.owner_less_handlers(rows).select("rel", F.col("fn_name").alias("name"))
 
 
 @query
 def antijoin_concurrency_guard(spark, sf):
-    rows = code.function_rows(lexed(spark, sf), ["rel"])
+    rows = code.function_rows(lexed(spark, sf, [["async", "await"]]), ["rel"])
     return rows.filter(code.is_unguarded_async(F.col("src"), F.col("is_async"))).select("rel", F.col("fn_name").alias("name"))
 
 
@@ -228,10 +233,13 @@ def agg_unit_counts(spark, sf):
 
 
 def _suggested(spark, sf) -> DataFrame:
-    text = lexed(spark, sf)
-    calls = facts.calls_of(text, ["rel", "unit"]).withColumn("tainted", F.lit(False))
-    parts = [code.insecure_random(facts.bindings_of(text, ["rel", "unit"]), ["file_id"]),
-             code.timing_compare(facts.comparisons_of(text, ["rel", "unit"]), ["file_id"]),
+    """Rewrites of three detectors, each over the files that hold its words."""
+    def text(words) -> facts.Lexed:
+        return lexed(spark, sf, words)
+    keep = ["rel", "unit"]
+    calls = facts.calls_of(text(code.WEAK_HASH_WORDS), keep).withColumn("tainted", F.lit(False))
+    parts = [code.insecure_random(facts.bindings_of(text(code.RANDOM_WORDS), keep), ["file_id"]),
+             code.timing_compare(facts.comparisons_of(text(code.COMPARISON_WORDS), keep), ["file_id"]),
              code.scan_sites(calls, ["file_id"], only=["weak_hash"])]
     every = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return fixes.suggest_fixes(every, ["file_id", "rel"])
