@@ -284,15 +284,15 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_sides_above_the_counted_limit_are_not_broadcast_by_their_size_on_disk(spark):
+def test_files_are_not_broadcast_by_their_size_on_disk(spark):
+    from ramparts.operators import facts
     place = scratch(spark, "small-on-disk")
-    spark.range(4000).select(F.col("id").alias("k"), F.lit("x" * 500).alias("v")).write.parquet(place)
-    right = spark.read.parquet(place)
-    got = lookup_join(spark.range(9000).withColumn("k", F.col("id") % 5000), right, ["k"], ["id"], broadcast_rows=1000)
-    assert got.filter("v IS NOT NULL").count() == 8000
+    spark.range(4000).select(F.col("id").alias("file_id"), F.lit("a").alias("rel"), F.lit("x" * 500).alias("code")).write.parquet(place)
+    lexed = facts.Lexed(spark.read.parquet(place), spark.range(1), ("file_id", "rel"))
+    got = lexed.with_files(spark.range(9000).select((F.col("id") % 5000).alias("file_id"), "id"), ["rel"], "code")
     plan = _plan(got)
-    # only the bounded list of hot keys may be broadcast, once a side
-    assert "SortMergeJoin" in plan and plan.count("+- BroadcastHashJoin") + plan.count(":- BroadcastHashJoin") <= 2
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert got.count() == 8000
 
 
 def test_files_without_a_rules_words_are_left_out_and_results_stay(spark):
