@@ -50,11 +50,19 @@ class Lexed:
         return facts.join(large(self.files.select(*wanted)), "file_id") if len(wanted) > 1 else facts
 
 
-def lex(files: DataFrame, keep: list[str]) -> Lexed:
-    """The token table of ``files`` (file_id, rel, code), written once; facts are read from it."""
+def lex(files: DataFrame, keep: list[str], only: Sequence[str] | None = None) -> Lexed:
+    """The token table of ``files`` (file_id, rel, code), written once; facts are read from it.
+
+    ``only`` names the facts of ``NEEDS`` that will be read; without it every column and token is kept.
+    """
     kept = list(dict.fromkeys(["file_id", "rel", *keep]))
     base = files.select(*kept, "code")
-    return Lexed(base, tok.stored_tokens(base.select("file_id", "code")), tuple(kept))
+    texts = base.select("file_id", "code")
+    if only is None:
+        return Lexed(base, tok.stored_tokens(texts), tuple(kept))
+    columns = {c for fact in only for c in NEEDS[fact][0].split()}
+    wanted = " OR ".join(dict.fromkeys(f"({NEEDS[fact][1]})" for fact in only))
+    return Lexed(base, tok.stored_tokens(texts, sorted(columns), wanted), tuple(kept))
 
 
 def mentioning(files: DataFrame, *lists: Sequence[str]) -> DataFrame:
@@ -93,20 +101,74 @@ def _line_of(code: Column, line: Column) -> Column:
     return F.get(F.split(code, "\n", -1), line - 1)
 
 
+# ---- what the facts read of the token table ------------------------------------------------------------
+
+
+def _quoted(words: Sequence[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+# tokens at which a function can start: its keyword, bracket or only parameter, async, the name it is given, a method's part
+_STARTS = "t IN ('(', 'function', 'async') OR next = '=>' OR (k = 'id' AND n1 IN ('=', ':')) OR (up = '{' AND pos = smin)"
+_ASKED = "chain_k = 'id' AND k = 'id' AND (lower(t) LIKE '%procedure' OR t = 'input')"
+_PATTERNS = "up IN ('{', '[') AND up_up = '('"
+_HEADS = "k = 'id' AND pos = chain"
+_ROOTED = f"chain_k = 'id' AND chain_t IN ({_quoted(rules.REQUEST_ROOTS)})"
+# names between braces that an import takes, or that an export clause lists
+_IMPORTED = "up = '{' AND up_n2 IN ('from', '=')"
+_EXPORTED = "up = '{' AND up_prev1 = 'export'"
+_OPTIONS = "up = '{' AND up_prev1 IN ('(', ',')"
+_ITEMS = "up = '[' AND up_prev1 = ':'"
+_OBJECT = "up = '{' AND up_prev1 = '='"
+_CHAIN_COLUMNS = "pos t k l1 chain chain_k chain_t chain_before chain_line chain_col chain_call inside region"
+_FUNCTION_COLUMNS = ("pos t k line col start smin par lvl linked logical last last_line last_end next prev1 prev3 l1 l1_k l1_pos l2 l2_pos n1 n1_pos n2 n2_pos n2_line n2_end "
+                     "n3_pos n3_line n3_end typed typed_pos up up_prev1 up_prev2 up_up up_chain chain chain_k")
+_FUNCTION_TOKENS = f"{_STARTS} OR t IN ('=>', '=', ':') OR up = '(' OR ({_PATTERNS}) OR ({_ASKED})"
+
+# the columns and the tokens that each fact is read from
+NEEDS = {
+    "functions": (_FUNCTION_COLUMNS, _FUNCTION_TOKENS),
+    "calls": (f"{_FUNCTION_COLUMNS} {_CHAIN_COLUMNS} run run_t run_line run_col run_before", f"{_FUNCTION_TOKENS} OR ({_HEADS}) OR ({_ROOTED}) OR ({_OPTIONS}) OR ({_ITEMS})"),
+    "bindings": (f"{_FUNCTION_COLUMNS} {_CHAIN_COLUMNS} run_line run_col typed_line typed_col",
+                 f"{_FUNCTION_TOKENS} OR t IN ({_quoted(tok.ASSIGNMENTS)}) OR ({_HEADS}) OR ({_ROOTED}) OR (chain_k = 'id' AND chain_t = 'Math')"),
+    "imports": (f"{_CHAIN_COLUMNS} lvl linked par up up_prev1 up_n2 l1_pos l2 l2_k l2_pos n1 n1_pos n2",
+                f"t IN ('{{', '}}', 'from', 'require') OR ({_IMPORTED}) OR (up = '(' AND up_prev1 = 'require') OR (chain_k = 'id' AND chain_t = 'require')"),
+    "exports": (f"{_FUNCTION_COLUMNS} {_CHAIN_COLUMNS} l1_chain",
+                f"{_FUNCTION_TOKENS} OR t IN ('{{', 'const', 'let', 'var', 'default') OR ({_EXPORTED}) OR ({_OBJECT}) OR (chain_k = 'id' AND chain_t IN ('module', 'exports'))"),
+}
+
+
 # ---- groups of tokens --------------------------------------------------------------------------------
 
 
 def chains(lexed: Lexed) -> DataFrame:
-    return lexed.once("chains", lambda: _chains(lexed))
+    return lexed.once("chains", lambda: _chains(lexed.tokens))
+
+
+def chains_from(lexed: Lexed, roots: Sequence[str]) -> DataFrame:
+    """``chains`` that start with one of ``roots``; only their tokens are grouped."""
+    return _chains(lexed.tokens.filter(F.col("chain_t").isin(*roots)))
+
+
+def _names_flowing(lexed: Lexed) -> DataFrame:
+    """The chains through which taint can enter what is around them: file_id, inside, region, chain, flows.
+
+    Only operands that start at a request are grouped; any other one is told by its head: it flows if it calls nothing.
+    """
+    shown = ["file_id", "inside", "region", "chain", "flows"]
+    root = F.col("t")
+    plain = lexed.tokens.filter(_HEADS).filter(~root.isin(rules.REQUEST_ROOTS) & ~root.isin(_NOT_NAMES) & F.col("chain_call").isNull())
+    plain = plain.filter(~F.coalesce(F.col("l1") == "!", F.lit(False))).withColumn("flows", root)
+    return plain.select(*shown).unionByName(chains_from(lexed, rules.REQUEST_ROOTS).filter("flows is not null").select(*shown))
 
 
-def _chains(lexed: Lexed) -> DataFrame:
+def _chains(tokens: DataFrame) -> DataFrame:
     """One row per operand that starts with a name: its names in order, whether it calls, and what it stands for.
 
     ``flows`` is the name through which taint enters: the first name of an operand without calls, or ``SOURCE``
     for request data. Operands behind ``!`` carry nothing.
     """
-    grouped = lexed.tokens.filter("chain_k = 'id'").groupBy("file_id", "chain").agg(
+    grouped = tokens.filter("chain_k = 'id'").groupBy("file_id", "chain").agg(
         F.first("chain_t").alias("root"), F.first("chain_before").alias("before"), F.first("chain_line").alias("line"), F.first("chain_col").alias("col"),
         F.min_by(F.struct("inside", "region"), "pos").alias("at"), F.min(F.when(_op("("), F.col("pos"))).alias("call"),
         F.array_sort(F.collect_list(F.struct("pos", "t", "k"))).alias("tokens"))
@@ -144,8 +206,7 @@ def _flowing(lexed: Lexed, spans: DataFrame, keys: list[str]) -> DataFrame:
 
     A region is part of one statement, so a name meets only the spans around it and beside it.
     """
-    names = chains(lexed).filter("flows is not null").select("file_id", "inside", "region", "chain", "flows")
-    hits = spans.join(large(names), ["file_id", "inside", "region"]).filter("chain >= `from` AND chain <= `to`")
+    hits = spans.join(large(_names_flowing(lexed)), ["file_id", "inside", "region"]).filter("chain >= `from` AND chain <= `to`")
     found = hits.groupBy(*keys).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("chain", "flows"))), lambda x: x["flows"])).alias("_flow"))
     none = F.array().cast("array<string>")
     flow = F.coalesce("_flow", none)
@@ -203,7 +264,7 @@ def _function_spans(lexed: Lexed) -> DataFrame:
     every = every.join(large(given), ["file_id", "named_by"], "left")
     start = F.coalesce("given_pos", F.when(F.col("kind") == "method", F.col("from_part")).when(F.col("is_async"), F.col("b1_pos")).otherwise(F.col("word")))
     every = every.withColumns({"start": start, "name": F.coalesce("given", "own")})
-    places = t.select("file_id", F.col("pos").alias("start"), "line", "col", F.col("start").alias("start_off"), "up", "up_prev1", "up_prev2", "up_chain", "prev1")
+    places = t.filter(_STARTS).select("file_id", F.col("pos").alias("start"), "line", "col", F.col("start").alias("start_off"), "up", "up_prev1", "up_prev2", "up_chain", "prev1")
     return every.join(large(places), ["file_id", "start"]).select("file_id", "start", "e.*", "line", "col", "start_off", "kind", "name", "is_async", F.col("at").alias("params_at"),
                                                         "up", "up_prev1", "up_prev2", "up_chain", "prev1")
 
@@ -234,7 +295,7 @@ def _all_functions(lexed: Lexed) -> DataFrame:
 def _functions(lexed: Lexed) -> DataFrame:
     """Function spans with parameters and with what frameworks hand them."""
     spans, t = materialize(_function_spans(lexed), "spans"), lexed.tokens
-    within = _insides(t.filter("up IN ('{', '[')")).select("file_id", F.col("par").alias("opened"), F.col("text").alias("inner"))
+    within = _insides(t.filter(_PATTERNS)).select("file_id", F.col("par").alias("opened"), F.col("text").alias("inner"))
     parts = _parts(t.filter("up = '('")).withColumnRenamed("par", "params_at").join(large(spans.select("file_id", "params_at").distinct()), ["file_id", "params_at"])
     text = F.concat(F.array_join(F.transform("tokens", lambda x: x["t"]), " "), F.lit(" "))
     bare = F.regexp_replace(F.regexp_replace(text, rf"@ {NAME} (?:\. {NAME} )*(?:\( \) )?", ""), rf"^(?:(?:{_MODIFIERS}) )*", "")
@@ -250,7 +311,7 @@ def _functions(lexed: Lexed) -> DataFrame:
     fns = spans.join(large(listed), ["file_id", "params_at"], "left").join(large(single), ["file_id", "params_at"], "left")
     shape = "array<struct<name: string, pattern: string, decorators: array<string>>>"
     fns = fns.withColumn("params", F.coalesce("params", "single", F.array().cast(shape)))
-    asked = chains(lexed).filter(F.exists("names", lambda n: F.lower(n).endswith("procedure") | (n == "input"))).select("file_id", F.col("chain").alias("up_chain"), F.lit(True).alias("_asked"))
+    asked = t.filter(_ASKED).select("file_id", F.col("chain").alias("up_chain")).distinct().withColumn("_asked", F.lit(True))
     fns = fns.join(large(asked), ["file_id", "up_chain"], "left")
     none = F.array().cast("array<string>")
     first, second = F.get("params", F.lit(0)), F.get("params", F.lit(1))
@@ -334,8 +395,8 @@ def _argument_kind() -> Column:
 def _entries(lexed: Lexed) -> DataFrame:
     """Keys and value texts of objects that stand as arguments, by the object's brace."""
     t = lexed.tokens
-    lists = _insides(t.filter("up = '[' AND up_prev1 = ':'")).select("file_id", F.col("par").alias("list"), F.col("text").alias("items"))
-    parts = _parts(t.filter("up = '{' AND up_prev1 IN ('(', ',')"))
+    lists = _insides(t.filter(_ITEMS)).select("file_id", F.col("par").alias("list"), F.col("text").alias("items"))
+    parts = _parts(t.filter(_OPTIONS))
     key, value = F.get("tokens", F.lit(0)), F.when(F.get("tokens", F.lit(1))["t"] == ":", F.slice("tokens", F.lit(3), F.size("tokens")))
     text = F.array_join(F.transform(value, lambda x: x["t"]), " ")
     rows = parts.filter(key["k"].isin("id", "string")).select("file_id", "par", "smin", _unquoted(key["t"]).alias("key"), F.coalesce(text, F.lit("")).alias("value"),
@@ -397,7 +458,7 @@ def _bindings(lexed: Lexed) -> DataFrame:
         # a value with a logical or arrow operator carries nothing
         F.when(F.col("logical"), F.lit(-1)).otherwise(F.col("last")).alias("to"), F.col("last").alias("value_end"))
     rows = _flowing(lexed, rows, ["file_id", "assign"])
-    random = chains(lexed).filter("root = 'Math' AND names[1] = 'random' AND call IS NOT NULL").select("file_id", F.col("chain").alias("drawn"))
+    random = chains_from(lexed, ["Math"]).filter("names[1] = 'random' AND call IS NOT NULL").select("file_id", F.col("chain").alias("drawn"))
     drawing = rows.select("file_id", "assign", "value_end").join(large(random), "file_id").filter("drawn > assign AND drawn <= value_end").select("file_id", "assign").distinct()
     rows = rows.join(large(drawing.withColumn("draws_random", F.lit(True))), ["file_id", "assign"], "left").withColumn("draws_random", F.coalesce("draws_random", F.lit(False)))
     return _enclosed(rows, _all_functions(lexed), "fn")
@@ -441,8 +502,8 @@ def _listed(names: Column, separator: str) -> Column:
 
 def imports_of(lexed: Lexed, keep: list[str]) -> DataFrame:
     t = lexed.tokens
-    braces = _insides(t.filter("up = '{'")).select("file_id", F.col("par").alias("opened"), F.col("text").alias("names"))
-    begins = t.filter("t = '{' AND k = 'op'").select("file_id", F.col("pos").alias("opened"), F.col("l1").alias("o1"), F.col("l2").alias("o2"))
+    braces = _insides(t.filter(_IMPORTED)).select("file_id", F.col("par").alias("opened"), F.col("text").alias("names"))
+    begins = t.filter("t = '{' AND k = 'op' AND n2 = 'from'").select("file_id", F.col("pos").alias("opened"), F.col("l1").alias("o1"), F.col("l2").alias("o2"))
     froms = t.filter("t = 'from' AND lvl = 0 AND l1 IS NOT NULL").filter(F.col("n1").rlike("^[\"']")).select(
         "file_id", _unquoted(F.col("n1")).alias("source"), "l1", "l2", F.when(F.col("l1") == "}", F.col("l2_pos")).alias("opened"))
     froms = froms.join(large(braces), ["file_id", "opened"], "left").join(large(begins), ["file_id", "opened"], "left")
@@ -456,9 +517,9 @@ def imports_of(lexed: Lexed, keep: list[str]) -> DataFrame:
     es = froms.select("file_id", "source", F.explode(F.concat(own, F.coalesce(named, none))).alias("i"))
 
     required = t.filter("t = 'require' AND k = 'id' AND NOT linked AND l1 = '=' AND n1 = '('").select("file_id", F.col("pos").alias("chain"), F.col("n1_pos").alias("par"), "l2", "l2_k", "l2_pos")
-    plain = chains(lexed).filter("text = 'require()'").select("file_id", "chain")
+    plain = chains_from(lexed, ["require"]).filter("text = 'require()'").select("file_id", "chain")
     arg = t.filter("up = '(' AND up_prev1 = 'require' AND k = 'string'").select("file_id", "par", _unquoted(F.col("t")).alias("source"))
-    closes = t.filter("t = '}' AND k = 'op'").select("file_id", F.col("pos").alias("l2_pos"), F.col("l1_pos").alias("opened"))
+    closes = t.filter("t = '}' AND k = 'op' AND n1 = '='").select("file_id", F.col("pos").alias("l2_pos"), F.col("l1_pos").alias("opened"))
     required = required.join(large(plain), ["file_id", "chain"]).join(large(arg), ["file_id", "par"]).join(large(closes), ["file_id", "l2_pos"], "left").join(large(braces), ["file_id", "opened"], "left")
     found = F.when(F.col("l2_k") == "id", F.array(entry(F.col("l2"), F.lit("*")))).when(F.col("l2") == "}", F.transform(_listed(F.col("names"), ":"), lambda x: entry(x["b"], x["a"])))
     cjs = required.select("file_id", "source", F.explode(F.coalesce(found, none)).alias("i"))
@@ -469,7 +530,7 @@ def imports_of(lexed: Lexed, keep: list[str]) -> DataFrame:
 def _export_names(lexed: Lexed) -> DataFrame:
     """(file_id, export_name, local) of export statements and of assignments to the module's exports."""
     t = lexed.tokens
-    braces = _insides(t.filter("up = '{'")).select("file_id", F.col("par").alias("opened"), F.col("text").alias("names"))
+    braces = _insides(t.filter(_EXPORTED)).select("file_id", F.col("par").alias("opened"), F.col("text").alias("names"))
 
     def pairs(rows: DataFrame, name: Column, local: Column) -> DataFrame:
         return rows.select("file_id", name.alias("export_name"), local.alias("local"))
@@ -485,14 +546,14 @@ def _export_names(lexed: Lexed) -> DataFrame:
     clause = t.filter("t = '{' AND k = 'op' AND l1 = 'export' AND (n2 IS NULL OR n2 <> 'from')").select("file_id", F.col("pos").alias("opened")).join(large(braces), ["file_id", "opened"])
     out = out.unionByName(clause.select("file_id", F.explode(_listed(F.col("names"), "as")).alias("x")).select("file_id", F.col("x.b").alias("export_name"), F.col("x.a").alias("local")))
 
-    targets = chains(lexed).filter(r"text RLIKE '^(module\\.)?exports(\\.[A-Za-z_$][0-9A-Za-z_$]*)?$'").select("file_id", F.col("chain").alias("l1_chain"), "text")
+    targets = chains_from(lexed, ["module", "exports"]).filter(r"text RLIKE '^(module\\.)?exports(\\.[A-Za-z_$][0-9A-Za-z_$]*)?$'").select("file_id", F.col("chain").alias("l1_chain"), "text")
     given = t.filter("t = '=' AND k = 'op'").select("file_id", "l1_chain", "n1", "n1_pos", "logical", ends.alias("ends"), simple.alias("simple")).join(large(targets), ["file_id", "l1_chain"])
     whole = given.filter("text IN ('exports', 'module.exports')")
     single = given.filter("text NOT IN ('exports', 'module.exports')").withColumn("member", F.element_at(F.split("text", r"\."), -1))
     out = out.unionByName(pairs(whole.filter("simple AND NOT logical"), F.lit("default"), F.col("n1")))
     out = out.unionByName(pairs(whole.filter("n1 IN ('function', 'async') OR logical"), F.lit("default"), F.lit("exports")))
     out = out.unionByName(pairs(single, F.col("member"), F.when(F.col("simple") & ~F.col("logical"), F.col("n1")).otherwise(F.col("member"))))
-    listed = whole.filter("n1 = '{'").select("file_id", F.col("n1_pos").alias("par")).join(large(_parts(t.filter("up = '{' AND up_prev1 = '='"))), ["file_id", "par"])
+    listed = whole.filter("n1 = '{'").select("file_id", F.col("n1_pos").alias("par")).join(large(_parts(t.filter(_OBJECT))), ["file_id", "par"])
     key = F.regexp_extract(F.get("tokens", F.lit(0))["t"], rf"^({NAME})\z", 1)
     value = F.when((F.size("tokens") == 3) & (F.get("tokens", F.lit(1))["t"] == ":") & (F.get("tokens", F.lit(2))["k"] == "id"), F.get("tokens", F.lit(2))["t"])
     return out.unionByName(pairs(listed.filter(key != ""), key, F.coalesce(value, key)))

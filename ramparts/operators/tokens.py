@@ -18,7 +18,7 @@ array, a block, or a part with a logical, conditional or arrow operator.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -155,8 +155,8 @@ _WORDS = sorted({*OPENERS, *CLOSERS, *LOGICAL, *ASSIGNMENTS, *_NOT_OPERANDS, *_G
 _KINDS = ["op", "id", "string", "number", "regex", "template"]
 
 
-def _annotated(rows: pa.Table) -> pa.Table:
-    """The token table of whole files from their cut tokens in order."""
+def _annotated(rows: pa.Table, columns: Sequence[str]) -> pa.Table:
+    """The token table of whole files from their cut tokens in order; only the ``columns`` asked for are made."""
     def numbers(name: str, missing: int = -1) -> np.ndarray:
         return pc.fill_null(rows[name].combine_chunks(), missing).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -230,70 +230,88 @@ def _annotated(rows: pa.Table) -> pa.Table:
     applied = op & among(word, ["(", "["]) & operand_end
     linked = ~starts & (dot | name & (k1 == 0) & among(w1, [".", "?."]) | applied | closes | later_part)
     chain = in_level(level.latest(~linked[order]))
+    # the first bracket that calls in a chain, at the chain's head
+    begins, called = np.flatnonzero(~linked[order]), np.full(level.n, -1)
+    if level.n:
+        none = np.iinfo(np.int64).max
+        least = np.minimum.reduceat(np.where((op & (word == number["("]))[order], pos[order], none), begins)
+        called[order[begins]] = np.where(least < none, least, -1)
     begun = level.latest(starts[order])
     seg = np.empty(level.n, np.int64)
     seg[order] = level.total(starts[order].astype(np.int64))
     part = np.cumsum(starts[order]) - 1
     heads = np.flatnonzero(starts[order])
-    flags = (op & among(word, LOGICAL))[order]
+    deciding = (op & among(word, LOGICAL))[order]
     logical, last = np.empty(level.n, bool), np.empty(level.n, np.int64)
     if level.n:
-        logical[order] = np.logical_or.reduceat(flags, heads)[part]
+        logical[order] = np.logical_or.reduceat(deciding, heads)[part]
         last[order] = order[np.append(heads[1:], level.n)[part] - 1]
     colon = level.latest((op & (word == number[":"]) & (k1 == 1))[order])
     typed = in_level(np.where(colon >= begun, colon, -1))
     typed = np.where(typed >= 0, l1[typed], -1)
     smin = in_level(begun)
 
-    # regions: a running count of stretches that taint does not leave
-    here = files.at
-    opened = (here == smin) & logical
-    entered = after_open & (p1 >= 0) & among(back(word, p1), ["[", "{"]) & (back(kind, p1) == 0)
-    left = op & ((word == number["]"]) | (word == number["}"]) & ~((l1 >= 0) & (k1 == 5)))
-    ended = (here == last) & logical
-    ended_before = np.where(p1 >= 0, ended[p1], False)
-    inside = files.total(opened.astype(np.int64) + entered - left - ended_before)
-    by_depth = np.lexsort((inside, file))
-    depth = _Rows(file[by_depth], inside[by_depth])
-    found = depth.latest((opened | entered | (starts & in_block))[by_depth])
-    region = np.empty(depth.n, np.int64)
-    region[by_depth] = np.where(found >= 0, by_depth[found], -1)
+    def regions() -> tuple[np.ndarray, np.ndarray]:
+        """A running count of stretches that taint does not leave, and the place of the one around each token."""
+        here = files.at
+        opened = (here == smin) & logical
+        entered = after_open & (p1 >= 0) & among(back(word, p1), ["[", "{"]) & (back(kind, p1) == 0)
+        left = op & ((word == number["]"]) | (word == number["}"]) & ~((l1 >= 0) & (k1 == 5)))
+        ended = (here == last) & logical
+        ended_before = np.where(p1 >= 0, ended[p1], False)
+        inside = files.total(opened.astype(np.int64) + entered - left - ended_before)
+        by_depth = np.lexsort((inside, file))
+        depth = _Rows(file[by_depth], inside[by_depth])
+        found = depth.latest((opened | entered | (starts & in_block))[by_depth])
+        region = np.empty(depth.n, np.int64)
+        region[by_depth] = np.where(found >= 0, by_depth[found], -1)
+        return inside, np.where(region >= 0, pos[region] if level.n else region, -1)
 
     def whole(values: np.ndarray, there: np.ndarray) -> pa.Array:
         return pa.array(values[there] if level.n else values, pa.int32(), mask=there < 0)
-    nothing = np.zeros(level.n, np.int64)
-    return pa.table({
-        "file_id": rows["file_id"], "pos": pa.array(pos, pa.int32()), "t": t, "k": k, "line": pa.array(line, pa.int32()), "col": pa.array(col, pa.int32()),
-        "start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32()), "lvl": pa.array(lvl, pa.int32()), "opens": pa.array(opens), "linked": pa.array(linked),
-        "par": pa.array(np.where(parent >= 0, pos[parent] if level.n else nothing, -1), pa.int32()), "up": _picked(t, parent),
-        "up_prev1": _picked(t, back(p1, parent)), "up_prev2": _picked(t, back(p2, parent)), "up_chain": whole(pos, back(chain, parent)),
-        "seg": pa.array(seg, pa.int32()), "smin": whole(pos, smin), "last": whole(pos, last), "last_line": whole(line, last), "last_end": whole(end, last), "logical": pa.array(logical),
-        "chain": whole(pos, chain), "chain_t": _picked(t, chain), "chain_k": _picked(k, chain), "chain_line": whole(line, chain), "chain_col": whole(col, chain),
-        "chain_before": _picked(t, back(l1, chain)), "run": whole(pos, run), "run_t": _picked(t, run), "run_line": whole(line, run), "run_col": whole(col, run),
-        "run_before": _picked(t, back(p1, run)), "prev1": _picked(t, p1), "prev2": _picked(t, p2), "prev3": _picked(t, p3), "next": _picked(t, following),
-        "l1": _picked(t, l1), "l1_k": _picked(k, l1), "l1_pos": whole(pos, l1), "l1_chain": whole(pos, back(chain, l1)), "l2": _picked(t, l2), "l2_k": _picked(k, l2), "l2_pos": whole(pos, l2),
-        "n1": _picked(t, n1), "n1_pos": whole(pos, n1), "n2": _picked(t, n2), "n2_pos": whole(pos, n2), "n3_pos": whole(pos, n3),
-        "n1_line": whole(line, n1), "n2_line": whole(line, n2), "n3_line": whole(line, n3), "n1_end": whole(end, n1), "n2_end": whole(end, n2), "n3_end": whole(end, n3),
-        "typed": _picked(t, typed), "typed_pos": whole(pos, typed), "typed_line": whole(line, typed), "typed_col": whole(col, typed),
-        "inside": pa.array(inside, pa.int32()), "region": pa.array(np.where(region >= 0, pos[region] if level.n else nothing, -1), pa.int32())})
-
-
-_TEXTS = ["t", "k", "up", "up_prev1", "up_prev2", "chain_t", "chain_k", "chain_before", "run_t", "run_before", "prev1", "prev2", "prev3", "next", "l1", "l1_k", "l2", "l2_k",
+    inside, region = regions() if {"inside", "region"} & set(columns) else (None, None)
+    up_chain, l1_chain = back(chain, parent), back(chain, l1)
+    places = {"pos": pos, "line": line, "col": col, "start": start, "end": end, "lvl": lvl, "seg": seg, "inside": inside, "region": region,
+              "par": np.where(parent >= 0, pos[parent], -1) if level.n else pos}
+    flags = {"opens": opens, "linked": linked, "logical": logical}
+    texts = {"up": parent, "up_prev1": back(p1, parent), "up_prev2": back(p2, parent), "up_up": back(parent, parent), "up_n2": back(n2, parent), "chain_t": chain,
+             "chain_before": back(l1, chain), "run_t": run, "run_before": back(p1, run), "prev1": p1, "prev2": p2, "prev3": p3, "next": following, "l1": l1, "l2": l2,
+             "n1": n1, "n2": n2, "typed": typed}
+    kinds = {"chain_k": chain, "l1_k": l1, "l2_k": l2}
+    at = {"up_chain": (pos, up_chain), "smin": (pos, smin), "last": (pos, last), "last_line": (line, last), "last_end": (end, last), "chain": (pos, chain),
+          "chain_line": (line, chain), "chain_col": (col, chain), "run": (pos, run), "run_line": (line, run), "run_col": (col, run), "l1_pos": (pos, l1),
+          "l1_chain": (pos, l1_chain), "l2_pos": (pos, l2), "n1_pos": (pos, n1), "n2_pos": (pos, n2), "n3_pos": (pos, n3), "n1_line": (line, n1), "n2_line": (line, n2),
+          "n3_line": (line, n3), "n1_end": (end, n1), "n2_end": (end, n2), "n3_end": (end, n3), "typed_pos": (pos, typed), "typed_line": (line, typed), "typed_col": (col, typed)}
+
+    def column(name: str) -> pa.Array:
+        if name in ("t", "k"):
+            return t if name == "t" else k
+        if name in texts or name in kinds:
+            return _picked(t, texts[name]) if name in texts else _picked(k, kinds[name])
+        if name in at:
+            return whole(*at[name])
+        if name == "chain_call":
+            return pa.array(called, pa.int32(), mask=called < 0)
+        return pa.array(flags[name]) if name in flags else pa.array(places[name], pa.int32())
+    return pa.table({"file_id": rows["file_id"], **{name: column(name) for name in columns}})
+
+
+_TEXTS = ["t", "k", "up", "up_prev1", "up_prev2", "chain_t", "chain_k", "chain_before", "run_t", "run_before", "up_up", "up_n2", "prev1", "prev2", "prev3", "next", "l1", "l1_k", "l2", "l2_k",
           "n1", "n2", "typed"]
 _FLAGS = ["opens", "linked", "logical"]
-_SHOWN = ["pos", "t", "k", "line", "col", "start", "end", "lvl", "opens", "linked", "par", "up", "up_prev1", "up_prev2", "up_chain", "seg", "smin", "last", "last_line",
-          "last_end", "logical", "chain", "chain_t", "chain_k", "chain_line", "chain_col", "chain_before", "run", "run_t", "run_line", "run_col", "run_before", "prev1", "prev2",
+_SHOWN = ["pos", "t", "k", "line", "col", "start", "end", "lvl", "opens", "linked", "par", "up", "up_prev1", "up_prev2", "up_up", "up_n2", "up_chain", "seg", "smin", "last", "last_line",
+          "last_end", "logical", "chain", "chain_t", "chain_k", "chain_line", "chain_col", "chain_before", "chain_call", "run", "run_t", "run_line", "run_col", "run_before", "prev1", "prev2",
           "prev3", "next", "l1", "l1_k", "l1_pos", "l1_chain", "l2", "l2_k", "l2_pos", "n1", "n1_pos", "n2", "n2_pos", "n3_pos", "n1_line", "n2_line", "n3_line", "n1_end", "n2_end",
           "n3_end", "typed", "typed_pos", "typed_line", "typed_col", "inside", "region"]
 
 
-def _whole_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole_files(batches: Iterator[pa.RecordBatch], columns: Sequence[str]) -> Iterator[pa.RecordBatch]:
     """Annotate as many whole files as a batch completes; the file that goes on waits for the next batch."""
     held: list[pa.RecordBatch] = []
 
     def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if parts:
-            yield from _annotated(pa.Table.from_batches(parts)).combine_chunks().to_batches()
+            yield from _annotated(pa.Table.from_batches(parts), columns).combine_chunks().to_batches()
     for batch in batches:
         begins = np.flatnonzero(batch["pos"].to_numpy() == 0)
         if len(begins):
@@ -305,18 +323,21 @@ def _whole_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done(held)
 
 
-def token_table(files: DataFrame) -> DataFrame:
-    """Tokens of ``files`` (file_id, code), unwritten.
+def token_table(files: DataFrame, columns: Sequence[str] = _SHOWN) -> DataFrame:
+    """Tokens of ``files`` (file_id, code), unwritten, with the ``columns`` that the facts to be read need.
 
     ``l1, l2`` and ``n1, n2, n3`` are the tokens before and after at the same level of the same bracket, ``prev1`` to
-    ``prev3`` and ``next`` those of the text; ``par`` and ``up`` the place and text of the bracket around, ``last`` the
-    end of the part, ``typed`` the latest ``name :`` of the part, ``run`` the start of the latest dotted name.
+    ``prev3`` and ``next`` those of the text; ``par`` and ``up`` the place and text of the bracket around, ``up_up`` the
+    text of the one around that, ``up_n2`` what follows the bracket's end, ``last`` the end of the part, ``typed`` the
+    latest ``name :`` of the part, ``run`` the start of the latest dotted name, ``chain_call`` a head's first call.
     """
+    columns = [c for c in _SHOWN if c in columns]
     shape = f"file_id {files.schema['file_id'].dataType.simpleString()}, " + ", ".join(
-        f"`{c}` {'string' if c in _TEXTS else 'boolean' if c in _FLAGS else 'int'}" for c in _SHOWN)
-    return _raw_tokens(files).mapInArrow(_whole_files, shape)
+        f"`{c}` {'string' if c in _TEXTS else 'boolean' if c in _FLAGS else 'int'}" for c in columns)
+    return _raw_tokens(files).mapInArrow(lambda batches: _whole_files(batches, columns), shape)
 
 
-def stored_tokens(files: DataFrame) -> DataFrame:
-    """The token table, written once for all the facts that are read from it."""
-    return materialize(token_table(files), "tokens")
+def stored_tokens(files: DataFrame, columns: Sequence[str] = _SHOWN, wanted: str | None = None) -> DataFrame:
+    """The token table, written once for all the facts that are read from it: its ``columns`` and rows that they need."""
+    table = token_table(files, columns)
+    return materialize(table.filter(wanted) if wanted else table, "tokens")

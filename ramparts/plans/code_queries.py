@@ -42,13 +42,13 @@ def lexed(spark, sf, words=()) -> facts.Lexed:
 
 @query
 def lex_functions(spark, sf):
-    fns = facts.functions_of(facts.lex(sources(spark, sf, "mod"), []), [])
+    fns = facts.functions_of(facts.lex(sources(spark, sf, "mod"), [], ["functions"]), [])
     return fns.select("file_id", "name", "kind", "is_async", long("start_line"), long("end_line"), long("col"))
 
 
 @query
 def lex_calls(spark, sf):
-    calls = facts.calls_of(facts.lex(sources(spark, sf, "mod"), []), [], with_line=False)
+    calls = facts.calls_of(facts.lex(sources(spark, sf, "mod"), [], ["calls"]), [], with_line=False)
     first = F.get("args", F.lit(0))
     return calls.select("file_id", "callee_kind", "obj", "name", long("line"), long("col"), F.size("args").cast("bigint").alias("n_args"),
                         first["kind"].alias("arg0_kind"), F.array_join(first["refs"], ",").alias("arg0_refs"), F.col("fn_id").isNotNull().alias("in_function"))
@@ -56,18 +56,18 @@ def lex_calls(spark, sf):
 
 @query
 def lex_bindings(spark, sf):
-    binds = facts.bindings_of(facts.lex(sources(spark, sf, "mod"), []), with_line=False)
+    binds = facts.bindings_of(facts.lex(sources(spark, sf, "mod"), [], ["bindings"]), with_line=False)
     return binds.select("file_id", long("line"), "lhs", F.array_join("refs", ",").alias("refs"), "has_source")
 
 
 @query
 def lex_imports(spark, sf):
-    return facts.imports_of(facts.lex(sources(spark, sf, "mod"), []), []).select("file_id", "local", "source", "imported")
+    return facts.imports_of(facts.lex(sources(spark, sf, "mod"), [], ["imports"]), []).select("file_id", "local", "source", "imported")
 
 
 @query
 def lex_exports(spark, sf):
-    lexed_mod = facts.lex(sources(spark, sf, "mod"), [])
+    lexed_mod = facts.lex(sources(spark, sf, "mod"), [], ["exports"])
     fns = facts.functions_of(lexed_mod, []).select("fn_id", "name")
     return facts.exports_of(lexed_mod).join(large(fns), "fn_id").select("file_id", "export_name", F.col("name").alias("fn_name"))
 
@@ -110,7 +110,7 @@ def src_trpc_input(spark, sf):
 @query
 def taint_code(spark, sf):
     """Imports, calls, bindings and taint, all from text: which names of which function are tainted."""
-    lexed_mod = code_scan.lexed_files(sources(spark, sf, "mod").withColumn("unit", F.lit("business")))
+    lexed_mod = code_scan.lexed_files(sources(spark, sf, "mod").withColumn("unit", F.lit("business")), code_scan.TAINT_FACTS)
     fns = facts.functions_of(lexed_mod, []).select("fn_id", "file_id", F.col("name").alias("fn_name"))
     return code_scan.taint_of(lexed_mod).join(large(fns), "fn_id").select("file_id", "fn_name", "name")
 

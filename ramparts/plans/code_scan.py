@@ -27,9 +27,13 @@ def scope_of(files: DataFrame) -> list[str]:
     return ["repo"] if "repo" in files.columns else []
 
 
-def lexed_files(files: DataFrame) -> facts.Lexed:
-    """The token table of code files, written once since every detector reads it."""
-    return facts.lex(files, ["unit", *scope_of(files)])
+# the facts that ``taint_of`` reads
+TAINT_FACTS = ["calls", "bindings", "imports", "exports"]
+
+
+def lexed_files(files: DataFrame, only: list[str] | None = None) -> facts.Lexed:
+    """The token table of code files, written once since every detector reads it; ``only`` for some facts as in ``facts.lex``."""
+    return facts.lex(files, ["unit", *scope_of(files)], only)
 
 
 def argument_flow(lexed: facts.Lexed) -> DataFrame:

@@ -306,3 +306,25 @@ def test_files_without_a_rules_words_are_left_out_and_results_stay(spark):
         rows = code.insecure_random(facts.bindings_of(facts.lex(some, ["unit"]), ["rel", "unit"])).select("rel", "line", "summary")
         return sorted(map(tuple, rows.collect()))
     assert found(fewer) == found(files) and len(found(fewer)) == 2
+
+
+_LEXED = ["import { a, b as c } from './x';\nimport * as d from 'y';\nconst { e, f: g } = require('z'), { h } = other;\nexport { k as l, m };\nexport default function n(p, { q, r: [s] }) { return p; }",
+          "const t = t1.input(z).query(async ({ input, ctx: w }) => { const u = await req.json(); return db.find({ id: u.id, list: ['a', `b${c + '('}`] }, !x); });",
+          "module.exports = { k, v: w };\nexports.one = one;\nclass A { @Get(':id') async m(@Param('id') id: string, [b, c] = []): Promise<void> { this.v = Math.random() + q.w; } }",
+          "const resolvers = { Query: { two: (_, { term, other: alias }) => run(term, req.query.v), async *three(o) { save(Math.floor(Math.random())); } } };", "", None]
+
+
+def test_facts_read_the_same_of_a_table_that_holds_what_they_need(spark):
+    from ramparts.operators import facts
+    files = spark.createDataFrame([(i, f"src/f{i}.js", t) for i, t in enumerate(_LEXED)], "file_id long, rel string, code string")
+    read = {"functions": lambda x: facts.functions_of(x, []), "calls": lambda x: facts.calls_of(x, []), "bindings": lambda x: facts.bindings_of(x),
+            "imports": lambda x: facts.imports_of(x, []), "exports": facts.exports_of}
+    full = facts.lex(files, [])
+    for fact, rows in read.items():
+        part = facts.lex(files, [], [fact])
+        assert part.tokens.count() < full.tokens.count() and len(part.tokens.columns) < len(full.tokens.columns)
+        want = sorted(map(str, rows(full).collect()))
+        assert want and sorted(map(str, rows(part).collect())) == want
+    # taint enters through the same operands, though only those at a request are grouped
+    flowing = facts.chains(full).filter("flows is not null").select("file_id", "inside", "region", "chain", "flows")
+    assert sorted(map(tuple, facts._names_flowing(full).collect())) == sorted(map(tuple, flowing.collect()))
