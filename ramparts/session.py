@@ -99,7 +99,8 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], salt_by: list[
     """
     if broadcast_rows and is_small(right, broadcast_rows):
         return left.join(F.broadcast(right), on, how)
-    # written once: used twice below, and each use would count the whole left side again
+    # written once: both are used twice below, and each use would make the whole left side again, with all joins before it
+    left = materialize(left, "lookups")
     hot = materialize(hot_keys(left, on), "hot")
     return (salt_many(left, hot, on, salt_by, salts)
             .join(large(salt_one(right, hot, on, salts)), [*on, "_salt"], how).drop("_salt"))

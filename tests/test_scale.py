@@ -328,3 +328,17 @@ def test_facts_read_the_same_of_a_table_that_holds_what_they_need(spark):
     # taint enters through the same operands, though only those at a request are grouped
     flowing = facts.chains(full).filter("flows is not null").select("file_id", "inside", "region", "chain", "flows")
     assert sorted(map(tuple, facts._names_flowing(full).collect())) == sorted(map(tuple, flowing.collect()))
+
+
+def test_a_lookup_makes_its_left_side_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+    left = spark.range(60).select((F.col("id") % 3).alias("k"), "id").mapInArrow(seen, "k long, id long")
+    right = spark.range(3).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = lookup_join(left, right, ["k"], ["id"], broadcast_rows=0)
+    assert sorted(r.v for r in got.collect()) == sorted(2 * (i % 3) for i in range(60))
+    assert made.value == 60
