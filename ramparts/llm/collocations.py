@@ -2,13 +2,14 @@
 
 Method: top-order marginalisation. Every word occurrence starts one window of the longest size, made of
 the word and its lead columns (the next words of its piece, padded where the piece ends). Only these
-windows are counted. A ROLLUP over the window's columns then sums successively shorter prefixes: dropping
+windows are counted. Sums over successively shorter prefixes of the windows give the rest: dropping
 the last column turns counts of triples into counts of pairs, since every pair occurrence starts exactly
-one padded triple. No n-gram of another order is ever generated from the texts.
+one padded triple, and so on down to words and the language's total. No n-gram of another order is ever
+generated from the texts.
 
 Words that cannot reach the least count are first replaced by one mark, by a table of hashed word counts
 of fixed size; this changes no result, as a phrase occurs no more often than its words. Windows are counted
-before anything is summed, so the roll-up works on distinct windows; both steps add up inside tasks first, so a pair that stands everywhere is one row per task. Words that stand in many
+before anything is summed, so the sums work on distinct windows; both steps add up inside tasks first, so a pair that stands everywhere is one row per task. Words that stand in many
 phrases meet in equi-joins over phrases that reach the least count, which adaptive execution splits.
 
 Defined results: a null text counts as empty and has no words, as has a text of separators only; texts of
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ramparts.llm.common import LOWER, UPPER, stored, whole
+from ramparts.llm.common import ascii_lower, stored, whole
 
 SEPARATORS = ".,;:!?\n\x0b\x0c\r"
 PAD, RARE = ".", ","  # no word holds a separator
@@ -35,9 +36,14 @@ ORDERS = [f"w{i}" for i in range(1, LONGEST + 1)]
 
 
 def _words(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, words) per text; separators stand between the words as words of their own, blanks are gone."""
-    flat = F.translate(whole(text_col), UPPER + SEPARATORS + "\t", LOWER + PAD * len(SEPARATORS) + " ")
-    return docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.split(F.replace(flat, F.lit(PAD), F.lit(f" {PAD} ")), " +").alias("words"))
+    """(lang, words) per text; separators stand between the words as words of their own, blanks are gone, capitals are kept."""
+    flat = F.regexp_replace(whole(text_col), f"[{SEPARATORS}]", f" {PAD} ")
+    return docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.split(flat, "[ \t]+").alias("words"))
+
+
+def _lower(word: Column) -> Column:
+    """A-Z lower-cased, word by word: ``translate`` looks up every character, ``lower`` does the same on ASCII only."""
+    return F.when(F.length(word) == F.octet_length(word), F.lower(word)).otherwise(ascii_lower(word))
 
 
 def _bucket(word: str) -> Column:
@@ -49,7 +55,8 @@ def frequent_buckets(words: DataFrame, least: int) -> DataFrame:
 
     The size is fixed, whatever the vocabulary: a rare word that shares a bucket is merely not sorted out early.
     """
-    each = words.select("lang", F.explode("words").alias("word")).filter(~F.col("word").isin("", PAD))
+    # the outer form does not test the array in a filter of its own, which would cut the text again
+    each = words.select("lang", F.explode_outer("words").alias("word")).filter(~F.col("word").isin("", PAD)).select("lang", _lower(F.col("word")).alias("word"))
     full = each.groupBy((_bucket("word") + 1).alias("bucket")).count().filter(F.col("count") >= least)
     maps = full.groupBy(F.bitmap_bucket_number("bucket").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bucket")).alias("bits"))
     flags = np.zeros(BUCKETS, np.uint8)
@@ -66,8 +73,9 @@ def windows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
     """
     words = _words(docs, text_col, lang_col)
     frequent = frequent_buckets(words, least).scalar()
-    leads = [F.col("words"), *[F.slice("words", i, F.greatest(F.size("words"), F.lit(1))) for i in range(2, LONGEST + 1)]]
-    rows = words.select("lang", F.inline(F.arrays_zip(*[lead.alias(w) for lead, w in zip(leads, ORDERS)]))).filter(~F.col("w1").isin("", PAD))
+    rows = words.select("lang", "words", F.posexplode_outer("words").alias("at", "w1")).filter(~F.col("w1").isin("", PAD))
+    # lead columns are read from the text's array at the places behind the word, so no word is moved
+    rows = rows.select("lang", *[_lower(F.get("words", F.col("at") + i)).alias(w) for i, w in enumerate(ORDERS)])
 
     def kept(word: str) -> Column:
         known = F.substring(frequent, (_bucket(word) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
@@ -85,18 +93,20 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """Counts of all phrases of 1 to 3 words with at least ``least`` occurrences, and the words per language."""
     # one key column of joined words: half the bytes of three in the shuffle
     counted = windows(docs, text_col, lang_col, least).groupBy("lang", F.concat_ws(" ", *ORDERS).alias("window")).agg(F.count("*").alias("c"))
-    # written, as two readers would otherwise both read the texts; this also frees the shuffled windows
-    cut = stored(counted, "windows", "zstd").select("lang", *[F.split_part("window", F.lit(" "), F.lit(i)).alias(w) for i, w in enumerate(ORDERS, 1)], "c")
-    longest = cut.filter((F.col("c") >= least)).select("lang", F.lit(LONGEST).alias("order"), *ORDERS, F.col("c").alias("f"))
-    # the top order is counted already; grouping_id has one bit per column left out, the last column's lowest
-    summed = cut.rollup("lang", *ORDERS[:-1]).agg(F.sum("c").alias("f"), F.grouping_id().alias("left_out")).filter(F.col("left_out") < (1 << (LONGEST - 1)))
-    order = F.lit(LONGEST - 1) - F.log2(F.col("left_out") + 1).cast("int")
-    shorter = summed.select("lang", order.alias("order"), *ORDERS[:-1], F.lit(None).cast("string").alias(ORDERS[-1]), "f").filter(
-        (F.col("order") == 0) | (F.col("f") >= least))
-    # a padded prefix is a shorter phrase that its own order counts
-    last = F.element_at(F.array(F.lit("-"), *[F.col(w) for w in ORDERS]), F.col("order") + 1)
-    rows = stored(longest.unionByName(shorter).filter(~last.isin(PAD, RARE)), "phrases")
-    return rows.filter("order > 0"), rows.filter("order = 0").select("lang", F.col("f").alias("n"))
+    # written, as several readers would otherwise all read the texts; this also frees the shuffled windows
+    cut = stored(counted, "windows", "zstd")
+
+    def phrases(rows: DataFrame, key: str, order: int) -> DataFrame:
+        parts = [F.split_part(key, F.lit(" "), F.lit(i)) if i <= order else F.lit(None).cast("string") for i in range(1, LONGEST + 1)]
+        # a padded prefix is a shorter phrase that its own order counts
+        return rows.filter(F.col("f") >= least).select("lang", F.lit(order).alias("order"), *[p.alias(w) for p, w in zip(parts, ORDERS)], "f").filter(
+            ~F.col(ORDERS[order - 1]).isin(PAD, RARE))
+    rows = phrases(cut.withColumnRenamed("c", "f"), "window", LONGEST)  # the top order is counted already
+    for order in range(LONGEST - 1, 1, -1):
+        rows = rows.unionByName(phrases(cut.groupBy("lang", F.substring_index("window", " ", order).alias("prefix")).agg(F.sum("c").alias("f")), "prefix", order))
+    words = stored(cut.groupBy("lang", F.substring_index("window", " ", 1).alias("prefix")).agg(F.sum("c").alias("f")), "words")
+    rows = stored(rows.unionByName(phrases(words, "prefix", 1)), "phrases")
+    return rows, words.groupBy("lang").agg(F.sum("f").alias("n"))
 
 
 def _of_order(phrases: DataFrame, order: int, names: list[str], count: str) -> DataFrame:

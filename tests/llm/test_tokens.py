@@ -173,6 +173,20 @@ def test_collocations(spark, least, best, covered):
     assert collocations.collocations(docs.limit(0)).count() == 0
 
 
+def test_texts_are_cut_once_and_prefixes_summed_on_their_own(spark):
+    docs = spark.createDataFrame([("a b a b", "en")] * 9, "text string, lang string")
+    words = collocations._words(docs, "text", "lang")
+    rows = collocations.windows(docs, least=1)
+    for frame in (rows, words.select("lang", F.explode_outer("words"))):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == 1 and "size(" not in plan and "slice(" not in plan
+    assert Counter(rows_of(rows)) == {("en", "a", "b", "a"): 9, ("en", "b", "a", "b"): 9, ("en", "a", "b", "."): 9, ("en", "b", ".", "."): 9}
+    phrases, totals = collocations.phrase_counts(docs, least=1)
+    plan = phrases._jdf.queryExecution().optimizedPlan().toString() + totals._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and rows_of(totals) == [("en", 36)]
+    assert sorted(rows_of(phrases.filter("order < 3").select("order", "w1", "w2", "f")), key=str) == [(1, "a", None, 18), (1, "b", None, 18), (2, "a", "b", 18), (2, "b", "a", 9)]
+
+
 def test_scores_are_exact(spark):
     counts = [(10, 20, 30), (10 ** 15, 10 ** 15, 10 ** 15 + 1), (3 * 10 ** 9 + 7, 3 * 10 ** 9 + 8, 5 * 10 ** 12 + 3), (999_999_937, 10 ** 13 + 1, 999_999_938)]
     got = rows_of(spark.createDataFrame(counts, "a long, l long, r long").select("a", "l", "r", collocations._score("a", "l", "r")))
