@@ -16,7 +16,7 @@ from ramparts.functions.text import per_application
 from ramparts.operators import facts
 from ramparts.operators.resolve import taint_flags
 from ramparts.schemas import emit, finding, findings
-from ramparts.session import BROADCAST_ROWS, large, lookup_join
+from ramparts.session import BROADCAST_ROWS, large, lookup_join, materialize
 
 # words of which a file must hold one from each list for a detector to find anything in it (``facts.mentioning``)
 RANDOM_WORDS = [["Math"], ["random"]]
@@ -221,8 +221,9 @@ def function_rows(lexed: facts.Lexed, keep: list[str]) -> DataFrame:
 
 def calls_within(functions: DataFrame, lexed: facts.Lexed, names: list[str], keep: list[str]) -> DataFrame:
     """Calls of one of ``names`` with every function around them, nested ones included."""
+    functions = materialize(functions.select("file_id", *keep, "fn_id", "start", "end"), "within")
     calls = facts.calls_of(lexed, []).filter(F.col("name").isin(names)).select("file_id", "call_id", "p", "name", "line", "col", "args", "source_line")
-    return functions.select("file_id", *keep, "fn_id", "start", "end").join(large(calls), "file_id").filter("p > start AND p <= `end`")
+    return functions.join(large(calls), "file_id").filter("p > start AND p <= `end`")
 
 
 def check_then_act(functions: DataFrame, lexed: facts.Lexed, keep: list[str]) -> DataFrame:

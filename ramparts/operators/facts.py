@@ -408,6 +408,8 @@ def _entries(lexed: Lexed) -> DataFrame:
 
 def _argument_rows(lexed: Lexed, calls: DataFrame) -> DataFrame:
     parts = _parts(lexed.tokens.filter("up = '('")).withColumnRenamed("par", "call").join(large(calls.select("file_id", "call", "inside", "region")), ["file_id", "call"])
+    # read twice, for the names that flow into it and for what it is
+    parts = materialize(parts, "arguments")
     spans = _flowing(lexed, parts.withColumns({"from": F.col("smin"), "to": F.col("last")}), ["file_id", "call", "smin"])
     kind = _argument_kind()
     rows = spans.withColumn("kind", kind)
@@ -424,6 +426,7 @@ def _calls(lexed: Lexed) -> DataFrame:
     given = _argument_rows(lexed, calls)
     args = given.groupBy("file_id", "call").agg(F.transform(F.array_sort(F.collect_list(F.struct("smin", F.struct(
         "kind", "literal", "callee", "refs", "has_source", "entries").alias("a")))), lambda x: x["a"]).alias("args"))
+    args = materialize(args, "args")
     none = F.array().cast(args.schema["args"].dataType)
     rows = calls.drop("inside", "region").join(large(args), ["file_id", "call"], "left").withColumn("args", F.coalesce("args", none))
     fns = _all_functions(lexed)

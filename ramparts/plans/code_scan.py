@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ramparts.operators import code, facts, resolve, rule_rows, secrets, taint, triage
@@ -40,12 +40,14 @@ def argument_flow(lexed: facts.Lexed) -> DataFrame:
     """Call arguments with the parameter they reach: fn_id (the carrier), ref, has_source, callee_fn, param."""
     scope = scope_of(lexed.files)
     calls = facts.calls_of(lexed, scope, with_line=False).filter("carrier_fn is not null and size(args) > 0")
-    imports = facts.imports_of(lexed, scope)
-    targets = resolve.resolve_modules(imports, lexed.files.select("file_id", "rel", *scope), scope)
+    # imports, exports and names are looked up several times and each is many joins over tokens: written once, they are not planned again every time
+    imports = materialize(facts.imports_of(lexed, scope), "imports")
+    targets = materialize(resolve.resolve_modules(imports, lexed.files.select("file_id", "rel", *scope), scope), "targets")
+    named = materialize(facts.functions_of(lexed, scope).select(*scope, "fn_id", "file_id", "name"), "names")
+    exports = materialize(facts.exports_of(lexed), "exports")
     slim = calls.select(*scope, "call_id", "file_id", "carrier_fn", "callee_kind", "obj", "name",
                         F.transform("args", lambda a: F.struct(a["refs"].alias("refs"), a["has_source"].alias("has_source"))).alias("args"))
-    resolved = resolve.resolve_calls(slim, targets, facts.functions_of(lexed, scope).select(*scope, "fn_id", "file_id", "name"),
-                                     facts.exports_of(lexed), ["call_id"], scope).filter("callee_fn is not null")
+    resolved = resolve.resolve_calls(slim, targets, named, exports, ["call_id"], scope).filter("callee_fn is not null")
     each = resolved.select("call_id", F.col("carrier_fn").alias("fn_id"), "callee_fn", F.posexplode("args").alias("pos", "a")).select(
         "call_id", "fn_id", "callee_fn", "pos", "a.refs", "a.has_source")
     params = facts.params_of(lexed).filter("name is not null").select("fn_id", "pos", "name")
@@ -54,11 +56,10 @@ def argument_flow(lexed: facts.Lexed) -> DataFrame:
 
 def framework_seeds(lexed: facts.Lexed) -> DataFrame:
     """Decorated parameters, resolver arguments and procedure inputs as (fn_id, name, reason)."""
-    fns = facts.functions_of(lexed, [])
-
-    def named(field: str, reason: str) -> DataFrame:
-        return fns.select("fn_id", F.explode(field).alias("name"), F.lit(reason).alias("reason"))
-    return named("decorated", "decorator").unionByName(named("resolver", "graphql")).unionByName(named("procedure", "procedure"))
+    def named(field: str, reason: str) -> Column:
+        return F.transform(field, lambda n: F.struct(n.alias("name"), F.lit(reason).alias("reason")))
+    handed = F.concat(named("decorated", "decorator"), named("resolver", "graphql"), named("procedure", "procedure"))
+    return facts.functions_of(lexed, []).select("fn_id", F.inline(handed))
 
 
 def taint_of(lexed: facts.Lexed) -> DataFrame:
@@ -107,11 +108,12 @@ def scan_with_quarantine(files: DataFrame, memory: DataFrame | None = None, rule
     parts = [
         secrets.located_provider_findings(files, "code", place, ["file_id", "rel"]),
         secrets.assignment_findings(files, "code", place, ["file_id", "rel"], reported_by_provider=False),
-        code.scan_sites(call_sites(lexed, tainted, keep)),
+        # written one after the other: as one plan their stages and scans, each a broadcast of its own, all start at once and fill the driver
+        materialize(code.scan_sites(call_sites(lexed, tainted, keep)).select(*SHOWN), "sites"),
         code.insecure_random(facts.bindings_of(lexed, keep)),
         code.timing_compare(facts.comparisons_of(lexed, keep)),
-        code.race_conditions(lexed, keep),
-        code.object_authorization(lexed, tainted, keep),
+        materialize(code.race_conditions(lexed, keep).select(*SHOWN), "races"),
+        materialize(code.object_authorization(lexed, tainted, keep).select(*SHOWN), "objects"),
         *custom,
     ]
     if rules:

@@ -342,3 +342,13 @@ def test_a_lookup_makes_its_left_side_once(spark):
     got = lookup_join(left, right, ["k"], ["id"], broadcast_rows=0)
     assert sorted(r.v for r in got.collect()) == sorted(2 * (i % 3) for i in range(60))
     assert made.value == 60
+
+
+def test_a_scan_is_no_single_plan_of_all_detectors(spark):
+    from ramparts.plans import code_scan
+    text = "async function f(req) {\n  const a = await Item.findById(req.params.id);\n  await a.save();\n  exec('ls ' + req.body.dir);\n}\n"
+    files = spark.createDataFrame([(1, "src/a.js", "business", text)], "file_id long, rel string, unit string, code string")
+    got = code_scan.scan_code(files)
+    # bindings and comparisons are joined as they are read; what needs calls, functions or taint is written before
+    assert _plan(got).count("SortMergeJoin") <= 6
+    assert sorted(r["class"] for r in got.collect()) == ["Broken Object-Level Authorization", "Command Injection", "Race Condition (TOCTOU)"]
