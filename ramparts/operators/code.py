@@ -214,9 +214,9 @@ def is_handler(params: Column) -> Column:
     return F.exists(params, lambda p: F.coalesce(p["name"].rlike(rf"(?i)^(?:{'|'.join(rules.HANDLER_PARAMETERS)})\z"), F.lit(False)))
 
 
-def function_rows(lexed: facts.Lexed, keep: list[str]) -> DataFrame:
+def function_rows(lexed: facts.Lexed, keep: list[str], stored: bool = True) -> DataFrame:
     """One row per function with its text and the place of its first and last token."""
-    return facts.functions_of(lexed, keep).select("file_id", *keep, "fn_id", F.col("name").alias("fn_name"), "is_async", "params", "src", "start", "end")
+    return facts.functions_of(lexed, keep, with_parent=False, stored=stored).select("file_id", *keep, "fn_id", F.col("name").alias("fn_name"), "is_async", "params", "src", "start", "end")
 
 
 def calls_within(functions: DataFrame, lexed: facts.Lexed, names: list[str], keep: list[str]) -> DataFrame:

@@ -15,18 +15,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ramparts import rules
+from ramparts.operators import spans
 from ramparts.operators import tokens as tok
-from ramparts.session import large, materialize
+from ramparts.session import is_small, large, materialize
 
 NAME = r"[A-Za-z_$][0-9A-Za-z_$]*"
 SOURCE = "__source__"
 _NOT_CALLED = ["if", "for", "while", "switch", "catch", "return", "function", "typeof", "await", "super", "import", "async"]
-_NOT_METHODS = [*_NOT_CALLED, "with", "else", "do", "new"]
 _NOT_NAMES = ["await", "async", "true", "false", "null", "undefined", "typeof", "this", "new", "void", "delete", "function",
               "instanceof", "in", "of", "yield", "return", "const", "let", "var", "if", "else", "for", "while", "switch", "case"]
 _MODIFIERS = "public|private|protected|readonly|override"
 _DOTS = [".", "?."]
-_COMPARED = ["==", "===", "!=", "!=="]
 
 
 @dataclass(frozen=True)
@@ -34,9 +33,35 @@ class Lexed:
     """Files (file_id, rel, kept columns, code), their token table, and the facts that were read from it so far."""
 
     files: DataFrame
-    tokens: DataFrame
+    stored: DataFrame | None
     keep: tuple[str, ...]
     made: dict[str, DataFrame] = field(default_factory=dict)
+    # the columns of the token table and the tokens that will be read, all without it
+    needs: tuple[list[str], str] | None = None
+
+    @property
+    def tokens(self) -> DataFrame:
+        """The token table, written when the first fact asks for it."""
+        if self.stored is not None:
+            return self.stored
+        if "tokens" not in self.made:
+            self.made["tokens"] = tok.stored_tokens(self.files.select("file_id", "code"), *(self.needs or ()))
+        return self.made["tokens"]
+
+    @property
+    def repeated(self) -> DataFrame | None:
+        """Ids that several files share, None if there are none. Facts of such files meet in joins by their id."""
+        if "repeated" not in self.made:
+            self.made["repeated"] = materialize(self.files.filter("file_id IS NOT NULL").groupBy("file_id").count().filter("count > 1").select("file_id"), "repeated")
+            self.made["any_repeated"] = None if self.made["repeated"].isEmpty() else self.made["repeated"]
+        return self.made["any_repeated"]
+
+    def with_ids(self, how: str) -> DataFrame:
+        """The files whose id is repeated (``left_semi``), or is not (``left_anti``)."""
+        files, repeated = self.files.filter("file_id IS NOT NULL"), self.repeated
+        if repeated is None:
+            return files
+        return files.join(F.broadcast(repeated) if is_small(repeated) else large(repeated), "file_id", how)
 
     def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A fact table that several facts and detectors read, written when the first one asks for it."""
@@ -51,18 +76,17 @@ class Lexed:
 
 
 def lex(files: DataFrame, keep: list[str], only: Sequence[str] | None = None) -> Lexed:
-    """The token table of ``files`` (file_id, rel, code), written once; facts are read from it.
+    """``files`` (file_id, rel, code) for facts. Functions are read where files are cut into tokens, other facts from the token table, which is written once.
 
     ``only`` names the facts of ``NEEDS`` that will be read; without it every column and token is kept.
     """
     kept = list(dict.fromkeys(["file_id", "rel", *keep]))
     base = files.select(*kept, "code")
-    texts = base.select("file_id", "code")
     if only is None:
-        return Lexed(base, tok.stored_tokens(texts), tuple(kept))
+        return Lexed(base, None, tuple(kept))
     columns = {c for fact in only for c in NEEDS[fact][0].split()}
     wanted = " OR ".join(dict.fromkeys(f"({NEEDS[fact][1]})" for fact in only))
-    return Lexed(base, tok.stored_tokens(texts, sorted(columns), wanted), tuple(kept))
+    return Lexed(base, None, tuple(kept), needs=(sorted(columns), wanted))
 
 
 def mentioning(files: DataFrame, *lists: Sequence[str]) -> DataFrame:
@@ -250,7 +274,7 @@ def _function_spans(lexed: Lexed) -> DataFrame:
                                                          F.lit(None).cast("int").alias("from_part"))
 
     methods = t.filter("t = '(' AND k = 'op' AND l1_k = 'id' AND up = '{' AND (n2 = '{' OR (n2 = ':' AND NOT logical))").filter(
-        ~F.col("l1").isin(_NOT_METHODS) & ~F.coalesce(F.col("l2").isin("function", "new", *_DOTS, "=", "return", "await"), F.lit(False))
+        ~F.col("l1").isin(spans.NOT_METHODS) & ~F.coalesce(F.col("l2").isin("function", "new", *_DOTS, "=", "return", "await"), F.lit(False))
         & ~F.coalesce((F.col("l2") == "*") & (F.col("prev3") == "function"), F.lit(False))).select(
         "file_id", F.col("pos").alias("at"), F.lit("method").alias("kind"), F.col("l1").alias("own"), F.col("l1_pos").alias("word"), F.col("l2").alias("b1"), F.col("l2_pos").alias("b1_pos"),
         F.lit(None).cast("string").alias("b2"), F.lit(None).cast("int").alias("b2_pos"),
@@ -292,37 +316,66 @@ def _all_functions(lexed: Lexed) -> DataFrame:
     return lexed.once("functions", lambda: _functions(lexed))
 
 
+def _part_words(tokens: Column) -> tuple[Column, Column]:
+    """The text of a parameter without decorators and modifiers, and its decorators."""
+    text = F.concat(F.array_join(F.transform(tokens, lambda x: x["t"]), " "), F.lit(" "))
+    bare = F.regexp_replace(F.regexp_replace(text, rf"@ {NAME} (?:\. {NAME} )*(?:\( \) )?", ""), rf"^(?:(?:{_MODIFIERS}) )*", "")
+    decorators = F.transform(F.filter(tokens, lambda x, i: F.coalesce(F.get(tokens, i - 1)["t"] == "@", F.lit(False))), lambda x: x["t"])
+    return bare, decorators
+
+
+def _first_name(bare: Column) -> Column:
+    return F.nullif(F.regexp_extract(bare, rf"^({NAME})", 1), F.lit(""))
+
+
 def _functions(lexed: Lexed) -> DataFrame:
-    """Function spans with parameters and with what frameworks hand them."""
-    spans, t = materialize(_function_spans(lexed), "spans"), lexed.tokens
+    """Function spans with parameters and with what frameworks hand them; ``src`` and columns of the file where its id is its own."""
+    def parameter(part: Column) -> Column:
+        bare, decorators = _part_words(part["tokens"])
+        return F.struct(_first_name(bare).alias("name"), F.when(bare.rlike(r"^[{\[]"), F.coalesce(part["inner"], F.lit(""))).alias("pattern"), decorators.alias("decorators"))
+    found = spans.function_rows(lexed.with_ids("left_anti"), lexed.keep)
+    only = F.when(F.col("single").isNotNull(), F.array(F.struct(F.col("single").alias("name"), F.lit(None).cast("string").alias("pattern"), F.array().cast("array<string>").alias("decorators"))))
+    fns = _handed(found.withColumn("params", F.when(F.size("parts") > 0, F.transform("parts", parameter)).otherwise(F.coalesce(only, F.array().cast(_PARAMETERS)))).drop("parts", "single"))
+    if lexed.repeated is not None:
+        fns = fns.unionByName(_joined_functions(Lexed(lexed.with_ids("left_semi"), None, lexed.keep)), allowMissingColumns=True)
+    return fns
+
+
+_PARAMETERS = "array<struct<name: string, pattern: string, decorators: array<string>>>"
+
+
+def _joined_functions(lexed: Lexed) -> DataFrame:
+    """Functions by joins over tokens, for files that share an id."""
+    found, t = materialize(_function_spans(lexed), "spans"), lexed.tokens
     within = _insides(t.filter(_PATTERNS)).select("file_id", F.col("par").alias("opened"), F.col("text").alias("inner"))
-    parts = _parts(t.filter("up = '('")).withColumnRenamed("par", "params_at").join(large(spans.select("file_id", "params_at").distinct()), ["file_id", "params_at"])
-    text = F.concat(F.array_join(F.transform("tokens", lambda x: x["t"]), " "), F.lit(" "))
-    bare = F.regexp_replace(F.regexp_replace(text, rf"@ {NAME} (?:\. {NAME} )*(?:\( \) )?", ""), rf"^(?:(?:{_MODIFIERS}) )*", "")
-    decorators = F.transform(F.filter("tokens", lambda x, i: F.coalesce(F.get("tokens", i - 1)["t"] == "@", F.lit(False))), lambda x: x["t"])
+    parts = _parts(t.filter("up = '('")).withColumnRenamed("par", "params_at").join(large(found.select("file_id", "params_at").distinct()), ["file_id", "params_at"])
+    bare, decorators = _part_words(F.col("tokens"))
     opened = F.when(bare.rlike(r"^[{\[]"), F.get(F.filter("tokens", lambda x: x["t"].isin("{", "[")), F.lit(0))["pos"])
-    params = parts.select("file_id", "params_at", "smin", F.nullif(F.regexp_extract(bare, rf"^({NAME})", 1), F.lit("")).alias("name"), opened.alias("opened"), decorators.alias("decorators"))
+    params = parts.select("file_id", "params_at", "smin", _first_name(bare).alias("name"), opened.alias("opened"), decorators.alias("decorators"))
     params = params.join(large(within), ["file_id", "opened"], "left").withColumn("pattern", F.when(F.col("opened").isNotNull(), F.coalesce("inner", F.lit(""))))
     listed = params.groupBy("file_id", "params_at").agg(F.transform(F.array_sort(F.collect_list(F.struct("smin", F.struct("name", "pattern", "decorators").alias("p")))),
                                                                     lambda x: x["p"]).alias("params"))
     # the only parameter of an arrow without brackets is its own anchor
     single = t.filter("k = 'id' AND next = '=>'").select("file_id", F.col("pos").alias("params_at"), F.array(F.struct(
         F.col("t").alias("name"), F.lit(None).cast("string").alias("pattern"), F.array().cast("array<string>").alias("decorators"))).alias("single"))
-    fns = spans.join(large(listed), ["file_id", "params_at"], "left").join(large(single), ["file_id", "params_at"], "left")
-    shape = "array<struct<name: string, pattern: string, decorators: array<string>>>"
-    fns = fns.withColumn("params", F.coalesce("params", "single", F.array().cast(shape)))
-    asked = t.filter(_ASKED).select("file_id", F.col("chain").alias("up_chain")).distinct().withColumn("_asked", F.lit(True))
-    fns = fns.join(large(asked), ["file_id", "up_chain"], "left")
+    fns = found.join(large(listed), ["file_id", "params_at"], "left").join(large(single), ["file_id", "params_at"], "left")
+    fns = fns.withColumn("params", F.coalesce("params", "single", F.array().cast(_PARAMETERS)))
+    asked = t.filter(_ASKED).select("file_id", F.col("chain").alias("up_chain")).distinct().withColumn("asked", F.lit(True))
+    return _handed(fns.join(large(asked), ["file_id", "up_chain"], "left").drop("single"))
+
+
+def _handed(fns: DataFrame) -> DataFrame:
+    """Functions with the names that frameworks hand them."""
     none = F.array().cast("array<string>")
     first, second = F.get("params", F.lit(0)), F.get("params", F.lit(1))
     in_map = (F.col("up") == "{") & (F.col("up_prev1") == ":") & _unquoted(F.col("up_prev2")).isin(rules.GRAPHQL_MAPS) & F.col("name").isNotNull()
     resolver = F.when(in_map & second.isNotNull(), F.when(second["name"].isNotNull(), F.array(second["name"])).otherwise(F.coalesce(_bound_names(second["pattern"]), none)))
-    asked_by = F.col("up_prev1").isin(rules.PROCEDURE_CALLS) & (F.col("up_prev2") == ".") & (F.col("up") == "(") & (F.col("prev1") == "(") & F.col("_asked")
+    asked_by = F.col("up_prev1").isin(rules.PROCEDURE_CALLS) & (F.col("up_prev2") == ".") & (F.col("up") == "(") & (F.col("prev1") == "(") & F.col("asked")
     procedure = F.when(asked_by, F.coalesce(_input_names(first["pattern"]), none))
     handed = F.array(*[F.lit(d) for d in rules.INPUT_DECORATORS])
     decorated = F.transform(F.filter("params", lambda p: p["name"].isNotNull() & F.arrays_overlap(p["decorators"], handed)), lambda p: p["name"])
     fns = fns.withColumns({"resolver": F.coalesce(resolver, none), "procedure": F.coalesce(procedure, none), "decorated": decorated})
-    return fns.withColumn("is_carrier", F.col("name").isNotNull() | (F.size("resolver") > 0) | (F.size("procedure") > 0)).drop("single", "_asked")
+    return fns.withColumn("is_carrier", F.col("name").isNotNull() | (F.size("resolver") > 0) | (F.size("procedure") > 0)).drop("asked")
 
 
 def _enclosed(points: DataFrame, fns: DataFrame, out: str, carrier: bool = False) -> DataFrame:
@@ -345,15 +398,25 @@ def _enclosed(points: DataFrame, fns: DataFrame, out: str, carrier: bool = False
     return found.filter("_kind = 0").select("_row.*", F.when(F.col("_depth") > 0, F.col("_around")).alias(out))
 
 
-def functions_of(lexed: Lexed, keep: list[str]) -> DataFrame:
-    fns = _all_functions(lexed)
-    rows = _enclosed(fns.withColumn("p", F.col("start")), fns, "parent")
-    rows = lexed.with_files(rows, keep, "code")
-    here = F.struct("line", "col")
-    return rows.select(
-        place_id(F.col("file_id"), here).alias("fn_id"), "file_id", *keep, "name", "kind", "is_async", F.col("line").alias("start_line"), "end_line", "col",
-        place_id(F.col("file_id"), F.col("parent")).alias("parent_fn"), "is_carrier", "params", "resolver", "procedure", "decorated", "start", "end",
-        F.substring(F.col("code"), F.col("start_off") + 1, F.col("end_off") - F.col("start_off")).alias("src"))
+def functions_of(lexed: Lexed, keep: list[str], with_parent: bool = True, stored: bool = True) -> DataFrame:
+    """Functions with columns of their file. ``with_parent`` looks for the function around each one, in a shuffle.
+
+    They are ``stored`` for other facts and detectors; a query that reads them only once need not write them.
+    """
+    fns = _all_functions(lexed) if stored else _functions(lexed)
+    own = [c for c in lexed.keep if c != "file_id"]
+    src = F.substring(F.col("code"), F.col("start_off") + 1, F.col("end_off") - F.col("start_off"))
+    here, parent = F.struct("line", "col"), []
+    if with_parent:
+        slim = fns.select("file_id", "start", "end", "line", "col", "is_carrier", F.struct(*fns.columns).alias("fn"), F.col("start").alias("p"))
+        fns = _enclosed(slim.select("file_id", "p", "fn"), slim, "parent").select("fn.*", "parent")
+        parent = [place_id(F.col("file_id"), F.col("parent")).alias("parent_fn")]
+    if lexed.repeated is not None:
+        again = fns.join(F.broadcast(lexed.repeated) if is_small(lexed.repeated) else large(lexed.repeated), "file_id", "left_semi").drop("src", *own)
+        fns = (fns.join(F.broadcast(lexed.repeated) if is_small(lexed.repeated) else large(lexed.repeated), "file_id", "left_anti")
+               .unionByName(lexed.with_files(again, own, "code").withColumn("src", src).drop("code")))
+    rest = ["is_carrier", "params", "resolver", "procedure", "decorated", "start", "end", "src"]
+    return fns.select(place_id(F.col("file_id"), here).alias("fn_id"), "file_id", *keep, "name", "kind", "is_async", F.col("line").alias("start_line"), "end_line", "col", *parent, *rest)
 
 
 def params_of(lexed: Lexed) -> DataFrame:
@@ -475,11 +538,13 @@ def bindings_of(lexed: Lexed, keep: list[str] | None = None, with_line: bool = T
 
 
 def comparisons_of(lexed: Lexed, keep: list[str]) -> DataFrame:
-    operands = chains(lexed).select("file_id", "chain", "call", "text", F.col("line").alias("l"), F.col("col").alias("c"))
+    # where files share an id, a comparison can meet the operands of another file
+    sides = _chains(lexed.tokens.filter("beside")) if lexed.repeated is None else chains(lexed)
+    operands = materialize(sides, "sides").select("file_id", "chain", "call", "text", F.col("line").alias("l"), F.col("col").alias("c"))
     named = F.regexp_extract("text", rf"(?:^|\.)({NAME})\z", 1)
     left = operands.select("file_id", F.col("chain").alias("l1_chain"), F.col("call").alias("l_call"), named.alias("l_name"), "l", "c")
     right = operands.select("file_id", F.col("chain").alias("n1_pos"), F.col("call").alias("r_call"), named.alias("r_name"))
-    rows = lexed.tokens.filter(_op(*_COMPARED)).select("file_id", "pos", F.col("t").alias("op"), "line", "col", "l1", "l1_k", "l1_chain", "n1", "n1_pos").join(
+    rows = lexed.tokens.filter(_op(*tok.COMPARED)).select("file_id", "pos", F.col("t").alias("op"), "line", "col", "l1", "l1_k", "l1_chain", "n1", "n1_pos").join(
         large(left), ["file_id", "l1_chain"], "left").join(large(right), ["file_id", "n1_pos"], "left")
 
     def literal(text: Column) -> Column:

@@ -18,7 +18,9 @@ array, a block, or a part with a logical, conditional or arrow operator.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ramparts.functions.text import per_application
-from ramparts.session import materialize
+from ramparts.session import bounded_batches, materialize
 
 ID = r"[A-Za-z_$][0-9A-Za-z_$]*+"
 TRIVIA = r"(?:\s++|//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z))*+"
@@ -43,6 +45,7 @@ _PART_MARK = "\u0001"  # put before later parts of a template, which look like c
 OPENERS, CLOSERS = ["(", "[", "{"], [")", "]", "}"]
 LOGICAL = ["||", "&&", "??", "?", "=>"]
 ASSIGNMENTS = ["=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "**=", "<<=", ">>=", ">>>=", "&&=", "||=", "??="]
+COMPARED = ["==", "===", "!=", "!=="]
 KEYWORDS = ["await", "async", "true", "false", "null", "undefined", "typeof", "this", "new", "void", "delete", "function", "instanceof", "in", "of",
             "yield", "return", "const", "let", "var", "if", "else", "for", "while", "do", "switch", "case", "default", "break", "continue", "throw",
             "try", "catch", "finally", "class", "extends", "import", "export", "with", "super"]
@@ -84,36 +87,68 @@ def _cut(text: Column, depth: int) -> Column:
 
 
 @per_application
-def _token_array() -> Column:
+def token_array() -> Column:
     return _cut(F.translate(F.col("code"), _PART_MARK, " "), TEMPLATE_DEPTH)
 
 
-def _tail(text: Column) -> Column:
-    """Characters after the last line break."""
-    return F.length(F.substring_index(text, "\n", -1))
+# blanks and comments before a token, as TRIVIA has them; Python's \\s knows more blanks than Java's
+_LEAD = re.compile(r"(?:[ \t\n\x0b\f\r]++|//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|\Z))*+")
+_BLANKS = " \t\n\x0b\f\r"
 
 
-def _count_breaks(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+def _texts(values: Sequence[str]) -> pa.Array:
+    return pa.array(values, pa.string())
 
 
-def _raw_tokens(files: DataFrame) -> DataFrame:
-    """Tokens with their kind, and the line breaks before and inside them."""
-    raw = F.col("raw")
-    cut = files.select("file_id", F.posexplode_outer(_token_array()).alias("pos", "raw")).filter("pos is not null")
-    marked = raw.startswith(_PART_MARK)
-    bare = F.when(marked, F.expr("substring(raw, 2)")).when(F.left(raw, F.lit(1)).isin(" ", "\n", "\t", "\r", "/", "\f", "\x0b"), F.regexp_replace(raw, rf"\A{TRIVIA}", "")).otherwise(raw)
-    first = F.left("t", F.lit(1))
-    kind = (F.when(F.contains(first, F.lit("`")) | F.col("marked"), "template").when(first.isin('"', "'"), "string").when(first.rlike("[A-Za-z_$]"), "id")
-            .when(first.rlike("[0-9]"), "number").when((first == "/") & (F.length("t") > 2), "regex").otherwise("op"))
-    rows = cut.select("file_id", "pos", "raw", bare.alias("t"), marked.alias("marked")).select("*", kind.alias("k"))
-    lead = F.expr("left(raw, length(raw) - length(t))")
-    breaks = F.contains(raw, F.lit("\n"))
-    return rows.select(
-        "file_id", "pos", "t", "k", (F.length(raw) - F.col("marked").cast("int")).alias("size"),
-        (F.col("t").isin(OPENERS) | ((F.col("k") == "template") & F.col("t").endswith("${"))).alias("opens"), F.col("t").isin(CLOSERS).alias("closes"),
-        F.when(breaks, _count_breaks(raw)).otherwise(0).alias("breaks"), F.when(breaks, _tail(raw)).alias("tail"),
-        F.when(breaks, _count_breaks(lead)).otherwise(0).alias("lead_breaks"), F.when(breaks & F.contains(lead, F.lit("\n")), _tail(lead)).alias("lead_tail"))
+def _first_bytes(texts: pa.Array) -> np.ndarray:
+    """The first byte of every text, 0 for empty ones."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    filled = ends[1:] > ends[:-1]
+    return np.where(filled, data[np.where(filled, ends[:-1], 0)], 0) if len(data) else np.zeros(len(texts), np.uint8)
+
+
+def _raw_tokens(raw: pa.Array, pos: np.ndarray) -> pa.Table:
+    """Tokens with their kind, and the line breaks before and inside them, from what the pattern cut.
+
+    Vectors over all tokens of a batch; only tokens behind a comment or a line break are looked at one by one.
+    """
+    def numbers(values: pa.Array) -> np.ndarray:
+        return values.to_numpy(zero_copy_only=False)
+    begun = _first_bytes(raw)
+    marked = begun == ord(_PART_MARK)
+    t = raw
+    stripped = np.isin(begun, [ord(c) for c in _BLANKS + "/"]) | marked
+    if stripped.any():
+        at = np.flatnonzero(stripped)
+        some = raw.take(pa.array(at))
+        bare = pc.utf8_ltrim(some, _BLANKS)
+        behind = np.flatnonzero(numbers(pc.or_(pc.starts_with(bare, "//"), pc.starts_with(bare, "/*"))))
+        bare = bare.to_pylist()
+        for i in behind:
+            bare[i] = bare[i][_LEAD.match(bare[i]).end():]
+        for i in np.flatnonzero(marked[at]):
+            bare[i] = some[i].as_py()[1:]
+        t = pc.replace_with_mask(raw, pa.array(stripped), _texts(bare))
+    first = _first_bytes(t)
+    long, t_long = numbers(pc.utf8_length(raw)).astype(np.int64), numbers(pc.utf8_length(t)).astype(np.int64)
+    template = marked | (first == ord("`"))
+    string = (first == ord('"')) | (first == ord("'"))
+    name = (first >= ord("a")) & (first <= ord("z")) | (first >= ord("A")) & (first <= ord("Z")) | (first == ord("_")) | (first == ord("$"))
+    digit = (first >= ord("0")) & (first <= ord("9"))
+    kind = np.select([template, string, name, digit, (first == ord("/")) & (t_long > 2)], [5, 2, 1, 3, 4], 0)
+    opens = np.isin(first, [ord(c) for c in OPENERS]) & (t_long == 1) | template & numbers(pc.ends_with(t, "${"))
+    breaks = numbers(pc.count_substring(raw, "\n")).astype(np.int64)
+    tail, lead_breaks, lead_tail = np.full(len(raw), -1), np.zeros(len(raw), np.int64), np.full(len(raw), -1)
+    broken = np.flatnonzero(breaks)
+    if len(broken):
+        for i, text, lead in zip(broken, raw.take(pa.array(broken)).to_pylist(), (long - t_long)[broken], strict=True):
+            tail[i] = len(text) - 1 - text.rfind("\n")
+            lead_breaks[i] = text.count("\n", 0, lead)
+            if lead_breaks[i]:
+                lead_tail[i] = lead - 1 - text.rfind("\n", 0, lead)
+    return pa.table({"pos": pos, "t": t, "k": pa.array(_KINDS).take(pa.array(kind)), "size": long - marked, "opens": opens, "breaks": breaks, "tail": tail,
+                     "lead_breaks": lead_breaks, "lead_tail": lead_tail})
 
 
 class _Rows:
@@ -155,13 +190,14 @@ _WORDS = sorted({*OPENERS, *CLOSERS, *LOGICAL, *ASSIGNMENTS, *_NOT_OPERANDS, *_G
 _KINDS = ["op", "id", "string", "number", "regex", "template"]
 
 
-def _annotated(rows: pa.Table, columns: Sequence[str]) -> pa.Table:
-    """The token table of whole files from their cut tokens in order; only the ``columns`` asked for are made."""
+def annotated(rows: pa.Table) -> SimpleNamespace:
+    """The tokens of whole files from their cut tokens in order: ``column(name)`` makes a column of the token table, ``file`` tells
+    the file of a token, and ``near`` the rows of the tokens beside and around it, -1 for none."""
     def numbers(name: str, missing: int = -1) -> np.ndarray:
         return pc.fill_null(rows[name].combine_chunks(), missing).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    every = _Rows(np.cumsum(numbers("pos") == 0))
-    file, size, tail = np.cumsum(numbers("pos") == 0), numbers("size"), numbers("tail")
+    file, size, tail = numbers("file"), numbers("size"), numbers("tail")
+    every = _Rows(file)
     end, above = every.total(size), every.total(numbers("breaks")) - numbers("breaks")
     broken = every.latest(tail >= 0)
     broken = np.where(every.fresh, -1, np.where(np.roll(broken, 1) >= every.begin, np.roll(broken, 1), -1)) if every.n else broken
@@ -269,11 +305,14 @@ def _annotated(rows: pa.Table, columns: Sequence[str]) -> pa.Table:
 
     def whole(values: np.ndarray, there: np.ndarray) -> pa.Array:
         return pa.array(values[there] if level.n else values, pa.int32(), mask=there < 0)
-    inside, region = regions() if {"inside", "region"} & set(columns) else (None, None)
     up_chain, l1_chain = back(chain, parent), back(chain, l1)
-    places = {"pos": pos, "line": line, "col": col, "start": start, "end": end, "lvl": lvl, "seg": seg, "inside": inside, "region": region,
+    places = {"pos": pos, "line": line, "col": col, "start": start, "end": end, "lvl": lvl, "seg": seg,
               "par": np.where(parent >= 0, pos[parent], -1) if level.n else pos}
-    flags = {"opens": opens, "linked": linked, "logical": logical}
+    # chains that a comparison has on its sides
+    compared = np.flatnonzero(op & among(word, COMPARED))
+    beside = np.zeros(level.n + 1, bool)
+    beside[np.append(l1_chain[compared], n1[compared])] = True
+    flags = {"opens": opens, "linked": linked, "logical": logical, "beside": beside[chain] & (chain >= 0)}
     texts = {"up": parent, "up_prev1": back(p1, parent), "up_prev2": back(p2, parent), "up_up": back(parent, parent), "up_n2": back(n2, parent), "chain_t": chain,
              "chain_before": back(l1, chain), "run_t": run, "run_before": back(p1, run), "prev1": p1, "prev2": p2, "prev3": p3, "next": following, "l1": l1, "l2": l2,
              "n1": n1, "n2": n2, "typed": typed}
@@ -284,6 +323,10 @@ def _annotated(rows: pa.Table, columns: Sequence[str]) -> pa.Table:
           "n3_line": (line, n3), "n1_end": (end, n1), "n2_end": (end, n2), "n3_end": (end, n3), "typed_pos": (pos, typed), "typed_line": (line, typed), "typed_col": (col, typed)}
 
     def column(name: str) -> pa.Array:
+        if name in ("inside", "region"):
+            if name not in places:
+                places["inside"], places["region"] = regions()
+            return pa.array(places[name], pa.int32())
         if name in ("t", "k"):
             return t if name == "t" else k
         if name in texts or name in kinds:
@@ -293,34 +336,46 @@ def _annotated(rows: pa.Table, columns: Sequence[str]) -> pa.Table:
         if name == "chain_call":
             return pa.array(called, pa.int32(), mask=called < 0)
         return pa.array(flags[name]) if name in flags else pa.array(places[name], pa.int32())
-    return pa.table({"file_id": rows["file_id"], **{name: column(name) for name in columns}})
+    near = {"l1": l1, "l2": l2, "n1": n1, "n2": n2, "n3": n3, "next": following, "prev1": p1, "prev2": p2, "prev3": p3, "par": parent, "up_chain": up_chain, "chain": chain,
+            "smin": smin, "last": last, "typed": typed}
+    return SimpleNamespace(file=file, t=t, kind=kind, near=near, places=places, flags=flags, column=column)
 
 
 _TEXTS = ["t", "k", "up", "up_prev1", "up_prev2", "chain_t", "chain_k", "chain_before", "run_t", "run_before", "up_up", "up_n2", "prev1", "prev2", "prev3", "next", "l1", "l1_k", "l2", "l2_k",
           "n1", "n2", "typed"]
-_FLAGS = ["opens", "linked", "logical"]
+_FLAGS = ["opens", "linked", "logical", "beside"]
 _SHOWN = ["pos", "t", "k", "line", "col", "start", "end", "lvl", "opens", "linked", "par", "up", "up_prev1", "up_prev2", "up_up", "up_n2", "up_chain", "seg", "smin", "last", "last_line",
           "last_end", "logical", "chain", "chain_t", "chain_k", "chain_line", "chain_col", "chain_before", "chain_call", "run", "run_t", "run_line", "run_col", "run_before", "prev1", "prev2",
           "prev3", "next", "l1", "l1_k", "l1_pos", "l1_chain", "l2", "l2_k", "l2_pos", "n1", "n1_pos", "n2", "n2_pos", "n3_pos", "n1_line", "n2_line", "n3_line", "n1_end", "n2_end",
-          "n3_end", "typed", "typed_pos", "typed_line", "typed_col", "inside", "region"]
+          "n3_end", "typed", "typed_pos", "typed_line", "typed_col", "inside", "region", "beside"]
+
 
+# files are annotated together up to so many tokens; a longer file alone
+_TOGETHER = 100_000
 
-def _whole_files(batches: Iterator[pa.RecordBatch], columns: Sequence[str]) -> Iterator[pa.RecordBatch]:
-    """Annotate as many whole files as a batch completes; the file that goes on waits for the next batch."""
-    held: list[pa.RecordBatch] = []
 
-    def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if parts:
-            yield from _annotated(pa.Table.from_batches(parts), columns).combine_chunks().to_batches()
+def whole_files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Table]]:
+    """Some rows of whole files at a time, with their tokens; ``file`` is a token's row."""
     for batch in batches:
-        begins = np.flatnonzero(batch["pos"].to_numpy() == 0)
-        if len(begins):
-            cut = int(begins[-1])
-            yield from done([*held, batch.slice(0, cut)] if cut else held)
-            held = [batch.slice(cut)]
-        else:
-            held.append(batch)
-    yield from done(held)
+        counts = pc.fill_null(pc.list_value_length(batch["raw"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(counts)
+        begin = 0
+        while begin < len(counts):
+            done = ends[begin - 1] if begin else 0
+            until = max(begin + 1, int(np.searchsorted(ends, done + _TOGETHER, "right")))
+            some, n = batch.slice(begin, until - begin), counts[begin:until]
+            begin = until
+            if n.sum():
+                row = np.repeat(np.arange(len(n)), n)
+                tokens = _raw_tokens(some["raw"].flatten(), np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
+                yield some, tokens.append_column("file", pa.array(row))
+
+
+def _stored_rows(batches: Iterator[pa.RecordBatch], columns: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    for some, tokens in whole_files(batches):
+        read = annotated(tokens)
+        shown = {"file_id": some["file_id"].take(pa.array(read.file)), **{name: read.column(name) for name in columns}}
+        yield pa.RecordBatch.from_pydict(shown)
 
 
 def token_table(files: DataFrame, columns: Sequence[str] = _SHOWN) -> DataFrame:
@@ -329,12 +384,13 @@ def token_table(files: DataFrame, columns: Sequence[str] = _SHOWN) -> DataFrame:
     ``l1, l2`` and ``n1, n2, n3`` are the tokens before and after at the same level of the same bracket, ``prev1`` to
     ``prev3`` and ``next`` those of the text; ``par`` and ``up`` the place and text of the bracket around, ``up_up`` the
     text of the one around that, ``up_n2`` what follows the bracket's end, ``last`` the end of the part, ``typed`` the
-    latest ``name :`` of the part, ``run`` the start of the latest dotted name, ``chain_call`` a head's first call.
+    latest ``name :`` of the part, ``beside`` whether the chain is a side of a comparison, ``run`` the start of the latest dotted name, ``chain_call`` a head's first call.
     """
     columns = [c for c in _SHOWN if c in columns]
+    bounded_batches(files.sparkSession)
     shape = f"file_id {files.schema['file_id'].dataType.simpleString()}, " + ", ".join(
         f"`{c}` {'string' if c in _TEXTS else 'boolean' if c in _FLAGS else 'int'}" for c in columns)
-    return _raw_tokens(files).mapInArrow(lambda batches: _whole_files(batches, columns), shape)
+    return files.select("file_id", token_array().alias("raw")).mapInArrow(lambda batches: _stored_rows(batches, columns), shape)
 
 
 def stored_tokens(files: DataFrame, columns: Sequence[str] = _SHOWN, wanted: str | None = None) -> DataFrame:

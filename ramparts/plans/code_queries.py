@@ -42,7 +42,7 @@ def lexed(spark, sf, words=()) -> facts.Lexed:
 
 @query
 def lex_functions(spark, sf):
-    fns = facts.functions_of(facts.lex(sources(spark, sf, "mod"), [], ["functions"]), [])
+    fns = facts.functions_of(facts.lex(sources(spark, sf, "mod"), [], ["functions"]), [], with_parent=False, stored=False)
     return fns.select("file_id", "name", "kind", "is_async", long("start_line"), long("end_line"), long("col"))
 
 
@@ -68,7 +68,7 @@ def lex_imports(spark, sf):
 @query
 def lex_exports(spark, sf):
     lexed_mod = facts.lex(sources(spark, sf, "mod"), [], ["exports"])
-    fns = facts.functions_of(lexed_mod, []).select("fn_id", "name")
+    fns = facts.functions_of(lexed_mod, [], with_parent=False).select("fn_id", "name")
     return facts.exports_of(lexed_mod).join(large(fns), "fn_id").select("file_id", "export_name", F.col("name").alias("fn_name"))
 
 
@@ -111,7 +111,7 @@ def src_trpc_input(spark, sf):
 def taint_code(spark, sf):
     """Imports, calls, bindings and taint, all from text: which names of which function are tainted."""
     lexed_mod = code_scan.lexed_files(sources(spark, sf, "mod").withColumn("unit", F.lit("business")), code_scan.TAINT_FACTS)
-    fns = facts.functions_of(lexed_mod, []).select("fn_id", "file_id", F.col("name").alias("fn_name"))
+    fns = facts.functions_of(lexed_mod, [], with_parent=False).select("fn_id", "file_id", F.col("name").alias("fn_name"))
     return code_scan.taint_of(lexed_mod).join(large(fns), "fn_id").select("file_id", "fn_name", "name")
 
 
@@ -202,7 +202,7 @@ def det_object_authz(spark, sf):
 
 @query
 def antijoin_owner_check(spark, sf):
-    rows = code.function_rows(lexed(spark, sf, [rules.HANDLER_PARAMETERS]), ["rel"])
+    rows = code.function_rows(lexed(spark, sf, [rules.HANDLER_PARAMETERS]), ["rel"], stored=False)
     return code.owner_less_handlers(rows).select("rel", F.col("fn_name").alias("name"))
 
 

@@ -43,7 +43,7 @@ def argument_flow(lexed: facts.Lexed) -> DataFrame:
     # imports, exports and names are looked up several times and each is many joins over tokens: written once, they are not planned again every time
     imports = materialize(facts.imports_of(lexed, scope), "imports")
     targets = materialize(resolve.resolve_modules(imports, lexed.files.select("file_id", "rel", *scope), scope), "targets")
-    named = materialize(facts.functions_of(lexed, scope).select(*scope, "fn_id", "file_id", "name"), "names")
+    named = materialize(facts.functions_of(lexed, scope, with_parent=False).select(*scope, "fn_id", "file_id", "name"), "names")
     exports = materialize(facts.exports_of(lexed), "exports")
     slim = calls.select(*scope, "call_id", "file_id", "carrier_fn", "callee_kind", "obj", "name",
                         F.transform("args", lambda a: F.struct(a["refs"].alias("refs"), a["has_source"].alias("has_source"))).alias("args"))
@@ -59,7 +59,7 @@ def framework_seeds(lexed: facts.Lexed) -> DataFrame:
     def named(field: str, reason: str) -> Column:
         return F.transform(field, lambda n: F.struct(n.alias("name"), F.lit(reason).alias("reason")))
     handed = F.concat(named("decorated", "decorator"), named("resolver", "graphql"), named("procedure", "procedure"))
-    return facts.functions_of(lexed, []).select("fn_id", F.inline(handed))
+    return facts.functions_of(lexed, [], with_parent=False).select("fn_id", F.inline(handed))
 
 
 def taint_of(lexed: facts.Lexed) -> DataFrame:

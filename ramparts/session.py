@@ -46,6 +46,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the session's Arrow batch size: a batch of the default 10,000 long texts is too much for a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """True if ``df`` has at most ``rows`` rows; never reads far beyond that."""
     return df.limit(rows + 1).count() <= rows
