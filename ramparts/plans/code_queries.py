@@ -208,7 +208,7 @@ def antijoin_owner_check(spark, sf):
 
 @query
 def antijoin_concurrency_guard(spark, sf):
-    rows = code.function_rows(lexed(spark, sf, [["async", "await"]]), ["rel"])
+    rows = code.function_rows(lexed(spark, sf, [["async", "await"]]), ["rel"], stored=False)
     return rows.filter(code.is_unguarded_async(F.col("src"), F.col("is_async"))).select("rel", F.col("fn_name").alias("name"))
 
 
